@@ -19,6 +19,23 @@ def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> str:
+    """A column name for use inside SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def finite_sql(name: str) -> str:
+    """SQL text of `finite` for a named column."""
+    x = f"double({quoted(name)})"
+    return f"CASE WHEN abs({x}) < double('infinity') THEN {x} END"
+
+
+def valid_sql(name: str) -> str:
+    """SQL text: the value as a double, NULL for NaN."""
+    x = f"double({quoted(name)})"
+    return f"CASE WHEN NOT isnan({x}) THEN {x} END"
+
+
 def ratio(num: Column | str, den: Column | str) -> Column:
     """num / den; n/0 is an infinity with the sign of n, 0/0 and missing inputs are NULL."""
     n, d = column(num).cast("double"), column(den).cast("double")
@@ -76,10 +93,10 @@ def cut(
     if len(labels) != len(breaks) - 1:
         raise ValueError("one label per interval is needed")
     x = column(c)
-    first = F.lit(float(breaks[0]))
+    first = float(breaks[0])
     out = F.when((x < first) if include_lowest else (x <= first), None)
     for upper, label in zip(breaks[1:], labels):
-        out = out.when(x <= F.lit(float(upper)), F.lit(label))
+        out = out.when(x <= float(upper), label)
     return out
 
 

@@ -9,18 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from hearthstat.functions.expr import finite
+from hearthstat.functions.expr import finite_sql, quoted, valid_sql
 
 POOLED = "ALL"
 
 
-def _number(c: str, finite_only: bool) -> Column:
-    x = F.col(c).cast("double")
-    return finite(x) if finite_only else F.when(~F.isnan(x), x)
-
-
 def pair_moments(
     df: DataFrame, by: str, pairs: Mapping[str, tuple[str, str]], finite_only: bool = True
 ) -> DataFrame:
@@ -30,25 +25,25 @@ def pair_moments(
     Each row feeds its pairs to the aggregate one after the other; partial sums leave a task as one row per
     group and pair.
     """
-    items = [
-        F.struct(F.lit(name).alias("pair"), _number(x, finite_only).alias("x"), _number(y, finite_only).alias("y"))
-        for name, (x, y) in pairs.items()
-    ]
-    long = df.select(by, F.inline(F.array(*items)))
-    x, y = F.when(F.col("y").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col("y"))
-    long = long.select(by, "pair", x.alias("x"), y.alias("y"))
-    n = F.count("x").cast("double")
-    return long.groupBy(by, "pair").agg(
-        F.count("x").alias("n"),
-        (F.count(F.lit(1)) - F.count("x")).alias("n_dropped"),
-        F.avg("x").alias("mean_x"),
-        F.avg("y").alias("mean_y"),
-        (F.var_pop("x") * n).alias("sxx"),
-        (F.var_pop("y") * n).alias("syy"),
-        (F.covar_pop("x", "y") * n).alias("sxy"),
-        F.min("x").alias("min_x"),
-        F.max("x").alias("max_x"),
+    valid = finite_sql if finite_only else valid_sql
+    items = ", ".join(
+        f"named_struct('pair', '{name}', 'x', {valid(x)}, 'y', {valid(y)})" for name, (x, y) in pairs.items()
     )
+    long = df.selectExpr(quoted(by), f"inline(array({items}))").selectExpr(
+        quoted(by), "pair", "CASE WHEN y IS NOT NULL THEN x END AS x", "CASE WHEN x IS NOT NULL THEN y END AS y"
+    )
+    aggs = [
+        "count(x) AS n",
+        "count(1) - count(x) AS n_dropped",
+        "avg(x) AS mean_x",
+        "avg(y) AS mean_y",
+        "var_pop(x) * count(x) AS sxx",
+        "var_pop(y) * count(x) AS syy",
+        "covar_pop(x, y) * count(x) AS sxy",
+        "min(x) AS min_x",
+        "max(x) AS max_x",
+    ]
+    return long.groupBy(by, "pair").agg(*map(F.expr, aggs))
 
 
 def listwise_moments(df: DataFrame, by: str, cols: Sequence[str], finite_only: bool = True) -> DataFrame:
@@ -56,31 +51,20 @@ def listwise_moments(df: DataFrame, by: str, cols: Sequence[str], finite_only: b
 
     The result has the columns of `pair_moments`, with `i` and `j` for the positions of the pair.
     """
-    numbers = df.select(by, *[_number(c, finite_only).alias(f"v{i}") for i, c in enumerate(cols)])
-    names = [f"v{i}" for i in range(len(cols))]
-    complete = numbers.dropna("any", subset=names)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    wide = complete.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(v).alias(f"mean_{v}") for v in names],
-        *[
-            (F.var_pop(names[i]) if i == j else F.covar_pop(names[i], names[j])).alias(f"c_{i}_{j}")
-            for i, j in pairs
-        ],
-    )
-    n = F.col("n").cast("double")
-    rows = [
-        F.struct(
-            F.lit(f"{i}_{j}").alias("pair"),
-            F.col(f"mean_v{i}").alias("mean_x"),
-            F.col(f"mean_v{j}").alias("mean_y"),
-            (F.col(f"c_{i}_{i}") * n).alias("sxx"),
-            (F.col(f"c_{j}_{j}") * n).alias("syy"),
-            (F.col(f"c_{i}_{j}") * n).alias("sxy"),
-        )
+    valid = finite_sql if finite_only else valid_sql
+    k = range(len(cols))
+    numbers = df.selectExpr(quoted(by), *[f"{valid(c)} AS v{i}" for i, c in enumerate(cols)])
+    complete = numbers.dropna("any", subset=[f"v{i}" for i in k])
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    aggs = ["count(1) AS n", *[f"avg(v{i}) AS m{i}" for i in k]]
+    aggs += [f"{f'var_pop(v{i})' if i == j else f'covar_pop(v{i}, v{j})'} * count(1) AS c_{i}_{j}" for i, j in pairs]
+    wide = complete.groupBy(by).agg(*map(F.expr, aggs))
+    rows = ", ".join(
+        f"named_struct('pair', '{i}_{j}', 'mean_x', m{i}, 'mean_y', m{j}, 'sxx', c_{i}_{i}, 'syy', c_{j}_{j}, "
+        f"'sxy', c_{i}_{j})"
         for i, j in pairs
-    ]
-    return wide.select(by, "n", F.inline(F.array(*rows)))
+    )
+    return wide.selectExpr(quoted(by), "n", f"inline(array({rows}))")
 
 
 def with_pooled(moments: DataFrame, by: str, name: str = "scope") -> DataFrame:
@@ -88,29 +72,26 @@ def with_pooled(moments: DataFrame, by: str, name: str = "scope") -> DataFrame:
 
     A missing group counts in ALL only. For the aggregated rows of the functions above.
     """
-    extra = [c for c in ("n_dropped", "min_x", "max_x") if c in moments.columns]
-    scopes = moments.select(
-        F.explode(F.array_compact(F.array(F.col(by).cast("string"), F.lit(POOLED)))).alias(name),
-        *[c for c in moments.columns if c != by],
+    how = {"n_dropped": "sum", "min_x": "min", "max_x": "max"}
+    extra = [f"{f}({c}) AS {c}" for c, f in how.items() if c in moments.columns]
+    rest = [c for c in moments.columns if c != by]
+    scopes = moments.selectExpr(
+        f"explode(array_compact(array(string({quoted(by)}), '{POOLED}'))) AS {name}",
+        *rest,
     )
-    w = Window.partitionBy(name, "pair")
-    n = F.sum("n").over(w)
-    centre = {
-        "centre_x": F.try_divide(F.sum(F.col("n") * F.col("mean_x")).over(w), n),
-        "centre_y": F.try_divide(F.sum(F.col("n") * F.col("mean_y")).over(w), n),
-    }
-    dx, dy = F.col("mean_x") - F.col("centre_x"), F.col("mean_y") - F.col("centre_y")
-    how = {"n_dropped": F.sum, "min_x": F.min, "max_x": F.max}
-    return (
-        scopes.withColumns(centre)
-        .groupBy(name, "pair")
-        .agg(
-            F.sum("n").alias("n"),
-            F.first("centre_x").alias("mean_x"),
-            F.first("centre_y").alias("mean_y"),
-            F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"),
-            F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
-            F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"),
-            *[how[c](c).alias(c) for c in extra],
-        )
+    over = f"OVER (PARTITION BY {name}, pair)"
+    centred = scopes.selectExpr(
+        "*",
+        f"try_divide(sum(n * mean_x) {over}, sum(n) {over}) AS centre_x",
+        f"try_divide(sum(n * mean_y) {over}, sum(n) {over}) AS centre_y",
     )
+    aggs = [
+        "sum(n) AS n",
+        "first(centre_x) AS mean_x",
+        "first(centre_y) AS mean_y",
+        "sum(sxx + n * pow(mean_x - centre_x, 2)) AS sxx",
+        "sum(syy + n * pow(mean_y - centre_y, 2)) AS syy",
+        "sum(sxy + n * (mean_x - centre_x) * (mean_y - centre_y)) AS sxy",
+        *extra,
+    ]
+    return centred.groupBy(name, "pair").agg(*map(F.expr, aggs))

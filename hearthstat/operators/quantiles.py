@@ -17,33 +17,17 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from hearthstat.functions.expr import INF, finite
+from hearthstat.functions.expr import finite_sql, quoted, valid_sql
 from hearthstat.sources.stored import store
 
 WINDOW_ROWS = 1_000_000  # most rows that one bracket may bring to one task
 SLICES = 4096  # slices of one bracket in one narrowing pass
 MAX_PASSES = 60
 
-MOMENTS = {
-    "mean": F.avg,
-    "sd": F.stddev_samp,
-    "var": F.var_samp,
-    "min": F.min,
-    "max": F.max,
-    "sum": F.sum,
-    "n": F.count,
-}
-
-
-def _number(c: str, finite_only: bool) -> Column:
-    x = F.col(c).cast("double")
-    return finite(x) if finite_only else F.when(~F.isnan(x), x)
-
-
-def _same_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> list[Column]:
-    return [left[k].eqNullSafe(right[k]) for k in by]
+MOMENTS = {"mean": "avg", "sd": "stddev_samp", "var": "var_samp", "min": "min", "max": "max", "sum": "sum", "n": "count"}
+INF = "double('infinity')"
 
 
 def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -58,79 +42,6 @@ def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str =
     return df.join(right, reduce(and_, conds), how).drop(*names.values())
 
 
-def _spread(x: Column) -> Column:
-    """Increasing transform that evens out long tails for the first narrowing pass."""
-    return F.signum(x) * F.log1p(F.abs(x))
-
-
-def _slice(lo: str, hi: str, first: bool, slices: int) -> Column:
-    """Slice number of x within the finite range [lo, hi]; infinities get slices of their own."""
-    x, a, b = F.col("x"), F.col(lo), F.col(hi)
-    if first:
-        x, a, b = _spread(x), _spread(a), _spread(b)
-    inside = F.floor(F.coalesce(F.try_divide(x - a, b - a), F.lit(0.0)) * slices)
-    return (
-        F.when(F.col("x") == F.lit(INF), slices)
-        .when(F.col("x") == F.lit(-INF), -1)
-        .otherwise(F.least(F.lit(slices - 1), inside.cast("int")))
-    )
-
-
-def _rows_in(values: DataFrame, brackets: DataFrame) -> DataFrame:
-    """(bracket, x) for the rows inside a bracket."""
-    keys = [c for c in values.columns if c != "x"]
-    conds = _same_keys(values, brackets, [k for k in keys if k != "col"])
-    conds.append(values["col"] == brackets["col"])
-    conds.append(values["x"].between(brackets["lo"], brackets["hi"]))
-    return values.join(brackets, reduce(and_, conds)).select("x", "bracket", "flo", "fhi")
-
-
-def _narrow(values: DataFrame, brackets: DataFrame, by: list[str], first: bool, slices: int) -> DataFrame:
-    """The slices of each bracket that hold its wanted ranks, as the next brackets."""
-    counts = (
-        _rows_in(values, brackets)
-        .groupBy("bracket", _slice("flo", "fhi", first, slices).alias("slice"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("new_lo"), F.max("x").alias("new_hi"))
-    )
-    upto = F.sum("rows").over(Window.partitionBy("bracket").orderBy("slice")).alias("upto")
-    counts = counts.select("*", upto)
-    ranks_here = F.filter(
-        "ranks",
-        lambda r: (r >= F.col("below") + F.col("upto") - F.col("rows_new")) & (r < F.col("below") + F.col("upto")),
-    )
-    joined = (
-        counts.withColumnRenamed("rows", "rows_new")
-        .join(brackets, "bracket")
-        .withColumn("ranks", ranks_here)
-        .where(F.size("ranks") > 0)
-    )
-    return joined.select(
-        *by,
-        "col",
-        "n",
-        F.col("new_lo").alias("lo"),
-        F.col("new_hi").alias("hi"),
-        F.col("new_lo").alias("flo"),
-        F.col("new_hi").alias("fhi"),
-        (F.col("below") + F.col("upto") - F.col("rows_new")).alias("below"),
-        F.col("rows_new").alias("rows"),
-        "ranks",
-        F.monotonically_increasing_id().alias("bracket"),
-    )
-
-
-def _ranked(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    """The value of every wanted rank, for brackets of at most `window_rows` rows."""
-    counts = _rows_in(values, brackets).groupBy("bracket", "x").agg(F.count(F.lit(1)).alias("rows_new"))
-    upto = F.sum("rows_new").over(Window.partitionBy("bracket").orderBy("x")).alias("upto")
-    counts = counts.select("*", upto)
-    hit = (F.col("rank") < F.col("below") + F.col("upto")) & (
-        F.col("rank") >= F.col("below") + F.col("upto") - F.col("rows_new")
-    )
-    wanted = brackets.select(*by, "col", "bracket", "below", F.explode("ranks").alias("rank"))
-    return counts.join(wanted, "bracket").where(hit).select(*by, "col", "rank", "x")
-
-
 def describe_by(
     df: DataFrame,
     by: Sequence[str],
@@ -141,7 +52,7 @@ def describe_by(
     slices: int = SLICES,
     stored: bool = False,
 ) -> DataFrame:
-    """Statistics of columns per group, one row per group, all groups of a missing key included.
+    """Statistics of columns per group, one row per group, the group of a missing key included.
 
     `measures` maps a column to statistics: "mean", "median", "sd", "var", "min", "max", "sum", "n"
     or a probability for a quantile with linear interpolation between order statistics. Results are named
@@ -149,37 +60,47 @@ def describe_by(
     too unless `finite_only` is off. `count` names a column for the number of rows. With `stored` the
     input is a plain scan and is not written again.
     """
-    by, cols = list(by), list(measures)
-    narrow = df.select(*dict.fromkeys([*by, *cols]))
-    source = narrow if stored else store(narrow)
-    numbers = {c: _number(c, finite_only) for c in cols}
-
-    aggs: list[Column] = []
+    cols = list(measures)
+    by = {f"__k{i}": quoted(k) for i, k in enumerate(by)}  # keys of any name
+    probs = {
+        i: {stat_name(s, c): _probability(s) for s in measures[c] if s not in MOMENTS} for i, c in enumerate(cols)
+    }
+    ranked = any(probs.values())
+    valid = finite_sql if finite_only else valid_sql
+    numbers = [f"{valid(c)} AS __v{i}" for i, c in enumerate(cols)]
+    source = df.selectExpr(*[f"{k} AS {name}" for name, k in by.items()], *numbers)
+    if ranked and not stored:
+        source = store(source)
+
+    keys = list(by) or ["__all"]
+    aggs = [] if by else ["0 AS __all"]
     for i, c in enumerate(cols):
-        x = numbers[c]
-        aggs += [F.count(x).alias(f"n_{i}"), F.min(x).alias(f"lo_{i}"), F.max(x).alias(f"hi_{i}")]
-        if not finite_only:
-            aggs += [F.min(finite(x)).alias(f"flo_{i}"), F.max(finite(x)).alias(f"fhi_{i}")]
-        aggs += [MOMENTS[s](x).alias(f"{s}_{i}_m") for s in measures[c] if s in MOMENTS]
-    extra = [count] if count else []
-    aggs += [F.count(F.lit(1)).alias(name) for name in extra]
-    # Without groups there is one row; a constant key names it.
-    keys = by or ["__all"]
-    base = source.groupBy(*by).agg(*aggs) if by else source.agg(F.lit(0).alias("__all"), *aggs)
-
-    probs = {i: {stat_name(s, c): _probability(s) for s in measures[c] if s not in MOMENTS} for i, c in enumerate(cols)}
-    out = [F.col(f"{s}_{i}_m").alias(f"{s}_{c}") for i, c in enumerate(cols) for s in measures[c] if s in MOMENTS]
-    order = [stat_name(s, c) for c in cols for s in measures[c]]
-    if not any(probs.values()):
-        return base.select(*by, *out, *extra).select(*by, *order, *extra)
-
-    base = store(base)
-    positions = _order_statistics(source, base, by, keys, numbers, probs, finite_only, window_rows, slices)
-    both = join_groups(base, positions, keys, "left")
-    for i in probs:
-        for name, p in probs[i].items():
-            out.append(_interpolate(i, p).alias(name))
-    return both.select(*by, *out, *extra).select(*by, *order, *extra)
+        if probs[i]:
+            aggs += [f"count(__v{i}) AS n_{i}", f"min(__v{i}) AS lo_{i}", f"max(__v{i}) AS hi_{i}"]
+            if not finite_only:
+                real = f"CASE WHEN abs(__v{i}) < {INF} THEN __v{i} END"
+                aggs += [f"min({real}) AS flo_{i}", f"max({real}) AS fhi_{i}"]
+        aggs += [f"{MOMENTS[s]}(__v{i}) AS {quoted(stat_name(s, c))}" for s in measures[c] if s in MOMENTS]
+    if count:
+        aggs.append(f"count(1) AS {quoted(count)}")
+    base = source.groupBy(*by).agg(*map(F.expr, aggs))
+    names = [f"{name} AS {k}" for name, k in by.items()]
+    order = [quoted(stat_name(s, c)) for c in cols for s in measures[c]]
+    order += [quoted(count)] if count else []
+    if not ranked:
+        return base.selectExpr(*names, *order)
+
+    # The size of the largest group comes with the write: no further job to decide on narrowing passes.
+    sizes = Observation()
+    most = ", ".join(f"n_{i}" for i in probs if probs[i])
+    base = store(base.observe(sizes, F.expr(f"max(array_max(array({most}))) AS most")))
+    narrow = (sizes.get["most"] or 0) > window_rows
+    positions = _order_statistics(
+        source, base, list(by), keys, probs, finite_only, window_rows if narrow else None, slices
+    )
+    both = join_groups(positions, base, keys)
+    named = {quoted(name): _interpolated(i, p) for i in probs for name, p in probs[i].items()}
+    return both.selectExpr(*names, *[f"{named[c]} AS {c}" if c in named else c for c in order])
 
 
 def stat_name(stat: str | float, col: str) -> str:
@@ -196,76 +117,108 @@ def _probability(stat: str | float) -> float:
     return float(stat)
 
 
-def _position(i: int, p: float) -> Column:
-    return (F.col(f"n_{i}") - 1) * F.lit(p)
+def _position(i: int, p: float) -> str:
+    return f"((n_{i} - 1) * double('{p!r}'))"
 
 
-def _interpolate(i: int, p: float) -> Column:
+def _interpolated(i: int, p: float) -> str:
     """Value at position (n - 1) p between the two neighbouring order statistics."""
     h = _position(i, p)
-    low = F.try_element_at(F.col(f"at_{i}"), F.floor(h))
-    high = F.try_element_at(F.col(f"at_{i}"), F.ceil(h))
-    return F.when(low == high, low).otherwise(low + (h - F.floor(h)) * (high - low))
+    low, high = f"try_element_at(at_{i}, floor({h}))", f"try_element_at(at_{i}, ceil({h}))"
+    return f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({h} - floor({h})) * ({high} - {low}) END"
 
 
-def _order_statistics(source, base, by, keys, numbers, probs, finite_only, window_rows, slices) -> DataFrame:
+def _order_statistics(source, base, by, keys, probs, finite_only, window_rows, slices) -> DataFrame:
     """Per group, one map rank -> value for each column with wanted quantiles: `at_0`, `at_1`, ..."""
     used = [i for i in probs if probs[i]]
-    cols = list(numbers)
     pieces = []
     for i in used:
-        ranks = [f(_position(i, p)) for p in set(probs[i].values()) for f in (F.floor, F.ceil)]
+        ranks = [f"{f}({_position(i, p)})" for p in sorted(set(probs[i].values())) for f in ("floor", "ceil")]
         flo, fhi = (f"lo_{i}", f"hi_{i}") if finite_only else (f"flo_{i}", f"fhi_{i}")
         pieces.append(
-            F.struct(
-                F.lit(i).alias("col"),
-                F.col(f"n_{i}").alias("n"),
-                F.col(f"lo_{i}").alias("lo"),
-                F.col(f"hi_{i}").alias("hi"),
-                F.col(flo).alias("flo"),
-                F.col(fhi).alias("fhi"),
-                F.lit(0).cast("long").alias("below"),
-                F.col(f"n_{i}").alias("rows"),
-                F.array_distinct(F.array(*ranks)).alias("ranks"),
-            )
+            f"named_struct('col', {i}, 'lo', lo_{i}, 'hi', hi_{i}, 'flo', {flo}, 'fhi', {fhi}, 'below', 0L, "
+            f"'rows', n_{i}, 'ranks', array_distinct(array({', '.join(ranks)})))"
         )
-    brackets = store(
-        base.select(*keys, F.inline(F.array(*pieces)))
-        .where("n > 0")
-        .withColumn("bracket", F.monotonically_increasing_id())
+    brackets = base.selectExpr(*keys, f"inline(array({', '.join(pieces)}))").selectExpr(
+        "*", "monotonically_increasing_id() AS bracket"
+    )
+    items = ", ".join(f"named_struct('col', {i}, 'x', __v{i})" for i in used)
+    values = source.selectExpr(*by, f"inline(array({items}))").where("x IS NOT NULL")
+
+    is_open = f"rows > {window_rows} AND lo < hi"
+    closed: list[DataFrame] = []
+    passes = 0
+    while window_rows is not None and not brackets.where(is_open).isEmpty():
+        closed.append(brackets.where(f"NOT ({is_open})"))
+        brackets = store(_narrow(values, brackets.where(is_open), keys, passes == 0, slices))
+        passes += 1
+        if passes > MAX_PASSES:
+            raise RuntimeError("quantile brackets did not narrow")
+    if closed:
+        # Brackets of different passes get new numbers.
+        parts = reduce(DataFrame.unionByName, [*closed, brackets]).drop("bracket")
+        brackets = store(parts.selectExpr("*", "monotonically_increasing_id() AS bracket"))
+
+    # A bracket of a single value needs no further scan. Each group is kept, also one without values.
+    settled = brackets.where("lo = hi OR rows = 0").selectExpr(
+        *keys, "col", "explode(CASE WHEN rows > 0 THEN ranks ELSE array(-1L) END) AS rank", "lo AS x"
     )
-    values = source.select(
-        *by, F.inline(F.array(*[F.struct(F.lit(i).alias("col"), numbers[cols[i]].alias("x")) for i in used]))
-    ).where(F.col("x").isNotNull())
-
-    is_open = (F.col("rows") > window_rows) & (F.col("lo") < F.col("hi"))
-    settled = []
-    first = True
-    for _ in range(MAX_PASSES):
-        if brackets.where(is_open).isEmpty():
-            break
-        settled.append(brackets.where(~is_open))
-        brackets = store(_narrow(values, brackets.where(is_open), keys, first, slices))
-        first = False
-    else:
-        raise RuntimeError("quantile brackets did not narrow")
-    settled.append(brackets)
-
-    # Brackets of one value need no further scan; the others are ranked.
-    done = reduce(lambda a, b: a.unionByName(b), settled)
-    same = done.where("lo = hi").select(*keys, "col", F.explode("ranks").alias("rank"), F.col("lo").alias("x"))
-    rest = done.where("lo < hi")
-    if len(settled) > 1:
-        # Bracket numbers of different passes overlap.
-        rest = store(rest.withColumn("bracket", F.monotonically_increasing_id()))
-    found = same.unionByName(_ranked(values, rest, keys))
-    per_col = [
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("col") == i, F.struct("rank", "x")))
-        ).alias(f"at_{i}")
+    found = settled.unionByName(_ranked(values, brackets.where("lo < hi"), keys))
+    maps = [
+        f"map_from_entries(collect_list(CASE WHEN col = {i} THEN named_struct('rank', rank, 'x', x) END)) AS at_{i}"
         for i in used
     ]
-    return found.groupBy(*keys).agg(*per_col)
+    return found.groupBy(*keys).agg(*map(F.expr, maps))
+
+
+def _rows_in(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    """(bracket, x) for the rows inside a bracket."""
+    conds = [values[k].eqNullSafe(brackets[k]) for k in values.columns if k not in ("x", "col")]
+    conds += [values["col"] == brackets["col"], values["x"].between(brackets["lo"], brackets["hi"])]
+    return values.join(brackets, reduce(and_, conds)).select("bracket", "x", "flo", "fhi")
+
+
+def _slice(first: bool, slices: int) -> str:
+    """Slice number of x within its bracket; infinities get slices of their own.
+
+    The first pass evens out long tails by slicing the signed logarithm.
+    """
+    x, lo, hi = (f"(signum({c}) * log1p(abs({c})))" if first else c for c in ("x", "flo", "fhi"))
+    part = f"floor(coalesce(try_divide({x} - {lo}, {hi} - {lo}), 0) * {slices})"
+    return f"CASE WHEN x = {INF} THEN {slices}L WHEN x = -{INF} THEN -1L ELSE least({slices - 1}L, {part}) END AS slice"
+
+
+def _narrow(values: DataFrame, brackets: DataFrame, keys: list[str], first: bool, slices: int) -> DataFrame:
+    """The slices of each bracket that hold its wanted ranks, as the next brackets."""
+    counts = (
+        _rows_in(values, brackets)
+        .selectExpr("bracket", "x", _slice(first, slices))
+        .groupBy("bracket", "slice")
+        .agg(F.expr("count(1) AS in_slice"), F.expr("min(x) AS new_lo"), F.expr("max(x) AS new_hi"))
+        .selectExpr("*", "sum(in_slice) OVER (PARTITION BY bracket ORDER BY slice) - in_slice AS before")
+    )
+    return (
+        counts.join(brackets, "bracket")
+        .selectExpr(
+            *keys, "col", "new_lo AS lo", "new_hi AS hi", "new_lo AS flo", "new_hi AS fhi",
+            "below + before AS below", "in_slice AS rows",
+            "filter(ranks, r -> r >= below + before AND r < below + before + in_slice) AS ranks",
+        )
+        .where("size(ranks) > 0")
+        .selectExpr("*", "monotonically_increasing_id() AS bracket")
+    )
+
+
+def _ranked(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """The value of every wanted rank, for brackets of at most `window_rows` rows."""
+    counts = (
+        _rows_in(values, brackets)
+        .groupBy("bracket", "x")
+        .agg(F.expr("count(1) AS equal"))
+        .selectExpr("*", "sum(equal) OVER (PARTITION BY bracket ORDER BY x) - equal AS before")
+    )
+    hits = "filter(ranks, r -> r >= below + before AND r < below + before + equal)"
+    return counts.join(brackets, "bracket").selectExpr(*keys, "col", f"explode({hits}) AS rank", "x")
 
 
 def quantile_values(df: DataFrame, probs: Mapping[str, Sequence[float]], **options) -> dict[tuple[str, float], float]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hearthstat.functions.expr import level_index
+from hearthstat.functions.expr import level_index, quoted
 from hearthstat.operators.summary import level_grid, one_row
 
 
@@ -48,14 +48,13 @@ def attach_weights(df: DataFrame, weights: DataFrame, keys: Sequence[str], repli
     conds = [df[k].eqNullSafe(once[n]) for k, n in names.items()]
     joined = df.join(once, conds, "left")
     # The check sits inside each weight, so that it runs wherever a weight is used.
-    problem = F.when(F.col("__rows").isNull(), "household without replicate weights").when(
-        F.col("__rows") > 1, "household with several rows of replicate weights"
-    )
     checked = [
-        F.when(problem.isNull(), F.col(r)).otherwise(F.raise_error(problem).cast("double")).alias(r)
+        f"CASE WHEN __rows = 1 THEN {quoted(r)} WHEN __rows > 1 "
+        "THEN double(raise_error('household with several rows of replicate weights')) "
+        f"ELSE double(raise_error('household without replicate weights')) END AS {quoted(r)}"
         for r in replicates
     ]
-    return joined.select(*df.columns, *checked)
+    return joined.selectExpr(*map(quoted, df.columns), *checked)
 
 
 def weighted_table(df: DataFrame, levels: Mapping[str, Sequence], design: Design, name: str = "weighted_count") -> DataFrame:

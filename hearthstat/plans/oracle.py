@@ -32,8 +32,8 @@ def _case(column: str, names: dict, default: str = "NULL") -> str:
 
 
 def _r(expr: str, digits: int, name: str) -> str:
-    # Adding 0 turns a rounded -0 into 0.
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    # A hundredth of the last digit keeps exact decimal halves from falling either way; adding 0 turns -0 into 0.
+    return f"round({expr} + 1e-{digits + 2}::DOUBLE, {digits}) + 0.0 AS {name}"
 
 
 def _grid(levels: dict[str, list[str]]) -> str:
@@ -172,7 +172,7 @@ def _summary(source: str, by: list[str], measures: dict, count: bool = True, dig
 
 _MMS = ["mean", "median", "sd"]
 ORACLE_SQL["change_summary"] = _summary(
-    KNOWN, ["sa0100"], {"change_ratio": _MMS, "change_absolute": _MMS}, digits={"mean_change_ratio": 8}
+    KNOWN, ["sa0100"], {"change_ratio": _MMS, "change_absolute": _MMS}
 )
 _WEALTH = [*_MMS, "var", 0.1, 0.25, 0.5, 0.75, 0.9]
 ORACLE_SQL["wealth_summary"] = _summary(KNOWN, ["sa0100"], {"netliquidassets": _WEALTH, "networth": _WEALTH})
@@ -235,19 +235,19 @@ ORACLE_SQL["six_number_summary"] = f"WITH {INCOME} " + " UNION ALL ".join(
     for c in ("income", "income_psid", "total_gross_income", "di2000")
 )
 ORACLE_SQL["value_ranges"] = f"""WITH {KNOWN}
-  SELECT sa0100, min(hb0700) AS lowest, max(hb0700) AS highest FROM known GROUP BY sa0100"""
+  SELECT sa0100, min(hb0700)::INTEGER AS lowest, max(hb0700)::INTEGER AS highest FROM known GROUP BY sa0100"""
 ORACLE_SQL["crosstab_counts"] = f"""WITH {CHANGES},
   lv AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(CHANGE_LEVELS, 1))}) t(change_category, o)
     UNION ALL SELECT NULL, 6 WHERE EXISTS (SELECT 1 FROM changes WHERE change_category IS NULL)),
   co AS (SELECT * FROM (VALUES ('AT', 1), ('DE', 2)) t(sa0100, p)),
   c AS (SELECT sa0100, change_category, count(*) AS n FROM changes GROUP BY ALL)
-  SELECT co.sa0100, lv.change_category, coalesce(c.n, 0) AS n, p AS order_sa0100, o AS order_change_category
+  SELECT co.sa0100, lv.change_category, coalesce(c.n, 0) AS n, p::BIGINT AS order_sa0100, o::BIGINT AS order_change_category
   FROM co CROSS JOIN lv LEFT JOIN c ON c.sa0100 = co.sa0100 AND c.change_category IS NOT DISTINCT FROM lv.change_category"""
 ORACLE_SQL["acquisition_counts"] = f"""WITH {KNOWN},
   lv AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(YEAR_LEVELS, 1))}) t(period, o)
     UNION ALL SELECT NULL, 6 WHERE EXISTS (SELECT 1 FROM known WHERE hb0700 IS NULL)),
   c AS (SELECT year_acquisition_category AS period, count(*) AS n FROM known GROUP BY ALL)
-  SELECT lv.period, coalesce(c.n, 0) AS n, o AS order_period
+  SELECT lv.period, coalesce(c.n, 0) AS n, o::BIGINT AS order_period
   FROM lv LEFT JOIN c ON c.period IS NOT DISTINCT FROM lv.period"""
 
 # ---- preparation ---------------------------------------------------------------------------------------
@@ -262,7 +262,7 @@ ORACLE_SQL["attach_reference_person"] = """WITH k AS (
   h AS (SELECT * FROM k WHERE o_orderstatus <> 'P'),
   p AS (SELECT * FROM lineitem WHERE l_linenumber = 1)
   SELECT k.o_orderkey AS "ID", 1 + k.o_orderkey % 5 AS "IM0100", k.hh AS "SA0010", k.o_totalprice AS "DN3001",
-    year(h.o_orderdate) AS "HB0700", l_orderkey * 10 + l_linenumber AS "PERSON_ID", l_quantity AS "PA0200"
+    year(h.o_orderdate)::INTEGER AS "HB0700", l_orderkey * 10 + l_linenumber AS "PERSON_ID", l_quantity AS "PA0200"
   FROM k LEFT JOIN h ON k.o_orderkey = h.o_orderkey AND k.hh IS NOT DISTINCT FROM h.hh AND k.w IS NOT DISTINCT FROM h.w
     LEFT JOIN p ON k.o_orderkey = l_orderkey"""
 ORACLE_SQL["income_aggregates"] = f"""WITH {INCOME} SELECT id, person_no,
@@ -340,7 +340,7 @@ IN_SCOPE = "(scope = 'ALL' OR scope = sa0100)"
 
 def _pair_rows() -> str:
     return " UNION ALL ".join(
-        f"""SELECT scope, '{p}' AS pair, count(*) AS rows, regr_count({y}, {x}) AS n,
+        f"""SELECT scope, '{p}' AS pair, count(*) AS rows, regr_count({y}, {x})::BIGINT AS n,
       regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy
       FROM known JOIN scopes ON {IN_SCOPE} GROUP BY scope"""
         for p, (x, y) in PAIRS.items()
@@ -350,7 +350,7 @@ def _pair_rows() -> str:
 ORACLE_SQL["corr_panel"] = f"""WITH {KNOWN}, {SCOPES}, m AS ({_pair_rows()})
   SELECT scope, pair, n, rows - n AS n_dropped,
     CASE WHEN pair IN ({_text(STRICT)}) AND scope = 'ALL' AND rows > n THEN NULL
-      ELSE round(sxy / nullif(sqrt(sxx * syy), 0), 9) + 0.0 END AS r FROM m"""
+      ELSE round(sxy / nullif(sqrt(sxx * syy), 0) + 1e-11::DOUBLE, 9) + 0.0 END AS r FROM m"""
 # Two-sided t tail by the continued fraction of the incomplete beta function I_x(df/2, 1/2); where the
 # fraction converges slowly the complement I_{1-x}(1/2, df/2) is taken.
 _TAIL = """b AS (SELECT *, df / (df + t * t) AS x0 FROM tests),
@@ -370,12 +370,12 @@ ORACLE_SQL["corr_test_panel"] = f"""WITH RECURSIVE {KNOWN}, {SCOPES}, m AS ({_pa
   SELECT scope, pair, n, {_r("r", 9, "r")}, df, {_r("t", 6, "t")},
     {_r("tanh(atanh(r) - 1.959963984540054::DOUBLE / sqrt(n - 3))", 9, "ci_low")},
     {_r("tanh(atanh(r) + 1.959963984540054::DOUBLE / sqrt(n - 3))", 9, "ci_high")},
-    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 9, "p")} FROM g"""
+    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 7, "p")} FROM g"""
 
 
 def _simple_fits(source: str, table: str, models: dict[str, tuple[str, str]]) -> str:
     rows = " UNION ALL ".join(
-        f"""SELECT scope, '{name}' AS pair, regr_count({y}, {x}) AS n, regr_avgx({y}, {x}) AS mx, regr_avgy({y}, {x}) AS my,
+        f"""SELECT scope, '{name}' AS pair, regr_count({y}, {x})::BIGINT AS n, regr_avgx({y}, {x}) AS mx, regr_avgy({y}, {x}) AS my,
       regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy,
       regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, regr_r2({y}, {x}) AS r2,
       min(CASE WHEN {y} IS NOT NULL THEN {x} END) AS min_x, max(CASE WHEN {y} IS NOT NULL THEN {x} END) AS max_x
@@ -392,7 +392,7 @@ ORACLE_SQL["ols_simple"] = f"""WITH RECURSIVE {_simple_fits(TRIMMED, "trimmed",
   SELECT scope, pair AS model, n, df, {_r("intercept", 4, "intercept")}, {_r("slope", 8, "slope")},
     {_r("sigma * sqrt(1.0::DOUBLE / n + mx * mx / sxx)", 4, "se_intercept")}, {_r("sigma / sqrt(sxx)", 8, "se_slope")},
     {_r("intercept / (sigma * sqrt(1.0::DOUBLE / n + mx * mx / sxx))", 8, "t_intercept")}, {_r("t", 8, "t_slope")},
-    {_r("sigma", 4, "sigma")}, {_r("r2", 8, "r2")}, {_r("CASE WHEN direct THEN area ELSE 1 - area END", 8, "p_slope")}
+    {_r("sigma", 4, "sigma")}, {_r("r2", 8, "r2")}, {_r("CASE WHEN direct THEN area ELSE 1 - area END", 7, "p_slope")}
   FROM g"""
 # 0.975 quantile of t by its expansion in 1/df around the normal quantile.
 _Z = 1.959963984540054
@@ -477,8 +477,8 @@ def _coef_table(source: str, y: str, xs: list[str], table: str = "fam2") -> str:
   tests0 AS MATERIALIZED (SELECT scope, term AS pair, n, df::DOUBLE AS df, b / se AS t, b, se, sigma, r2, f FROM stats),
   tests AS (SELECT * FROM tests0), {_TAIL}
   SELECT scope, pair AS term, {_r("b", 7, "estimate")}, {_r("se", 7, "std_error")}, {_r("t", 6, "t")},
-    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 9, "p")}, n, df::BIGINT AS df, {_r("sigma", 4, "sigma")},
-    {_r("r2", 9, "r2")}, {_r(f"1 - (1 - r2) * (n - 1) / df", 9, "adj_r2")}, {_r("f", 6, "f")} FROM g"""
+    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 7, "p")}, n, df::BIGINT AS df, {_r("sigma", 4, "sigma")},
+    {_r("r2", 9, "r2")}, {_r("1 - (1 - r2) * (n - 1) / df", 9, "adj_r2")}, {_r("f", 3, "f")} FROM g"""
 
 
 FAMILY2 = f"{FAMILY}, fam2 AS (SELECT *, {_FAMSTRUCT} AS famstruct FROM fam)"
@@ -550,9 +550,9 @@ def _kde(column: str, digits: int) -> str:
   s AS (SELECT sa0100, count(*) AS n, min(x) AS x0, (max(x) - min(x)) / 1024 AS width, (max(x) - min(x)) / 511 AS step,
       0.9::DOUBLE * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34::DOUBLE)
         * pow(count(*), -0.2::DOUBLE) AS h FROM v GROUP BY sa0100),
-  p AS (SELECT sa0100, (x - x0) / width AS at, least(floor((x - x0) / width), 1023) AS cell FROM v JOIN s USING (sa0100)),
-  c AS (SELECT sa0100, cell AS node, sum(1 - (at - cell)) AS mass FROM p GROUP BY ALL
-    UNION ALL SELECT sa0100, cell + 1, sum(at - cell) FROM p GROUP BY ALL),
+  p AS (SELECT sa0100, (x - x0) / width AS pos, least(floor((x - x0) / width), 1023) AS cell FROM v JOIN s USING (sa0100)),
+  c AS (SELECT sa0100, cell AS node, sum(1 - (pos - cell)) AS mass FROM p GROUP BY ALL
+    UNION ALL SELECT sa0100, cell + 1, sum(pos - cell) FROM p GROUP BY ALL),
   k AS (SELECT sa0100, node, sum(mass) AS mass FROM c GROUP BY ALL),
   g AS (SELECT *, unnest(range(0, 512)) AS point FROM s)
   SELECT sa0100, point::INTEGER AS point, {_r("any_value(x0 + point * step)", 5, "x")}, {_r("any_value(h)", 6, "bandwidth")},

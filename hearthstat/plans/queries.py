@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthstat.functions.expr import cut, first_match, ratio, recode
+from hearthstat.functions.expr import cut, first_match, quoted, ratio, recode
 from hearthstat.operators import layers, models, prep, summary, survey
 from hearthstat.operators.quantiles import describe_by
 from hearthstat.plans import variables as v
@@ -29,19 +29,22 @@ def register(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int | Mapping[str, int], default: int | None = None) -> DataFrame:
-    """Round the double columns, all to `digits` or by a map of name prefixes."""
+    """Round the double columns, all to `digits` or by a map of name prefixes.
+
+    A hundredth of the last digit is added first: exact decimal halves, such as means of prices, then
+    round the same way whatever the last bit of the sum.
+    """
 
     def places(name: str) -> int | None:
         if isinstance(digits, int):
             return digits
-        hits = [d for prefix, d in digits.items() if name.startswith(prefix)]
-        return hits[0] if hits else default
+        return next((d for prefix, d in digits.items() if name.startswith(prefix)), default)
 
     out = []
     for name, kind in df.dtypes:
         d = places(name) if kind == "double" else None
-        out.append(F.col(name) if d is None else F.round(name, d).alias(name))
-    return df.select(*out)
+        out.append(quoted(name) if d is None else f"round({quoted(name)} + 1e-{d + 2}D, {d}) AS {quoted(name)}")
+    return df.selectExpr(*out)
 
 
 # Quantiles are order statistics and agree to the last digits; moments carry summation noise.
@@ -94,7 +97,7 @@ def replicate_variance_share(spark, sf_dir):
     names = replicate_names()
     df = v.with_changes(house(spark, sf_dir, ["id", *CHANGE, "im0100", "hw0010"]))
     df = survey.attach_weights(df, replicate_weights(spark, sf_dir), ["id"], names)
-    df = df.withColumns({n: F.col("hw0010") * F.col(n) / 2 for n in names})
+    df = df.selectExpr("change_category", "sa0100", "im0100", "hw0010", *[f"hw0010 * {n} / 2 AS {n}" for n in names])
     design = survey.Design(weight="hw0010", implicate="im0100", replicates=tuple(names))
     levels = {"change_category": v.CHANGE_LEVELS, "sa0100": COUNTRIES}
     out = survey.replicate_variance(df, levels, design, ["sa0100"])
@@ -110,7 +113,7 @@ def change_summary(spark, sf_dir):
     df = known_change(spark, sf_dir, [])
     return rounded(
         describe_by(df, ["sa0100"], {"change_ratio": stats, "change_absolute": stats}, count="n"),
-        {**STAT_DIGITS, "mean_change_ratio": 8},
+        STAT_DIGITS,
     )
 
 
@@ -449,11 +452,11 @@ def corr_panel(spark, sf_dir):
 def corr_test_panel(spark, sf_dir):
     """Tests of the same correlations."""
     out = models.corr_test(_pair_data(spark, sf_dir), "sa0100", PAIRS)
-    return rounded(out, {"t": 6}, default=9)
+    return rounded(out, {"t": 6, "p": 7}, default=9)
 
 
 WEALTH_MODELS = {"netliquidassets": ("netliquidassets", "change_absolute"), "networth": ("networth", "change_absolute")}
-FIT_DIGITS = {"intercept": 4, "se_intercept": 4, "sigma": 4}
+FIT_DIGITS = {"intercept": 4, "se_intercept": 4, "sigma": 4, "p_": 7}
 
 
 @register
@@ -490,7 +493,8 @@ def _model_data(spark, sf_dir):
 
 
 def _coefs(df):
-    return rounded(df, {"estimate": 7, "std_error": 7, "sigma": 4, "t": 6, "f": 6}, default=9)
+    digits = {"estimate": 7, "std_error": 7, "sigma": 4, "t": 6, "f": 3, "p": 7}
+    return rounded(df.drop("f_p"), digits, default=9)
 
 
 @register
@@ -527,14 +531,14 @@ def ols_residuals(spark, sf_dir):
 def iv_consumption_price(spark, sf_dir):
     """Consumption per head on the current value, with the acquisition value as instrument."""
     df = v.with_consumption(known_change(spark, sf_dir, ["docogood", "dofoodc", "hi0210", "dh0001"]))
-    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["hb0900"], ["hb0800"]), 6)
+    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["hb0900"], ["hb0800"]).drop("f_p"), 6)
 
 
 @register
 def iv_consumption_share(spark, sf_dir):
     """Consumption per head on consumption, with its income share as instrument."""
     df = v.with_consumption(known_change(spark, sf_dir, ["docogood", "docogoodp", "dofoodc", "hi0210", "dh0001"]))
-    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["docogood"], ["docogoodp"]), 6)
+    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["docogood"], ["docogoodp"]).drop("f_p"), 6)
 
 
 # ---- chart data --------------------------------------------------------------------------------------

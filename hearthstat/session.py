@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # One hundred replicate sums stay in generated code.
     "spark.sql.codegen.maxFields": "400",
+    # No call-site capture for every column expression built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

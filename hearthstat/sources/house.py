@@ -10,13 +10,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from hearthstat.functions.expr import lookup
+from pyspark.sql import DataFrame, SparkSession
 
 COUNTRIES = ["AT", "DE"]
 REPLICATES = 100
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
 # Nation -> region code; the two X codes have no name in the region list.
 REGION_CODES = {
     "NATION_2": "AT11", "NATION_7": "AT12", "NATION_12": "AT13", "NATION_17": "AT21", "NATION_22": "ATXX",
@@ -24,75 +35,76 @@ REGION_CODES = {
 }
 
 
-def _null_every(k: int, key: str, value: Column) -> Column:
-    return F.when(F.col(key) % k != 0, value)
-
-
-def _columns() -> dict[str, Column]:
-    c = F.col
-    price, quantity, tax, discount = c("l_extendedprice"), c("l_quantity"), c("l_tax"), c("l_discount")
-    size = c("l_linenumber").cast("double")
-    return {
-        "id": c("l_orderkey"),
-        "person_no": c("l_linenumber"),
-        "im0100": 1 + c("l_suppkey") % 5,
-        "sa0100": F.when(c("r_name") == "ASIA", "AT").otherwise("DE"),
-        "dhregion": lookup("n_name", REGION_CODES),
-        "hw0010": quantity,
-        "hb0800": F.when(c("l_orderkey") % 97 == 0, F.lit(0.0)).when(
-            c("l_orderkey") % 13 != 0, c("p_retailprice") * 25
-        ),
-        "hb0900": _null_every(13, "l_orderkey", price),
-        "hb0700": _null_every(11, "l_orderkey", 1960 + 9 * (F.year("o_orderdate") - 1995)),
-        "hb0100": _null_every(31, "l_partkey", c("p_size").cast("double")),
-        "netliquidassets": c("c_acctbal"),
-        "networth": c("o_totalprice"),
-        "dnnlaratio": F.try_divide(c("c_acctbal"), price),
-        "agerefperson": 18 + c("c_custkey") % 68,
-        "edurefperson": F.substring("o_orderpriority", 1, 1).cast("int"),
-        "dhgenderh1": 1 + c("c_custkey") % 2,
-        "age": _null_every(19, "l_partkey", 18 + c("l_partkey") % 70),
-        "ra0200": _null_every(29, "l_partkey", 1 + c("l_suppkey") % 2),
-        "pa0100": _null_every(23, "l_partkey", 1 + c("l_partkey") % 5),
-        "pa0200": _null_every(17, "l_partkey", c("l_suppkey") % 7),
-        "pe0100a": _null_every(37, "l_partkey", 1 + c("l_linenumber") % 3),
-        "dh0001": size,
-        "dh0006": _null_every(21, "l_partkey", size - (c("l_orderkey") % 4 - 1)),
-        "di1100": _null_every(3, "l_partkey", price * tax),
-        "di1200": _null_every(6, "l_partkey", price * tax * 0.5),
-        "di1300": _null_every(10, "l_partkey", quantity * tax * 100),
-        "di1400": _null_every(12, "l_partkey", c("c_acctbal") * 0.02),
-        "di1420": _null_every(2, "l_partkey", discount * 1000),
-        "di1500": _null_every(5, "l_partkey", price * 0.05),
-        "di1600": _null_every(4, "l_partkey", price * discount),
-        "di1700": _null_every(15, "l_partkey", quantity * 10),
-        "di2000": price * (1 + tax),
-        "da2101": _null_every(8, "l_partkey", c("c_acctbal") * 1.5 + quantity),
-        "docogood": price * (1 - discount),
-        "docogoodp": _null_every(41, "l_partkey", F.try_divide(price * (1 - discount), c("o_totalprice"))),
-        "dofoodc": price * tax * 0.25,
-        "hi0210": quantity * 30,
-    }
-
+def _unless(k: int, key: str, value: str) -> str:
+    """The value, missing where the key is a multiple of k."""
+    return f"CASE WHEN {key} % {k} <> 0 THEN {value} END"
+
+
+_CODES = ", ".join(f"'{n}', '{c}'" for n, c in REGION_CODES.items())
+
+COLUMNS = {
+    "id": "l_orderkey",
+    "person_no": "l_linenumber",
+    "im0100": "1 + l_suppkey % 5",
+    "sa0100": "CASE WHEN r_name = 'ASIA' THEN 'AT' ELSE 'DE' END",
+    "dhregion": f"map({_CODES})[n_name]",
+    "hw0010": "l_quantity",
+    "hb0800": f"CASE WHEN l_orderkey % 97 = 0 THEN 0D ELSE {_unless(13, 'l_orderkey', 'p_retailprice * 25')} END",
+    "hb0900": _unless(13, "l_orderkey", "l_extendedprice"),
+    "hb0700": _unless(11, "l_orderkey", "1960 + 9 * (year(o_orderdate) - 1995)"),
+    "hb0100": _unless(31, "l_partkey", "double(p_size)"),
+    "netliquidassets": "c_acctbal",
+    "networth": "o_totalprice",
+    "dnnlaratio": "try_divide(c_acctbal, l_extendedprice)",
+    "agerefperson": "18 + c_custkey % 68",
+    "edurefperson": "int(substring(o_orderpriority, 1, 1))",
+    "dhgenderh1": "1 + c_custkey % 2",
+    "age": _unless(19, "l_partkey", "18 + l_partkey % 70"),
+    "ra0200": _unless(29, "l_partkey", "1 + l_suppkey % 2"),
+    "pa0100": _unless(23, "l_partkey", "1 + l_partkey % 5"),
+    "pa0200": _unless(17, "l_partkey", "l_suppkey % 7"),
+    "pe0100a": _unless(37, "l_partkey", "1 + l_linenumber % 3"),
+    "dh0001": "double(l_linenumber)",
+    "dh0006": _unless(21, "l_partkey", "double(l_linenumber) - (l_orderkey % 4 - 1)"),
+    "di1100": _unless(3, "l_partkey", "l_extendedprice * l_tax"),
+    "di1200": _unless(6, "l_partkey", "l_extendedprice * l_tax * 0.5D"),
+    "di1300": _unless(10, "l_partkey", "l_quantity * l_tax * 100"),
+    "di1400": _unless(12, "l_partkey", "c_acctbal * 0.02D"),
+    "di1420": _unless(2, "l_partkey", "l_discount * 1000"),
+    "di1500": _unless(5, "l_partkey", "l_extendedprice * 0.05D"),
+    "di1600": _unless(4, "l_partkey", "l_extendedprice * l_discount"),
+    "di1700": _unless(15, "l_partkey", "l_quantity * 10"),
+    "di2000": "l_extendedprice * (1 + l_tax)",
+    "da2101": _unless(8, "l_partkey", "c_acctbal * 1.5D + l_quantity"),
+    "docogood": "l_extendedprice * (1 - l_discount)",
+    "docogoodp": _unless(41, "l_partkey", "try_divide(l_extendedprice * (1 - l_discount), o_totalprice)"),
+    "dofoodc": "l_extendedprice * l_tax * 0.25D",
+    "hi0210": "l_quantity * 30",
+}
 
 _PART_COLUMNS = {"hb0800", "hb0100"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def house(spark: SparkSession, sf_dir: str, cols: Sequence[str]) -> DataFrame:
     """The listed survey columns, one row per record of the two countries."""
-    region = table(spark, sf_dir, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))
-    nation = table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    rows = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def t(name: str) -> DataFrame:
+        return table(spark, sf_dir, name)
+
+    def join(left: DataFrame, right: DataFrame, key: str, ref: str) -> DataFrame:
+        return left.join(right, left[key] == right[ref])
+
+    nation = join(t("nation"), t("region").where("r_name IN ('ASIA', 'EUROPE')"), "n_regionkey", "r_regionkey")
+    customer = join(t("customer"), nation, "c_nationkey", "n_nationkey")
+    orders = join(t("orders"), customer, "o_custkey", "c_custkey")
+    rows = join(t("lineitem"), orders, "l_orderkey", "o_orderkey")
     if _PART_COLUMNS & set(cols):
-        rows = rows.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    exprs = _columns()
-    return rows.select(*[exprs[c].alias(c) for c in cols])
+        rows = join(rows, t("part"), "l_partkey", "p_partkey")
+    return rows.selectExpr(*[f"{COLUMNS[c]} AS {c}" for c in cols])
 
 
 def replicate_names() -> list[str]:
@@ -102,7 +114,6 @@ def replicate_names() -> list[str]:
 def replicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weight table: one row per household with its replicate factors."""
     factors = [
-        (1 + (F.col("o_orderkey") * r + F.col("o_custkey")) % 3).cast("double").alias(name)
-        for r, name in enumerate(replicate_names(), start=1)
+        f"double(1 + (o_orderkey * {r} + o_custkey) % 3) AS {name}" for r, name in enumerate(replicate_names(), start=1)
     ]
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *factors)
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", *factors)
