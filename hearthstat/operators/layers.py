@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthstat.functions.expr import finite
+from hearthstat.functions.expr import finite, finite_sql, quoted
 from hearthstat.operators.quantiles import describe_by, join_groups
 from hearthstat.sources.stored import store
 
@@ -21,14 +21,22 @@ def within_limits(df: DataFrame, col: str, low: float | None = None, high: float
     return df
 
 
-def box_stats(df: DataFrame, by: Sequence[str], value: str, coef: float = 1.5, **options) -> DataFrame:
+def _values(df: DataFrame, by: Sequence[str], value: str, stored: bool) -> DataFrame:
+    """The groups and finite values of a column; read several times, so stored unless it is a scan already."""
+    out = df.selectExpr(*map(quoted, by), f"{finite_sql(value)} AS __x").where("__x IS NOT NULL")
+    return out if stored else store(out)
+
+
+def box_stats(
+    df: DataFrame, by: Sequence[str], value: str, coef: float = 1.5, stored: bool = False, **options
+) -> DataFrame:
     """Hinges, whiskers and outlier count of a column per group.
 
     Hinges are quartiles. A whisker ends at the most extreme value within `coef` times the
     interquartile range of its hinge; values beyond are outliers. Infinite values are left out.
     """
     by = list(by)
-    source = store(df.select(*by, finite(value).alias("__x")).where(F.col("__x").isNotNull()))
+    source = _values(df, by, value, stored)
     hinges = store(
         describe_by(source, by, {"__x": [0.25, "median", 0.75]}, count="n", stored=True, **options).select(
             *by,
@@ -78,7 +86,13 @@ def bin2d(
 
 
 def kernel_density(
-    df: DataFrame, by: Sequence[str], value: str, points: int = 512, bins: int = 1024, **options
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    points: int = 512,
+    bins: int = 1024,
+    stored: bool = False,
+    **options,
 ) -> DataFrame:
     """Gaussian kernel density of a column per group, on an even grid over the group's range.
 
@@ -87,7 +101,7 @@ def kernel_density(
     with the rows. A group of one value has no density.
     """
     by = list(by)
-    source = store(df.select(*by, finite(value).alias("__x")).where(F.col("__x").isNotNull()))
+    source = _values(df, by, value, stored)
     stats = describe_by(source, by, {"__x": ["n", "sd", "min", "max", 0.25, 0.75]}, stored=True, **options)
     iqr = (F.col("p75___x") - F.col("p25___x")) / F.lit(1.34)
     spread = F.when(iqr > 0, F.least(F.col("sd___x"), iqr)).otherwise(F.col("sd___x"))

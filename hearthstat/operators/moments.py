@@ -22,12 +22,12 @@ def pair_moments(
     """Moments of named (x, y) pairs per group over the rows where both are present.
 
     Columns: the group, `pair`, `n`, `n_dropped`, `mean_x`, `mean_y`, `sxx`, `syy`, `sxy`, `min_x`, `max_x`.
-    Each row feeds its pairs to the aggregate one after the other; partial sums leave a task as one row per
-    group and pair.
+    Each row feeds its pairs to the aggregate one after the other, under a small number as the pair's key;
+    partial sums leave a task as one row per group and pair.
     """
     valid = finite_sql if finite_only else valid_sql
     items = ", ".join(
-        f"named_struct('pair', '{name}', 'x', {valid(x)}, 'y', {valid(y)})" for name, (x, y) in pairs.items()
+        f"named_struct('pair', {i}, 'x', {valid(x)}, 'y', {valid(y)})" for i, (x, y) in enumerate(pairs.values())
     )
     long = df.selectExpr(quoted(by), f"inline(array({items}))").selectExpr(
         quoted(by), "pair", "CASE WHEN y IS NOT NULL THEN x END AS x", "CASE WHEN x IS NOT NULL THEN y END AS y"
@@ -43,21 +43,27 @@ def pair_moments(
         "min(x) AS min_x",
         "max(x) AS max_x",
     ]
-    return long.groupBy(by, "pair").agg(*map(F.expr, aggs))
+    names = ", ".join(f"'{name}'" for name in pairs)
+    out = long.groupBy(by, "pair").agg(*map(F.expr, aggs))
+    return out.selectExpr(quoted(by), f"array({names})[pair] AS pair", *out.columns[2:])
 
 
 def listwise_moments(df: DataFrame, by: str, cols: Sequence[str], finite_only: bool = True) -> DataFrame:
     """Moments of every pair of columns over the rows where all columns are present.
 
-    The result has the columns of `pair_moments`, with `i` and `j` for the positions of the pair.
+    The pairs are named `i_j` by the positions of their columns. Incomplete rows are skipped inside the
+    aggregates: a filter on computed columns would be copied into the joins below it.
     """
     valid = finite_sql if finite_only else valid_sql
     k = range(len(cols))
     numbers = df.selectExpr(quoted(by), *[f"{valid(c)} AS v{i}" for i, c in enumerate(cols)])
-    complete = numbers.dropna("any", subset=[f"v{i}" for i in k])
+    complete = numbers.selectExpr("*", " AND ".join(f"v{i} IS NOT NULL" for i in k) + " AS ok")
     pairs = [(i, j) for i in k for j in k if i <= j]
-    aggs = ["count(1) AS n", *[f"avg(v{i}) AS m{i}" for i in k]]
-    aggs += [f"{f'var_pop(v{i})' if i == j else f'covar_pop(v{i}, v{j})'} * count(1) AS c_{i}_{j}" for i, j in pairs]
+    only = "FILTER (WHERE ok)"
+    aggs = [f"count(1) {only} AS n", *[f"avg(v{i}) {only} AS m{i}" for i in k]]
+    for i, j in pairs:
+        product = f"var_pop(v{i})" if i == j else f"covar_pop(v{i}, v{j})"
+        aggs.append(f"{product} {only} * count(1) {only} AS c_{i}_{j}")
     wide = complete.groupBy(by).agg(*map(F.expr, aggs))
     rows = ", ".join(
         f"named_struct('pair', '{i}_{j}', 'mean_x', m{i}, 'mean_y', m{j}, 'sxx', c_{i}_{i}, 'syy', c_{j}_{j}, "

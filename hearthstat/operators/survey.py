@@ -35,26 +35,22 @@ class Design:
 def attach_weights(df: DataFrame, weights: DataFrame, keys: Sequence[str], replicates: Sequence[str]) -> DataFrame:
     """Add the replicate weights of each household by key; missing weights count as 0.
 
-    The job fails if a household has no row in the weight table, or more than one.
+    Raises if the weight table has two rows for a household: a check on its keys alone. The job fails if a
+    household has no row there.
     """
     keys = list(keys)
+    if not weights.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("a household has several rows of replicate weights")
     names = {k: f"__w_{i}" for i, k in enumerate(keys)}
-    once = (
-        weights.select(*keys, *replicates)
-        .na.fill(0, subset=list(replicates))
-        .withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        .withColumnsRenamed(names)
+    right = weights.selectExpr(
+        *[f"{quoted(k)} AS {n}" for k, n in names.items()],
+        *[f"coalesce({quoted(r)}, 0D) AS {quoted(r)}" for r in replicates],
+        "true AS __found",
     )
-    conds = [df[k].eqNullSafe(once[n]) for k, n in names.items()]
-    joined = df.join(once, conds, "left")
-    # The check sits inside each weight, so that it runs wherever a weight is used.
-    checked = [
-        f"CASE WHEN __rows = 1 THEN {quoted(r)} WHEN __rows > 1 "
-        "THEN double(raise_error('household with several rows of replicate weights')) "
-        f"ELSE double(raise_error('household without replicate weights')) END AS {quoted(r)}"
-        for r in replicates
-    ]
-    return joined.selectExpr(*map(quoted, df.columns), *checked)
+    conds = [df[k].eqNullSafe(right[n]) for k, n in names.items()]
+    joined = df.join(right, conds, "left")
+    present = "CASE WHEN __found THEN true ELSE boolean(raise_error('household without replicate weights')) END"
+    return joined.where(present).drop("__found", *names.values())
 
 
 def weighted_table(df: DataFrame, levels: Mapping[str, Sequence], design: Design, name: str = "weighted_count") -> DataFrame:
@@ -131,13 +127,13 @@ def replicate_variance(
     keys = [design.implicate] if design.implicate else []
     sums = {"__0": design.weight, **{f"__{r + 1}": c for r, c in enumerate(design.replicates)}}
     cells = _cells(df, levels, keys, sums)
+    # (implicates x cells x replicates) rows from here on.
+    long = cells.select(*keys, *dims, F.posexplode(F.array(*sums)).alias("replicate", "total"))
     if keys:
-        cells = cells.withColumn("__m", F.size(F.collect_set(keys[0]).over(Window.partitionBy(F.lit(1)))))
-        cells = cells.groupBy(*dims).agg(*[(F.sum(s) / F.first("__m")).alias(s) for s in sums])
-    for d in dims:
-        cells = cells.where(F.col(d).isNotNull())
-    # (cells x replicates) rows from here on.
-    long = cells.select(*dims, F.posexplode(F.array(*sums)).alias("replicate", "total"))
+        implicates = F.size(F.collect_set(keys[0]).over(Window.partitionBy("replicate")))
+        long = long.withColumn("__m", implicates).groupBy(*dims, "replicate")
+        long = long.agg((F.sum("total") / F.first("__m")).alias("total"))
+    long = long.where(" AND ".join(f"{quoted(d)} IS NOT NULL" for d in dims))
     long = share(long, "total", [*within, "replicate"], "share")
     full = Window.partitionBy(*dims)
     at_full = {c: F.max(F.when(F.col("replicate") == 0, F.col(c))).over(full) for c in ("total", "share")}

@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CHANGE = ["sa0100", "hb0800", "hb0900"]
+CONSUMPTION = ["docogood", "dofoodc", "hi0210", "dh0001"]
 
 
 def register(fn: Query) -> Query:
@@ -55,6 +56,11 @@ def known_change(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame
     return v.with_known_change(house(spark, sf_dir, list(dict.fromkeys([*CHANGE, *cols]))))
 
 
+def stored_known_change(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
+    """The same, stored: for queries that read it several times."""
+    return store(known_change(spark, sf_dir, cols).drop("hb0800"))
+
+
 # ---- survey tables ---------------------------------------------------------------------------------
 
 DESIGN = survey.Design(weight="hw0010", implicate="im0100")
@@ -181,7 +187,7 @@ def extreme_profiles(spark, sf_dir):
 def behaviour_summary(spark, sf_dir):
     """Consumption and savings by significant increase and country."""
     stats = ["mean", "median", "sd"]
-    df = known_change(spark, sf_dir, ["docogood", "dofoodc", "hi0210", "dh0001", "da2101"])
+    df = known_change(spark, sf_dir, [*CONSUMPTION, "da2101"])
     df = v.with_consumption(df).withColumn("significant_increase", v.significant_increase())
     out = describe_by(df, ["significant_increase", "sa0100"], {"total_c": stats, "da2101": stats}, count="n")
     return rounded(out, STAT_DIGITS)
@@ -356,48 +362,47 @@ def asset_quintiles(spark, sf_dir):
     """Distribution of income within the quintiles of the residence value."""
     df = store(known_change(spark, sf_dir, ["di2000"]).select("hb0900", "di2000"))
     df = prep.quantile_class(df, "hb0900", v.QUINTILES, "quintile", stored=True)
-    return rounded(layers.box_stats(df, ["quintile"], "di2000"), 7)
+    return rounded(layers.box_stats(df, ["quintile"], "di2000", stored=True), 7)
 
 
 @register
 def consumption_measures(spark, sf_dir):
-    df = v.with_consumption(house(spark, sf_dir, ["id", "person_no", "docogood", "dofoodc", "hi0210", "dh0001"]))
+    df = v.with_consumption(house(spark, sf_dir, ["id", "person_no", *CONSUMPTION]))
     cols = ["log_consumption", "per_capita_consumption", "total_c"]
     return rounded(df.select("id", "person_no", *cols), 7)
 
 
-def _groups(spark, sf_dir, cols):
-    df = v.with_consumption(known_change(spark, sf_dir, ["docogood", "dofoodc", "hi0210", "dh0001", *cols]))
-    df = prep.tag_subsets(df, v.comparison_groups()).withColumns(
+def _groups(df):
+    """The six compared groups with their country and class, from a table with the price change."""
+    return prep.tag_subsets(v.with_consumption(df), v.comparison_groups()).withColumns(
         {
             "country": first_match("group", [("Austria", "Austria")], "Germany"),
             "change_class": first_match("group", [(c, c) for c in v.GROUP_CLASSES]),
         }
     )
-    return df
 
 
 @register
 def category_comparison(spark, sf_dir):
     """Records and mean consumption per head in the six compared groups."""
-    df = _groups(spark, sf_dir, [])
+    df = _groups(stored_known_change(spark, sf_dir, CONSUMPTION))
     out = df.groupBy("group", "country", "change_class").agg(
         F.count(F.lit(1)).alias("n"), F.avg("per_capita_consumption").alias("mean_consumption")
     )
     return rounded(out, 5)
 
 
-def _series(spark, sf_dir, cols):
-    df = _groups(spark, sf_dir, cols)
+def _series(df, ids):
     same = F.col("per_capita_consumption")
-    df = df.withColumns({"IV_model_1": same, "IV_model_2": same})
-    df = df.select(*cols, "country", "change_class", "IV_model_1", "IV_model_2")
+    df = _groups(df).withColumns({"IV_model_1": same, "IV_model_2": same})
+    df = df.select(*ids, "country", "change_class", "IV_model_1", "IV_model_2")
     return prep.to_long(df, ["IV_model_1", "IV_model_2"], "iv_model", "value")
 
 
 @register
 def unpivot_series(spark, sf_dir):
-    return rounded(_series(spark, sf_dir, ["id", "person_no"]), 7)
+    df = stored_known_change(spark, sf_dir, ["id", "person_no", *CONSUMPTION])
+    return rounded(_series(df, ["id", "person_no"]), 7)
 
 
 # ---- correlation and regression ----------------------------------------------------------------------
@@ -530,14 +535,14 @@ def ols_residuals(spark, sf_dir):
 @register
 def iv_consumption_price(spark, sf_dir):
     """Consumption per head on the current value, with the acquisition value as instrument."""
-    df = v.with_consumption(known_change(spark, sf_dir, ["docogood", "dofoodc", "hi0210", "dh0001"]))
+    df = v.with_consumption(known_change(spark, sf_dir, CONSUMPTION))
     return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["hb0900"], ["hb0800"]).drop("f_p"), 6)
 
 
 @register
 def iv_consumption_share(spark, sf_dir):
     """Consumption per head on consumption, with its income share as instrument."""
-    df = v.with_consumption(known_change(spark, sf_dir, ["docogood", "docogoodp", "dofoodc", "hi0210", "dh0001"]))
+    df = v.with_consumption(known_change(spark, sf_dir, ["docogoodp", *CONSUMPTION]))
     return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["docogood"], ["docogoodp"]).drop("f_p"), 6)
 
 
@@ -560,7 +565,7 @@ def box_stats_by_age(spark, sf_dir):
 @register
 def box_stats_behaviour(spark, sf_dir):
     """Consumption and savings by significant increase and country; savings within the axis limits."""
-    df = known_change(spark, sf_dir, ["di2000", "netliquidassets"])
+    df = stored_known_change(spark, sf_dir, ["di2000", "netliquidassets"])
     savings = F.col("netliquidassets")
     df = df.select(
         "sa0100",
@@ -569,21 +574,22 @@ def box_stats_behaviour(spark, sf_dir):
         F.when(savings.between(0.0, 1_000_000.0), savings).alias("savings"),
     )
     long = prep.to_long(df, ["consumption", "savings"], "measure", "value")
-    return rounded(layers.box_stats(long, ["measure", "significant_increase", "sa0100"], "value"), 7)
+    return rounded(layers.box_stats(long, ["measure", "significant_increase", "sa0100"], "value", stored=True), 7)
 
 
 @register
 def box_stats_panel(spark, sf_dir):
     """Box plots of the stacked series by country, series and class of change."""
-    df = _series(spark, sf_dir, [])
-    return rounded(layers.box_stats(df, ["country", "iv_model", "change_class"], "value"), 7)
+    df = _series(stored_known_change(spark, sf_dir, CONSUMPTION), [])
+    return rounded(layers.box_stats(df, ["country", "iv_model", "change_class"], "value", stored=True), 7)
 
 
 @register
 def box_stats_group(spark, sf_dir):
     """Total consumption per head in the six compared groups, from zero up."""
-    df = _groups(spark, sf_dir, []).withColumn("per_head", ratio("total_c", "dh0001"))
-    return rounded(layers.box_stats(layers.within_limits(df, "per_head", low=0), ["group"], "per_head"), 7)
+    df = _groups(stored_known_change(spark, sf_dir, CONSUMPTION)).withColumn("per_head", ratio("total_c", "dh0001"))
+    df = layers.within_limits(df, "per_head", low=0)
+    return rounded(layers.box_stats(df, ["group"], "per_head", stored=True), 7)
 
 
 @register

@@ -83,8 +83,13 @@ def with_changes(df: DataFrame) -> DataFrame:
 
 
 def with_known_change(df: DataFrame) -> DataFrame:
-    """`with_changes`, rows without a class removed."""
-    return with_changes(df).where(F.col("change_category").isNotNull())
+    """`with_changes`, rows without a class removed.
+
+    A class exists where the ratio is not negative. The condition is put on the two values, so that it
+    is a plain predicate for the scan and the joins below.
+    """
+    classed = "hb0900 >= 0 AND hb0800 > 0 OR hb0900 > 0 AND hb0800 = 0 OR hb0900 <= 0 AND hb0800 < 0"
+    return with_changes(df.where(classed))
 
 
 def acquisition_period() -> Column:
