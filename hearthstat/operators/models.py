@@ -27,8 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def _correlation() -> Column:
     """sxy / sqrt(sxx syy), within [-1, 1]; NULL for a constant variable."""
+    varies = (F.col("min_x") < F.col("max_x")) & (F.col("min_y") < F.col("max_y"))
     r = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    # greatest and least pass over NULL, so they stay inside the condition.
+    return F.when(varies & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def corr_panel(
@@ -81,9 +83,9 @@ def ols_simple(df: DataFrame, by: str, models: Mapping[str, tuple[str, str]], fi
     return simple_fit(m).withColumnRenamed("pair", "model")
 
 
-def simple_fit(m: DataFrame) -> DataFrame:
+def simple_fit(m: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Intercept, slope, standard errors and fit of y on x from moment rows; NULL where x is constant."""
-    sxx = F.nullif(F.col("sxx"), F.lit(0.0))
+    sxx = F.when(F.col("min_x") < F.col("max_x"), F.nullif(F.col("sxx"), F.lit(0.0)))
     dof = F.when(F.col("n") > 2, (F.col("n") - 2).cast("double"))
     return (
         m.withColumn("slope", F.try_divide(F.col("sxy"), sxx))
@@ -101,7 +103,7 @@ def simple_fit(m: DataFrame) -> DataFrame:
         .withColumn("r2", 1 - F.try_divide(F.col("rss"), F.col("syy")))
         .select(
             "scope", "pair", "n", "df", "intercept", "slope", "se_intercept", "se_slope",
-            "t_intercept", "t_slope", "sigma", "r2",
+            "t_intercept", "t_slope", "sigma", "r2", *keep,
         )
         .withColumn("p_slope", t_pvalue("t_slope", "df"))
     )
@@ -112,9 +114,7 @@ def lm_band(
 ) -> DataFrame:
     """Fitted line with its 95 % confidence band on an even grid over the range of x."""
     m = with_pooled(pair_moments(df, by, models, finite_only), by)
-    parts = m.select("scope", "pair", "mean_x", "sxx", "min_x", "max_x")
-    fits = simple_fit(m).select("scope", "pair", "n", "df", "intercept", "slope", "sigma")
-    fits = fits.join(parts, ["scope", "pair"]).withColumn("t", t_critical_95("df"))
+    fits = simple_fit(m, ["mean_x", "sxx", "min_x", "max_x"]).withColumn("t", t_critical_95("df"))
     step = (F.col("max_x") - F.col("min_x")) / F.lit(points - 1)
     grid = fits.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     grid = grid.withColumn("x", F.col("min_x") + F.col("point") * step)
@@ -141,21 +141,22 @@ def _solver(n_x: int, n_z: int, terms: Sequence[str], instruments: bool):
     zs = np.arange(1 + n_x, 1 + n_x + n_z) if instruments else xs
 
     def solve_one(scope, n, means, cross):
-        k = n_x + 1
-        none = [(scope, t, *[None] * 4, n, n - k, *[None] * 5) for t in ["(Intercept)", *terms]]
-        scale = np.sqrt(np.diag(cross))
-        if n <= k or not np.all(scale[xs] > 0) or not np.all(scale[zs] > 0):
+        dof = n - n_x - 1
+        none = [(scope, t, *[None] * 4, n, dof, *[None] * 5) for t in ["(Intercept)", *terms]]
+        size = np.sqrt(np.maximum(np.diag(cross), 0.0))
+        scale = np.where(size > 1e-12 * np.sqrt(n) * np.abs(means), size, 0.0)  # a constant has only noise
+        if dof <= 0 or not np.all(scale[xs] > 0) or not np.all(scale[zs] > 0):
             return none
         # Unit-scaled cross products keep the small system well conditioned.
         c = cross / np.outer(np.where(scale > 0, scale, 1.0), np.where(scale > 0, scale, 1.0))
         szz, szx, szy = c[np.ix_(zs, zs)], c[np.ix_(zs, xs)], c[zs, y]
-        if np.linalg.matrix_rank(szz) < len(zs) or np.linalg.matrix_rank(szx) < n_x:
+        # Entries are correlations: rounding noise around 0 must not pass for rank.
+        if any(np.linalg.matrix_rank(part, tol=1e-12) < k for part, k in ((szz, len(zs)), (szx, n_x))):
             return none
         proj = np.linalg.solve(szz, szx)
         inv = np.linalg.inv(szx.T @ proj)
         beta = (inv @ (proj.T @ szy)) * scale[y] / scale[xs]
         inv = inv / np.outer(scale[xs], scale[xs])
-        dof = n - k
         sxx, sxy = cross[np.ix_(xs, xs)], cross[xs, y]
         rss = max(cross[y, y] - 2 * beta @ sxy + beta @ sxx @ beta, 0.0)
         s2 = rss / dof

@@ -21,7 +21,8 @@ def pair_moments(
 ) -> DataFrame:
     """Moments of named (x, y) pairs per group over the rows where both are present.
 
-    Columns: the group, `pair`, `n`, `n_dropped`, `mean_x`, `mean_y`, `sxx`, `syy`, `sxy`, `min_x`, `max_x`.
+    Columns: the group, `pair`, `n`, `n_dropped`, `mean_x`, `mean_y`, `sxx`, `syy`, `sxy` and the ranges
+    `min_x`, `max_x`, `min_y`, `max_y`, which tell a constant from rounding noise in `sxx`.
     Each row feeds its pairs to the aggregate one after the other, under a small number as the pair's key;
     partial sums leave a task as one row per group and pair.
     """
@@ -42,6 +43,8 @@ def pair_moments(
         "covar_pop(x, y) * count(x) AS sxy",
         "min(x) AS min_x",
         "max(x) AS max_x",
+        "min(y) AS min_y",
+        "max(y) AS max_y",
     ]
     names = ", ".join(f"'{name}'" for name in pairs)
     out = long.groupBy(by, "pair").agg(*map(F.expr, aggs))
@@ -78,7 +81,7 @@ def with_pooled(moments: DataFrame, by: str, name: str = "scope") -> DataFrame:
 
     A missing group counts in ALL only. For the aggregated rows of the functions above.
     """
-    how = {"n_dropped": "sum", "min_x": "min", "max_x": "max"}
+    how = {"n_dropped": "sum", "min_x": "min", "max_x": "max", "min_y": "min", "max_y": "max"}
     extra = [f"{f}({c}) AS {c}" for c, f in how.items() if c in moments.columns]
     rest = [c for c in moments.columns if c != by]
     scopes = moments.selectExpr(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from hearthstat.functions.expr import finite_sql, quoted, valid_sql
 from hearthstat.sources.stored import store
 
-WINDOW_ROWS = 1_000_000  # most rows that one bracket may bring to one task
+WINDOW_ROWS = 100_000  # most rows that one bracket may bring to one task
 SLICES = 4096  # slices of one bracket in one narrowing pass
 MAX_PASSES = 60
 

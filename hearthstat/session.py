@@ -10,8 +10,8 @@ SETTINGS = {
     # Hot join keys are split even where that costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # One hundred replicate sums stay in generated code.
-    "spark.sql.codegen.maxFields": "400",
+    # A fused function beyond this size is never compiled to machine code; separate operators are.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # No call-site capture for every column expression built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
