@@ -91,7 +91,7 @@ def simple_fit(m: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         m.withColumn("slope", F.try_divide(F.col("sxy"), sxx))
         .withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x"))
         .withColumn("df", dof)
-        .withColumn("rss", F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy")))
+        .withColumn("rss", F.expr("CASE WHEN slope IS NOT NULL THEN greatest(0D, syy - slope * sxy) END"))
         .withColumn("sigma", F.sqrt(F.try_divide(F.col("rss"), F.col("df"))))
         .withColumn("se_slope", F.try_divide(F.col("sigma"), F.sqrt(sxx)))
         .withColumn(
