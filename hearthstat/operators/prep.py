@@ -79,11 +79,13 @@ def left_join(
     keys: Mapping[str, str] | Sequence[str],
     suffixes: tuple[str, str] = ("_x", "_y"),
     missing_matches: bool = True,
+    compare_only: Sequence[str] = (),
 ) -> DataFrame:
     """Left equi-join keeping the left keys; several matches give several rows.
 
     A missing key matches a missing key unless `missing_matches` is off. Other columns present on
-    both sides get the suffixes.
+    both sides get the suffixes. Keys in `compare_only` are checked on the matches of the other keys
+    and do not steer the shuffle: joins of several tables on the same other keys then share one.
     """
     pairs = dict(keys) if isinstance(keys, Mapping) else {k: k for k in keys}
     shared = (set(left.columns) - set(pairs)) & (set(right.columns) - set(pairs.values()))
@@ -95,10 +97,26 @@ def left_join(
     conds = []
     for l, r in pairs.items():
         x, y = a[l], b[key_names[r]]
-        conds.append(x.eqNullSafe(y) if missing_matches else x == y)
+        if l in compare_only:
+            # Equality as two bounds: the planner takes it as a condition, not as a shuffle key.
+            equal = (x >= y) & (x <= y)
+            conds.append(F.coalesce(equal, x.isNull() & y.isNull()) if missing_matches else equal)
+        else:
+            conds.append(x.eqNullSafe(y) if missing_matches else x == y)
     return a.join(b, reduce(and_, conds), "left").drop(*key_names.values())
 
 
+HOUSEHOLD_KEYS = ["ID", "SURVEY", "SA0010", "SA0100", "IM0100"]
+
+
+def merge_households(derived: DataFrame, core: DataFrame) -> DataFrame:
+    """Join the two household tables on household, implicate and weight.
+
+    The weight is compared only, so that the reference persons can be attached without another shuffle.
+    """
+    return left_join(derived, core, [*HOUSEHOLD_KEYS, "HW0010"], compare_only=["HW0010"])
+
+
 def attach_reference(households: DataFrame, persons: DataFrame) -> DataFrame:
     """Attach to each household and implicate its reference person (RA0100 = 1).
 
@@ -106,7 +124,7 @@ def attach_reference(households: DataFrame, persons: DataFrame) -> DataFrame:
     twice, one without any keeps NULLs.
     """
     reference = persons.where(F.col("RA0100") == 1).withColumnRenamed("ID", "PERSON_ID")
-    keys = {"ID": "HID", "SURVEY": "SURVEY", "SA0010": "SA0010", "SA0100": "SA0100", "IM0100": "IM0100"}
+    keys = {k: "HID" if k == "ID" else k for k in HOUSEHOLD_KEYS}
     return left_join(households, reference, keys)
 
 

@@ -4,11 +4,11 @@ The built-in exact percentile keeps every distinct value of a group in one task.
 gathered. Each wanted order statistic lies in a bracket [lo, hi] of values, first the whole range of
 its group. A pass counts the rows of each open bracket in a fixed number of slices (partial sums before a
 shuffle of counts) and keeps the slice that holds the rank, until a bracket holds at most
-`window_rows` rows; those few values are then ranked. A bracket end is always a value of the data, so
+`bracket_rows` rows; those few values are then sorted. A bracket end is always a value of the data, so
 each pass narrows it, whatever the distribution, and many equal values settle at once.
 
 The cost is a few scans of the needed columns: one for the moments, one per narrowing pass, which cuts a bracket
-about a thousandfold, and one to rank.
+about a thousandfold, and one to fetch the last few values.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from hearthstat.functions.expr import finite_sql, quoted, valid_sql
 from hearthstat.sources.stored import store
 
-WINDOW_ROWS = 100_000  # most rows that one bracket may bring to one task
+BRACKET_ROWS = 250_000  # most rows that one bracket may bring to one task
 SLICES = 4096  # slices of one bracket in one narrowing pass
 MAX_PASSES = 60
 
@@ -48,7 +48,7 @@ def describe_by(
     measures: Mapping[str, Sequence[str | float]],
     count: str | None = None,
     finite_only: bool = True,
-    window_rows: int = WINDOW_ROWS,
+    bracket_rows: int = BRACKET_ROWS,
     slices: int = SLICES,
     stored: bool = False,
 ) -> DataFrame:
@@ -94,9 +94,9 @@ def describe_by(
     sizes = Observation()
     most = ", ".join(f"n_{i}" for i in probs if probs[i])
     base = store(base.observe(sizes, F.expr(f"max(array_max(array({most}))) AS most")))
-    narrow = (sizes.get["most"] or 0) > window_rows
+    narrow = (sizes.get["most"] or 0) > bracket_rows
     positions = _order_statistics(
-        source, base, list(by), keys, probs, finite_only, window_rows if narrow else None, slices
+        source, base, list(by), keys, probs, finite_only, bracket_rows if narrow else None, slices
     )
     both = join_groups(positions, base, keys)
     named = {quoted(name): _interpolated(i, p) for i in probs for name, p in probs[i].items()}
@@ -128,7 +128,7 @@ def _interpolated(i: int, p: float) -> str:
     return f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({h} - floor({h})) * ({high} - {low}) END"
 
 
-def _order_statistics(source, base, by, keys, probs, finite_only, window_rows, slices) -> DataFrame:
+def _order_statistics(source, base, by, keys, probs, finite_only, bracket_rows, slices) -> DataFrame:
     """Per group, one map rank -> value for each column with wanted quantiles: `at_0`, `at_1`, ..."""
     used = [i for i in probs if probs[i]]
     pieces = []
@@ -145,10 +145,10 @@ def _order_statistics(source, base, by, keys, probs, finite_only, window_rows, s
     items = ", ".join(f"named_struct('col', {i}, 'x', __v{i})" for i in used)
     values = source.selectExpr(*by, f"inline(array({items}))").where("x IS NOT NULL")
 
-    is_open = f"rows > {window_rows} AND lo < hi"
+    is_open = f"rows > {bracket_rows} AND lo < hi"
     closed: list[DataFrame] = []
     passes = 0
-    while window_rows is not None and not brackets.where(is_open).isEmpty():
+    while bracket_rows is not None and not brackets.where(is_open).isEmpty():
         closed.append(brackets.where(f"NOT ({is_open})"))
         brackets = store(_narrow(values, brackets.where(is_open), keys, passes == 0, slices))
         passes += 1
@@ -210,15 +210,10 @@ def _narrow(values: DataFrame, brackets: DataFrame, keys: list[str], first: bool
 
 
 def _ranked(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """The value of every wanted rank, for brackets of at most `window_rows` rows."""
-    counts = (
-        _rows_in(values, brackets)
-        .groupBy("bracket", "x")
-        .agg(F.expr("count(1) AS equal"))
-        .selectExpr("*", "sum(equal) OVER (PARTITION BY bracket ORDER BY x) - equal AS before")
-    )
-    hits = "filter(ranks, r -> r >= below + before AND r < below + before + equal)"
-    return counts.join(brackets, "bracket").selectExpr(*keys, "col", f"explode({hits}) AS rank", "x")
+    """The value of every wanted rank, for brackets of at most `bracket_rows` rows: one short sorted list each."""
+    lists = _rows_in(values, brackets).groupBy("bracket").agg(F.expr("sort_array(collect_list(x)) AS xs"))
+    picks = "inline(transform(ranks, r -> named_struct('rank', r, 'x', xs[int(r - below)])))"
+    return lists.join(brackets, "bracket").selectExpr(*keys, "col", picks)
 
 
 def quantile_values(df: DataFrame, probs: Mapping[str, Sequence[float]], **options) -> dict[tuple[str, float], float]:

@@ -299,7 +299,7 @@ def household_tables(spark, sf_dir):
 def attach_reference_person(spark, sf_dir):
     """Household tables joined on six keys, then the reference person of each household."""
     d, h, p = household_tables(spark, sf_dir)
-    merged = prep.left_join(d, h, ["ID", "SURVEY", "SA0010", "SA0100", "IM0100", "HW0010"])
+    merged = prep.merge_households(d, h)
     return prep.attach_reference(merged, p).select(
         "ID", "IM0100", "SA0010", "DN3001", "HB0700", "PERSON_ID", "PA0200"
     )

@@ -13,7 +13,7 @@ def brute_box(xs):
     return (len(xs), min(inside), q1, q2, q3, max(inside), len(xs) - len(inside))
 
 
-@pytest.mark.parametrize("options", [{}, {"window_rows": 3, "slices": 4}])
+@pytest.mark.parametrize("options", [{}, {"bracket_rows": 3, "slices": 4}])
 def test_box_stats(spark, options):
     rng = random.Random(4)
     data = {

@@ -44,6 +44,25 @@ def test_left_join_missing_keys_match(spark):
     assert (1, None, 10, None) in rows(strict)
 
 
+def test_household_joins_share_their_shuffle(spark):
+    keys = "ID int, SURVEY int, SA0010 int, SA0100 string, IM0100 int, HW0010 double"
+    d = spark.createDataFrame([(1, 3, 1, "AT", 1, 2.0), (2, 3, 2, "AT", 1, None), (3, 3, 3, "AT", 1, 4.0)], keys)
+    h = spark.createDataFrame(
+        [(1, 3, 1, "AT", 1, 2.0, 10), (2, 3, 2, "AT", 1, None, 20), (3, 3, 3, "AT", 1, 5.0, 30)], keys + ", HB0700 int"
+    )
+    p = spark.createDataFrame([(11, 1, 3, 1, "AT", 1, 1)], "ID int, HID int, SURVEY int, SA0010 int, SA0100 string, IM0100 int, RA0100 int")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        out = prep.attach_reference(prep.merge_households(d, h), p)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3
+        assert rows(out.select("ID", "HB0700", "PERSON_ID")) == [(1, 10, 11), (2, 20, None), (3, None, None)]
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_attach_reference(spark):
     keys = "SURVEY int, SA0010 int, SA0100 string, IM0100 int"
     d = spark.createDataFrame([(i, 3, None if i == 1 else i, "AT", 1) for i in (1, 2, 3)], f"ID int, {keys}")

@@ -37,7 +37,7 @@ def grouped(spark):
     return data, store(spark.createDataFrame(rows, "g string, x double"))
 
 
-@pytest.mark.parametrize("options", [{}, {"window_rows": 20, "slices": 16}, {"window_rows": 1, "slices": 2}])
+@pytest.mark.parametrize("options", [{}, {"bracket_rows": 20, "slices": 16}, {"bracket_rows": 1, "slices": 2}])
 def test_grouped_quantiles_match_numpy(grouped, options):
     data, df = grouped
     out = describe_by(df, ["g"], {"x": [*PROBS, "median", "mean", "sd", "n"]}, count="rows", stored=True, **options)
@@ -61,7 +61,7 @@ def test_several_columns_and_keys(spark):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), rng.choice([1, None]), rng.random(), rng.gauss(0, 5)) for _ in range(400)]
     df = spark.createDataFrame(rows, "x string, col int, slice double, rank double")
-    out = describe_by(df, ["x", "col"], {"slice": [0.2], "rank": ["median"]}, window_rows=5, slices=8)
+    out = describe_by(df, ["x", "col"], {"slice": [0.2], "rank": ["median"]}, bracket_rows=5, slices=8)
     assert out.columns == ["x", "col", "p20_slice", "median_rank"]
     for r in out.collect():
         mine = [q for q in rows if q[0] == r.x and q[1] == r.col]
@@ -69,13 +69,13 @@ def test_several_columns_and_keys(spark):
         assert r.median_rank == pytest.approx(np.median([q[3] for q in mine]), rel=1e-12)
 
 
-@pytest.mark.parametrize("window_rows", [100, 2])
-def test_infinite_and_nan_values(spark, window_rows):
+@pytest.mark.parametrize("bracket_rows", [100, 2])
+def test_infinite_and_nan_values(spark, bracket_rows):
     xs = [1.0, 2.0, 3.0, float("inf"), float("inf"), float("-inf"), float("nan"), None]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    kept = describe_by(df, [], {"x": [0.5, "max", "mean", "n"]}, window_rows=window_rows).first()
+    kept = describe_by(df, [], {"x": [0.5, "max", "mean", "n"]}, bracket_rows=bracket_rows).first()
     assert (kept.p50_x, kept.max_x, kept.mean_x, kept.n_x) == (2.0, 3.0, 2.0, 3)
-    whole = describe_by(df, [], {"x": [0.0, 0.5, 1.0, "n"]}, finite_only=False, window_rows=window_rows).first()
+    whole = describe_by(df, [], {"x": [0.0, 0.5, 1.0, "n"]}, finite_only=False, bracket_rows=bracket_rows).first()
     assert (whole.p0_x, whole.p50_x, whole.p100_x, whole.n_x) == (float("-inf"), 2.5, float("inf"), 6)
 
 
@@ -100,7 +100,7 @@ def test_unknown_statistic(spark):
 def test_hot_group_is_not_gathered(spark):
     """No exchange of the final plan carries the rows of a group: they are counted before."""
     df = store(spark.range(20_000).selectExpr("'a' AS g", "double(id * 7919 % 20000) AS x"))
-    out = describe_by(df, ["g"], {"x": [0.5]}, stored=True, window_rows=50)
+    out = describe_by(df, ["g"], {"x": [0.5]}, stored=True, bracket_rows=50)
     assert out.first().p50_x == 9999.5
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "CartesianProduct" not in plan
