@@ -58,17 +58,14 @@ def weighted_table(df: DataFrame, levels: Mapping[str, Sequence], design: Design
 
     Rows with a missing or unknown level in any dimension belong to no cell.
     """
-    dims = list(levels)
     im = design.implicate
     cells = _cells(df, levels, [im], {name: design.weight})
-    implicates = cells.select(F.col(im).alias("__im")).distinct()
-    grid = level_grid(implicates, {f"__{d}": lv for d, lv in levels.items()})
-    on = [grid["__im"] == cells[im], *[grid[f"__{d}"] == cells[d] for d in dims]]
-    return grid.join(cells, on, "left").select(
-        F.col("__im").alias(im),
-        *[F.col(f"__{d}").alias(d) for d in dims],
-        F.coalesce(F.col(name), F.lit(0.0)).alias(name),
-    )
+    # One map per implicate, as long as there are cells: the grid is filled without a second scan.
+    cell = ", ".join(f"'{i}', {quoted(d)}" for i, d in enumerate(levels))
+    held = f"map_from_entries(collect_list(named_struct('k', named_struct({cell}), 'w', {quoted(name)}))) AS __cells"
+    grid = level_grid(cells.groupBy(im).agg(F.expr(held)), levels)
+    weight = f"coalesce(try_element_at(__cells, named_struct({cell})), 0D) AS {quoted(name)}"
+    return grid.selectExpr(quoted(im), *map(quoted, levels), weight)
 
 
 def _cells(df: DataFrame, levels: Mapping[str, Sequence], keys: Sequence[str], sums: Mapping[str, str]) -> DataFrame:

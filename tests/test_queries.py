@@ -55,3 +55,17 @@ def test_plans(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for bad in ("BatchEvalPython", "CartesianProduct", "percentile", "l_shipdate"):
         assert bad not in plan
+
+
+SINGLE_PASS = [
+    "weighted_distribution", "weighted_distribution_by_year", "weighted_table_by_implicate", "replicate_variance_share",
+    "null_profile", "crosstab_counts", "acquisition_counts", "corr_panel", "corr_test_panel", "lm_band_limited",
+    "ols_consumption", "iv_consumption_price", "bin2d_change_assets",
+]
+
+
+@pytest.mark.parametrize("name", SINGLE_PASS)
+def test_single_pass(spark, name):
+    """These read the large table once."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
