@@ -93,7 +93,8 @@ def describe_by(
     # The size of the largest group comes with the write: no further job to decide on narrowing passes.
     sizes = Observation()
     most = ", ".join(f"n_{i}" for i in probs if probs[i])
-    base = store(base.observe(sizes, F.expr(f"max(array_max(array({most}))) AS most")))
+    base = base.observe(sizes, F.expr(f"max(array_max(array({most}))) AS most"))
+    base = store(base.selectExpr("*", "monotonically_increasing_id() AS __group"))  # numbers fixed by the write
     narrow = (sizes.get["most"] or 0) > bracket_rows
     positions = _order_statistics(
         source, base, list(by), keys, probs, finite_only, bracket_rows if narrow else None, slices
@@ -136,12 +137,11 @@ def _order_statistics(source, base, by, keys, probs, finite_only, bracket_rows,
         ranks = [f"{f}({_position(i, p)})" for p in sorted(set(probs[i].values())) for f in ("floor", "ceil")]
         flo, fhi = (f"lo_{i}", f"hi_{i}") if finite_only else (f"flo_{i}", f"fhi_{i}")
         pieces.append(
-            f"named_struct('col', {i}, 'lo', lo_{i}, 'hi', hi_{i}, 'flo', {flo}, 'fhi', {fhi}, 'below', 0L, "
-            f"'rows', n_{i}, 'ranks', array_distinct(array({', '.join(ranks)})))"
+            f"named_struct('bracket', __group * {len(probs)} + {i}, 'col', {i}, 'lo', lo_{i}, 'hi', hi_{i}, "
+            f"'flo', {flo}, 'fhi', {fhi}, 'below', 0L, 'rows', n_{i}, "
+            f"'ranks', array_distinct(array({', '.join(ranks)})))"
         )
-    brackets = base.selectExpr(*keys, f"inline(array({', '.join(pieces)}))").selectExpr(
-        "*", "monotonically_increasing_id() AS bracket"
-    )
+    brackets = base.selectExpr(*keys, f"inline(array({', '.join(pieces)}))")
     items = ", ".join(f"named_struct('col', {i}, 'x', __v{i})" for i in used)
     values = source.selectExpr(*by, f"inline(array({items}))").where("x IS NOT NULL")
 

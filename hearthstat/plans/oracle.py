@@ -283,6 +283,8 @@ ORACLE_SQL["family_structure"] = f"""WITH {HOUSE},
   fam AS (SELECT *, {_married} AS married, dh0001 - dh0006 AS children FROM house),
   s AS (SELECT married, children, {_FAMSTRUCT} AS famstruct FROM fam)
   SELECT married, children, famstruct, {_case("famstruct", FAMILY_LABELS)} AS family, count(*) AS n FROM s GROUP BY ALL"""
+ORACLE_SQL["residence_age_counts"] = f"""WITH {KNOWN}
+  SELECT sa0100, age_main_residence::INTEGER AS age_main_residence, count(*) AS n FROM known GROUP BY ALL"""
 ORACLE_SQL["region_recode"] = f"""WITH {HOUSE} SELECT dhregion, {_case("dhregion", REGION_NAMES, "dhregion")} AS region,
   count(*) AS n FROM house GROUP BY ALL"""
 TRIMMED = f"""{KNOWN}, q AS (SELECT quantile_cont(netliquidassets, 0.99) AS a, quantile_cont(networth, 0.99) AS b,
@@ -546,6 +548,7 @@ ORACLE_SQL["box_stats_group"] = _box(
 
 
 def _kde(column: str, digits: int) -> str:
+    kernel = "exp(-0.5::DOUBLE * ((x0 + point * step - (x0 + node * width)) / h) ** 2)"
     return f"""WITH {KNOWN}, v AS (SELECT sa0100, {column} AS x FROM known WHERE {column} IS NOT NULL),
   s AS (SELECT sa0100, count(*) AS n, min(x) AS x0, (max(x) - min(x)) / 1024 AS width, (max(x) - min(x)) / 511 AS step,
       0.9::DOUBLE * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34::DOUBLE)
@@ -556,7 +559,7 @@ def _kde(column: str, digits: int) -> str:
   k AS (SELECT sa0100, node, sum(mass) AS mass FROM c GROUP BY ALL),
   g AS (SELECT *, unnest(range(0, 512)) AS point FROM s)
   SELECT sa0100, point::INTEGER AS point, {_r("any_value(x0 + point * step)", 5, "x")}, {_r("any_value(h)", 6, "bandwidth")},
-    {_r("sum(mass * exp(-0.5::DOUBLE * ((x0 + point * step - (x0 + node * width)) / h) ** 2)) / (2.5066282746310002::DOUBLE * any_value(h) * any_value(n))", digits, "density")}
+    {_r(f"sum(mass * {kernel}) / (2.5066282746310002::DOUBLE * any_value(h) * any_value(n))", digits, "density")}
   FROM g JOIN k USING (sa0100) GROUP BY sa0100, point"""
 
 

@@ -332,6 +332,13 @@ def family_structure(spark, sf_dir):
     return layers.bar_counts(df, ["married", "children", "famstruct", "family"])
 
 
+@register
+def residence_age_counts(spark, sf_dir):
+    """Years since the acquisition of the residence, 0 where the year is unknown."""
+    df = known_change(spark, sf_dir, ["hb0700"]).select("sa0100", v.residence_age().alias("age_main_residence"))
+    return layers.bar_counts(df, ["sa0100", "age_main_residence"])
+
+
 @register
 def region_recode(spark, sf_dir):
     df = house(spark, sf_dir, ["dhregion"]).withColumn("region", recode("dhregion", v.REGION_NAMES))
