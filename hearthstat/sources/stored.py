@@ -8,22 +8,26 @@ column by column, and has a known size: Spark broadcasts it in a join only below
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="hearthstat-")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`; a local session without one gets a temporary folder."""
+    """The folder named in `spark.checkpoint.dir`; only a local session may do without and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="hearthstat-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_folder()
 
 
 def _folder(spark: SparkSession) -> str:

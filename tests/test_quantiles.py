@@ -2,6 +2,7 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -108,6 +109,17 @@ def test_hot_group_is_not_gathered(spark):
 
 def test_store_uses_the_session_folder(spark):
     root = checkpoint_root(spark)
-    assert spark.conf.get("spark.checkpoint.dir") == root
+    assert spark.conf.get("spark.checkpoint.dir", root) == root
     stored = store(spark.range(5))
     assert root in stored.inputFiles()[0] and stored.count() == 5
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda key, default: folder or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert checkpoint_root(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert checkpoint_root(session("local[2]", None)) == checkpoint_root(session("local[2]", None))
+    with pytest.raises(RuntimeError):
+        checkpoint_root(session("yarn", None))
