@@ -42,16 +42,26 @@ def _continued_fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-def beta_area(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
-    if not 0.0 < x < 1.0:
+def _gamma_step(a: float, b: float) -> float:
+    """ln gamma(a + b) - ln gamma(a), without cancellation for large a."""
+    if a < 50.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+    c = a + b
+    series = (1 / c - 1 / a) / 12 - (1 / c**3 - 1 / a**3) / 360 + (1 / c**5 - 1 / a**5) / 1260
+    return b * math.log(c) + (a - 0.5) * math.log1p(b / a) - b + series
+
+
+def beta_area(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta function I_x(a, b); y = 1 - x is given too, so that neither loses digits."""
+    if x <= 0.0 or y <= 0.0:
         return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    log_y = math.log(y) if y < 0.5 else math.log1p(-x)
+    big, small = max(a, b), min(a, b)
+    front = math.exp(_gamma_step(big, small) - math.lgamma(small) + a * log_x + b * log_y)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _continued_fraction(a, b, x) / a
-    return 1.0 - front * _continued_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _continued_fraction(b, a, y) / b
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -59,13 +69,14 @@ def t_two_sided(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
-    return beta_area(df / 2.0, 0.5, df / (df + t * t))
+    return beta_area(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def f_upper(f: float, df1: float, df2: float) -> float:
     if any(v is None or math.isnan(v) for v in (f, df1, df2)) or df1 <= 0 or df2 <= 0:
         return float("nan")
-    return beta_area(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
+    whole = df2 + df1 * f
+    return beta_area(df2 / 2.0, df1 / 2.0, df2 / whole, df1 * f / whole)
 
 
 def t_quantile(level: float, df: float) -> float:

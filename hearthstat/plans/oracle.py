@@ -372,7 +372,7 @@ ORACLE_SQL["corr_test_panel"] = f"""WITH RECURSIVE {KNOWN}, {SCOPES}, m AS ({_pa
   SELECT scope, pair, n, {_r("r", 9, "r")}, df, {_r("t", 6, "t")},
     {_r("tanh(atanh(r) - 1.959963984540054::DOUBLE / sqrt(n - 3))", 9, "ci_low")},
     {_r("tanh(atanh(r) + 1.959963984540054::DOUBLE / sqrt(n - 3))", 9, "ci_high")},
-    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 7, "p")} FROM g"""
+    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 6, "p")} FROM g"""
 
 
 def _simple_fits(source: str, table: str, models: dict[str, tuple[str, str]]) -> str:
@@ -394,7 +394,7 @@ ORACLE_SQL["ols_simple"] = f"""WITH RECURSIVE {_simple_fits(TRIMMED, "trimmed",
   SELECT scope, pair AS model, n, df, {_r("intercept", 4, "intercept")}, {_r("slope", 8, "slope")},
     {_r("sigma * sqrt(1.0::DOUBLE / n + mx * mx / sxx)", 4, "se_intercept")}, {_r("sigma / sqrt(sxx)", 8, "se_slope")},
     {_r("intercept / (sigma * sqrt(1.0::DOUBLE / n + mx * mx / sxx))", 8, "t_intercept")}, {_r("t", 8, "t_slope")},
-    {_r("sigma", 4, "sigma")}, {_r("r2", 8, "r2")}, {_r("CASE WHEN direct THEN area ELSE 1 - area END", 7, "p_slope")}
+    {_r("sigma", 4, "sigma")}, {_r("r2", 8, "r2")}, {_r("CASE WHEN direct THEN area ELSE 1 - area END", 6, "p_slope")}
   FROM g"""
 # 0.975 quantile of t by its expansion in 1/df around the normal quantile.
 _Z = 1.959963984540054
@@ -479,7 +479,7 @@ def _coef_table(source: str, y: str, xs: list[str], table: str = "fam2") -> str:
   tests0 AS MATERIALIZED (SELECT scope, term AS pair, n, df::DOUBLE AS df, b / se AS t, b, se, sigma, r2, f FROM stats),
   tests AS (SELECT * FROM tests0), {_TAIL}
   SELECT scope, pair AS term, {_r("b", 7, "estimate")}, {_r("se", 7, "std_error")}, {_r("t", 6, "t")},
-    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 7, "p")}, n, df::BIGINT AS df, {_r("sigma", 4, "sigma")},
+    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 6, "p")}, n, df::BIGINT AS df, {_r("sigma", 4, "sigma")},
     {_r("r2", 9, "r2")}, {_r("1 - (1 - r2) * (n - 1) / df", 9, "adj_r2")}, {_r("f", 3, "f")} FROM g"""
 
 
@@ -509,8 +509,8 @@ def _iv(x: str, z: str) -> str:
     UNION ALL SELECT *, '{x}', b, sqrt(s2 / fitted) FROM o),
   tests AS MATERIALIZED (SELECT scope, term AS pair, n, (n - 2)::DOUBLE AS df, est / se AS t, est, se, sqrt(s2) AS sigma,
     1 - rss / syy AS r2, b * b * fitted / s2 AS f FROM terms), {_TAIL}
-  SELECT scope, pair AS term, {_r("est", 6, "estimate")}, {_r("se", 6, "std_error")}, {_r("t", 6, "t")},
-    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 6, "p")}, n, df::BIGINT AS df, {_r("sigma", 6, "sigma")},
+  SELECT scope, pair AS term, {_r("est", 3, "estimate")}, {_r("se", 3, "std_error")}, {_r("t", 6, "t")},
+    {_r("CASE WHEN direct THEN area ELSE 1 - area END", 6, "p")}, n, df::BIGINT AS df, {_r("sigma", 3, "sigma")},
     {_r("r2", 6, "r2")}, {_r("1 - (1 - r2) * (n - 1) / df", 6, "adj_r2")}, {_r("f", 6, "f")} FROM g"""
 
 

@@ -464,11 +464,11 @@ def corr_panel(spark, sf_dir):
 def corr_test_panel(spark, sf_dir):
     """Tests of the same correlations."""
     out = models.corr_test(_pair_data(spark, sf_dir), "sa0100", PAIRS)
-    return rounded(out, {"t": 6, "p": 7}, default=9)
+    return rounded(out, {"t": 6, "p": 6}, default=9)
 
 
 WEALTH_MODELS = {"netliquidassets": ("netliquidassets", "change_absolute"), "networth": ("networth", "change_absolute")}
-FIT_DIGITS = {"intercept": 4, "se_intercept": 4, "sigma": 4, "p_": 7}
+FIT_DIGITS = {"intercept": 4, "se_intercept": 4, "sigma": 4, "p_": 6}
 
 
 @register
@@ -505,7 +505,7 @@ def _model_data(spark, sf_dir):
 
 
 def _coefs(df):
-    digits = {"estimate": 7, "std_error": 7, "sigma": 4, "t": 6, "f": 3, "p": 7}
+    digits = {"estimate": 7, "std_error": 7, "sigma": 4, "t": 6, "f": 3, "p": 6}
     return rounded(df.drop("f_p"), digits, default=9)
 
 
@@ -539,18 +539,21 @@ def ols_residuals(spark, sf_dir):
     return rounded(out, 5)
 
 
+IV_DIGITS = {"estimate": 3, "std_error": 3, "sigma": 3}
+
+
 @register
 def iv_consumption_price(spark, sf_dir):
     """Consumption per head on the current value, with the acquisition value as instrument."""
     df = v.with_consumption(known_change(spark, sf_dir, CONSUMPTION))
-    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["hb0900"], ["hb0800"]).drop("f_p"), 6)
+    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["hb0900"], ["hb0800"]).drop("f_p"), IV_DIGITS, default=6)
 
 
 @register
 def iv_consumption_share(spark, sf_dir):
     """Consumption per head on consumption, with its income share as instrument."""
     df = v.with_consumption(known_change(spark, sf_dir, ["docogoodp", *CONSUMPTION]))
-    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["docogood"], ["docogoodp"]).drop("f_p"), 6)
+    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["docogood"], ["docogoodp"]).drop("f_p"), IV_DIGITS, default=6)
 
 
 # ---- chart data --------------------------------------------------------------------------------------

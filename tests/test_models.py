@@ -50,6 +50,9 @@ def test_tail_areas():
     assert tails.t_quantile(0.95, 1e7) == pytest.approx(tails.NORMAL_975, abs=1e-6)
     assert tails.t_two_sided(tails.t_quantile(0.95, 12), 12) == pytest.approx(0.05)
     assert math.isnan(tails.t_two_sided(1.0, 0))
+    # Many degrees of freedom: the normal tail, and no loss of digits between close cases.
+    assert tails.t_two_sided(1.5, 1e9) == pytest.approx(math.erfc(1.5 / math.sqrt(2)), rel=1e-8)
+    assert tails.t_two_sided(3.0, 99.999) == pytest.approx(tails.t_two_sided(3.0, 100.001), rel=1e-5)
 
 
 def sample(n=300, seed=2):
