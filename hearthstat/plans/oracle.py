@@ -509,7 +509,7 @@ def _iv(x: str, z: str) -> str:
     UNION ALL SELECT *, '{x}', b, sqrt(s2 / fitted) FROM o),
   tests AS MATERIALIZED (SELECT scope, term AS pair, n, (n - 2)::DOUBLE AS df, est / se AS t, est, se, sqrt(s2) AS sigma,
     1 - rss / syy AS r2, b * b * fitted / s2 AS f FROM terms), {_TAIL}
-  SELECT scope, pair AS term, {_r("est", 3, "estimate")}, {_r("se", 3, "std_error")}, {_r("t", 6, "t")},
+  SELECT scope, pair AS term, {_r("est", 3, "estimate")}, {_r("se", 1, "std_error")}, {_r("t", 6, "t")},
     {_r("CASE WHEN direct THEN area ELSE 1 - area END", 6, "p")}, n, df::BIGINT AS df, {_r("sigma", 3, "sigma")},
     {_r("r2", 6, "r2")}, {_r("1 - (1 - r2) * (n - 1) / df", 6, "adj_r2")}, {_r("f", 6, "f")} FROM g"""
 

@@ -539,7 +539,7 @@ def ols_residuals(spark, sf_dir):
     return rounded(out, 5)
 
 
-IV_DIGITS = {"estimate": 3, "std_error": 3, "sigma": 3}
+IV_DIGITS = {"estimate": 3, "std_error": 1, "sigma": 3}
 
 
 @register
