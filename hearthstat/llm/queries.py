@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from hearthstat.llm.decontaminate import OP3_SQL, op3_decontamination
+from hearthstat.llm.pii import op8_personal_data
 from hearthstat.llm.sharding import op10_kd_sharding
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op8_personal_data": op8_personal_data,
     "op10_kd_sharding": op10_kd_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
+}
