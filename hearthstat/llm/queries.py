@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from hearthstat.llm.decontaminate import OP3_SQL, op3_decontamination
 from hearthstat.llm.pii import op8_personal_data
+from hearthstat.llm.secrets import op9_secret_scan
 from hearthstat.llm.sharding import op10_kd_sharding
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op8_personal_data": op8_personal_data,
+    "op9_secret_scan": op9_secret_scan,
     "op10_kd_sharding": op10_kd_sharding,
 }
 
