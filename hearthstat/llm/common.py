@@ -1,13 +1,20 @@
-"""Shared helpers: input tables, stored intermediates."""
+"""Shared helpers: input tables, stored intermediates, Python work in tasks."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import hearthstat
 from hearthstat.sources.stored import store
 
-__all__ = ["documents", "store", "table", "whole_text"]
+__all__ = ["documents", "map_arrow", "ship", "store", "table", "whole_text"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,3 +27,21 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 def whole_text(text: str | Column = "text") -> Column:
     """The text, a missing one read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their workers import it by name."""
+    context = spark.sparkContext
+    if not getattr(context, "_hearthstat_shipped", False):
+        root = Path(hearthstat.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="hearthstat-code-")) / "hearthstat_code.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._hearthstat_shipped = True
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

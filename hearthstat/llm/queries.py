@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from hearthstat.llm.decontaminate import OP3_SQL, op3_decontamination
+from hearthstat.llm.near_dedup import op4_near_dedup
 from hearthstat.llm.pii import op8_personal_data
 from hearthstat.llm.secrets import op9_secret_scan
 from hearthstat.llm.sharding import op10_kd_sharding
+from hearthstat.llm.token_files import op1_token_files
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op3_decontamination": op3_decontamination,
+    "op4_near_dedup": op4_near_dedup,
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
     "op10_kd_sharding": op10_kd_sharding,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthstat.llm.automaton import Automaton, compile_rules, longest, scan
-from hearthstat.llm.common import documents
+from hearthstat.llm.common import documents, map_arrow
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
 
     kind = docs.schema[key].dataType.simpleString()
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = read.mapInArrow(run, f"key {kind}, spans array<struct<start:int,rule:int,end:int>>")
+    found = map_arrow(read, run, f"key {kind}, spans array<struct<start:int,rule:int,end:int>>")
     return found.withColumnRenamed("key", key)
 
 
@@ -160,7 +160,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
             columns = [pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
