@@ -8,11 +8,13 @@ from hearthstat.llm.pii import op8_personal_data
 from hearthstat.llm.secrets import op9_secret_scan
 from hearthstat.llm.sharding import op10_kd_sharding
 from hearthstat.llm.token_files import op1_token_files
+from hearthstat.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
     "op10_kd_sharding": op10_kd_sharding,
