@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import hearthstat
 from hearthstat.sources.stored import store
 
-__all__ = ["documents", "map_arrow", "ship", "store", "table", "whole_text"]
+__all__ = ["documents", "map_arrow", "ship", "store", "table", "unused", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def whole_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application: their workers import it by name."""
     context = spark.sparkContext

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthstat.llm.common import documents, store, table, whole_text
+from hearthstat.llm.common import documents, store, table, unused, whole_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
@@ -79,6 +79,23 @@ def _found(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     ).select("doc", "hash", start.alias("start"), "len", "items")
 
 
+def _occurrences(
+    docs: DataFrame, items: DataFrame, window: int, key: str, text: str, item_key: str, item_text: str, block_bytes: int
+) -> DataFrame | None:
+    """Confirmed window occurrences (doc, hash, start, len, items); None if no item has words."""
+    windows = store(item_windows(items, window, item_key, item_text))
+    read = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), words(text).alias("w"))
+    size = F.least(F.col("len"), F.lit(SHINGLE))
+    row_bytes = F.octet_length(F.concat_ws(" ", "window", "items")) + ROW_BYTES
+    found = []
+    for s in windows.groupBy(size.alias("size")).agg(F.sum(row_bytes).alias("bytes")).collect():
+        blocks = -(-s.bytes // block_bytes)
+        for b in range(blocks):
+            mine = (size == s.size) & (F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
+            found.append(_found(read, windows.where(mine), s.size))
+    return reduce(DataFrame.union, found) if found else None
+
+
 def contaminated_words(
     docs: DataFrame,
     items: DataFrame,
@@ -96,24 +113,13 @@ def contaminated_words(
     different texts are different documents; repeated rows each get their result. An empty
     benchmark marks nothing. Other columns are not read, so their names cannot clash.
     """
-    windows = store(item_windows(items, window, item_key, item_text))
-    read = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), words(text).alias("w"))
-    size = F.least(F.col("len"), F.lit(SHINGLE))
-    row_bytes = F.octet_length(F.concat_ws(" ", "window", "items")) + ROW_BYTES
-    found = []
-    for s in windows.groupBy(size.alias("size")).agg(F.sum(row_bytes).alias("bytes")).collect():
-        blocks = -(-s.bytes // block_bytes)
-        for b in range(blocks):
-            mine = (size == s.size) & (F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-            found.append(_found(read, windows.where(mine), s.size))
+    found = _occurrences(docs, items, window, key, text, item_key, item_text, block_bytes)
     base = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), F.size(words(text)).cast("long").alias("n_words"))
-    if not found:
+    if found is None:
         none = F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("item_ids")
         return base.select(F.col("doc").alias(key), "n_words", *none)
-    per_doc = (
-        reduce(DataFrame.union, found)
-        .groupBy(F.col("doc").alias("d"), F.col("hash").alias("h"))
-        .agg(F.collect_set(F.struct("start", "len")).alias("at"), F.flatten(F.collect_set("items")).alias("items"))
+    per_doc = found.groupBy(F.col("doc").alias("d"), F.col("hash").alias("h")).agg(
+        F.collect_set(F.struct("start", "len")).alias("at"), F.flatten(F.collect_set("items")).alias("items")
     )
     covered = F.flatten(F.transform("at", lambda a: F.sequence(a["start"], a["start"] + a["len"] - 1)))
     joined = base.join(per_doc, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
@@ -125,6 +131,25 @@ def contaminated_words(
     )
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = 10,
+    key: str = "doc_id",
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    block_bytes: int = 32 << 20,
+) -> DataFrame:
+    """The rows, with all their columns, that have no word inside a benchmark window."""
+    found = _occurrences(docs, items, window, key, text, item_key, item_text, block_bytes)
+    if found is None:
+        return docs
+    d, h = unused(docs, "doc"), unused(docs, "hash")
+    hit = found.select(F.col("doc").alias(d), F.col("hash").alias(h)).distinct()
+    return docs.join(hit, docs[key].eqNullSafe(hit[d]) & (F.xxhash64(docs[text]) == hit[h]), "left_anti")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated_words(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hit").cast("long")

@@ -209,5 +209,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return result.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, with all their columns, of which one of each component stays: one row of its smallest key."""
+    found = store(near_duplicates(docs, key, text, k, percent).select(F.col(key).alias("gone"), "kept"))
+    gone = found.where(~F.col("kept")).select("gone").distinct()
+    left = docs.join(gone, docs[key] == gone["gone"], "left_anti")
+    repeated = found.where("gone IS NOT NULL").groupBy("gone").agg(F.count("*").alias("n")).where("n > 1").select("gone")
+    repeated = store(repeated)
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, left[key] == repeated["gone"], "left_semi").dropDuplicates([key])
+    return left.join(repeated, left[key] == repeated["gone"], "left_anti").unionByName(once)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=3, percent=85)

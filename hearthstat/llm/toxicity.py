@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from hearthstat.llm.common import documents, map_arrow, table
+from hearthstat.llm.common import documents, map_arrow, table, unused
 
 #: Symbols: 0 is no letter, 1-26 are a-z, the others are shared by all other letters.
 ALPHABET = 40
@@ -135,19 +136,21 @@ def count_sequences(train: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return {(y, h): flat[2 * y + h] for y in (0, 1) for h in (0, 1)}
 
 
-def _scored(docs: DataFrame, columns: list[str], models) -> DataFrame:
-    """Columns of the rows and features; `models` is a broadcast dict, of which the first column names the model."""
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+def _scored(docs: DataFrame, text: str, models, model: str | None = None) -> DataFrame:
+    """The rows with their features; `models` is a broadcast dict, of which a row's column `model` names the one to use."""
+    name = unused(docs, "features")
+    at, which = docs.columns.index(text), docs.columns.index(model) if model else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = models.value
         for batch in batches:
-            which = batch.column(0).to_pylist()
-            rows = [features(symbols(t.as_py()), ratios[w]) for w, t in zip(which, batch.column(batch.num_columns - 1), strict=True)]
+            chosen = batch.column(which).to_pylist() if which >= 0 else [0] * len(batch)
+            rows = [features(symbols(t.as_py()), ratios[w]) for w, t in zip(chosen, batch.column(at), strict=True)]
             found = pa.array([list(r) for r in rows], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*columns, "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    return map_arrow(docs.select(*columns, "text"), run, f"{schema}, features array<double>")
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
+    return map_arrow(docs, run, schema)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -165,37 +168,58 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
     return scale, w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """Per row: key, held_out, score (0 to 1, higher: more likely toxic).
-
-    Trains on the labelled rows whose crc32 of the key, as text, modulo 3 is not 1; the others are held out. A
-    missing or empty text is scored like one without words. Rows without a label or with a missing key are
-    not trained on. Repeated labels of a key count once (the larger label). Without training rows of both labels
-    all scores are 0.5. Other columns are not read.
-    """
+def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str):
+    """The broadcast log ratios of the whole model, the features' scale and weights; None without rows of both labels."""
     spark = docs.sparkSession
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("label"))
     train = read.where(_split() != 1).join(known.hint("shuffle_hash"), F.col("key") == F.col("k"))
-    train = train.select((_split() / 2).cast("int").alias("half"), "label", "key", "text")
-    counts = count_sequences(train.select("half", "label", "text"))
+    half = (_split() / 2).cast("int").alias("half")
+    counts = count_sequences(train.select(half, "label", "text"))
     both = [counts[y, 0] + counts[y, 1] for y in (0, 1)]
-    flat = read.select("key", F.lit(0).alias("model"), "text")
     if not (both[0].any() and both[1].any()):
-        return read.select(F.col("key").alias(key), F.coalesce(_split() == 1, F.lit(False)).alias("held_out"), F.lit(0.5).alias("score"))
+        return None
     halves = {h: log_ratios(counts[1, 1 - h], counts[0, 1 - h]) for h in (0, 1)}
-    whole = spark.sparkContext.broadcast({0: log_ratios(both[1], both[0])})
     # At most 2 x FIT_ROWS keys and labels: small enough to broadcast whatever the corpus.
-    fit = read.join(F.broadcast(_fit_sample(known)), F.col("key") == F.col("k"))
-    fit = fit.select((_split() / 2).cast("int").alias("half"), "label", "text")
-    seen = _scored(fit, ["half", "label"], spark.sparkContext.broadcast(halves)).toPandas()
+    fit = read.join(F.broadcast(_fit_sample(known)), F.col("key") == F.col("k")).select(half, "label", "text")
+    seen = _scored(fit, "text", spark.sparkContext.broadcast(halves), "half").drop("text").toPandas()
     x = np.array(seen["features"].tolist()).reshape(-1, FEATURES)
     scale, w = fit_logistic(x, seen["label"].to_numpy(float))
+    return spark.sparkContext.broadcast({0: log_ratios(both[1], both[0])}), scale, w
+
+
+def _with_score(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, str]:
+    name = unused(docs, "score")
+    trained = _trained(docs, labels, key, text, label)
+    if trained is None:
+        return docs.withColumn(name, F.lit(0.5)), name
+    whole, scale, w = trained
+    found = unused(docs, "features")
     z = F.lit(float(w[-1]))
     for i in range(FEATURES):
-        z = z + F.get("features", F.lit(i)) * float(w[i] / scale[i])
-    scored = _scored(flat, ["model", "key"], whole)
-    return scored.select(F.col("key").alias(key), F.coalesce(_split() == 1, F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
+        z = z + F.get(found, F.lit(i)) * float(w[i] / scale[i])
+    return _scored(docs, text, whole).withColumn(name, 1 / (1 + F.exp(-z))).drop(found), name
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """Per row: key, held_out, score (0 to 1, higher: more likely toxic).
+
+    Trains on the labelled rows whose crc32 of the key, as text, modulo 3 is not 1; the others are held out. A
+    missing or empty text is scored like one without words. Rows without a label or with a missing key are
+    not trained on. Repeated labels of a key count once (the larger label). Without training rows of both labels
+    all scores are 0.5. Other columns are not read.
+    """
+    scored, name = _with_score(docs.select(key, text), labels, key, text, label)
+    held_out = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return scored.select(key, held_out.alias("held_out"), F.col(name).alias("score"))
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text", label: str = "toxic"
+) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    scored, name = _with_score(docs, labels, key, text, label)
+    return scored.where(F.col(name) < threshold).drop(name)
 
 
 def _fit_sample(known: DataFrame) -> DataFrame:
