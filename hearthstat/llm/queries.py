@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hearthstat.llm.decontaminate import OP3_SQL, op3_decontamination
 from hearthstat.llm.near_dedup import op4_near_dedup
+from hearthstat.llm.neighbours import op7_neighbours
 from hearthstat.llm.pieces import op5_pieces
 from hearthstat.llm.pii import op8_personal_data
 from hearthstat.llm.secrets import op9_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_pieces": op5_pieces,
     "op6_toxicity": op6_toxicity,
+    "op7_neighbours": op7_neighbours,
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
     "op10_kd_sharding": op10_kd_sharding,
