@@ -9,11 +9,13 @@ from hearthstat.llm.pieces import op5_pieces
 from hearthstat.llm.pii import op8_personal_data
 from hearthstat.llm.secrets import op9_secret_scan
 from hearthstat.llm.sharding import op10_kd_sharding
+from hearthstat.llm.substrings import op2_substring_dedup
 from hearthstat.llm.token_files import op1_token_files
 from hearthstat.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op5_pieces": op5_pieces,
