@@ -19,15 +19,19 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NORMAL_975 = 1.959963984540054  # 0.975 quantile of the standard normal
+NEAR_NORMAL = 1e6  # degrees of freedom from which the t distribution is expanded about the normal
 
 
 def _continued_fraction(a: float, b: float, x: float) -> float:
-    """Modified Lentz evaluation of the incomplete-beta continued fraction."""
-    tiny = 1e-300
+    """Modified Lentz evaluation of the incomplete-beta continued fraction.
+
+    It takes about as many terms as the root of the larger parameter; an error is raised if those do not suffice.
+    """
+    tiny, terms = 1e-300, 10_000 + 20 * math.isqrt(int(max(a, b)))
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 10_000):
+    for m in range(1, terms):
         for step in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -38,8 +42,8 @@ def _continued_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"no convergence for a = {a}, b = {b}, x = {x}")
 
 
 def _gamma_step(a: float, b: float) -> float:
@@ -69,6 +73,10 @@ def t_two_sided(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
+    if df >= NEAR_NORMAL:
+        # Expansion in 1/df of the equivalent normal deviate; its error is far below a rounding step here.
+        y = (df - 0.5) * math.log1p(t * t / df)
+        return math.erfc(math.sqrt(y / 2.0) * (1.0 + (y + 3.0) / (48.0 * (df - 0.5) ** 2)))
     return beta_area(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 

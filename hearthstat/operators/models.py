@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthstat.functions.expr import finite
 from hearthstat.functions.tails import NORMAL_975, f_upper, t_critical_95, t_pvalue, t_two_sided
-from hearthstat.operators.moments import POOLED, listwise_moments, pair_moments, with_pooled
+from hearthstat.operators.moments import POOLED, listwise_moments, pair_moments, scope_name, with_pooled
 from hearthstat.operators.quantiles import describe_by, join_groups
 from hearthstat.sources.stored import store
 
@@ -84,19 +84,27 @@ def ols_simple(df: DataFrame, by: str, models: Mapping[str, tuple[str, str]], fi
 
 
 def simple_fit(m: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Intercept, slope, standard errors and fit of y on x from moment rows; NULL where x is constant."""
+    """Intercept, slope, standard errors and fit of y on x from moment rows.
+
+    Where x is constant the slope is NULL and the fit is that of the constant alone.
+    """
+    varies = F.coalesce(F.col("min_x") < F.col("max_x"), F.lit(False))
     sxx = F.when(F.col("min_x") < F.col("max_x"), F.nullif(F.col("sxx"), F.lit(0.0)))
-    dof = F.when(F.col("n") > 2, (F.col("n") - 2).cast("double"))
+    params = F.when(varies, 2).otherwise(1)
+    dof = F.when(F.col("n") > params, (F.col("n") - params).cast("double"))
     return (
         m.withColumn("slope", F.try_divide(F.col("sxy"), sxx))
-        .withColumn("intercept", F.col("mean_y") - F.col("slope") * F.col("mean_x"))
+        .withColumn("intercept", F.col("mean_y") - F.coalesce(F.col("slope") * F.col("mean_x"), F.lit(0.0)))
         .withColumn("df", dof)
-        .withColumn("rss", F.expr("CASE WHEN slope IS NOT NULL THEN greatest(0D, syy - slope * sxy) END"))
+        .withColumn("rss", F.expr("greatest(0D, syy - coalesce(slope * sxy, 0D))"))
         .withColumn("sigma", F.sqrt(F.try_divide(F.col("rss"), F.col("df"))))
         .withColumn("se_slope", F.try_divide(F.col("sigma"), F.sqrt(sxx)))
         .withColumn(
             "se_intercept",
-            F.col("sigma") * F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.pow("mean_x", F.lit(2)), sxx)),
+            F.col("sigma") * F.sqrt(
+                F.try_divide(F.lit(1.0), F.col("n"))
+                + F.when(varies, F.try_divide(F.pow("mean_x", F.lit(2)), sxx)).otherwise(0.0)
+            ),
         )
         .withColumn("t_slope", F.try_divide(F.col("slope"), F.col("se_slope")))
         .withColumn("t_intercept", F.try_divide(F.col("intercept"), F.col("se_intercept")))
@@ -140,36 +148,51 @@ def _solver(n_x: int, n_z: int, terms: Sequence[str], instruments: bool):
     y, xs = 0, np.arange(1, 1 + n_x)
     zs = np.arange(1 + n_x, 1 + n_x + n_z) if instruments else xs
 
+    def independent(c, of):
+        """Of these columns, in order, those that no earlier ones and the constant give."""
+        kept = []
+        for j in of:
+            if c[j, j] > 0:
+                before = c[np.ix_(kept, kept)]
+                rest = c[j, j] - c[j, kept] @ np.linalg.solve(before, c[kept, j]) if kept else c[j, j]
+                # Entries are correlations: rounding noise around 0 must not pass for rank.
+                if rest > 1e-11:
+                    kept.append(j)
+        return np.array(kept, int)
+
     def solve_one(scope, n, means, cross):
-        dof = n - n_x - 1
-        none = [(scope, t, *[None] * 4, n, dof, *[None] * 5) for t in ["(Intercept)", *terms]]
         size = np.sqrt(np.maximum(np.diag(cross), 0.0))
         scale = np.where(size > 1e-12 * np.sqrt(n) * np.abs(means), size, 0.0)  # a constant has only noise
-        if dof <= 0 or not np.all(scale[xs] > 0) or not np.all(scale[zs] > 0):
-            return none
         # Unit-scaled cross products keep the small system well conditioned.
         c = cross / np.outer(np.where(scale > 0, scale, 1.0), np.where(scale > 0, scale, 1.0))
-        szz, szx, szy = c[np.ix_(zs, zs)], c[np.ix_(zs, xs)], c[zs, y]
-        # Entries are correlations: rounding noise around 0 must not pass for rank.
-        if any(np.linalg.matrix_rank(part, tol=1e-12) < k for part, k in ((szz, len(zs)), (szx, n_x))):
+        c[scale == 0, :] = c[:, scale == 0] = 0.0
+        x = independent(c, xs)
+        z = independent(c, zs) if instruments else x
+        rank = len(x)
+        dof = n - rank - 1
+        none = [(scope, t, *[None] * 4, n, dof, *[None] * 5) for t in ["(Intercept)", *terms]]
+        szz, szx, szy = c[np.ix_(z, z)], c[np.ix_(z, x)], c[z, y]
+        if dof <= 0 or len(z) < rank or rank and np.linalg.matrix_rank(szx, tol=1e-12) < rank:
             return none
         proj = np.linalg.solve(szz, szx)
         inv = np.linalg.inv(szx.T @ proj)
-        beta = (inv @ (proj.T @ szy)) * scale[y] / scale[xs]
-        inv = inv / np.outer(scale[xs], scale[xs])
-        sxx, sxy = cross[np.ix_(xs, xs)], cross[xs, y]
+        beta = (inv @ (proj.T @ szy)) * scale[y] / scale[x]
+        inv = inv / np.outer(scale[x], scale[x])
+        sxx, sxy = cross[np.ix_(x, x)], cross[x, y]
         rss = max(cross[y, y] - 2 * beta @ sxy + beta @ sxx @ beta, 0.0)
         s2 = rss / dof
-        mx = means[xs]
+        mx = means[x]
         est = np.concatenate([[means[y] - mx @ beta], beta])
         se = np.sqrt(s2 * np.concatenate([[1.0 / n + mx @ inv @ mx], np.diag(inv)]))
         r2 = 1 - rss / cross[y, y] if cross[y, y] > 0 else np.nan
         # Joint test of all slopes, with the same covariance as the single tests.
-        f = float(beta @ np.linalg.solve(inv, beta) / n_x / s2) if s2 > 0 else np.nan
-        fit = (n, dof, np.sqrt(s2), r2, 1 - (1 - r2) * (n - 1) / dof, f, f_upper(f, n_x, dof))
+        f = float(beta @ np.linalg.solve(inv, beta) / rank / s2) if s2 > 0 and rank else np.nan
+        fit = (n, dof, np.sqrt(s2), r2, 1 - (1 - r2) * (n - 1) / dof, f, f_upper(f, rank, dof))
+        found = dict(zip([0, *x.tolist()], zip(est, se)))
         rows = []
-        for term, b, e in zip(["(Intercept)", *terms], est, se):
-            t = b / e if e > 0 else np.nan
+        for j, term in enumerate(["(Intercept)", *terms]):
+            b, e = found.get(j, (None, None))
+            t = b / e if e is not None and e > 0 else np.nan
             rows.append((scope, term, b, e, t, t_two_sided(t, dof), *fit))
         return rows
 
@@ -203,7 +226,8 @@ def _fit(df, by, y, xs, zs, finite_only) -> DataFrame:
 def ols(df: DataFrame, by: str, y: str, xs: Sequence[str], finite_only: bool = True) -> DataFrame:
     """Coefficient table of y on several regressors and a constant, per group and pooled.
 
-    Rows missing any model variable are left out. A singular system gives NULL estimates.
+    Rows missing any model variable are left out. A regressor that the constant and the regressors before it
+    give is left out of the fit: its row is NULL, and the degrees of freedom follow from the rank.
     """
     return _fit(df, by, y, list(xs), None, finite_only)
 
@@ -235,7 +259,8 @@ def residual_summary(df: DataFrame, by: str, y: str, xs: Sequence[str], finite_o
         return finite(c) if finite_only else F.col(c).cast("double")
 
     def summary(rows: DataFrame, keys: list[str], b: Sequence[Column]) -> DataFrame:
-        fitted = reduce(add, [b[0], *[b[i + 1] * number(x) for i, x in enumerate(xs)]])
+        # A regressor without an estimate is not in the fit.
+        fitted = reduce(add, [b[0], *[F.coalesce(b[i + 1], F.lit(0.0)) * number(x) for i, x in enumerate(xs)]])
         rows = rows.select(*keys, (number(y) - fitted).alias("residual"))
         return describe_by(rows, keys, {"residual": ["min", 0.25, "median", 0.75, "max"]})
 
@@ -243,5 +268,6 @@ def residual_summary(df: DataFrame, by: str, y: str, xs: Sequence[str], finite_o
     pooled = coefs.where(F.col("scope") == POOLED).first()
     pooled = summary(source, [], [F.lit(pooled[n] if pooled else None).cast("double") for n in names])
     groups = coefs.where(F.col("scope") != POOLED).withColumnRenamed("scope", by)
-    own = summary(join_groups(source, groups, [by]), [by], [F.col(n) for n in names])
+    named = source.withColumn("__scope", F.expr(scope_name(by))).drop(by).withColumnRenamed("__scope", by)
+    own = summary(join_groups(named, groups, [by]), [by], [F.col(n) for n in names])
     return pooled.withColumn("scope", F.lit(POOLED)).unionByName(own.withColumnRenamed(by, "scope"))

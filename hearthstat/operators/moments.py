@@ -16,6 +16,11 @@ from hearthstat.functions.expr import finite_sql, quoted, valid_sql
 POOLED = "ALL"
 
 
+def scope_name(by: str) -> str:
+    """The group as a scope; a group that has the name of the pooled result is put in quotes."""
+    return f"CASE WHEN string({quoted(by)}) = '{POOLED}' THEN '\"{POOLED}\"' ELSE string({quoted(by)}) END"
+
+
 def pair_moments(
     df: DataFrame, by: str, pairs: Mapping[str, tuple[str, str]], finite_only: bool = True
 ) -> DataFrame:
@@ -79,13 +84,13 @@ def listwise_moments(df: DataFrame, by: str, cols: Sequence[str], finite_only: b
 def with_pooled(moments: DataFrame, by: str, name: str = "scope") -> DataFrame:
     """Moments per group and for all groups together; `scope` is the group or ALL.
 
-    A missing group counts in ALL only. For the aggregated rows of the functions above.
+    A missing group counts in ALL only; a group of that name is in quotes. For the aggregated rows of the functions above.
     """
     how = {"n_dropped": "sum", "min_x": "min", "max_x": "max", "min_y": "min", "max_y": "max"}
     extra = [f"{f}({c}) AS {c}" for c, f in how.items() if c in moments.columns]
     rest = [c for c in moments.columns if c != by]
     scopes = moments.selectExpr(
-        f"explode(array_compact(array(string({quoted(by)}), '{POOLED}'))) AS {name}",
+        f"explode(array_compact(array({scope_name(by)}, '{POOLED}'))) AS {name}",
         *rest,
     )
     over = f"OVER (PARTITION BY {name}, pair)"

@@ -5,10 +5,12 @@ gathered. Each wanted order statistic lies in a bracket [lo, hi] of values, firs
 its group. A pass counts the rows of each open bracket in a fixed number of slices (partial sums before a
 shuffle of counts) and keeps the slice that holds the rank, until a bracket holds at most
 `bracket_rows` rows; those few values are then sorted. A bracket end is always a value of the data, so
-each pass narrows it, whatever the distribution, and many equal values settle at once.
+many equal values settle at once.
 
-The cost is a few scans of the needed columns: one for the moments, one per narrowing pass, which cuts a bracket
-about a thousandfold, and one to fetch the last few values.
+A bracket that spans magnitudes is sliced by the logarithm, a narrower one by value. Doubles have some 2,900
+units of signed logarithm and 2^53 values within one of them, so that one pass and at most five more reach
+single values whatever the distribution. The cost is a few scans of the needed columns: one for the
+moments, one per narrowing pass, and one to fetch the last few values.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from hearthstat.functions.expr import finite_sql, quoted, valid_sql
 from hearthstat.sources.stored import store
 
 BRACKET_ROWS = 250_000  # most rows that one bracket may bring to one task
 SLICES = 4096  # slices of one bracket in one narrowing pass
-MAX_PASSES = 60
 
 MOMENTS = {"mean": "avg", "sd": "stddev_samp", "var": "var_samp", "min": "min", "max": "max", "sum": "sum", "n": "count"}
 INF = "double('infinity')"
@@ -90,15 +91,8 @@ def describe_by(
     if not ranked:
         return base.selectExpr(*names, *order)
 
-    # The size of the largest group comes with the write: no further job to decide on narrowing passes.
-    sizes = Observation()
-    most = ", ".join(f"n_{i}" for i in probs if probs[i])
-    base = base.observe(sizes, F.expr(f"max(array_max(array({most}))) AS most"))
     base = store(base.selectExpr("*", "monotonically_increasing_id() AS __group"))  # numbers fixed by the write
-    narrow = (sizes.get["most"] or 0) > bracket_rows
-    positions = _order_statistics(
-        source, base, list(by), keys, probs, finite_only, bracket_rows if narrow else None, slices
-    )
+    positions = _order_statistics(source, base, list(by), keys, probs, finite_only, bracket_rows, slices)
     both = join_groups(positions, base, keys)
     named = {quoted(name): _interpolated(i, p) for i in probs for name, p in probs[i].items()}
     return both.selectExpr(*names, *[f"{named[c]} AS {c}" if c in named else c for c in order])
@@ -147,13 +141,9 @@ def _order_statistics(source, base, by, keys, probs, finite_only, bracket_rows,
 
     is_open = f"rows > {bracket_rows} AND lo < hi"
     closed: list[DataFrame] = []
-    passes = 0
-    while bracket_rows is not None and not brackets.where(is_open).isEmpty():
+    while not brackets.where(is_open).isEmpty():
         closed.append(brackets.where(f"NOT ({is_open})"))
-        brackets = store(_narrow(values, brackets.where(is_open), keys, passes == 0, slices))
-        passes += 1
-        if passes > MAX_PASSES:
-            raise RuntimeError("quantile brackets did not narrow")
+        brackets = store(_narrow(values, brackets.where(is_open), keys, slices))
     if closed:
         # Brackets of different passes get new numbers.
         parts = reduce(DataFrame.unionByName, [*closed, brackets]).drop("bracket")
@@ -178,21 +168,28 @@ def _rows_in(values: DataFrame, brackets: DataFrame) -> DataFrame:
     return values.join(brackets, reduce(and_, conds)).select("bracket", "x", "flo", "fhi")
 
 
-def _slice(first: bool, slices: int) -> str:
+def _slice(slices: int) -> str:
     """Slice number of x within its bracket; infinities get slices of their own.
 
-    The first pass evens out long tails by slicing the signed logarithm.
+    The signed logarithm, shifted so that it grows with x and is 0 at 0, slices brackets of more than one unit of it.
     """
-    x, lo, hi = (f"(signum({c}) * log1p(abs({c})))" if first else c for c in ("x", "flo", "fhi"))
-    part = f"floor(coalesce(try_divide({x} - {lo}, {hi} - {lo}), 0) * {slices})"
-    return f"CASE WHEN x = {INF} THEN {slices}L WHEN x = -{INF} THEN -1L ELSE least({slices - 1}L, {part}) END AS slice"
+
+    def scaled(c: str) -> str:
+        return f"coalesce(signum({c}) * (ln(abs({c})) + 746D), 0D)"
+
+    def part(x: str, lo: str, hi: str) -> str:
+        return f"floor(coalesce(try_divide({x} - {lo}, {hi} - {lo}), 0) * {slices})"
+
+    wide = f"{scaled('fhi')} - {scaled('flo')} > 1"
+    number = f"CASE WHEN {wide} THEN {part(scaled('x'), scaled('flo'), scaled('fhi'))} ELSE {part('x', 'flo', 'fhi')} END"
+    return f"CASE WHEN x = {INF} THEN {slices}L WHEN x = -{INF} THEN -1L ELSE least({slices - 1}L, {number}) END AS slice"
 
 
-def _narrow(values: DataFrame, brackets: DataFrame, keys: list[str], first: bool, slices: int) -> DataFrame:
+def _narrow(values: DataFrame, brackets: DataFrame, keys: list[str], slices: int) -> DataFrame:
     """The slices of each bracket that hold its wanted ranks, as the next brackets."""
     counts = (
         _rows_in(values, brackets)
-        .selectExpr("bracket", "x", _slice(first, slices))
+        .selectExpr("bracket", "x", _slice(slices))
         .groupBy("bracket", "slice")
         .agg(F.expr("count(1) AS in_slice"), F.expr("min(x) AS new_lo"), F.expr("max(x) AS new_hi"))
         .selectExpr("*", "sum(in_slice) OVER (PARTITION BY bracket ORDER BY slice) - in_slice AS before")

@@ -24,7 +24,11 @@ class Design:
     replicates: tuple[str, ...] = ()
     scale: float = 1.0
     rscale: float | None = None
-    cluster: str | None = None
+
+    @property
+    def keys(self) -> list[str]:
+        """The implicate column, if there is one: a simple design is a single implicate."""
+        return [self.implicate] if self.implicate else []
 
     @property
     def replicate_scale(self) -> float:
@@ -58,18 +62,22 @@ def weighted_table(df: DataFrame, levels: Mapping[str, Sequence], design: Design
 
     Rows with a missing or unknown level in any dimension belong to no cell.
     """
-    im = design.implicate
-    cells = _cells(df, levels, [im], {name: design.weight})
+    cells = _cells(df, levels, design.keys, {name: design.weight})
     # One map per implicate, as long as there are cells: the grid is filled without a second scan.
     cell = ", ".join(f"'{i}', {quoted(d)}" for i, d in enumerate(levels))
     held = f"map_from_entries(collect_list(named_struct('k', named_struct({cell}), 'w', {quoted(name)}))) AS __cells"
-    grid = level_grid(cells.groupBy(im).agg(F.expr(held)), levels)
+    grid = level_grid(cells.groupBy(*design.keys).agg(F.expr(held)), levels)
     weight = f"coalesce(try_element_at(__cells, named_struct({cell})), 0D) AS {quoted(name)}"
-    return grid.selectExpr(quoted(im), *map(quoted, levels), weight)
+    return grid.selectExpr(*map(quoted, [*design.keys, *levels]), weight)
 
 
 def _cells(df: DataFrame, levels: Mapping[str, Sequence], keys: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
-    """Weight sums per key and cell; rows outside the levels fall into a cell of NULLs."""
+    """Weight sums per key and cell; rows outside the levels fall into a cell of NULLs.
+
+    A row with a missing key belongs to no implicate and is left out.
+    """
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
     dims = [F.when(F.col(d).isin(*lv), F.col(d)).alias(d) for d, lv in levels.items()]
     return (
         df.select(*keys, *dims, *sums.values())
@@ -84,10 +92,10 @@ def implicate_mean(df: DataFrame, levels: Mapping[str, Sequence], design: Design
     A cell that is absent from an implicate counts as 0 there.
     """
     dims = list(levels)
-    im = design.implicate
-    cells = _cells(df, levels, [im], {name: design.weight})
+    cells = _cells(df, levels, design.keys, {name: design.weight})
     # From here on: at most (implicates x cells) rows.
-    implicates = F.size(F.collect_set(im).over(Window.partitionBy(F.lit(1))))
+    every = [F.collect_set(k).over(Window.partitionBy(F.lit(1))) for k in design.keys]
+    implicates = F.size(every[0]) if every else F.lit(1)
     mean = (
         cells.withColumn("__m", implicates)
         .groupBy(*dims)
@@ -121,7 +129,7 @@ def replicate_variance(
     implicate column all results are averages over the implicates.
     """
     dims = list(levels)
-    keys = [design.implicate] if design.implicate else []
+    keys = design.keys
     sums = {"__0": design.weight, **{f"__{r + 1}": c for r, c in enumerate(design.replicates)}}
     cells = _cells(df, levels, keys, sums)
     # (implicates x cells x replicates) rows from here on.

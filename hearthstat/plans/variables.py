@@ -86,9 +86,9 @@ def with_known_change(df: DataFrame) -> DataFrame:
     """`with_changes`, rows without a class removed.
 
     A class exists where the ratio is not negative. The condition is put on the two values, so that it
-    is a plain predicate for the scan and the joins below.
+    is a plain predicate for the scan and the joins below. NaN, which compares as larger than any number, is no value.
     """
-    classed = "hb0900 >= 0 AND hb0800 > 0 OR hb0900 > 0 AND hb0800 = 0 OR hb0900 <= 0 AND hb0800 < 0"
+    classed = "NOT isnan(hb0900) AND NOT isnan(hb0800) AND (hb0900 >= 0 AND hb0800 > 0 OR hb0900 > 0 AND hb0800 = 0 OR hb0900 <= 0 AND hb0800 < 0)"
     return with_changes(df.where(classed))
 
 

@@ -171,11 +171,51 @@ def test_multiple_fit_agrees_with_ml(spark, data):
 
 def test_singular_and_small_fits_are_missing(spark):
     df = spark.createDataFrame([("AT", float(i), float(i % 3), 2.0 * (i % 3), 1.0) for i in range(9)] + [("DE", 1.0, 2.0, 5.0, 1.0)], SCHEMA)
+    alone = {(r.scope, r.term): r for r in models.ols(df, "g", "y", ["x"]).collect()}
     for xs in (["x", "w"], ["x", "z"]):
-        table = [r for r in models.ols(df, "g", "y", xs).collect() if r.scope != "ALL"]
-        assert len(table) == 6 and all(r.estimate is None and r.n > 0 for r in table)
+        table = {(r.scope, r.term): r for r in models.ols(df, "g", "y", xs).collect()}
+        # A regressor that those before it give has no estimate; the others are those of the fit without it.
+        for term in ("(Intercept)", "x"):
+            for name in ("estimate", "std_error", "p", "df", "sigma", "r2", "adj_r2", "f_p"):
+                assert getattr(table["AT", term], name) == pytest.approx(getattr(alone["AT", term], name)), (xs, term, name)
+        assert table["AT", xs[1]].estimate is None and table["AT", xs[1]].df == 7
+        assert all(table["DE", term].estimate is None for term in ("(Intercept)", *xs))
     simple = {r.scope: r for r in models.ols_simple(df, "g", {"m": ("z", "y")}).collect()}
-    assert simple["AT"].slope is None
+    flat = simple["AT"]
+    assert flat.slope is None and (flat.intercept, flat.df, flat.r2) == pytest.approx((4.0, 8.0, 0.0))
+    assert flat.se_intercept == pytest.approx(np.std(np.arange(9), ddof=1) / 3)
+    fit = models.iv(df, "g", "y", ["x", "w"], ["x", "w"]).where("scope = 'AT'").collect()
+    assert {r.term: r.estimate is None for r in fit} == {"(Intercept)": False, "x": False, "w": True}
+
+
+def test_a_group_named_like_the_pooled_result(spark):
+    rows = [("ALL", 1.0, 1.0), ("ALL", 2.0, 3.0), ("B", 4.0, 2.0), ("B", 3.0, 5.0)]
+    df = spark.createDataFrame(rows, "g string, y double, x double")
+    got = {r.scope: r.n for r in models.corr_panel(df, "g", {"p": ("x", "y")}).collect()}
+    assert got == {"ALL": 4, '"ALL"': 2, "B": 2}
+    res = {r.scope for r in models.residual_summary(df, "g", "y", ["x"]).collect()}
+    assert res == {"ALL", '"ALL"', "B"}
+
+
+@pytest.mark.parametrize("df", [1e8, 1e10, 1e11, 1e12, 1e14])
+def test_tails_with_many_degrees_of_freedom(df):
+    normal = math.erfc(2 / math.sqrt(2))
+    density = math.exp(-2) / math.sqrt(2 * math.pi)
+    assert tails.t_two_sided(2.0, df) == pytest.approx(normal + 2 * density * 10 / (4 * df), rel=1e-9)
+    assert tails.t_quantile(0.95, df) == pytest.approx(tails.NORMAL_975, rel=max(1e-9, 2 / df))
+
+
+def test_tails_meet_where_the_method_changes():
+    for t in (0.1, 1.0, 2.0, 5.0, 10.0):
+        x = tails.NEAR_NORMAL
+        exact = tails.beta_area(x / 2, 0.5, x / (x + t * t), t * t / (x + t * t))
+        assert tails.t_two_sided(t, x) == pytest.approx(exact, rel=1e-9)
+
+
+def test_a_fraction_that_does_not_converge_is_an_error(monkeypatch):
+    monkeypatch.setattr(tails.math, "isqrt", lambda n: -499)
+    with pytest.raises(ArithmeticError):
+        tails.f_upper(1.0, 5e7, 5e9)
 
 
 def test_instrument_cases(data, spark):

@@ -92,6 +92,16 @@ def test_moments_alone_take_one_lazy_pass(spark):
     assert got == {"a": (2.0, 4.0), "b": (None, None)}
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_values_of_all_magnitudes(spark, sign):
+    """Powers of two near 0 narrow as fast as any others."""
+    xs = [sign * 2.0**-k for k in range(1, 1001)]
+    df = store(spark.createDataFrame([(x,) for x in xs], "x double"))
+    got = describe_by(df, [], {"x": [0.01, 0.5, 0.999]}, bracket_rows=5, stored=True).first()
+    for p, value in ((0.01, got.p1_x), (0.5, got.p50_x), (0.999, got.p99_9_x)):
+        assert value == pytest.approx(np.quantile(xs, p), rel=1e-12)
+
+
 def test_unknown_statistic(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     with pytest.raises(ValueError):

@@ -109,3 +109,19 @@ def test_extreme_profile_keeps_ties(spark):
     got = rows(summary.extreme_profile(df, ["m"]).select("region", "extreme"))
     assert got == [("a", "min"), ("b", "max"), ("c", "max")]
     assert rows(summary.value_range(df, "m")) == [(1.0, 5.0)]
+
+
+def test_rows_without_implicate_belong_to_none(spark):
+    rows = [("a", 1, 10.0), ("a", 2, 20.0), ("a", None, 10.0)]
+    df = spark.createDataFrame(rows, "c string, im int, w double")
+    design = survey.Design("w", "im")
+    assert [r.weighted_count for r in survey.implicate_mean(df, {"c": ["a"]}, design).collect()] == [15.0]
+    table = {r.im: r.weighted_count for r in survey.weighted_table(df, {"c": ["a"]}, design).collect()}
+    assert table == {1: 10.0, 2: 20.0}
+
+
+def test_design_without_implicates(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.5), ("x", 9.0)], "c string, w double")
+    levels = {"c": ["a", "b"]}
+    for table in (survey.weighted_table(df, levels, survey.Design("w")), survey.implicate_mean(df, levels, survey.Design("w"))):
+        assert {r.c: r.weighted_count for r in table.collect()} == {"a": 3.5, "b": 0.0}
