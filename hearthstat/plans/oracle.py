@@ -48,7 +48,7 @@ def _nul(k: int, key: str, expr: str) -> str:
 
 HOUSE = f"""house AS (
   SELECT l_orderkey AS id, l_linenumber AS person_no, 1 + l_suppkey % 5 AS im0100,
-    CASE WHEN r_name = 'ASIA' THEN 'AT' ELSE 'DE' END AS sa0100,
+    CASE r_name WHEN 'ASIA' THEN 'AT' WHEN 'EUROPE' THEN 'DE' ELSE r_name END AS sa0100,
     {_case("n_name", REGION_CODES)} AS dhregion,
     l_quantity AS hw0010,
     CASE WHEN l_orderkey % 97 = 0 THEN 0.0::DOUBLE WHEN l_orderkey % 13 <> 0 THEN p_retailprice * 25 END AS hb0800,
@@ -84,6 +84,9 @@ HOUSE = f"""house AS (
     JOIN region ON n_regionkey = r_regionkey
   WHERE r_name IN ('ASIA', 'EUROPE'))"""
 
+# The same records of all countries.
+WORLD = HOUSE.replace("WHERE r_name IN ('ASIA', 'EUROPE')", "")
+
 # change_ratio is the finite ratio; a positive value over zero is infinite and only binned.
 CHANGES = f"""{HOUSE}, changes AS (
   SELECT *, CASE WHEN hb0800 <> 0 THEN hb0900 / hb0800 END AS change_ratio,
@@ -217,9 +220,10 @@ def _plus(cols) -> str:
 _CODE = {name: code for code, name in INCOME_NAMES.items()}
 _core = [_CODE[n] for n in ("employee_income", "social_transfers", "private_transfers", "pension_incomes")]
 _rest = [c for c in INCOMES if c not in _core]
-INCOME = f"""{HOUSE}, incomes AS (SELECT *, {_plus(_core)} AS income, {_plus(_core)} + {_plus(_rest)} AS income_psid,
-    {_plus(INCOMES)} AS total_gross_income FROM house)"""
-ORACLE_SQL["mpc_by_status"] = f"""WITH {INCOME}, s AS (SELECT
+_INCOMES = f"""incomes AS (SELECT *, {_plus(_core)} AS income, {_plus(_core)} + {_plus(_rest)} AS income_psid,
+    {_plus(INCOMES)} AS total_gross_income"""
+INCOME = f"{WORLD}, {_INCOMES} FROM house)"
+ORACLE_SQL["mpc_by_status"] = f"""WITH {KNOWN}, {_INCOMES} FROM known), s AS (SELECT
     CASE WHEN netliquidassets <= total_gross_income / 24 THEN 1 ELSE 0 END AS htm_status,
     di2000 / nullif(total_gross_income, 0) AS mpc FROM incomes)
   SELECT htm_status, {_r("median(mpc)", 8, "median_mpc")}, {_r("avg(mpc)", 6, "mean_mpc")} FROM s GROUP BY 1"""
@@ -259,7 +263,7 @@ ORACLE_SQL["stack_implicates"] = " UNION ALL ".join(
 ORACLE_SQL["attach_reference_person"] = """WITH k AS (
     SELECT *, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey + 1000 END AS hh,
       CASE WHEN o_orderkey % 19 <> 0 THEN o_totalprice / 4 END AS w FROM orders),
-  h AS (SELECT * FROM k WHERE o_orderstatus <> 'P'),
+  h AS (SELECT * REPLACE (CASE WHEN o_orderstatus <> 'P' THEN hh END AS hh) FROM k),
   p AS (SELECT * FROM lineitem WHERE l_linenumber = 1)
   SELECT k.o_orderkey AS "ID", 1 + k.o_orderkey % 5 AS "IM0100", k.hh AS "SA0010", k.o_totalprice AS "DN3001",
     year(h.o_orderdate)::INTEGER AS "HB0700", l_orderkey * 10 + l_linenumber AS "PERSON_ID", l_quantity AS "PA0200"
@@ -268,18 +272,18 @@ ORACLE_SQL["attach_reference_person"] = """WITH k AS (
 ORACLE_SQL["income_aggregates"] = f"""WITH {INCOME} SELECT id, person_no,
   {", ".join(_r(c, 6, c) for c in ("income", "income_psid", "total_gross_income"))} FROM incomes"""
 _married = "CASE WHEN pa0100 IN (2, 3) THEN 1 ELSE 0 END"
-ORACLE_SQL["person_indicators"] = f"""WITH {HOUSE} SELECT
+ORACLE_SQL["person_indicators"] = f"""WITH {WORLD} SELECT
     CASE WHEN ra0200 IS NOT NULL THEN (ra0200 = 1)::INTEGER END AS female, pa0200 AS edcat,
     CASE WHEN pe0100a IS NOT NULL THEN (pe0100a = 1)::INTEGER END AS working, {_married} AS married,
     CASE WHEN pa0200 >= 5 THEN 1 ELSE 0 END AS college, count(*) AS n FROM house GROUP BY ALL"""
-ORACLE_SQL["age_bands"] = f"""WITH {HOUSE} SELECT age,
+ORACLE_SQL["age_bands"] = f"""WITH {WORLD} SELECT age,
     CASE WHEN age >= 20 AND age < 80 THEN (age // 5 - 3)::INTEGER ELSE 0 END AS agedum, count(*) AS n
   FROM house GROUP BY ALL"""
 FAMILY = f"""{KNOWN}, fam AS (SELECT *, {_married} AS married, dh0001 - dh0006 AS children FROM known)"""
 _FAMSTRUCT = """CASE WHEN married = 0 AND children > 0 THEN 1 WHEN married = 0 AND children = 0 AND age <= 55 THEN 2
     WHEN married = 0 AND children = 0 AND age > 55 THEN 3 WHEN married = 1 AND children > 0 THEN 4
     WHEN married = 1 AND children = 0 THEN 5 END"""
-ORACLE_SQL["family_structure"] = f"""WITH {HOUSE},
+ORACLE_SQL["family_structure"] = f"""WITH {WORLD},
   fam AS (SELECT *, {_married} AS married, dh0001 - dh0006 AS children FROM house),
   s AS (SELECT married, children, {_FAMSTRUCT} AS famstruct FROM fam)
   SELECT married, children, famstruct, {_case("famstruct", FAMILY_LABELS)} AS family, count(*) AS n FROM s GROUP BY ALL"""
@@ -319,8 +323,8 @@ ORACLE_SQL["asset_quintiles"] = _box(
     classed AS (SELECT CASE {_quints} END AS quintile, di2000 FROM known, q)""",
     "classed", "quintile", "di2000", 7,
 )
-ORACLE_SQL["consumption_measures"] = f"""WITH {CHANGES} SELECT id, person_no, {_r("ln(docogood + 1)", 7, "log_consumption")},
-  {_r("per_capita_consumption", 7, "per_capita_consumption")}, {_r("total_c", 7, "total_c")} FROM changes"""
+ORACLE_SQL["consumption_measures"] = f"""WITH {KNOWN} SELECT id, person_no, {_r("ln(docogood + 1)", 7, "log_consumption")},
+  {_r("per_capita_consumption", 7, "per_capita_consumption")}, {_r("total_c", 7, "total_c")} FROM known"""
 GROUPED = f"""{KNOWN}, grouped AS (SELECT *, CASE sa0100 WHEN 'AT' THEN 'Austria' ELSE 'Germany' END AS country,
     CASE change_category WHEN 'Increase 0-50%' THEN '0-50%' WHEN 'Increase 50-100%' THEN '50-100%' ELSE '>100%' END
       AS change_class

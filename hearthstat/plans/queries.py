@@ -199,7 +199,7 @@ INCOMES = ["di1100", "di1200", "di1300", "di1400", "di1420", "di1500", "di1600",
 @register
 def mpc_by_status(spark, sf_dir):
     """Share of income consumed, for hand-to-mouth households and others."""
-    df = v.with_incomes(house(spark, sf_dir, ["netliquidassets", "di2000", *INCOMES]))
+    df = v.with_incomes(known_change(spark, sf_dir, ["netliquidassets", "di2000", *INCOMES]))
     df = df.withColumns({"htm_status": v.hand_to_mouth(), "mpc": ratio("di2000", "total_gross_income")})
     return rounded(describe_by(df, ["htm_status"], {"mpc": ["median", "mean"]}), {"median": 8, "mean": 6})
 
@@ -212,7 +212,7 @@ def null_profile(spark, sf_dir):
 
 @register
 def six_number_summary(spark, sf_dir):
-    df = v.with_incomes(house(spark, sf_dir, ["di2000", *INCOMES]))
+    df = v.with_incomes(house(spark, sf_dir, ["di2000", *INCOMES], countries=None))
     out = summary.six_numbers(df, ["income", "income_psid", "total_gross_income", "di2000"])
     return rounded(out, {"mean": 4}, default=7)
 
@@ -265,7 +265,7 @@ def household_tables(spark, sf_dir):
     """Household tables D and H and the person table, with missing values among the keys."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
 
-    def keys(key: str, person: bool = False):
+    def keys(key: str):
         k = F.col(key)
         return {
             "SURVEY": F.lit(3),
@@ -282,8 +282,10 @@ def household_tables(spark, sf_dir):
         F.when(F.col("o_orderkey") % 19 != 0, F.col("o_totalprice") / 4).alias("HW0010"),
         F.col("o_totalprice").alias("DN3001"),
     )
-    h = orders.where(F.col("o_orderstatus") != "P").select(
-        F.col("o_orderkey").alias("ID"), *cols(keys("o_orderkey")),
+    # Some rows of H miss a key that D has, so that not every household of D finds its row.
+    lost = {"SA0010": F.when(F.col("o_orderstatus") != "P", keys("o_orderkey")["SA0010"])}
+    h = orders.select(
+        F.col("o_orderkey").alias("ID"), *cols(keys("o_orderkey") | lost),
         F.when(F.col("o_orderkey") % 19 != 0, F.col("o_totalprice") / 4).alias("HW0010"),
         F.year("o_orderdate").alias("HB0700"),
     )
@@ -307,7 +309,7 @@ def attach_reference_person(spark, sf_dir):
 
 @register
 def income_aggregates(spark, sf_dir):
-    df = v.with_incomes(house(spark, sf_dir, ["id", "person_no", *INCOMES]))
+    df = v.with_incomes(house(spark, sf_dir, ["id", "person_no", *INCOMES], countries=None))
     return rounded(df.select("id", "person_no", "income", "income_psid", "total_gross_income"), 6)
 
 
@@ -316,19 +318,19 @@ PERSON = ["age", "ra0200", "pa0100", "pa0200", "pe0100a", "dh0001", "dh0006"]
 
 @register
 def person_indicators(spark, sf_dir):
-    df = v.with_person_variables(house(spark, sf_dir, PERSON))
+    df = v.with_person_variables(house(spark, sf_dir, PERSON, countries=None))
     return layers.bar_counts(df, ["female", "edcat", "working", "married", "college"])
 
 
 @register
 def age_bands(spark, sf_dir):
-    df = v.with_person_variables(house(spark, sf_dir, PERSON))
+    df = v.with_person_variables(house(spark, sf_dir, PERSON, countries=None))
     return layers.bar_counts(df, ["age", "agedum"])
 
 
 @register
 def family_structure(spark, sf_dir):
-    df = v.with_family(house(spark, sf_dir, ["age", "pa0100", "dh0001", "dh0006"]))
+    df = v.with_family(house(spark, sf_dir, ["age", "pa0100", "dh0001", "dh0006"], countries=None))
     return layers.bar_counts(df, ["married", "children", "famstruct", "family"])
 
 
@@ -374,7 +376,7 @@ def asset_quintiles(spark, sf_dir):
 
 @register
 def consumption_measures(spark, sf_dir):
-    df = v.with_consumption(house(spark, sf_dir, ["id", "person_no", *CONSUMPTION]))
+    df = v.with_consumption(known_change(spark, sf_dir, ["id", "person_no", *CONSUMPTION]))
     cols = ["log_consumption", "per_capita_consumption", "total_c"]
     return rounded(df.select("id", "person_no", *cols), 7)
 

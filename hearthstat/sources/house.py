@@ -2,15 +2,15 @@
 
 A line item is one record of a household (its order) in one implicate; the customer's region is the
 country, the nation is the region within it. The tables hold no missing values, so NULLs and zeros
-are set by arithmetic on the keys. Only the two analysed countries are kept, and the filter comes
-first: it reduces customers and orders before the large table is joined.
+are set by arithmetic on the keys. Unless all countries are asked for, the filter on them comes first: it
+reduces customers and orders before the large table is joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 COUNTRIES = ["AT", "DE"]
 REPLICATES = 100
@@ -46,7 +46,7 @@ COLUMNS = {
     "id": "l_orderkey",
     "person_no": "l_linenumber",
     "im0100": "1 + l_suppkey % 5",
-    "sa0100": "CASE WHEN r_name = 'ASIA' THEN 'AT' ELSE 'DE' END",
+    "sa0100": "CASE r_name WHEN 'ASIA' THEN 'AT' WHEN 'EUROPE' THEN 'DE' ELSE r_name END",
     "dhregion": f"map({_CODES})[n_name]",
     "hw0010": "l_quantity",
     "hb0800": f"CASE WHEN l_orderkey % 97 = 0 THEN 0D ELSE {_unless(13, 'l_orderkey', 'p_retailprice * 25')} END",
@@ -89,8 +89,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def house(spark: SparkSession, sf_dir: str, cols: Sequence[str]) -> DataFrame:
-    """The listed survey columns, one row per record of the two countries."""
+def house(spark: SparkSession, sf_dir: str, cols: Sequence[str], countries: Sequence[str] | None = COUNTRIES) -> DataFrame:
+    """The listed survey columns, one row per record of the countries; of all countries if there are none."""
 
     def t(name: str) -> DataFrame:
         return table(spark, sf_dir, name)
@@ -98,7 +98,10 @@ def house(spark: SparkSession, sf_dir: str, cols: Sequence[str]) -> DataFrame:
     def join(left: DataFrame, right: DataFrame, key: str, ref: str) -> DataFrame:
         return left.join(right, left[key] == right[ref])
 
-    nation = join(t("nation"), t("region").where("r_name IN ('ASIA', 'EUROPE')"), "n_regionkey", "r_regionkey")
+    region = t("region")
+    if countries is not None:
+        region = region.where(F.expr(COLUMNS["sa0100"]).isin(*countries))
+    nation = join(t("nation"), region, "n_regionkey", "r_regionkey")
     customer = join(t("customer"), nation, "c_nationkey", "n_nationkey")
     orders = join(t("orders"), customer, "o_custkey", "c_custkey")
     rows = join(t("lineitem"), orders, "l_orderkey", "o_orderkey")
