@@ -48,9 +48,10 @@ class _Graph:
         return frozenset(range(256)) - found if negate else frozenset(found)
 
     def _one(self, op, arg, start: int, fold: bool) -> int:
-        if op is C.LITERAL or op is C.IN:
+        if op in (C.LITERAL, C.NOT_LITERAL, C.IN):
+            items = arg if op is C.IN else [(C.NEGATE, None)] * (op is C.NOT_LITERAL) + [(C.LITERAL, arg)]
             end = self.state()
-            self.moves[start].append((self._bytes([(op, arg)] if op is C.LITERAL else arg, fold), end))
+            self.moves[start].append((self._bytes(items, fold), end))
         elif op is C.SUBPATTERN:
             end = self.add(arg[3], start, fold)
         elif op is C.BRANCH:
