@@ -14,7 +14,7 @@ import time
 
 from hearthstat.plans.queries import QUERIES
 from hearthstat.session import build_session
-from hearthstat.sources.stored import drop_stored
+from hearthstat.sources.stored import drop_stored, stored_tables
 
 
 def main() -> None:
@@ -34,7 +34,8 @@ def main() -> None:
     times = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with stored_tables(spark):
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(name, times[name], file=sys.stderr, flush=True)
     drop_stored(spark)

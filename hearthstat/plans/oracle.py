@@ -133,6 +133,12 @@ ORACLE_SQL["weighted_table_by_implicate"] = f"""WITH {CHANGES},
   c AS (SELECT im0100, change_category, sa0100, sum(hw0010) AS w FROM changes GROUP BY ALL)
   SELECT im0100, change_category, sa0100, {_r("coalesce(w, 0)", 6, "weighted_count")}
   FROM g LEFT JOIN c USING (im0100, change_category, sa0100)"""
+ORACLE_SQL["simple_design_table"] = f"""WITH {CHANGES}, g AS ({_grid({"change_category": CHANGE_LEVELS, "sa0100": COUNTRIES})}),
+  c AS (SELECT change_category, sa0100, sum(hw0010) AS w FROM changes GROUP BY ALL)
+  SELECT change_category, sa0100, {_r("coalesce(w, 0)", 6, "weighted_count")} FROM g LEFT JOIN c USING (change_category, sa0100)"""
+ORACLE_SQL["weighted_distribution_missing_implicates"] = ORACLE_SQL["weighted_distribution"].replace(
+    "FROM house)", "FROM house WHERE id % 23 <> 0)"
+).replace("FROM changes GROUP BY ALL", "FROM changes WHERE id % 23 <> 0 GROUP BY ALL")
 ORACLE_SQL["replicate_variance_share"] = f"""WITH {CHANGES},
   m AS (SELECT count(DISTINCT im0100) AS m FROM house),
   r AS (SELECT unnest(range(0, 101)) AS r),
@@ -489,6 +495,9 @@ def _coef_table(source: str, y: str, xs: list[str], table: str = "fam2") -> str:
 
 FAMILY2 = f"{FAMILY}, fam2 AS (SELECT *, {_FAMSTRUCT} AS famstruct FROM fam)"
 ORACLE_SQL["ols_two_regressors"] = _coef_table(FAMILY2, "di2000", ["change_absolute", "age"])
+ORACLE_SQL["ols_aliased"] = f"""WITH fitted AS ({ORACLE_SQL["ols_two_regressors"]})
+  SELECT * FROM fitted UNION ALL
+  SELECT scope, 'both', NULL, NULL, NULL, NULL, n, df, sigma, r2, adj_r2, f FROM fitted WHERE term = 'age'"""
 ORACLE_SQL["ols_consumption"] = _coef_table(FAMILY2, "di2000", ["change_absolute", *CONTROLS])
 ORACLE_SQL["ols_savings"] = _coef_table(FAMILY2, "netliquidassets", ["change_absolute", *CONTROLS])
 ORACLE_SQL["ols_consumption_savings"] = _coef_table(FAMILY2, "di2000", ["netliquidassets", *CONTROLS])

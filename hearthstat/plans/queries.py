@@ -97,6 +97,24 @@ def weighted_table_by_implicate(spark, sf_dir):
     return rounded(survey.weighted_table(df, levels, DESIGN), 6)
 
 
+@register
+def simple_design_table(spark, sf_dir):
+    """Weighted table of a design without implicates."""
+    df = v.with_changes(house(spark, sf_dir, [*CHANGE, "hw0010"]))
+    levels = {"change_category": v.CHANGE_LEVELS, "sa0100": COUNTRIES}
+    return rounded(survey.weighted_table(df, levels, survey.Design(weight="hw0010")), 6)
+
+
+@register
+def weighted_distribution_missing_implicates(spark, sf_dir):
+    """The distribution where the implicate of some records is not known: they belong to none."""
+    df = v.with_changes(house(spark, sf_dir, ["id", *CHANGE, "im0100", "hw0010"]))
+    df = df.withColumn("im0100", F.when(F.col("id") % 23 != 0, F.col("im0100")))
+    levels = {"change_category": v.CHANGE_LEVELS, "sa0100": COUNTRIES}
+    mean = survey.implicate_mean(df, levels, DESIGN)
+    return rounded(survey.share(mean, "weighted_count", ["sa0100"]), {"weighted": 6, "prop": 10})
+
+
 @register
 def replicate_variance_share(spark, sf_dir):
     """Totals and shares per cell with their replicate-weight variances."""
@@ -516,6 +534,13 @@ def ols_two_regressors(spark, sf_dir):
     return _coefs(models.ols(_model_data(spark, sf_dir), "sa0100", "di2000", ["change_absolute", "age"]))
 
 
+@register
+def ols_aliased(spark, sf_dir):
+    """The same with the sum of both regressors as a third: it is left out of the fit, its own row is empty."""
+    df = _model_data(spark, sf_dir).withColumn("both", F.col("change_absolute") + F.col("age"))
+    return _coefs(models.ols(df, "sa0100", "di2000", ["change_absolute", "age", "both"]))
+
+
 CONTROLS = ["networth", "age", "edurefperson", "famstruct"]
 
 

@@ -2,13 +2,14 @@
 
 import math
 import random
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
 from hearthstat.operators.quantiles import describe_by, quantile_values
-from hearthstat.sources.stored import checkpoint_root, store
+from hearthstat.sources.stored import checkpoint_root, store, stored_tables
 
 PROBS = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -130,6 +131,23 @@ def test_no_machine_local_folder_on_a_cluster():
         return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
 
     assert checkpoint_root(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
-    assert checkpoint_root(session("local[2]", None)) == checkpoint_root(session("local[2]", None))
-    with pytest.raises(RuntimeError):
-        checkpoint_root(session("yarn", None))
+    for master in ("local", "local[2]", "local[*]"):
+        assert checkpoint_root(session(master, None)) == checkpoint_root(session("local[2]", None))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            checkpoint_root(session(master, None))
+
+
+def test_a_scope_frees_its_tables(spark):
+    kept = store(spark.range(3))
+    with stored_tables(spark):
+        df = spark.createDataFrame([(float(i % 7),) for i in range(300)], "x double")
+        out = describe_by(df, [], {"x": [0.5]}, bracket_rows=5)
+        inside = [f for f in out.inputFiles() if checkpoint_root(spark) in f]
+        assert inside and out.first().p50_x == 3.0
+    assert not any(Path(f.removeprefix("file:").removeprefix("//")).exists() for f in inside)
+    assert kept.count() == 3
+    with pytest.raises(ZeroDivisionError), stored_tables(spark):
+        files = store(spark.range(2)).inputFiles()
+        raise ZeroDivisionError
+    assert not any(Path(f.removeprefix("file:").removeprefix("//")).exists() for f in files)

@@ -9,6 +9,7 @@ import __spark_entry__ as entry_module
 from hearthstat.plans.oracle import ORACLE_SQL as ORACLE
 from hearthstat.plans.queries import QUERIES
 from hearthstat.sources.house import SCHEMAS
+from hearthstat.sources.stored import stored_tables
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -29,8 +30,11 @@ def test_every_query_has_a_counterpart():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    df = QUERIES[name](spark, SF_DIR)
-    relation = con.execute(ORACLE[name])
+    with stored_tables(spark):
+        _compare(QUERIES[name](spark, SF_DIR), con.execute(ORACLE[name]))
+
+
+def _compare(df, relation):
     names = [d[0] for d in relation.description]
     assert sorted(df.columns) == sorted(names)
     cols = sorted(names)
