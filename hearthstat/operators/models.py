@@ -258,16 +258,26 @@ def residual_summary(df: DataFrame, by: str, y: str, xs: Sequence[str], finite_o
     def number(c: str) -> Column:
         return finite(c) if finite_only else F.col(c).cast("double")
 
-    def summary(rows: DataFrame, keys: list[str], b: Sequence[Column]) -> DataFrame:
+    def residual(b: Sequence[Column]) -> Column:
         # A regressor without an estimate is not in the fit.
-        fitted = reduce(add, [b[0], *[F.coalesce(b[i + 1], F.lit(0.0)) * number(x) for i, x in enumerate(xs)]])
-        rows = rows.select(*keys, (number(y) - fitted).alias("residual"))
-        return describe_by(rows, keys, {"residual": ["min", 0.25, "median", 0.75, "max"]})
+        return number(y) - reduce(add, [b[0], *[F.coalesce(b[i + 1], F.lit(0.0)) * number(x) for i, x in enumerate(xs)]])
+
+    def summary(name: str, keys: list[str]) -> DataFrame:
+        rows = stored.select(*keys, F.col(name).alias("residual"))
+        return describe_by(rows, keys, {"residual": ["min", 0.25, "median", 0.75, "max"]}, stored=True)
 
     names = [f"__b{i}" for i in range(len(xs) + 1)]
     pooled = coefs.where(F.col("scope") == POOLED).first()
-    pooled = summary(source, [], [F.lit(pooled[n] if pooled else None).cast("double") for n in names])
     groups = coefs.where(F.col("scope") != POOLED).withColumnRenamed("scope", by)
     named = source.withColumn("__scope", F.expr(scope_name(by))).drop(by).withColumnRenamed("__scope", by)
-    own = summary(join_groups(named, groups, [by]), [by], [F.col(n) for n in names])
-    return pooled.withColumn("scope", F.lit(POOLED)).unionByName(own.withColumnRenamed(by, "scope"))
+    # Both residuals of a row are stored once; a group without a fit, and a missing group, has none of its own.
+    stored = store(
+        join_groups(named, groups, [by], "left").select(
+            by,
+            residual([F.lit(pooled[n] if pooled else None).cast("double") for n in names]).alias("__all"),
+            residual([F.col(n) for n in names]).alias("__own"),
+        )
+    )
+    whole = summary("__all", []).withColumn("scope", F.lit(POOLED))
+    own = summary("__own", [by]).join(groups.select(F.col(by).alias("__fitted")), F.col(by) == F.col("__fitted"), "left_semi")
+    return whole.unionByName(own.withColumnRenamed(by, "scope"))

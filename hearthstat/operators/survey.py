@@ -36,10 +36,14 @@ class Design:
         return self.scale * rscale
 
 
-def attach_weights(df: DataFrame, weights: DataFrame, keys: Sequence[str], replicates: Sequence[str]) -> DataFrame:
+def attach_weights(
+    df: DataFrame, weights: DataFrame, keys: Sequence[str], replicates: Sequence[str], missing_keys: bool = True
+) -> DataFrame:
     """Add the replicate weights of each household by key; missing weights count as 0.
 
-    Raises if the weight table has two rows for a household: a check on its keys alone. The job fails if a
+    A missing key matches a missing key. Without `missing_keys` there are none in either table: the join is then on the
+    plain keys and can share a partitioning by them. Give it summed rows where sums are all that is wanted: each row
+    becomes as wide as there are replicates. Raises if the weight table has two rows for a household: a check on its keys alone. The job fails if a
     household has no row there.
     """
     keys = list(keys)
@@ -51,7 +55,7 @@ def attach_weights(df: DataFrame, weights: DataFrame, keys: Sequence[str], repli
         *[f"coalesce({quoted(r)}, 0D) AS {quoted(r)}" for r in replicates],
         "true AS __found",
     )
-    conds = [df[k].eqNullSafe(right[n]) for k, n in names.items()]
+    conds = [df[k].eqNullSafe(right[n]) if missing_keys else df[k] == right[n] for k, n in names.items()]
     joined = df.join(right, conds, "left")
     present = "CASE WHEN __found THEN true ELSE boolean(raise_error('household without replicate weights')) END"
     return joined.where(present).drop("__found", *names.values())

@@ -501,13 +501,25 @@ ORACLE_SQL["ols_aliased"] = f"""WITH fitted AS ({ORACLE_SQL["ols_two_regressors"
 ORACLE_SQL["ols_consumption"] = _coef_table(FAMILY2, "di2000", ["change_absolute", *CONTROLS])
 ORACLE_SQL["ols_savings"] = _coef_table(FAMILY2, "netliquidassets", ["change_absolute", *CONTROLS])
 ORACLE_SQL["ols_consumption_savings"] = _coef_table(FAMILY2, "di2000", ["netliquidassets", *CONTROLS])
-ORACLE_SQL["ols_residuals"] = f"""WITH {_swept(FAMILY2, "fam2", "di2000", ["change_absolute", "age"])},
-  e AS (SELECT scope, di2000 - (b0 + b1 * change_absolute + b2 * age) AS e FROM fit JOIN fam2 ON {IN_SCOPE})
+
+
+def _residual_table(y: str, xs: list[str]) -> str:
+    fitted = " + ".join(["b0", *[f"b{i} * {x}" for i, x in enumerate(xs, 1)]])
+    return f"""WITH {_swept(FAMILY2, "fam2", y, xs)},
+  e AS (SELECT scope, {y} - ({fitted}) AS e FROM fit JOIN fam2 ON {IN_SCOPE})
   SELECT scope, {_r("min(e)", 5, "min_residual")}, {_r("quantile_cont(e, 0.25)", 5, "p25_residual")},
     {_r("median(e)", 5, "median_residual")}, {_r("quantile_cont(e, 0.75)", 5, "p75_residual")},
     {_r("max(e)", 5, "max_residual")} FROM e GROUP BY scope"""
 
 
+ORACLE_SQL["ols_residuals"] = _residual_table("di2000", ["change_absolute", "age"])
+ORACLE_SQL["ols_residuals_consumption"] = _residual_table("di2000", ["change_absolute", *CONTROLS])
+ORACLE_SQL["ols_residuals_savings"] = _residual_table("netliquidassets", ["change_absolute", *CONTROLS])
+ORACLE_SQL["ols_residuals_consumption_savings"] = _residual_table("di2000", ["netliquidassets", *CONTROLS])
+ORACLE_SQL["residuals_liquid_assets"] = _residual_table("netliquidassets", ["change_absolute"])
+ORACLE_SQL["residuals_networth"] = _residual_table("networth", ["change_absolute"])
+
+
 def _iv(x: str, z: str) -> str:
     y = "per_capita_consumption"
     return f"""WITH RECURSIVE {KNOWN}, {SCOPES},

@@ -120,7 +120,9 @@ def replicate_variance_share(spark, sf_dir):
     """Totals and shares per cell with their replicate-weight variances."""
     names = replicate_names()
     df = v.with_changes(house(spark, sf_dir, ["id", *CHANGE, "im0100", "hw0010"]))
-    df = survey.attach_weights(df, replicate_weights(spark, sf_dir), ["id"], names)
+    # The replicate factors belong to the household: they are joined to its few sums, not to its records.
+    df = df.groupBy("id", "change_category", "sa0100", "im0100").agg(F.sum("hw0010").alias("hw0010"))
+    df = survey.attach_weights(df, replicate_weights(spark, sf_dir), ["id"], names, missing_keys=False)
     df = df.selectExpr("change_category", "sa0100", "im0100", "hw0010", *[f"hw0010 * {n} / 2 AS {n}" for n in names])
     design = survey.Design(weight="hw0010", implicate="im0100", replicates=tuple(names))
     levels = {"change_category": v.CHANGE_LEVELS, "sa0100": COUNTRIES}
@@ -559,11 +561,30 @@ def ols_consumption_savings(spark, sf_dir):
     return _coefs(models.ols(_model_data(spark, sf_dir), "sa0100", "di2000", ["netliquidassets", *CONTROLS]))
 
 
-@register
-def ols_residuals(spark, sf_dir):
-    """Quantiles of the residuals of the consumption model."""
-    out = models.residual_summary(_model_data(spark, sf_dir), "sa0100", "di2000", ["change_absolute", "age"])
-    return rounded(out, 5)
+def _residuals(name, y, xs, doc):
+    def query(spark, sf_dir):
+        return rounded(models.residual_summary(_model_data(spark, sf_dir), "sa0100", y, xs), 5)
+
+    query.__name__, query.__doc__ = name, doc
+    return register(query)
+
+
+ols_residuals = _residuals(
+    "ols_residuals", "di2000", ["change_absolute", "age"], "Quantiles of the residuals of the short consumption model."
+)
+ols_residuals_consumption = _residuals(
+    "ols_residuals_consumption", "di2000", ["change_absolute", *CONTROLS], "Residuals of consumption on the price change."
+)
+ols_residuals_savings = _residuals(
+    "ols_residuals_savings", "netliquidassets", ["change_absolute", *CONTROLS], "Residuals of savings on the price change."
+)
+ols_residuals_consumption_savings = _residuals(
+    "ols_residuals_consumption_savings", "di2000", ["netliquidassets", *CONTROLS], "Residuals of consumption on savings."
+)
+residuals_liquid_assets = _residuals(
+    "residuals_liquid_assets", "netliquidassets", ["change_absolute"], "Residuals of the line through liquid assets."
+)
+residuals_networth = _residuals("residuals_networth", "networth", ["change_absolute"], "Residuals of the line through net worth.")
 
 
 IV_DIGITS = {"estimate": 3, "std_error": 1, "sigma": 3}
