@@ -152,6 +152,29 @@ ORACLE_SQL["replicate_variance_share"] = f"""WITH {CHANGES},
     {_r("any_value(f.share)", 10, "share")}, {_r("sum((s.share - f.share) ** 2) / 100", 12, "var_share")}
   FROM s JOIN f USING (change_category, sa0100) WHERE s.r > 0 GROUP BY change_category, sa0100"""
 
+_KEYED = """l_orderkey * 10 + l_linenumber AS id, l_orderkey AS hh, l_linenumber AS im,
+      CASE l_orderkey % 3 WHEN 0 THEN 'AT' WHEN 1 THEN 'DE' ELSE 'FR' END AS "SA0100\""""
+ORACLE_SQL["survey_pipeline"] = f"""WITH d AS (SELECT {_KEYED}, l_quantity AS w FROM lineitem),
+  h AS (SELECT {_KEYED}, CASE WHEN l_suppkey % 29 = 0 THEN l_quantity + 1 ELSE l_quantity END AS w,
+      CASE WHEN l_orderkey % 13 <> 0 THEN l_quantity * 1000 END AS hb0800,
+      CASE WHEN l_partkey % 11 <> 0 THEN l_extendedprice * (1 + l_suppkey % 3) / 2 END AS hb0900 FROM lineitem),
+  p AS (SELECT l_orderkey * 10 + l_linenumber AS hid FROM lineitem),
+  base AS (SELECT d.*, hb0900 / hb0800 AS ratio FROM d LEFT JOIN h ON d.id = h.id AND d.w = h.w LEFT JOIN p ON d.id = p.hid
+    WHERE d."SA0100" <> 'FR'),
+  wide AS (SELECT *, CASE WHEN ratio <= 0.5 THEN 'Decrease > 50%' WHEN ratio <= 1 THEN 'Decrease 0-50%'
+      WHEN ratio <= 1.5 THEN 'Increase 0-50%' WHEN ratio <= 2 THEN 'Increase 50-100%' WHEN ratio > 2 THEN 'Increase > 100%' END
+      AS change_category FROM base JOIN orders ON hh = o_orderkey),
+  r AS (SELECT unnest(range(0, 11)) AS r),
+  c AS (SELECT change_category, "SA0100", r, sum(CASE WHEN r = 0 THEN w WHEN o_custkey % 7 = 0 AND r % 2 = 0 THEN 0
+      ELSE 10 * (1 + (o_orderkey * r + o_custkey) % 3) END) / (SELECT count(DISTINCT im) FROM base) AS total
+    FROM wide, r WHERE change_category IS NOT NULL GROUP BY ALL),
+  s AS (SELECT *, total / sum(total) OVER (PARTITION BY "SA0100", r) AS share FROM c),
+  f AS (SELECT * FROM s WHERE r = 0)
+  SELECT change_category, "SA0100", {_r("any_value(f.total)", 6, "total")},
+    {_r("sum((s.total - f.total) ** 2) / 10", 4, "var_total")},
+    {_r("any_value(f.share)", 10, "share")}, {_r("sum((s.share - f.share) ** 2) / 10", 12, "var_share")}
+  FROM s JOIN f USING (change_category, "SA0100") WHERE s.r > 0 GROUP BY change_category, "SA0100\""""
+
 # ---- summaries -----------------------------------------------------------------------------------------
 
 _STATS = {

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hearthstat.functions.expr import cut, first_match, quoted, ratio, recode
 from hearthstat.operators import layers, models, prep, summary, survey
 from hearthstat.operators.quantiles import describe_by
-from hearthstat.plans import variables as v
+from hearthstat.plans import analysis, variables as v
 from hearthstat.sources.house import COUNTRIES, house, replicate_names, replicate_weights, table
 from hearthstat.sources.stored import store
 
@@ -130,6 +130,55 @@ def replicate_variance_share(spark, sf_dir):
     return rounded(out, {"total": 6, "var_total": 4, "share": 10, "var_share": 12})
 
 
+PIPELINE_REPLICATES = 10
+
+
+def survey_tables(spark, sf_dir):
+    """Person, household (D, H) and weight tables with mixed spellings: a line item is a household's record in an implicate."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+
+    def keys(key: str) -> list[str]:
+        country = f"CASE {key} % 3 WHEN 0 THEN 'AT' WHEN 1 THEN 'DE' ELSE 'FR' END"
+        return ["3 AS survey", f"{key} AS Sa0010", f"{country} AS sa0100"]
+
+    record = [*keys("l_orderkey"), "l_linenumber AS im0100"]
+    d = lines.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS ID", *record, "l_quantity AS hw0010", "18D + l_partkey % 70 AS DHAGEH1B",
+        "18D + l_partkey % 68 AS DHAGEH1", "int(l_partkey % 5) AS DHEDUH1", "'AT11' AS DHREGION", "double(l_linenumber) AS DH0001",
+        "2D AS dh0006", "l_extendedprice AS DI2000", "l_quantity AS DNNLA", "l_extendedprice AS DN3001",
+        *[f"l_tax * {i} AS {n}" for i, n in enumerate(INCOMES, 1)],
+    )
+    h = lines.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS id", *record, "CASE WHEN l_suppkey % 29 = 0 THEN l_quantity + 1 ELSE l_quantity END AS HW0010",
+        "CASE WHEN l_orderkey % 13 <> 0 THEN l_quantity * 1000 END AS HB0800",
+        "CASE WHEN l_partkey % 11 <> 0 THEN l_extendedprice * (1 + l_suppkey % 3) / 2 END AS hb0900",
+        "int(1960 + l_partkey % 60) AS HB0700", "60D AS HB0100", "l_extendedprice AS docogood", "l_tax AS DOFOODC", "l_discount AS HI0210",
+    )
+    p = lines.selectExpr(
+        "l_orderkey * 10 + l_linenumber AS HID", *record, "explode(array(1, 2)) AS RA0100", "int(1 + l_partkey % 2) AS RA0200",
+        "int(1 + l_partkey % 5) AS PA0100", "int(l_suppkey % 7) AS PA0200", "int(1 + l_linenumber % 3) AS PE0100A",
+    ).selectExpr("HID * 10 + RA0100 AS ID", "*")
+    factors = [
+        f"CASE WHEN o_custkey % 7 <> 0 OR {r} % 2 = 1 THEN 10D * (1 + (o_orderkey * {r} + o_custkey) % 3) END AS wr{r:04d}"
+        for r in range(1, PIPELINE_REPLICATES + 1)
+    ]
+    w = orders.selectExpr(*keys("o_orderkey"), *factors)
+    return p, d, h, w
+
+
+@register
+def survey_pipeline(spark, sf_dir):
+    """The whole way: input tables, household table, replicate weights, distribution of the price change and its variance."""
+    p, d, h, w = survey_tables(spark, sf_dir)
+    households = analysis.household_table(p, d, h)
+    weights = analysis.weight_table(w)
+    first, last = "WR0001", f"WR{PIPELINE_REPLICATES:04d}"
+    df, design = analysis.with_replicates(households, weights, ["SURVEY", "SA0010", "SA0100"], first, last)
+    levels = {"change_category": v.CHANGE_LEVELS, "SA0100": COUNTRIES}
+    out = survey.replicate_variance(df, levels, design, ["SA0100"])
+    return rounded(out, {"total": 6, "var_total": 4, "share": 10, "var_share": 12})
+
+
 # ---- summaries -------------------------------------------------------------------------------------
 
 
