@@ -8,8 +8,9 @@ dropped, and the others are confirmed on their full sets.
 
 Only components are wanted, so not all pairs of a bucket are compared. First each class is compared with the
 bucket leader that it shares most bands with, then with the leaders of its other buckets, and at
-last every two members of a bucket that are still in different components. The last step leaves no
-pair of a bucket out, so its result does not depend on the order; the first two make it small in large groups.
+last every two members of a bucket that are still in different components and whose odd sketches, now of the whole
+sets, leave room for a link. The last step leaves no possible pair of a bucket out, so its result does not
+depend on the order; the first two make it small in large groups.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from hearthstat.llm.common import documents, map_arrow, store
 SAMPLES, ROWS = 128, 4
 #: Bits of an odd sketch.
 BITS = 512
+#: Bits of the odd sketch of a whole set.
+WHOLE_BITS = 2048
 #: A linked pair differs in more samples than the sketch test allows with at most this probability.
 MISS = 1e-9
 #: Shingles that are sampled at once.
@@ -78,6 +81,12 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The odd sketch of the set itself: two sets differ in at least as many members as their sketches in bits."""
+    odd = np.bincount((_mix(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(WHOLE_BITS)).astype(np.int64), minlength=WHOLE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def most_flips(similarity: float) -> int:
     """XOR population counts above this are too many for a pair of at least this similarity."""
     tail, m, p = 0.0, SAMPLES, 1 - similarity
@@ -87,8 +96,8 @@ def most_flips(similarity: float) -> int:
 
 
 def _signatures(docs: DataFrame, key: str, text: str, k: int, full: bool) -> DataFrame:
-    """Per row: key and its set's size, fingerprint and bands; if `full`, instead its sketch and whole set."""
-    schema = "key long, n long, sketch array<long>, shingles array<long>" if full else "key long, n long, hi long, lo long, bands array<long>"
+    """Per row: key and its set's size, fingerprint and bands; if `full`, instead its sketches and whole set."""
+    schema = "key long, n long, sketch array<long>, parity array<long>, shingles array<long>" if full else "key long, n long, hi long, lo long, bands array<long>"
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,14 +109,14 @@ def _signatures(docs: DataFrame, key: str, text: str, k: int, full: bool) -> Dat
                     s = shingles(t, k)
                     sizes.append(len(s))
                     if not len(s):
-                        rows.append(([], []) if full else (0, 0, []))
+                        rows.append(([], [], []) if full else (0, 0, []))
                     elif full:
-                        rows.append((signature(s)[1], s.view(np.int64)))
+                        rows.append((signature(s)[1], parity(s), s.view(np.int64)))
                     else:
                         hi, lo = int(_mix(s).sum().view(np.int64)), int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
                         rows.append((hi, lo, signature(s)[0]))
                 columns = [pa.array(c, longs if isinstance(c[0], (list, np.ndarray)) else pa.int64()) for c in zip(*rows, strict=True)]
-                names = ["key", "n", "sketch", "shingles"] if full else ["key", "n", "hi", "lo", "bands"]
+                names = ["key", "n", "sketch", "parity", "shingles"] if full else ["key", "n", "hi", "lo", "bands"]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *columns], names=names)
 
     return map_arrow(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), run, schema)
@@ -151,6 +160,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _still_possible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (key, key2) of one bucket in different components that their odd sketches do not rule out.
+
+    Linked sets of n and m shingles differ in at most (n + m)(100 - percent) / (100 + percent) of them, and the sketches
+    of whole sets differ in no more bits than the sets in shingles: no linked pair is lost, and unlinked ones
+    are seldom kept unless their sets are much larger than the sketch.
+    """
+    members = store(members)
+    facts = sets.join(members.select("key").distinct(), "key", "left_semi").select("key", "n", "sketch", "parity")
+    one = members.join(store(facts), "key")
+    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
+    return one.join(
+        two,
+        (F.col("bucket") == F.col("bucket2"))
+        & (F.col("key") < F.col("key2"))
+        & (F.col("comp") != F.col("comp2"))
+        & (_flips(F.col("sketch"), F.col("sketch2")) <= most_flips(percent / 100))
+        & ((100 + percent) * _flips(F.col("parity"), F.col("parity2")) <= (100 - percent) * (F.col("n") + F.col("n2"))),
+    )
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key reachable by links), kept.
 
@@ -167,7 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members = store(reps.join(shared.select("bucket"), "bucket").distinct())
     involved = members.select("key").distinct()
     held = docs.join(involved, F.col(key).cast("long") == involved["key"], "left_semi")
-    sets = store(_signatures(held, key, text, k, full=True)).dropDuplicates(["key"])
+    sets = store(_signatures(held, key, text, k, full=True).dropDuplicates(["key"]))
 
     comp = store(involved.withColumn("comp", F.col("key")))
     tested = None
@@ -175,17 +205,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         placed = members.join(comp, "key")
         leader = placed.groupBy("bucket").agg(F.min(F.struct("key", "comp")).alias("lead"))
         if step == "all":
-            marked = placed.join(sets.select("key", "sketch"), "key")
-            other = marked.select("bucket", F.col("key").alias("key2"), F.col("comp").alias("comp2"), F.col("sketch").alias("sketch2"))
             # Only buckets that span components matter.
             open_ = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-            pairs = marked.join(open_, "bucket", "left_semi").join(
-                other,
-                (marked["bucket"] == other["bucket"])
-                & (F.col("key") < F.col("key2"))
-                & (F.col("comp") != F.col("comp2"))
-                & (_flips(F.col("sketch"), F.col("sketch2")) <= most_flips(percent / 100)),
-            )
+            pairs = _still_possible(placed.join(open_, "bucket", "left_semi"), sets, percent)
             pairs = pairs.select(F.col("key").alias("b"), F.col("key2").alias("a"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:

@@ -85,6 +85,8 @@ def test_sketches_of_similar_sets_are_near():
         b = np.concatenate([a[40:], rng.integers(0, 1 << 62, 40, dtype=np.uint64)])
         flips = np.bitwise_count(nd.signature(a)[1].view(np.uint64) ^ nd.signature(np.unique(b))[1].view(np.uint64)).sum()
         assert flips <= nd.most_flips(0.85)
+        whole = np.bitwise_count(nd.parity(a).view(np.uint64) ^ nd.parity(np.unique(b)).view(np.uint64)).sum()
+        assert 60 <= whole <= len(np.setxor1d(a, b))
 
 
 def test_query(spark, sf, given):
