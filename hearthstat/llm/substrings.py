@@ -3,10 +3,9 @@
 A word goes if a window of `window` words that covers it also starts in a document with a smaller key. Sending
 all text past all references would be quadratic, so both are routed first. Every window has an anchor, the
 smallest hash among its word `grams`: equal windows have equal anchors. Anchors that occur in one document only are
-dropped; what is left are passages, the runs of windows with one anchor, cut at word ends. Equal passages are
-counted once, with the smallest key that has them.
+dropped; what is left are passages, the runs of windows with one anchor, cut at word ends.
 
-Passages meet at their anchor. A shard is a bounded batch of anchors: its passages are the references of a
+Passages meet at their anchor. A shard is a bounded batch of anchors: its different passages are the references of a
 generalised suffix automaton over words, whose states know the smallest key among the references that
 contain them. The passages are streamed through it: the matching statistic at each word, held at the window
 length, is the state of the window that ends there, and so the smallest key that has this window.
@@ -24,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +38,27 @@ SHARD_WORDS = 50_000
 TEXTS, ROWS = 256, 1 << 14
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()  # of bytes: ASCII white space
+def _packed(docs: DataFrame) -> DataFrame:
+    """(key, body) with compressed bodies: the texts are shuffled once, and that is most of what this operator moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                bodies = [None if b is None else compress(b) for b in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bodies, pa.binary())], names=["key", "body"])
+
+    return map_arrow(docs, run, "key long, body binary")
+
+
+def _unpacked(bodies: pa.Array) -> list[bytes | None]:
+    decompress = zstandard.ZstdDecompressor().decompress
+    return [None if b is None else decompress(b) for b in bodies.to_pylist()]
+
+
+def split_words(body: bytes | None) -> list[bytes]:
+    return (body or b"").split()  # of bytes: ASCII white space
 
 
 def anchors(words: list[bytes], window: int, gram: int) -> np.ndarray:
@@ -130,81 +149,111 @@ def _rows(columns: list[list], names: list[str], types: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
+def _held(of: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted ones."""
+    return sorted_[np.minimum(np.searchsorted(sorted_, of), len(sorted_) - 1)] == of if len(sorted_) else np.zeros(len(of), bool)
+
+
 def _passages(docs: DataFrame, window: int, gram: int, texts: bool) -> DataFrame:
-    """Passages of rows (key, text, marked): route, h1 and h2 (their content), and either text or key and offset.
+    """Passages of rows (key, body, marked) with their content (h1, h2) and key.
 
+    With `texts` also route (the anchor) and text, and the single windows of hot anchors without text, routed by
+    content and of equal ones only that of the smallest key per task; else all with their first word.
     `marked` has the document's anchors that other documents share, with the lowest bit set if they are hot.
     """
-    names = ["route", "h1", "h2", "key", *(["passage"] if texts else ["offset"])]
-    types = [pa.int64()] * 4 + [pa.string() if texts else pa.int32()]
+    more = [("route", pa.int64(), "long"), ("passage", pa.string(), "string")] if texts else [("offset", pa.int32(), "int")]
+    names = ["h1", "h2", "key", *[name for name, _, _ in more]]
+    types = [pa.int64()] * 3 + [t for _, t, _ in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
+        hot_windows: dict[tuple[int, int], int] = {}
+
+        def hot_rows() -> pa.RecordBatch:
+            rows = [(h1, h2, key, h1 | 1, None) for (h1, h2), key in hot_windows.items()]
+            hot_windows.clear()
+            return _rows(list(zip(*rows, strict=True)), names, types)
+
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS)
-                for key, text, marked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    words = split_words(text)
+                for key, body, marked in zip(part.column(0).to_pylist(), _unpacked(part.column(1)), part.column(2), strict=True):
+                    words = split_words(body)
                     own = anchors(words, window, gram)
-                    mark = marked.values.to_numpy()
-                    shared, hot = np.isin(own, mark & ~np.int64(1)), np.isin(own | 1, mark)
+                    mark = np.sort(marked.values.to_numpy())
+                    shared, hot = _held(own, mark & ~np.int64(1)), _held(own, mark[(mark & 1) == 1] & ~np.int64(1))
                     change = np.concatenate([[True], (own[1:] != own[:-1]) | hot[1:]])
                     first = np.flatnonzero(change)
                     size = np.diff(np.concatenate([first, [len(own)]]))
-                    for a, k in zip(first[shared[first]].tolist(), size[shared[first]].tolist(), strict=True):
+                    mine = shared[first]
+                    for a, k, alone in zip(first[mine].tolist(), size[mine].tolist(), hot[first[mine]].tolist(), strict=True):
                         passage = b" ".join(words[a : a + k + window - 1])
                         both = xxhash.xxh3_128_intdigest(passage)
                         h1, h2 = (both & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (both >> 64) - (1 << 63)
-                        for c, v in zip(
-                            out, (h1 if hot[a] else int(own[a]), h1, h2, key, passage.decode() if texts else a), strict=True
-                        ):
+                        if texts and alone:
+                            hot_windows[h1, h2] = min(key, hot_windows.get((h1, h2), key))
+                            continue
+                        for c, v in zip(out, (h1, h2, key, *((int(own[a]), passage.decode()) if texts else (a,))), strict=True):
                             c.append(v)
+                    if len(hot_windows) >= ROWS:
+                        yield hot_rows()
                     if len(out[0]) >= ROWS:
                         yield _rows(out, names, types)
                         out = [[] for _ in names]
         yield _rows(out, names, types)
+        if hot_windows:
+            yield hot_rows()
 
-    return map_arrow(docs.select("key", "text", "marked"), run, f"route long, h1 long, h2 long, key long, {'passage string' if texts else 'offset int'}")
+    schema = ", ".join(["h1 long, h2 long, key long", *[f"{name} {type_}" for name, _, type_ in more]])
+    return map_arrow(docs.select("key", "body", "marked"), run, schema)
 
 
 def _matched(passages: DataFrame, window: int) -> DataFrame:
-    """Per distinct passage (h1, h2) the smallest key of each of its windows, from rows sorted by route."""
+    """Per distinct passage (h1, h2) that shares a window with another document: the smallest key of each of its windows."""
 
-    def shard(rows: list[tuple[int, int, int, int, str]]) -> Iterator[list[int]]:
-        routes: dict[int, int] = {}
-        for r in rows:
-            routes[r[0]] = routes.get(r[0], 0) + 1
+    def shard(routes: list[dict[tuple[int, int], list]]) -> pa.RecordBatch:
+        """One automaton for the passages ([smallest key, documents, words] by content) of some anchors.
+
+        A hot window comes without words: it meets only its equals.
+        """
         automaton = SuffixAutomaton()
-        split = [r[4].encode().split() for r in rows]
-        for r, words in zip(rows, split, strict=True):
-            if routes[r[0]] > 1:  # the only passage of its anchor has nothing to meet
-                automaton.add(words, r[3])
+        for passages in routes:
+            if len(passages) > 1:  # the only passage of its anchor has nothing to meet
+                for key, _, words in passages.values():
+                    automaton.add(words or [], key)
         automaton.finish()
-        for r, words in zip(rows, split, strict=True):
-            yield automaton.window_keys(words, window) if routes[r[0]] > 1 else [r[3]] * (len(words) - window + 1)
+        rows: list[list] = [[], [], []]
+        for passages in routes:
+            for (h1, h2), (key, documents, words) in passages.items():
+                alone = len(passages) == 1 or words is None
+                least = [key] * (len(words or [b""] * window) - window + 1) if alone else automaton.window_keys(words, window)
+                if documents > 1 or min(least) < key:
+                    for c, v in zip(rows, (h1, h2, least), strict=True):
+                        c.append(v)
+        return _rows(rows, ["h1", "h2", "least"], [pa.int64(), pa.int64(), pa.list_(pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, int, str]] = []
-        held = 0
-
-        def done() -> pa.RecordBatch:
-            return _rows(
-                [[r[1] for r in rows], [r[2] for r in rows], list(shard(rows))],
-                ["h1", "h2", "least"],
-                [pa.int64(), pa.int64(), pa.list_(pa.int64())],
-            )
-
+        routes: list[dict] = []
+        held, last = 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held >= SHARD_WORDS and row[0] != rows[-1][0]:
-                    yield done()
-                    rows, held = [], 0
-                rows.append(row)
-                held += row[4].count(" ") + 1
-        yield done()
-
-    routed = passages.repartition("route").sortWithinPartitions("route", "h1", "h2")
-    return map_arrow(routed.select("route", "h1", "h2", "key", "passage"), run, "h1 long, h2 long, least array<long>")
+            for h1, h2, key, route, passage in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if route != last:
+                    if held >= SHARD_WORDS:
+                        yield shard(routes)
+                        routes, held = [], 0
+                    routes.append({})
+                    last = route
+                known = routes[-1].get((h1, h2))
+                if known:
+                    known[0], known[1] = min(known[0], key), known[1] + 1
+                else:
+                    words = passage.encode().split() if passage is not None else None
+                    routes[-1][h1, h2] = [key, 1 if words else 2, words]
+                    held += len(words or ())
+        yield shard(routes)
+
+    routed = passages.repartition("route").sortWithinPartitions("route")
+    return map_arrow(routed.select("h1", "h2", "key", "route", "passage"), run, "h1 long, h2 long, least array<long>")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -214,7 +263,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     Rows with the same key are one document to each other: they remove nothing from each other. Rows with a
     missing key are compared with nothing. Columns other than key and text are not read.
     """
-    read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    # The new names make all scans of the texts alike, so that they share one shuffle.
+    read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("body"))
     named = read.where("key IS NOT NULL")
 
     def own_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,47 +276,53 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(keys)], names=["anchor", "key"])
 
     pairs = map_arrow(named, own_anchors, "anchor long, key long")
-    spread = pairs.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a < b")
+    # A document has an anchor once; a repeated row at worst makes one more candidate.
+    spread = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     mark = F.col("anchor").bitwiseOR(F.when(F.col("n") > hot, 1).otherwise(0).cast("long"))
     marked = pairs.join(spread.select("anchor", mark.alias("mark")), "anchor").groupBy("key").agg(F.collect_list("mark").alias("marked"))
     # A copy of a whole text has the same windows as the first one: only the first is matched.
-    first = named.groupBy(F.md5("text").alias("content")).agg(F.min("key").alias("rep")).where("content IS NOT NULL")
-    candidates = named.join(marked.join(first, F.col("key") == F.col("rep"), "left_semi"), "key")
+    first = named.groupBy(F.md5("body").alias("content")).agg(F.min("key").alias("rep")).where("content IS NOT NULL")
+    packed = _packed(named).where("key IS NOT NULL")  # said again, so that both joins below share one shuffle
+    candidates = packed.join(marked.join(first, F.col("key") == F.col("rep"), "left_semi"), "key")
 
-    distinct = _passages(candidates, window, gram, texts=True).groupBy("route", "h1", "h2", "passage").agg(F.min("key").alias("key"))
-    least = _matched(distinct, window)
+    least = _matched(_passages(candidates, window, gram, texts=True), window)
     occurring = _passages(candidates, window, gram, texts=False)
-    hits = occurring.join(least, ["h1", "h2"]).where(F.exists("least", lambda x: x < F.col("key")))
-    hits = hits.groupBy("key").agg(F.collect_list(F.struct("offset", "least")).alias("hits"))
-    copies = named.select("key", F.md5("text").alias("content")).join(first, "content").where("rep < key").select("key", F.lit(True).alias("copy"))
+    gone = F.expr("filter(transform(least, (x, i) -> CASE WHEN x < key THEN offset + i END), x -> x IS NOT NULL)")
+    hits = occurring.join(least, ["h1", "h2"]).select("key", gone.alias("gone")).where(F.size("gone") > 0)
+    hits = hits.groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("hits"))
+    copies = named.select("key", F.md5("body").alias("content")).join(first, "content").where("rep < key").select("key", F.lit(True).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS)
                 counts, spans, kept = [], [], []
-                for k, t, found, copy in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = split_words(t)
-                    n, cover = len(words), np.zeros(len(words) + 1, np.int64)
+                for body, found, copy in zip(_unpacked(part.column(1)), part.column(2), part.column(3).to_pylist(), strict=True):
+                    words = split_words(body)
+                    n = len(words)
                     if copy and n >= window:
-                        cover[0] = 1
-                    for hit in found or ():
-                        start = hit["offset"] + np.flatnonzero(np.array(hit["least"]) < k)
-                        np.add.at(cover, start, 1)
-                        np.add.at(cover, start + window, -1)
-                    gone = np.cumsum(cover)[:n] > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                        edge = [[0, n]]
+                    elif found.is_valid:
+                        start = np.sort(found.values.to_numpy())
+                        # Windows that touch or overlap make one span.
+                        first = np.concatenate([[True], start[1:] > start[:-1] + window])
+                        last = np.concatenate([first[1:], [True]])
+                        edge = np.column_stack([start[first], start[last] + window]).tolist()
+                    else:
+                        edge = []
                     counts.append(n)
-                    spans.append(edge.reshape(-1, 2).tolist())
-                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode() if len(edge) else b" ".join(words).decode())
+                    spans.append(edge)
+                    for a, b in reversed(edge):
+                        del words[a:b]
+                    kept.append(b" ".join(words).decode())
                 yield _rows([part.column(0).to_pylist(), counts, spans, kept], names, types)
 
     names, types = ["key", "n_words", "removed", "kept"], [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()]
     schema = "key long, n_words long, removed array<array<long>>, kept string"
-    whole = named.join(hits, "key", "left").join(copies.dropDuplicates(["key"]), "key", "left")
-    none = F.lit(None).cast("array<struct<offset:int,least:array<long>>>").alias("hits"), F.lit(None).cast("boolean").alias("copy")
-    unnamed = read.where("key IS NULL").select("key", "text", *none)
-    return map_arrow(whole.select("key", "text", "hits", "copy").union(unnamed), cut, schema).withColumnRenamed("key", key)
+    whole = packed.join(hits, "key", "left").join(copies.dropDuplicates(["key"]), "key", "left")
+    none = F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("boolean").alias("copy")
+    unnamed = _packed(read.where("key IS NULL")).select("key", "body", *none)
+    return map_arrow(whole.select("key", "body", "hits", "copy").union(unnamed), cut, schema).withColumnRenamed("key", key)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
