@@ -18,6 +18,7 @@ hold `segment_ids` ids, and a document that is longer makes a longer segment.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -114,12 +115,14 @@ def decode_ids(segment: bytes, first_block: int = 0, last_block: int | None = No
 # or white space. No token crosses the ends of a piece, so that equal pieces have equal ids everywhere.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Pieces whose ids a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+#: Pieces whose ids a Python worker remembers.
+REMEMBERED = 800_000
 
 
 @functools.cache
 def _tokenizer(path: str):
+    # Tasks already use all cores: a thread pool in each worker would only wait.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -130,25 +133,32 @@ def _tokenizer(path: str):
 def tokenize(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian uint32 bytes; each distinct piece is encoded once."""
     tokenizer, known = _tokenizer(path)
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    out = []
-    for text in texts:
-        pieces = PIECES.findall(text)
-        new = [p for p in set(pieces) if p not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(pieces))
-        for at in range(0, len(new), 1 << 16):
-            some = new[at : at + (1 << 16)]
-            known.update(zip(some, encode(some), strict=True))
-        out.append(b"".join(map(known.__getitem__, pieces)))
-        if len(known) > REMEMBERED:
-            known.clear()
-    return out
+    split = [PIECES.findall(text) for text in texts]
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = list(set().union(*split).difference(known))
+    words = [p for p in new if not p.isspace()]
+    known.update(zip(words, _encode_words(tokenizer, words), strict=True))
+    spaces = [p for p in new if p.isspace()]
+    known.update(zip(spaces, _encode_each(tokenizer, spaces), strict=True))
+    return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+
+def _encode_each(tokenizer, pieces: list[str]) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+def _encode_words(tokenizer, words: list[str]) -> list[bytes]:
+    """The ids of pieces that are not white space, encoded as one text: a line break between two is a token of its own."""
+    if not words:
+        return []
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
+    ids = np.array(tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    breaks = np.flatnonzero(ids == line[0]).tolist()
+    if len(line) != 1 or len(breaks) != len(words) - 1:
+        return _encode_each(tokenizer, words)
+    raw = ids.tobytes()
+    return [raw[4 * a + 4 : 4 * b] for a, b in zip([-1, *breaks], [*breaks, len(ids)], strict=True)]
 
 
 SEGMENTS = "shard int, segment int, keys array<long>, counts array<long>, ids binary"
