@@ -30,7 +30,8 @@ from hearthstat.llm.common import documents, map_arrow, table, unused
 ALPHABET = 40
 ORDER = 4
 DISCOUNT = 0.75
-#: The logistic function is fitted on at most this many scored training rows of each label, those of the smallest key hashes.
+#: The logistic function is fitted on at most this many scored training rows of each label, those of the smallest key hashes. They
+#: count for all labelled rows of their label, so that the share of toxic rows is that of the labels whatever the table's size.
 FIT_ROWS = 10_000
 FEATURES = 3
 #: Words that count as the most toxic ones of a text.
@@ -153,15 +154,22 @@ def _scored(docs: DataFrame, text: str, models, model: str | None = None) -> Dat
     return map_arrow(docs, run, schema)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Scale and weights (constant last) of a ridge logistic function, by Newton steps."""
-    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1) if len(x) else np.ones(FEATURES)
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, rounds: int = 50, ridge: float = 1e-3
+) -> tuple[np.ndarray, np.ndarray]:
+    """Scale and weights (constant last) of a ridge logistic function, by Newton steps; a row counts `times` times."""
+    times = np.ones(len(x)) if times is None else times
+    scale, total = np.ones(FEATURES), times.sum()
+    if len(x):
+        mean = times @ x / total
+        spread = np.sqrt(times @ (x - mean) ** 2 / total)
+        scale = np.where(spread > 0, spread, 1)
     z = np.column_stack([x / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(z) * np.eye(len(w)) / 100 + 1e-6 * np.eye(len(w))
-        step = np.linalg.solve(hessian, z.T @ (y - p) - ridge * len(z) / 100 * w)
+        hessian = (z * (times * p * (1 - p))[:, None]).T @ z + ridge * total * np.eye(len(w)) / 100 + 1e-6 * np.eye(len(w))
+        step = np.linalg.solve(hessian, z.T @ (times * (y - p)) - ridge * total / 100 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -182,9 +190,11 @@ def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     halves = {h: log_ratios(counts[1, 1 - h], counts[0, 1 - h]) for h in (0, 1)}
     # At most 2 x FIT_ROWS keys and labels: small enough to broadcast whatever the corpus.
     fit = read.join(F.broadcast(_fit_sample(known)), F.col("key") == F.col("k")).select(half, "label", "text")
+    keys = known.withColumn("key", F.col("k")).where(_split() != 1).groupBy("label").count().collect()
+    times = {r["label"]: max(r["count"] / FIT_ROWS, 1.0) for r in keys}
     seen = _scored(fit, "text", spark.sparkContext.broadcast(halves), "half").drop("text").toPandas()
     x = np.array(seen["features"].tolist()).reshape(-1, FEATURES)
-    scale, w = fit_logistic(x, seen["label"].to_numpy(float))
+    scale, w = fit_logistic(x, seen["label"].to_numpy(float), seen["label"].map(times).to_numpy(float))
     return spark.sparkContext.broadcast({0: log_ratios(both[1], both[0])}), scale, w
 
 

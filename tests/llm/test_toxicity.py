@@ -55,6 +55,35 @@ def test_held_out_rows_are_told_apart(spark):
     assert np.mean(right) >= 0.95
 
 
+def test_scores_do_not_depend_on_the_cap(spark, monkeypatch):
+    """One in eight texts is toxic, and its word is no proof: a fit that sees half toxic rows moves all scores."""
+    rng = np.random.default_rng(11)
+    texts, labels = [], []
+    for i in range(2000):
+        words = ["".join(rng.choice(list("abdeilnorst"), 5)) for _ in range(12)]
+        if rng.random() < (0.6 if i % 8 == 0 else 0.15):
+            words[0] = "wuzzle"
+        texts.append((i, " ".join(words)))
+        labels.append((i, int(i % 8 == 0)))
+    docs, known = table(spark, texts).cache(), spark.createDataFrame(labels, "doc_id long, toxic int")
+    logits = []
+    for cap in (10_000, 150):
+        monkeypatch.setattr(tox, "FIT_ROWS", cap)
+        score = np.array([r.score for r in tox.score_toxicity(docs, known).orderBy("doc_id").collect()])
+        logits.append(np.log(score / (1 - score)))
+    assert abs(np.mean(logits[1] - logits[0])) < 0.7
+
+
+def test_a_capped_sample_is_fitted_like_all_rows():
+    rng = np.random.default_rng(3)
+    y = (rng.random(40_000) < 0.1).astype(float)
+    x = rng.normal(size=(len(y), tox.FEATURES)) + 1.5 * y[:, None]
+    some = np.concatenate([np.flatnonzero(y == 1)[:2000], np.flatnonzero(y == 0)[:2000]])
+    times = np.where(y[some] == 1, (y == 1).sum() / 2000, (y == 0).sum() / 2000)
+    (a, v), (b, w) = tox.fit_logistic(x, y), tox.fit_logistic(x[some], y[some], times)
+    assert w[-1] == pytest.approx(v[-1], abs=0.3) and w[:-1] / b == pytest.approx(v[:-1] / a, rel=0.2)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     texts, labels = corpus(spark)
     flipped = labels.selectExpr(
