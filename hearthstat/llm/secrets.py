@@ -3,14 +3,15 @@
 All rules are compiled into one minimal transition array. Texts are cut behind bytes that send every state back
 to the start, so the pieces are independent and advance together through the array: one pass over the bytes
 tells which rules end a match in which piece. In those pieces alone the rule's own automaton gives the
-leftmost longest matches, and the rule's condition is applied to them.
+leftmost longest matches, and the rule's condition is applied to them. A private key's header is extended over
+its body in the whole text, as the body runs over many pieces.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,8 @@ class Rule:
     """`pattern` finds matches; those count in which `counted` (its first group) has `least` characters.
 
     `sure` matches within every match that counts; it is what the one pass looks for. A count in it multiplies
-    the states of all other rules, so only one rule has one.
+    the states of all other rules, so only one rule has one. `extend` takes a whole text and the end of a match in it,
+    and gives the end of what belongs to the match.
     """
 
     kind: str
@@ -36,6 +38,23 @@ class Rule:
     least: int
     counted: str = r"(.*)"
     fold: bool = False
+    extend: Callable[[bytes, int], int] | None = None
+
+
+_KEY_END = re.compile(rb"-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----")
+# Between lines of a key: line breaks, also escaped ones, and what quotes a line.
+_BREAK = rb"(?:\\[rnt]|[\s>|*#\"',])*+"
+_KEY_LINES = re.compile(
+    rb"(?:%(b)s(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:%(b)s[A-Za-z0-9+/]{20,}+={0,2}+)*+(?:%(b)s[A-Za-z0-9+/]{1,19}+(?:={1,2}+|(?=\s*\Z)))?+"
+    % {b"b": _BREAK}
+)
+
+
+def key_end(text: bytes, at: int) -> int:
+    """End of the private key whose header ends at `at`: its END line or, if there is none before the next header, its last line."""
+    following = text.find(b"-----BEGIN", at)
+    end = _KEY_END.search(text, at, following if following >= 0 else len(text))
+    return (end or _KEY_LINES.match(text, at)).end()
 
 
 _NAME = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -46,7 +65,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-[A-Za-z0-9-]", 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"\.eyJ[A-Za-z0-9_-]+\.", 20),
-    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", r"PRIVATE\x20KEY-----", 20),
+    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", r"PRIVATE\x20KEY-----", 20, extend=key_end),
 )
 BASE = ("assign", "access", "hex")
 #: Bytes of a piece, up to the next byte behind which a text may be cut.
@@ -78,6 +97,7 @@ def find_in(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[list[tu
     cuts = _pieces(resets, data, bounds)
     hits = scan(combined, data, cuts[:-1], cuts[1:])
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    taken: dict[tuple[int, int], int] = {}
     for i in np.flatnonzero(hits):
         first, last = int(cuts[i]), int(cuts[i + 1])
         doc = int(np.searchsorted(bounds, first, side="right")) - 1
@@ -88,7 +108,12 @@ def find_in(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[list[tu
             for a, b in longest(own[no], piece):
                 counted = re.match(rule.counted, piece[a:b].decode("ascii"), re.S)
                 if counted and len(counted[1]) >= rule.least:
-                    found[doc].append((first - int(bounds[doc]) + a, no, first - int(bounds[doc]) + b))
+                    start, end = (first - int(bounds[doc]) + x for x in (a, b))
+                    if rule.extend:
+                        if start < taken.get((doc, no), 0):
+                            continue
+                        taken[doc, no] = end = rule.extend(texts[doc], end)
+                    found[doc].append((start, no, end))
     return [sorted(spans) for spans in found]
 
 

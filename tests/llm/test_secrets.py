@@ -38,6 +38,29 @@ def test_further_rules():
     assert secrets.find_in([long_])[0] == [(0, 5, len(long_))]
 
 
+def test_private_keys_are_redacted_whole(spark):
+    body = ["".join(random.Random(i).choices("ABCDwxyz0189+/", k=64)) for i in range(40)] + ["q7Jk/+s="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = "\n".join([head, *body, end])
+    texts = [
+        (1, f"é before\n{key}\nafter {key}, END"),
+        (2, "x = '" + key.replace("\n", "\\n") + "' after"),  # escaped line breaks
+        (3, key.replace("\n", "\r\n> ")),
+        (4, f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\n" + "\n".join(body)),  # no END line
+        (5, f"{head}\n" + "\n".join(body[:9]) + f"\nthen prose. {key}"),  # cut off before another key
+        (6, f"The line {head} starts a key, and nothing here is one."),
+        (7, f"{head}\n" + "\n".join(body[:3]) + "\nABcd"),
+    ]
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    p = "[private_key]"
+    assert got == {
+        1: f"é before\n{p}\nafter {p}, END", 2: f"x = '{p}' after", 3: p, 4: p, 5: f"{p}\nthen prose. {p}",
+        6: f"The line {p} starts a key, and nothing here is one.", 7: p,
+    }
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert (9, 6, 9 + len(key)) in spans[1]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_automata_against_patterns(seed):
     """Random small patterns: the searching automaton tells what matches, the anchored one where."""
