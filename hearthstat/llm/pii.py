@@ -1,18 +1,20 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
-Base entities (e-mail, IP, card, phone) are found by patterns. A term near an entity is judged by what the
+Base entities (e-mail, IP, card, phone) are found by patterns. A term of a document with an entity is judged by what the
 corpus says it reveals: over documents of different text, with N documents, n(e) of them with the entity,
-n(t) with the term and n(t, e) with the term near the entity, the term's pointwise mutual information with the
+n(t) with the term and n(t, e) with both, the term's pointwise mutual information with the
 entity is ln(P(e|t) / P(e)), and its disclosure is that over the entity's information -ln P(e):
 
     disclosure = 1 + ln(n(t, e) / n(t)) / ln(N / n(e))
 
 A term that occurs only with one entity discloses all of it (1). Terms at or over `remove_at` are removed,
 those at or over `generalise_at` are generalised to the class of the word. Evidence below `support` documents is
-no evidence. Copies of a text count once, so repetition alone gives no evidence.
+no evidence. Copies of a text count once, so repetition alone gives no evidence. A judged term is marked wherever it
+occurs in documents with the entity and, if asked for, in all others too.
 
-Entities and their surroundings are extracted once and stored; counting works on pairs with partial
-sums before each shuffle, and the one pass over all words keeps only terms that are candidates.
+Entities, and the words of documents that have some, are extracted once and stored. Entities without support go
+before they meet words; each of m copies of a text counts 1/m, so that all counts are partial sums before the shuffle. The
+pass over all words keeps only terms that are candidates, and words are located in documents with judged terms alone.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ IP_PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"\p{L}+"
-#: Code points on either side of an entity in which terms are judged.
-REACH = 64
-#: Candidate terms are broadcast up to this many bytes; beyond it they are joined by a shuffle.
+#: Code points on either side of an entity in which terms are judged: longer than any text, so all of the document.
+REACH = 1 << 31
+#: What is joined to texts or words is broadcast up to this many bytes; beyond it, it is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -98,21 +100,54 @@ def _entity(x: Column) -> Column:
     return F.concat_ws(":", x["kind_no"], plain)
 
 
-def _terms(text: Column, x: Column, base: Column) -> Column:
-    """Whole words within reach of an entity, outside all entities: structs (start, end, term)."""
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def side(first: Column, last: Column) -> Column:
-        # One code point more on each side tells whole words from cut ones.
-        begin = F.greatest(first - 1, F.lit(0))
-        piece = F.substring(text, begin + 1, last + 1 - begin)
-        words = F.transform(
-            located(piece, TERM),
-            lambda w: F.struct((w["start"] + begin).alias("start"), (w["end"] + begin).alias("end"), F.lower(w["value"]).alias("term")),
-        )
-        return F.filter(words, lambda w: (w["start"] >= first) & (w["end"] <= last))
 
-    near = F.concat(side(F.greatest(x["start"] - REACH, F.lit(0)), x["start"]), side(x["end"], x["end"] + REACH))
-    return F.filter(near, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+def _outside(text: Column, base: Column) -> Column:
+    """The text without its entities and the words that they cut."""
+
+    def add(acc: Column, x: Column) -> Column:
+        # A word that begins before an entity or ends behind it is no word outside it.
+        before = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
+        before = F.when(acc["at"] > 0, F.regexp_replace(before, rf"^{TERM}", "")).otherwise(before)
+        kept = F.concat(acc["out"], F.regexp_replace(before, rf"(?<!\p{{L}}){TERM}$", ""), F.lit(" "))
+        later = F.struct(x["end"].alias("at"), kept.alias("out"))
+        return F.when(x["start"] >= acc["at"], later).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
+
+    def last(acc: Column) -> Column:
+        rest = F.substring(text, acc["at"] + 1, F.char_length(text))
+        return F.concat(acc["out"], F.when(acc["at"] > 0, F.regexp_replace(rest, rf"^{TERM}", "")).otherwise(rest))
+
+    ordered = F.array_sort(F.transform(base, lambda x: F.struct(x["start"], x["end"])))
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, last)
+
+
+def _located_terms(text: Column, base: Column, terms: Column, removed: Column) -> Column:
+    """Where terms occur outside all entities: structs (start, end, action), by start. Only terms are appended, so long texts are no burden."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("value"), F.split(text, TERM, -1).alias("gap"))
+    none = F.array().cast("array<struct<start:int,end:int,action:string>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["value"])
+        term = F.lower(x["value"])
+        action = F.when(F.array_contains(removed, term), "remove").otherwise("generalise")
+        span = F.struct(start.alias("start"), end.alias("end"), action.alias("action"))
+        spans = F.when(F.array_contains(terms, term), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    found = F.filter(pairs, lambda x: x["value"].isNotNull())
+    spans = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
+    return F.filter(spans, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+
+
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """The stored rows, to be broadcast if they are few."""
+    stored = store(df)
+    held = stored.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(stored) if held <= BROADCAST_BYTES else stored
 
 
 def find_personal_data(
@@ -122,41 +157,59 @@ def find_personal_data(
     support: int = 3,
     remove_at: float = 0.9,
     generalise_at: float = 0.8,
+    everywhere: bool = False,
 ) -> DataFrame:
     """Per document row: key, hash (of the text), base (entities), terms (start, end, action).
 
     A missing text is read as empty: no entities. Rows with the same key but different texts are different
     documents; repeated rows each get their result. Columns other than key and text are not read. An
-    entity that most documents have (its information is near 0) discloses nothing.
+    entity that most documents have (its information is near 0) discloses nothing. Terms are marked in all of the documents
+    that have their entity; with `everywhere`, as op8_personal_data asks, in all documents.
     """
     whole = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), whole_text(text).alias("body"))
-    base = whole.select("doc", "hash", "body", base_entities(F.col("body")).alias("base"))
-    near = F.transform("base", lambda x: F.struct(_entity(x).alias("entity"), _terms(F.col("body"), x, F.col("base")).alias("terms")))
-    found = store(base.select("doc", "hash", "base", near.alias("near")))
-
-    around = found.select("doc", "hash", F.explode("near").alias("x")).select("doc", "hash", "x.entity", F.explode("x.terms").alias("w"))
-    around = around.select("doc", "hash", "entity", "w.start", "w.end", "w.term")
-    together = around.groupBy("entity", "term").agg(F.count_distinct("hash").alias("n_te")).where(F.col("n_te") >= support)
+    found = whole.select("doc", "hash", "body", base_entities(F.col("body")).alias("base"))
+    entities = F.array_distinct(F.transform("base", _entity))
+    words = F.when(F.size("base") > 0, _words(_outside(F.col("body"), F.col("base"))))
+    found = store(found.select("doc", "hash", "base", entities.alias("entities"), words.alias("words")))
+    copies = found.groupBy("hash").agg(F.count("*").alias("m"))
+    n = copies.count()
+    copies = _small(copies.where("m > 1").withColumnRenamed("hash", "h"), F.lit(32))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """The rows with their share of a text."""
+        return rows.join(copies, F.col("hash") == F.col("h"), "left").withColumn("part", 1 / F.coalesce("m", F.lit(1))).drop("h", "m")
+
+    def texts() -> Column:
+        return F.round(F.sum("part")).cast("long")
+
+    with_entity = found.where(F.size("base") > 0)
+    n_e = counted(with_entity.select("hash", F.explode("entities").alias("entity"))).groupBy("entity").agg(texts().alias("n_e"))
+    n_e = _small(n_e.where((F.col("n_e") >= support) & (F.col("n_e") < n)), F.octet_length("entity") + 40)
+    pairs = counted(with_entity.select("hash", "words", F.explode("entities").alias("entity"))).join(n_e, "entity")
+    pairs = pairs.select("entity", "n_e", "part", F.explode("words").alias("term"))
+    together = pairs.groupBy("entity", "n_e", "term").agg(texts().alias("n_te")).where(F.col("n_te") >= support)
     together = store(together)
-    candidates = store(together.select("term").distinct())
-    held = candidates.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
-    word_list = F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(TERM), F.lit(0)))
-    words = whole.select("hash", F.explode_outer(word_list).alias("term"))
-    words = words.join(F.broadcast(candidates) if held <= BROADCAST_BYTES else candidates, "term")
-    n_t = words.groupBy("term").agg(F.count_distinct("hash").alias("n_t"))
-    with_entity = found.select("hash", F.explode("near.entity").alias("entity")).join(together, "entity", "left_semi")
-    n_e = with_entity.groupBy("entity").agg(F.count_distinct("hash").alias("n_e"))
-    n = found.agg(F.count_distinct("hash")).first()[0]
+    candidates = _small(together.select("term").distinct(), F.octet_length("term") + 32)
+    words = counted(whole).select("part", F.explode(_words(F.col("body"))).alias("term")).join(candidates, "term", "left_semi")
+    n_t = words.groupBy("term").agg(texts().alias("n_t"))
     disclosure = 1 + F.log(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))) / F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    judged = together.join(n_t, "term").join(n_e, "entity").where(F.col("n_e") < n).withColumn("disclosure", disclosure)
-    judged = judged.where(F.col("disclosure") >= generalise_at).select(
-        F.col("entity").alias("e"),
-        F.col("term").alias("t"),
-        F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"),
+    judged = together.join(n_t, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
+    by = ["term"] if everywhere else ["entity", "term"]
+    judged = judged.groupBy(*by).agg((F.max("disclosure") >= remove_at).alias("removed"))
+    judged = _small(judged, F.octet_length(F.concat(*by)) + 40)
+    if everywhere:
+        held = whole.select("doc", "hash", F.explode(_words(F.col("body"))).alias("term"))
+    else:
+        held = with_entity.select("doc", "hash", "words", F.explode("entities").alias("entity")).join(judged.select("entity").distinct(), "entity", "left_semi")
+        held = held.select("doc", "hash", "entity", F.explode("words").alias("term"))
+    held = held.join(judged, by)
+    held = held.groupBy(F.col("doc").alias("d"), F.col("hash").alias("h")).agg(
+        F.collect_set("term").alias("listed"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")
     )
-    added = around.join(store(judged), (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-    added = added.groupBy(F.col("doc").alias("d"), F.col("hash").alias("h"), "start", "end").agg(F.max("action").alias("action"))
-    added = added.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    held = _small(held, F.octet_length(F.concat_ws(" ", "listed")) * 2 + 64)
+    marked = whole.join(held, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+    spans = _located_terms(F.col("body"), base_entities(F.col("body")), F.col("listed"), F.col("gone"))
+    added = marked.select("d", "h", spans.alias("terms")).groupBy("d", "h").agg(F.first("terms").alias("terms"))
     joined = found.join(added, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
     return joined.select(F.col("doc").alias(key), "hash", "base", F.coalesce("terms", none).alias("terms"))
@@ -184,7 +237,7 @@ def sanitised(text: Column, base: Column, terms: Column) -> Column:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(documents(spark, sf_dir))
+    found = find_personal_data(documents(spark, sf_dir), everywhere=True)
     name = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform("base", lambda x: F.concat_ws(":", F.get(name, x["kind_no"]), x["start"], x["end"]))
     terms = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"]))

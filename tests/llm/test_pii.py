@@ -97,6 +97,17 @@ def test_disclosing_terms(spark):
     assert {"colleague", "zanzibar"} <= words and not words & {"The", "note", "people", "number"}
 
 
+def test_terms_far_from_their_entity_and_without_it(spark):
+    """The name stands 500 characters from its address, again in a heading, and once in a document without the address."""
+    far = " ".join(["people wrote of the note"] * 25)
+    rows = [(i, f"Zanzibar {i}\n{far} number {i} zanzibar {far} boss@corp.example.com {i}") for i in range(9)]
+    rows += [(100 + i, f"{far} and number {i}") for i in range(400)] + [(900, "é A note on ZANZIBAR alone.")]
+    texts = dict(rows)
+    got = {r.doc_id: [(texts[r.doc_id][t.start : t.end], t.action) for t in r.terms] for r in pii.find_personal_data(table(spark, rows), everywhere=True).collect()}
+    assert all(got[i] == [("Zanzibar", "remove"), ("zanzibar", "remove")] for i in range(9))
+    assert got[900] == [("ZANZIBAR", "remove")] and got[100] == []
+
+
 def test_sanitised_text(spark):
     rows = near_rows()
     found = pii.find_personal_data(table(spark, rows)).alias("f").join(table(spark, rows).alias("d"), "doc_id")
