@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hearthstat.llm.decontaminate import OP3_SQL, op3_decontamination
+from hearthstat.llm.licenses import op13_license_scan
 from hearthstat.llm.merkle import OP11_SQL, op11_merkle_manifest
 from hearthstat.llm.near_dedup import op4_near_dedup
 from hearthstat.llm.neighbours import op7_neighbours
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_kd_sharding": op10_kd_sharding,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {

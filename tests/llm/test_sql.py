@@ -18,4 +18,4 @@ def test_query(spark, sf, name):
 
 
 def test_one_query_for_each_operator():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 13)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
