@@ -6,7 +6,7 @@ own exact functions, fits from closed forms or from a chain of sweeps on the cro
 
 from __future__ import annotations
 
-from hearthstat.plans.queries import CONTROLS, INCOMES, PAIRS, PARTS, STRICT
+from hearthstat.plans.queries import CONTROLS, INCOMES, PAIRS, PARTS, STRICT, WEIGHTED_STATS
 from hearthstat.plans.variables import (
     AGE_BREAKS,
     AGE_LEVELS,
@@ -196,6 +196,37 @@ def _stat(stat, column: str, digits: dict | int | None = None) -> str:
     return _r(sql.format(column), d, name)
 
 
+def _weighted_stat(stat, c: str, over: str = "{}") -> str:
+    pick = f"min({c}) FILTER (WHERE {c}_upto >= {{0}} * (1 - 1e-12) * {c}_whole)"
+    n, mean = f"count({c})", f"sum(w * {c}) / sum(w) FILTER (WHERE {c} IS NOT NULL)"
+    var = f"sum(w * ({c} - {c}_mean) ** 2) / sum(w) FILTER (WHERE {c} IS NOT NULL) * {n} / ({n} - 1)"
+    sql = {"mean": mean, "median": pick.format(0.5), "var": var, "sd": f"sqrt({var})"}.get(stat) or pick.format(stat)
+    name = f"{stat}_{c}" if isinstance(stat, str) else f"p{round(stat * 100)}_{c}"
+    return f"{over.format(sql)} AS {name}"
+
+
+def _weighted_summary(weight: str, average: bool) -> str:
+    """Cumulated weights by window, then per country and implicate; at last the mean over the implicates."""
+    cols = list(WEIGHTED_STATS)
+    by = "PARTITION BY sa0100, im0100"
+    valid = ", ".join(f"CASE WHEN {weight} > 0 THEN {c}::DOUBLE END AS {c}" for c in cols)
+    windows = ", ".join(
+        f"sum(CASE WHEN {c} IS NOT NULL THEN w END) OVER ({by} ORDER BY {c}) AS {c}_upto, "
+        f"sum(CASE WHEN {c} IS NOT NULL THEN w END) OVER ({by}) AS {c}_whole, "
+        f"sum(w * {c}) OVER ({by}) / sum(CASE WHEN {c} IS NOT NULL THEN w END) OVER ({by}) AS {c}_mean"
+        for c in cols
+    )
+    names = {(s, c): (f"{s}_{c}" if isinstance(s, str) else f"p{round(s * 100)}_{c}") for c in cols for s in WEIGHTED_STATS[c]}
+    digits = {"mean": 4, "median": 8, "sd": 4, "var": 0}
+    each = f"""WITH {KNOWN}, valid AS (SELECT sa0100, im0100, {weight}::DOUBLE AS w, {valid} FROM known),
+      summed AS (SELECT *, {windows} FROM valid),
+      each AS (SELECT sa0100, im0100, {", ".join(_weighted_stat(s, c) for s, c in names)}, count(*) AS n FROM summed GROUP BY sa0100, im0100)"""
+    out = ", ".join(_r(f"avg({name})" if average else name, digits.get(s, 8), name) for (s, _), name in names.items())
+    if average:
+        return f"{each} SELECT sa0100, {out}, {_r('sum(n) / (SELECT count(DISTINCT im0100) FROM each)', 6, 'n')} FROM each GROUP BY sa0100"
+    return f"{each} SELECT sa0100, im0100, {out}, n FROM each"
+
+
 def _summary(source: str, by: list[str], measures: dict, count: bool = True, digits=None, table: str = "known") -> str:
     stats = [_stat(s, c, digits) for c, ss in measures.items() for s in ss]
     n = ["count(*) AS n"] if count else []
@@ -208,6 +239,15 @@ ORACLE_SQL["change_summary"] = _summary(
 )
 _WEALTH = [*_MMS, "var", 0.1, 0.25, 0.5, 0.75, 0.9]
 ORACLE_SQL["wealth_summary"] = _summary(KNOWN, ["sa0100"], {"netliquidassets": _WEALTH, "networth": _WEALTH})
+ORACLE_SQL["weighted_wealth_by_implicate"] = _weighted_summary("hw0010", average=False)
+ORACLE_SQL["weighted_wealth_summary"] = _weighted_summary("CASE WHEN id % 29 <> 0 THEN hw0010 END", average=True)
+_EACH = [(f, f"{n}_{c}", d) for c in ("netliquidassets", "networth") for n, f, d in (
+    ("mean", f"avg({c})", 4), ("median", f"median({c}::DOUBLE)", 8), ("sd", f"stddev_samp({c})", 4),
+    ("p10", f"quantile_cont({c}::DOUBLE, 0.1)", 8), ("p90", f"quantile_cont({c}::DOUBLE, 0.9)", 8))]
+ORACLE_SQL["wealth_summary_by_implicate"] = f"""WITH {KNOWN},
+  each AS (SELECT sa0100, im0100, {", ".join(f"{f} AS {name}" for f, name, _ in _EACH)}, count(*) AS n FROM known GROUP BY sa0100, im0100)
+  SELECT sa0100, {", ".join(_r(f"avg({name})", d, name) for _, name, d in _EACH)},
+    {_r("sum(n) / (SELECT count(DISTINCT im0100) FROM each)", 6, "n")} FROM each GROUP BY sa0100"""
 ORACLE_SQL["refperson_summary"] = _summary(
     KNOWN, ["sa0100"], {"agerefperson": _MMS, "edurefperson": _MMS}, digits=8
 )

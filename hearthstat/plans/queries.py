@@ -210,6 +210,33 @@ def refperson_summary(spark, sf_dir):
     )
 
 
+WEIGHTED_STATS = {c: ["mean", "median", "sd", "var", 0.1, 0.25, 0.75, 0.9] for c in ("change_absolute", "netliquidassets", "networth")}
+
+
+@register
+def weighted_wealth_by_implicate(spark, sf_dir):
+    """Weighted mean, spread and quantiles of wealth and of the price change, per country and implicate."""
+    df = known_change(spark, sf_dir, ["netliquidassets", "networth", "im0100", "hw0010"])
+    return rounded(describe_by(df, ["sa0100", "im0100"], WEIGHTED_STATS, count="n", weight="hw0010"), STAT_DIGITS)
+
+
+@register
+def weighted_wealth_summary(spark, sf_dir):
+    """The same per country, averaged over the implicates; some records have no weight."""
+    df = known_change(spark, sf_dir, ["id", "netliquidassets", "networth", "im0100", "hw0010"])
+    df = df.withColumn("hw0010", F.when(F.col("id") % 29 != 0, F.col("hw0010")))
+    out = describe_by(df, ["sa0100"], WEIGHTED_STATS, count="n", weight="hw0010", by_implicate="im0100")
+    return rounded(out, STAT_DIGITS | {"n": 6})
+
+
+@register
+def wealth_summary_by_implicate(spark, sf_dir):
+    """Unweighted statistics of each implicate, averaged over the implicates."""
+    df = known_change(spark, sf_dir, ["netliquidassets", "networth", "im0100"])
+    stats = ["mean", "median", "sd", 0.1, 0.9]
+    return rounded(describe_by(df, ["sa0100"], {"netliquidassets": stats, "networth": stats}, count="n", by_implicate="im0100"), STAT_DIGITS | {"n": 6})
+
+
 PROFILE = {
     "change_absolute": ["mean", "median", "sd", "var"],
     "agerefperson": ["mean", "median"],

@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
+from hearthstat.operators import quantiles
 from hearthstat.operators.quantiles import describe_by, quantile_values
 from hearthstat.sources.stored import checkpoint_root, store, stored_tables
 
@@ -39,7 +40,10 @@ def grouped(spark):
     return data, store(spark.createDataFrame(rows, "g string, x double"))
 
 
-@pytest.mark.parametrize("options", [{}, {"bracket_rows": 20, "slices": 16}, {"bracket_rows": 1, "slices": 2}])
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"bracket_rows": 20, "slices": 16}, {"bracket_rows": 1, "slices": 2}, {"accuracy": 20, "bracket_rows": 100, "slices": 8}, {"accuracy": 2}],
+)
 def test_grouped_quantiles_match_numpy(grouped, options):
     data, df = grouped
     out = describe_by(df, ["g"], {"x": [*PROBS, "median", "mean", "sd", "n"]}, count="rows", stored=True, **options)
@@ -103,6 +107,106 @@ def test_values_of_all_magnitudes(spark, sign):
         assert value == pytest.approx(np.quantile(xs, p), rel=1e-12)
 
 
+def weighted_quantile(pairs, p):
+    """The smallest value at which the cumulated weight reaches its part of the whole."""
+    pairs = sorted(pairs)
+    whole, total = sum(w for _, w in pairs), 0.0
+    for x, w in pairs:
+        total += w
+        if total >= p * whole * (1 - 1e-12):
+            return x
+
+
+def weighted_rows():
+    rng = random.Random(11)
+    rows = []
+    for g, xs in column_sets().items():
+        rows += [(g, x, rng.choice([0.5, 1.0, 3.25, 40.0, 1e-3]), rng.choice([1, 2, 3, None])) for x in xs if abs(x) < 1e100]
+    bad = [(g, 9e99, w, 1) for g in ("normal", "ties") for w in (0.0, -3.0, None, float("nan"), float("inf"))]
+    none = [("normal", None, 5.0, 1), ("normal", float("inf"), 5.0, 1), ("no weight", 1.0, None, 1)]
+    return rows + bad + none + [(None, float(i), 1.0 + i, 1) for i in range(9)]
+
+
+def weighted_expected(pairs):
+    n, whole = len(pairs), sum(w for _, w in pairs)
+    mean = sum(x * w for x, w in pairs) / whole
+    var = sum(w * (x - mean) ** 2 for x, w in pairs) / whole * n / (n - 1) if n > 1 else None
+    out = {f"p{p * 100:g}_x": weighted_quantile(pairs, p) for p in PROBS}
+    return out | {"mean_x": mean, "var_x": var, "sd_x": var and var**0.5, "sum_x": sum(x * w for x, w in pairs), "n_x": n,
+                  "min_x": min(pairs)[0], "max_x": max(pairs)[0], "median_x": weighted_quantile(pairs, 0.5)}
+
+
+WEIGHTED = [*PROBS, "median", "mean", "var", "sd", "sum", "n", "min", "max"]
+
+
+def close(got, want):
+    assert (got is None) == (want is None)
+    assert want is None or got == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+@pytest.mark.parametrize("options", [{}, {"bracket_rows": 20, "slices": 16}, {"bracket_rows": 1, "slices": 2}])
+def test_weighted_statistics(spark, options):
+    rows = weighted_rows()
+    df = spark.createDataFrame(rows, "g string, x double, w double, im int").repartition(5)
+    got = {r.g: r for r in describe_by(df, ["g"], {"x": WEIGHTED}, count="rows", weight="w", **options).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for g, row in got.items():
+        pairs = [(x, w) for k, x, w, _ in rows if k == g and x is not None and math.isfinite(x) and w is not None and 0 < w < float("inf")]
+        assert row.rows == sum(r[0] == g for r in rows)
+        if not pairs:
+            assert row.n_x == 0 and all(row[c] is None for c in ("mean_x", "var_x", "median_x", "p99_x"))
+            continue
+        for c, want in weighted_expected(pairs).items():
+            close(row[c], want)
+
+
+def test_equal_weights_give_the_inverse_distribution(spark):
+    df = spark.createDataFrame([(float(i), 0.1) for i in range(1, 11)], "x double, w double")
+    row = describe_by(df, [], {"x": [0.0, 0.1, 0.3, 0.5, 0.51, 1.0]}, weight="w").first()
+    # 0.1 summed up three or five times is not 0.3 or 0.5 to the last bit.
+    assert (row.p0_x, row.p10_x, row.p30_x, row.p50_x, row.p51_x, row.p100_x) == (1, 1, 3, 5, 6, 10)
+
+
+@pytest.mark.parametrize("weight", ["w", None])
+def test_averages_over_implicates(spark, weight):
+    rows = [r for r in weighted_rows() if r[0] in ("normal", "ties", "one", None)] + [("late", 4.0, 2.0, 3), ("late", 8.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, w double, im int")
+    stats = ["mean", "median", 0.25, "sd", "n", "sum"]
+    out = describe_by(df, ["g"], {"x": stats}, count="rows", weight=weight, by_implicate="im")
+    each = describe_by(df.where("im IS NOT NULL"), ["g", "im"], {"x": stats}, count="rows", weight=weight).collect()
+    assert out.columns == ["g", "mean_x", "median_x", "p25_x", "sd_x", "n_x", "sum_x", "rows"]
+    for r in out.collect():
+        mine = [e for e in each if e.g == r.g]
+        for c in out.columns[1:]:
+            have = [e[c] for e in mine if e[c] is not None]
+            whole = c in ("n_x", "sum_x", "rows")
+            want = sum(have) / (3 if whole else len(have)) if have else None
+            assert (r[c] is None) == (want is None) and (want is None or r[c] == pytest.approx(want, rel=1e-12))
+
+
+def test_empty_table_with_weights(spark):
+    df = spark.createDataFrame([], "g string, x double, w double, im int")
+    assert describe_by(df, ["g"], {"x": [0.5, "sd"]}, weight="w").collect() == []
+    row = describe_by(df, [], {"x": [0.5, "sd", "mean", "n"]}, weight="w").first()
+    assert (row.p50_x, row.sd_x, row.mean_x, row.n_x) == (None, None, None, 0)
+    assert describe_by(df, ["g"], {"x": [0.5]}, weight="w", by_implicate="im").collect() == []
+
+
+def test_two_scans_where_the_sketch_is_good(spark, monkeypatch):
+    """The second search would be made by `_cells`: it is not needed, whatever the distribution, and few rows leave the scan."""
+    left = []
+    counted = quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda rows, *more: left.append(counted(rows, *more)) or left[-1])
+    monkeypatch.setattr(quantiles, "_cells", lambda *a: pytest.fail("a third scan"))
+    df = store(spark.range(200_000).selectExpr("id % 3 AS g", "exp((id * 7919 % 200000) / 9000D) AS x", "double(id % 5) AS y"))
+    out = describe_by(df, ["g"], {"x": [0.1, 0.5, 0.99], "y": ["median"]}, stored=True).collect()
+    for r in out:
+        xs = [math.exp((i * 7919 % 200000) / 9000) for i in range(200_000) if i % 3 == r.g]
+        assert [r.p10_x, r.p50_x, r.p99_x] == pytest.approx(np.quantile(xs, [0.1, 0.5, 0.99]).tolist(), rel=1e-12)
+        assert r.median_y == 2.0
+    assert left[0].count() < 600
+
+
 def test_unknown_statistic(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     with pytest.raises(ValueError):
