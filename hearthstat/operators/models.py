@@ -1,7 +1,7 @@
 """Correlation panels, least squares and instrumental variables from distributed moments.
 
-The data are scanned once per call, for the moments; estimates and tests are arithmetic on the moment
-rows. Every result covers each group and, as scope ALL, all groups together.
+The data are scanned once per call: for moments, or for the triangular factors of the tasks' rows where there are several
+regressors. Estimates and tests are arithmetic on these. Every result covers each group and, as scope ALL, all groups together.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthstat.functions.expr import finite
+from hearthstat.functions.expr import finite, finite_sql, valid_sql
 from hearthstat.functions.tails import NORMAL_975, f_upper, t_critical_95, t_pvalue, t_two_sided
-from hearthstat.operators.moments import POOLED, listwise_moments, pair_moments, scope_name, with_pooled
+from hearthstat.operators.moments import POOLED, pair_moments, scope_name, with_pooled
 from hearthstat.operators.quantiles import describe_by, join_groups
 from hearthstat.sources.stored import store
 
@@ -143,91 +144,140 @@ _FIT_SCHEMA = (
 )
 
 
-def _solver(n_x: int, n_z: int, terms: Sequence[str], instruments: bool):
-    """Solve the small normal equations of each scope: one moment matrix per row."""
-    y, xs = 0, np.arange(1, 1 + n_x)
-    zs = np.arange(1 + n_x, 1 + n_x + n_z) if instruments else xs
+ALIASED = 1e-7  # part of its length that a regressor keeps besides those before it, from which it is in the fit
+IDENTIFIED = 1e-12  # part of its length that the instruments must give of a regressor
+CHUNK = 8192  # rows that are reduced to a triangle at once
+OPEN_GROUPS = 4096  # groups of which a task holds a triangle
+
+
+def _triangles(cols: int):
+    """Reduce the rows (scope, values) of a task to one triangular factor per group, and one of all rows.
+
+    The factor R of a table A = QR has the same lengths and angles between columns as A, without squaring anything.
+    Factors of parts, put under each other, have the factor of the whole.
+    """
+
+    def reduced(parts: list[np.ndarray]) -> np.ndarray:
+        # Padded, so that even an empty part gives a square factor.
+        return np.linalg.qr(np.vstack([*parts, np.zeros((cols, cols))]), mode="r")
+
+    def run(batches):
+        held: dict[str | None, list] = {}  # scope -> rows, factor
+
+        def flushed():
+            rows = [(scope, n, r) for scope, (n, r) in held.items() if scope is not None]
+            if held:
+                rows.append((POOLED, sum(n for n, _ in held.values()), reduced([r for _, r in held.values()])))
+            held.clear()
+            scopes, counts, factors = zip(*rows) if rows else ([], [], [])
+            flat = [r.ravel().tolist() for r in factors]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(scopes, pa.string()), pa.array(counts, pa.int64()), pa.array(flat, pa.list_(pa.float64()))],
+                names=["scope", "n", "factor"],
+            )
+
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            names, codes = coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy()
+            table = np.column_stack([np.ones(len(batch)), *[c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]])
+            whole = ~np.isnan(table).any(axis=1)
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order], prepend=-2)) if len(order) else []
+            for first, last in zip(cuts, [*cuts[1:], len(order)]):
+                mine = order[first:last]
+                code, mine = codes[mine[0]], mine[whole[mine]]
+                entry = held.setdefault(names[code] if code >= 0 else None, [0, np.zeros((cols, cols))])
+                entry[0] += len(mine)
+                for at in range(0, len(mine), CHUNK):
+                    entry[1] = reduced([entry[1], table[mine[at : at + CHUNK]]])
+                if len(held) >= OPEN_GROUPS:
+                    yield flushed()
+        yield flushed()
+
+    return run
 
-    def independent(c, of):
-        """Of these columns, in order, those that no earlier ones and the constant give."""
-        kept = []
+
+def _solver(n_x: int, n_z: int, terms: Sequence[str], instruments: bool):
+    """Fit one scope from the triangular factors of its parts: the columns are the constant, y, x..., z..."""
+    size = 2 + n_x + n_z
+    xs = list(range(2, 2 + n_x))
+    zs = list(range(2 + n_x, size)) if instruments else xs
+
+    def basis(r, of, least=ALIASED, lengths=None):
+        """Of these columns, in order, those with a length of their own, and unit vectors that span them."""
+        lengths = np.linalg.norm(r, axis=0) if lengths is None else lengths
+        kept, q = [], np.zeros((len(r), 0))
         for j in of:
-            if c[j, j] > 0:
-                before = c[np.ix_(kept, kept)]
-                rest = c[j, j] - c[j, kept] @ np.linalg.solve(before, c[kept, j]) if kept else c[j, j]
-                # Entries are correlations: rounding noise around 0 must not pass for rank.
-                if rest > 1e-11:
-                    kept.append(j)
-        return np.array(kept, int)
-
-    def solve_one(scope, n, means, cross):
-        size = np.sqrt(np.maximum(np.diag(cross), 0.0))
-        scale = np.where(size > 1e-12 * np.sqrt(n) * np.abs(means), size, 0.0)  # a constant has only noise
-        # Unit-scaled cross products keep the small system well conditioned.
-        c = cross / np.outer(np.where(scale > 0, scale, 1.0), np.where(scale > 0, scale, 1.0))
-        c[scale == 0, :] = c[:, scale == 0] = 0.0
-        x = independent(c, xs)
-        z = independent(c, zs) if instruments else x
-        rank = len(x)
-        dof = n - rank - 1
+            rest = r[:, j]
+            for _ in range(2):  # once more, against rounding
+                rest = rest - q @ (q.T @ rest)
+            length = np.linalg.norm(rest)
+            if length > least * lengths[j]:
+                kept.append(j)
+                q = np.column_stack([q, rest / length])
+        return kept, q
+
+    def solve_one(scope, n, r):
+        zcols, qz = basis(r, [0, *zs])
+        fitted = r.copy()
+        if instruments:  # regressors as far as the instruments give them
+            fitted[:, xs] = qz @ (qz.T @ r[:, xs])
+        # What is left out for want of a length of its own is left out of the data, not of their projection.
+        wanted, span = basis(r, [0, *xs])
+        kept, q = basis(fitted, wanted, IDENTIFIED, np.linalg.norm(r, axis=0)) if instruments else (wanted, span)
+        dof = n - len(wanted)
         none = [(scope, t, *[None] * 4, n, dof, *[None] * 5) for t in ["(Intercept)", *terms]]
-        szz, szx, szy = c[np.ix_(z, z)], c[np.ix_(z, x)], c[z, y]
-        if dof <= 0 or len(z) < rank or rank and np.linalg.matrix_rank(szx, tol=1e-12) < rank:
+        if n == 0 or dof <= 0 or kept != wanted:
             return none
-        proj = np.linalg.solve(szz, szx)
-        inv = np.linalg.inv(szx.T @ proj)
-        beta = (inv @ (proj.T @ szy)) * scale[y] / scale[x]
-        inv = inv / np.outer(scale[x], scale[x])
-        sxx, sxy = cross[np.ix_(x, x)], cross[x, y]
-        rss = max(cross[y, y] - 2 * beta @ sxy + beta @ sxx @ beta, 0.0)
+        y = r[:, 1]
+        beta = np.linalg.solve(q.T @ fitted[:, kept], q.T @ y)
+        # Zeros below the diagonal up to rounding: the inverse of the factor gives that of the cross products.
+        inverse = np.linalg.inv(np.triu(q.T @ fitted[:, kept]))
+        cov = inverse @ inverse.T
+        rss = float(np.sum((y - r[:, kept] @ beta) ** 2))
+        unit = r[:, 0] / np.linalg.norm(r[:, 0])
+        tss = float(np.sum((y - unit * (unit @ y)) ** 2))
+        rank = len(kept) - 1
         s2 = rss / dof
-        mx = means[x]
-        est = np.concatenate([[means[y] - mx @ beta], beta])
-        se = np.sqrt(s2 * np.concatenate([[1.0 / n + mx @ inv @ mx], np.diag(inv)]))
-        r2 = 1 - rss / cross[y, y] if cross[y, y] > 0 else np.nan
+        se = np.sqrt(s2 * np.diag(cov))
+        r2 = 1 - rss / tss if tss > 0 else np.nan
         # Joint test of all slopes, with the same covariance as the single tests.
-        f = float(beta @ np.linalg.solve(inv, beta) / rank / s2) if s2 > 0 and rank else np.nan
+        f = float(beta[1:] @ np.linalg.solve(cov[1:, 1:], beta[1:]) / rank / s2) if s2 > 0 and rank else np.nan
         fit = (n, dof, np.sqrt(s2), r2, 1 - (1 - r2) * (n - 1) / dof, f, f_upper(f, rank, dof))
-        found = dict(zip([0, *x.tolist()], zip(est, se)))
+        found = dict(zip(kept, zip(beta, se)))
         rows = []
-        for j, term in enumerate(["(Intercept)", *terms]):
+        for j, term in zip([0, *xs], ["(Intercept)", *terms]):
             b, e = found.get(j, (None, None))
             t = b / e if e is not None and e > 0 else np.nan
             rows.append((scope, term, b, e, t, t_two_sided(t, dof), *fit))
         return rows
 
-    def solve(batches):
-        size = 1 + n_x + (n_z if instruments else 0)
-        for pdf in batches:
-            rows = []
-            for scope, n, entries in zip(pdf["scope"], pdf["n"], pdf["entries"]):
-                means, cross = np.zeros(size), np.zeros((size, size))
-                for e in entries:
-                    i, j = map(int, e["pair"].split("_"))
-                    means[i], means[j] = e["mean_x"], e["mean_y"]
-                    cross[i, j] = cross[j, i] = e["sxy"]
-                rows += solve_one(scope, int(n), means, cross)
-            names = [f.split()[0] for f in _FIT_SCHEMA.split(", ")]
-            yield pd.DataFrame(rows, columns=names)
+    def solve(pdf):
+        parts = [np.reshape(f, (size, size)) for f in pdf["factor"]]
+        while len(parts) > 1:
+            parts = [np.linalg.qr(np.vstack(parts[i : i + 256]), mode="r") for i in range(0, len(parts), 256)]
+        rows = solve_one(pdf["scope"].iloc[0], int(pdf["n"].sum()), parts[0])
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in _FIT_SCHEMA.split(", ")])
 
     return solve
 
 
 def _fit(df, by, y, xs, zs, finite_only) -> DataFrame:
+    """Merged triangular factors: a scope's merge reads one small factor from each task, never rows."""
     cols = [y, *xs, *(zs or [])]
-    m = with_pooled(listwise_moments(df, by, cols, finite_only), by)
-    # One row per scope, holding the few entries of its moment matrix.
-    entry = F.struct("pair", "mean_x", "mean_y", "sxy")
-    matrices = m.groupBy("scope").agg(F.first("n").alias("n"), F.collect_list(entry).alias("entries"))
+    valid = finite_sql if finite_only else valid_sql
+    rows = df.selectExpr(f"{scope_name(by)} AS scope", *[f"{valid(c)} AS v{i}" for i, c in enumerate(cols)])
+    factors = rows.mapInArrow(_triangles(1 + len(cols)), "scope string, n long, factor array<double>")
     solve = _solver(len(xs), len(zs or []), list(xs), zs is not None)
-    return matrices.mapInPandas(solve, _FIT_SCHEMA)
+    return factors.groupBy("scope").applyInPandas(solve, _FIT_SCHEMA)
 
 
 def ols(df: DataFrame, by: str, y: str, xs: Sequence[str], finite_only: bool = True) -> DataFrame:
     """Coefficient table of y on several regressors and a constant, per group and pooled.
 
     Rows missing any model variable are left out. A regressor that the constant and the regressors before it
-    give is left out of the fit: its row is NULL, and the degrees of freedom follow from the rank.
+    give, up to a ten-millionth of its length, is left out of the fit: its row is NULL, and the degrees of freedom follow
+    from the rank.
     """
     return _fit(df, by, y, list(xs), None, finite_only)
 

@@ -428,17 +428,22 @@ ORACLE_SQL["corr_panel"] = f"""WITH {KNOWN}, {SCOPES}, m AS ({_pair_rows()})
       ELSE round(sxy / nullif(sqrt(sxx * syy), 0) + 1e-11::DOUBLE, 9) + 0.0 END AS r FROM m"""
 # Two-sided t tail by the continued fraction of the incomplete beta function I_x(df/2, 1/2); where the
 # fraction converges slowly the complement I_{1-x}(1/2, df/2) is taken.
-_TAIL = """b AS (SELECT *, df / (df + t * t) AS x0 FROM tests),
-  s AS (SELECT *, x0 < (df / 2 + 1) / (df / 2 + 2.5::DOUBLE) AS direct FROM b),
-  a AS (SELECT *, CASE WHEN direct THEN df / 2 ELSE 0.5::DOUBLE END AS pa, CASE WHEN direct THEN 0.5::DOUBLE ELSE df / 2 END AS pb,
-      CASE WHEN direct THEN x0 ELSE t * t / (df + t * t) END AS x FROM s),
-  f AS (SELECT scope, pair, 400 AS k, 1.0::DOUBLE AS v FROM a
-    UNION ALL SELECT f.scope, f.pair, k - 1, 1 + (CASE WHEN k % 2 = 0
+def _tail(tests: str = "tests", half: str = "0.5", p: str = "") -> str:
+    """CTEs up to `g`: the area beyond t (or beyond t * t = k F, with half = k / 2) of the rows (scope, pair, df, t) of `tests`."""
+    return f"""{p}b AS (SELECT *, df / (df + t * t) AS x0 FROM {tests}),
+  {p}s AS (SELECT *, x0 < (df / 2 + 1) / (df / 2 + {half}::DOUBLE + 2) AS direct FROM {p}b),
+  {p}a AS (SELECT *, CASE WHEN direct THEN df / 2 ELSE {half}::DOUBLE END AS pa, CASE WHEN direct THEN {half}::DOUBLE ELSE df / 2 END AS pb,
+      CASE WHEN direct THEN x0 ELSE t * t / (df + t * t) END AS x FROM {p}s),
+  {p}f AS (SELECT scope, pair, 400 AS k, 1.0::DOUBLE AS v FROM {p}a
+    UNION ALL SELECT {p}f.scope, {p}f.pair, k - 1, 1 + (CASE WHEN k % 2 = 0
         THEN (k // 2) * (pb - k // 2) * x / ((pa + k - 1) * (pa + k))
         ELSE -(pa + k // 2) * (pa + pb + k // 2) * x / ((pa + k - 1) * (pa + k)) END) / v
-      FROM f JOIN a USING (scope, pair) WHERE k > 0),
-  g AS (SELECT a.*, exp(lgamma(df / 2 + 0.5::DOUBLE) - lgamma(df / 2) - lgamma(0.5::DOUBLE)
-      + pa * ln(x) + pb * ln(1 - x)) / pa / v AS area FROM a JOIN f USING (scope, pair) WHERE k = 0)"""
+      FROM {p}f JOIN {p}a USING (scope, pair) WHERE k > 0),
+  {p}g AS (SELECT {p}a.*, exp(lgamma(df / 2 + {half}::DOUBLE) - lgamma(df / 2) - lgamma({half}::DOUBLE)
+      + pa * ln(x) + pb * ln(1 - x)) / pa / v AS area FROM {p}a JOIN {p}f USING (scope, pair) WHERE k = 0)"""
+
+
+_TAIL = _tail()
 ORACLE_SQL["corr_test_panel"] = f"""WITH RECURSIVE {KNOWN}, {SCOPES}, m AS ({_pair_rows()}),
   c AS MATERIALIZED (SELECT *, sxy / sqrt(sxx * syy) AS r, (n - 2)::DOUBLE AS df FROM m),
   tests AS MATERIALIZED (SELECT *, r * sqrt(df / (1 - r * r)) AS t FROM c), {_TAIL}
@@ -550,17 +555,19 @@ def _coef_table(source: str, y: str, xs: list[str], table: str = "fam2") -> str:
     return f"""WITH RECURSIVE {_swept(source, table, y, xs)},
   stats AS (SELECT *, sqrt(rss / df) AS sigma, 1 - rss / tss AS r2, (tss - rss) / {k} / (rss / df) AS f FROM ({terms})),
   tests0 AS MATERIALIZED (SELECT scope, term AS pair, n, df::DOUBLE AS df, b / se AS t, b, se, sigma, r2, f FROM stats),
-  tests AS (SELECT * FROM tests0), {_TAIL}
+  tests AS (SELECT * FROM tests0), {_TAIL},
+  joint AS MATERIALIZED (SELECT DISTINCT scope, 'f' AS pair, df, sqrt({k} * f) AS t FROM tests0), {_tail("joint", repr(k / 2), "j")},
+  joined AS (SELECT g.*, CASE WHEN jg.direct THEN jg.area ELSE 1 - jg.area END AS f_p FROM g JOIN jg USING (scope))
   SELECT scope, pair AS term, {_r("b", 7, "estimate")}, {_r("se", 7, "std_error")}, {_r("t", 6, "t")},
     {_r("CASE WHEN direct THEN area ELSE 1 - area END", 6, "p")}, n, df::BIGINT AS df, {_r("sigma", 4, "sigma")},
-    {_r("r2", 9, "r2")}, {_r("1 - (1 - r2) * (n - 1) / df", 9, "adj_r2")}, {_r("f", 3, "f")} FROM g"""
+    {_r("r2", 9, "r2")}, {_r("1 - (1 - r2) * (n - 1) / df", 9, "adj_r2")}, {_r("f", 3, "f")}, {_r("f_p", 6, "f_p")} FROM joined"""
 
 
 FAMILY2 = f"{FAMILY}, fam2 AS (SELECT *, {_FAMSTRUCT} AS famstruct FROM fam)"
 ORACLE_SQL["ols_two_regressors"] = _coef_table(FAMILY2, "di2000", ["change_absolute", "age"])
 ORACLE_SQL["ols_aliased"] = f"""WITH fitted AS ({ORACLE_SQL["ols_two_regressors"]})
   SELECT * FROM fitted UNION ALL
-  SELECT scope, 'both', NULL, NULL, NULL, NULL, n, df, sigma, r2, adj_r2, f FROM fitted WHERE term = 'age'"""
+  SELECT scope, 'both', NULL, NULL, NULL, NULL, n, df, sigma, r2, adj_r2, f, f_p FROM fitted WHERE term = 'age'"""
 ORACLE_SQL["ols_consumption"] = _coef_table(FAMILY2, "di2000", ["change_absolute", *CONTROLS])
 ORACLE_SQL["ols_savings"] = _coef_table(FAMILY2, "netliquidassets", ["change_absolute", *CONTROLS])
 ORACLE_SQL["ols_consumption_savings"] = _coef_table(FAMILY2, "di2000", ["netliquidassets", *CONTROLS])
@@ -596,10 +603,12 @@ def _iv(x: str, z: str) -> str:
   terms AS (SELECT *, '(Intercept)' AS term, my - b * mx AS est, sqrt(s2 * (1.0::DOUBLE / n + mx * mx / fitted)) AS se FROM o
     UNION ALL SELECT *, '{x}', b, sqrt(s2 / fitted) FROM o),
   tests AS MATERIALIZED (SELECT scope, term AS pair, n, (n - 2)::DOUBLE AS df, est / se AS t, est, se, sqrt(s2) AS sigma,
-    1 - rss / syy AS r2, b * b * fitted / s2 AS f FROM terms), {_TAIL}
+    1 - rss / syy AS r2, b * b * fitted / s2 AS f FROM terms), {_TAIL},
+  joint AS MATERIALIZED (SELECT DISTINCT scope, 'f' AS pair, df, sqrt(f) AS t FROM tests), {_tail("joint", "0.5", "j")},
+  joined AS (SELECT g.*, CASE WHEN jg.direct THEN jg.area ELSE 1 - jg.area END AS f_p FROM g JOIN jg USING (scope))
   SELECT scope, pair AS term, {_r("est", 3, "estimate")}, {_r("se", 1, "std_error")}, {_r("t", 6, "t")},
     {_r("CASE WHEN direct THEN area ELSE 1 - area END", 6, "p")}, n, df::BIGINT AS df, {_r("sigma", 3, "sigma")},
-    {_r("r2", 6, "r2")}, {_r("1 - (1 - r2) * (n - 1) / df", 6, "adj_r2")}, {_r("f", 6, "f")} FROM g"""
+    {_r("r2", 6, "r2")}, {_r("1 - (1 - r2) * (n - 1) / df", 6, "adj_r2")}, {_r("f", 6, "f")}, {_r("f_p", 6, "f_p")} FROM joined"""
 
 
 ORACLE_SQL["iv_consumption_price"] = _iv("hb0900", "hb0800")

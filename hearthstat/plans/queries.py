@@ -603,8 +603,8 @@ def _model_data(spark, sf_dir):
 
 
 def _coefs(df):
-    digits = {"estimate": 7, "std_error": 7, "sigma": 4, "t": 6, "f": 3, "p": 6}
-    return rounded(df.drop("f_p"), digits, default=9)
+    digits = {"estimate": 7, "std_error": 7, "sigma": 4, "t": 6, "f_p": 6, "f": 3, "p": 6}
+    return rounded(df, digits, default=9)
 
 
 @register
@@ -670,14 +670,14 @@ IV_DIGITS = {"estimate": 3, "std_error": 1, "sigma": 3}
 def iv_consumption_price(spark, sf_dir):
     """Consumption per head on the current value, with the acquisition value as instrument."""
     df = v.with_consumption(known_change(spark, sf_dir, CONSUMPTION))
-    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["hb0900"], ["hb0800"]).drop("f_p"), IV_DIGITS, default=6)
+    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["hb0900"], ["hb0800"]), IV_DIGITS, default=6)
 
 
 @register
 def iv_consumption_share(spark, sf_dir):
     """Consumption per head on consumption, with its income share as instrument."""
     df = v.with_consumption(known_change(spark, sf_dir, ["docogoodp", *CONSUMPTION]))
-    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["docogood"], ["docogoodp"]).drop("f_p"), IV_DIGITS, default=6)
+    return rounded(models.iv(df, "sa0100", "per_capita_consumption", ["docogood"], ["docogoodp"]), IV_DIGITS, default=6)
 
 
 # ---- chart data --------------------------------------------------------------------------------------

@@ -188,6 +188,63 @@ def test_singular_and_small_fits_are_missing(spark):
     assert {r.term: r.estimate is None for r in fit} == {"(Intercept)": False, "x": False, "w": True}
 
 
+def near_collinear(noise, n=4000):
+    rng = np.random.default_rng(4)
+    x = rng.normal(50, 10, n)
+    z = x + noise * rng.normal(0, 1, n)
+    y = 3 + 2 * x - 5 * (z - x) / max(noise, 1e-300) + rng.normal(0, 1, n)
+    return x, z, y
+
+
+@pytest.mark.parametrize("noise, estimated", [(1e-2, True), (1e-4, True), (1e-6 * 50, True), (1e-10, False), (0.0, False)])
+def test_near_collinear_regressors_as_by_householder(spark, noise, estimated):
+    """A regressor counts if a ten-millionth of its length is its own; squared lengths would lose it much earlier."""
+    x, z, y = near_collinear(noise)
+    data = list(zip(["a"] * len(x), y.tolist(), x.tolist(), z.tolist()))
+    df = spark.createDataFrame(data, "g string, y double, x double, z double").repartition(7)
+    got = {r.term: r for r in models.ols(df, "g", "y", ["x", "z"]).where("scope = 'ALL'").collect()}
+    assert (got["z"].estimate is not None) == estimated
+    assert got["x"].df == len(x) - 2 - estimated
+    # The same fit on the difference of both, which is not collinear.
+    if estimated:
+        beta, se, e, s2 = numpy_ols(y, np.column_stack([x, (z - x) / noise]))
+        assert got["z"].estimate == pytest.approx(beta[2] / noise, rel=1e-3)
+        assert got["z"].std_error == pytest.approx(se[2] / noise, rel=1e-3)
+        assert got["x"].sigma == pytest.approx(math.sqrt(s2), rel=1e-6)
+
+
+def test_noise_of_a_millionth(spark):
+    """x and z = x + 1e-6 noise, of lengths around 1: two estimates."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, 3000)
+    z = x + 1e-6 * rng.normal(0, 1, 3000)
+    y = x + rng.normal(0, 1, 3000)
+    df = spark.createDataFrame(list(zip(["a"] * 3000, y.tolist(), x.tolist(), z.tolist())), "g string, y double, x double, z double")
+    assert all(r.estimate is not None for r in models.ols(df, "g", "y", ["x", "z"]).collect())
+
+
+def test_many_groups_and_tasks(spark, monkeypatch):
+    """Factors leave a task before they are many, and the merge gives the same fits."""
+    monkeypatch.setattr(models, "OPEN_GROUPS", 5)
+    monkeypatch.setattr(models, "CHUNK", 3)
+    rng = random.Random(8)
+    rows = [(f"g{i % 40}" if i % 40 else None, rng.gauss(0, 1), rng.gauss(1e4, 1), rng.random()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, y double, x double, w double").repartition(9)
+    got = {(r.scope, r.term): r for r in models.ols(df, "g", "y", ["x", "w"]).collect()}
+    assert {s for s, _ in got} == {"ALL", *[f"g{i}" for i in range(1, 40)]}
+    for scope in ("ALL", "g7"):
+        m = np.array([r[1:] for r in rows if scope == "ALL" or r[0] == scope])
+        beta, se, _, _ = numpy_ols(m[:, 0], m[:, 1:])
+        assert [got[scope, t].estimate for t in ("(Intercept)", "x", "w")] == pytest.approx(list(beta), rel=1e-6)
+        assert [got[scope, t].std_error for t in ("(Intercept)", "x", "w")] == pytest.approx(list(se), rel=1e-6)
+        assert got[scope, "x"].n == len(m)
+
+
+def test_fits_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, y double, x double, w double")
+    assert all(r.estimate is None and r.n == 0 for r in models.ols(df, "g", "y", ["x", "w"]).collect())
+
+
 def test_a_group_named_like_the_pooled_result(spark):
     rows = [("ALL", 1.0, 1.0), ("ALL", 2.0, 3.0), ("B", 4.0, 2.0), ("B", 3.0, 5.0)]
     df = spark.createDataFrame(rows, "g string, y double, x double")
