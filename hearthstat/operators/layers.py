@@ -123,18 +123,20 @@ def kernel_density(
         .groupBy(*by, "cell")
         .agg(F.sum(1 - F.col("part")).alias("left"), F.sum("part").alias("right"))
     )
-    # (groups x bins) rows from here on.
-    halves = F.array(
-        F.struct(F.col("cell").alias("node"), F.col("left").alias("mass")),
-        F.struct((F.col("cell") + 1).alias("node"), F.col("right").alias("mass")),
-    )
-    nodes = counts.select(*by, F.inline(halves)).groupBy(*by, "node").agg(F.sum("mass").alias("mass"))
-    spots = join_groups(nodes, stats, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("x0") + F.col("point") * F.col("step")
-    z = (x - (F.col("x0") + F.col("node") * F.col("width"))) / F.col("bandwidth")
-    kernel = F.exp(F.lit(-0.5) * z * z) / (F.lit(2.5066282746310002) * F.col("bandwidth"))
-    return spots.groupBy(*by, "point").agg(
-        F.first(x).alias("x"),
-        F.first("bandwidth").alias("bandwidth"),
-        (F.sum(F.col("mass") * kernel) / F.first("n")).alias("density"),
-    )
+    # (groups x bins) rows, then one row per group with the masses of its nodes, folded at each point of the grid.
+    held = F.collect_list(F.struct("cell", "left", "right")).alias("cells")
+    folded = join_groups(counts.groupBy(*by).agg(held) if by else counts.agg(held), stats, by)
+
+    def node(number: Column, mass: Column, x: Column) -> Column:
+        z = (x - (F.col("x0") + number * F.col("width"))) / F.col("bandwidth")
+        return mass * F.exp(F.lit(-0.5) * z * z)
+
+    def density(x: Column) -> Column:
+        total = F.aggregate(
+            "cells", F.lit(0.0), lambda t, c: t + node(c["cell"], c["left"], x) + node(c["cell"] + 1, c["right"], x)
+        )
+        return total / (F.lit(2.5066282746310002) * F.col("bandwidth") * F.col("n"))
+
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda p: F.struct(p.alias("point"), (F.col("x0") + p * F.col("step")).alias("x")))
+    filled = F.transform(grid, lambda g: F.struct(g["point"].alias("point"), g["x"].alias("x"), F.col("bandwidth").alias("bandwidth"), density(g["x"]).alias("density")))
+    return folded.select(*by, F.inline(filled))

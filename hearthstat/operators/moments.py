@@ -7,7 +7,7 @@ amounts are large: products are centred while they are summed, never as sum(xy)
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -56,56 +56,38 @@ def pair_moments(
     return out.selectExpr(quoted(by), f"array({names})[pair] AS pair", *out.columns[2:])
 
 
-def listwise_moments(df: DataFrame, by: str, cols: Sequence[str], finite_only: bool = True) -> DataFrame:
-    """Moments of every pair of columns over the rows where all columns are present.
+SLOTS = 1024  # parts of the pooled result, merged one by one before they are merged with each other
 
-    The pairs are named `i_j` by the positions of their columns. Incomplete rows are skipped inside the
-    aggregates: a filter on computed columns would be copied into the joins below it.
-    """
-    valid = finite_sql if finite_only else valid_sql
-    k = range(len(cols))
-    numbers = df.selectExpr(quoted(by), *[f"{valid(c)} AS v{i}" for i, c in enumerate(cols)])
-    complete = numbers.selectExpr("*", " AND ".join(f"v{i} IS NOT NULL" for i in k) + " AS ok")
-    pairs = [(i, j) for i in k for j in k if i <= j]
-    only = "FILTER (WHERE ok)"
-    aggs = [f"count(1) {only} AS n", *[f"avg(v{i}) {only} AS m{i}" for i in k]]
-    for i, j in pairs:
-        product = f"var_pop(v{i})" if i == j else f"covar_pop(v{i}, v{j})"
-        aggs.append(f"{product} {only} * count(1) {only} AS c_{i}_{j}")
-    wide = complete.groupBy(by).agg(*map(F.expr, aggs))
-    rows = ", ".join(
-        f"named_struct('pair', '{i}_{j}', 'mean_x', m{i}, 'mean_y', m{j}, 'sxx', c_{i}_{i}, 'syy', c_{j}_{j}, "
-        f"'sxy', c_{i}_{j})"
-        for i, j in pairs
+
+def _merged() -> str:
+    """SQL text: the moments of a list of parts, each about its own means, as those of the whole about the common means."""
+    n = "(a.n + b.n)"
+    cross = {"sxx": ("x", "x"), "syy": ("y", "y"), "sxy": ("x", "y")}
+    means = ", ".join(f"'mean_{v}', a.mean_{v} + (b.mean_{v} - a.mean_{v}) * b.n / {n}" for v in "xy")
+    sums = ", ".join(
+        f"'{s}', a.{s} + b.{s} + (b.mean_{v} - a.mean_{v}) * (b.mean_{w} - a.mean_{w}) * a.n * b.n / {n}" for s, (v, w) in cross.items()
     )
-    return wide.selectExpr(quoted(by), "n", f"inline(array({rows}))")
+    none = "named_struct('n', 0L, 'mean_x', 0D, 'mean_y', 0D, 'sxx', 0D, 'syy', 0D, 'sxy', 0D)"
+    return f"aggregate(parts, {none}, (a, b) -> CASE WHEN b.n = 0 THEN a WHEN a.n = 0 THEN b ELSE named_struct('n', {n}, {means}, {sums}) END)"
 
 
 def with_pooled(moments: DataFrame, by: str, name: str = "scope") -> DataFrame:
     """Moments per group and for all groups together; `scope` is the group or ALL.
 
-    A missing group counts in ALL only; a group of that name is in quotes. For the aggregated rows of the functions above.
+    A missing group counts in ALL only; a group of that name is in quotes. For the aggregated rows of the function above,
+    of which there may be millions: the pooled result is merged in two levels, first within slots of the groups, so
+    that no task gets them all.
     """
     how = {"n_dropped": "sum", "min_x": "min", "max_x": "max", "min_y": "min", "max_y": "max"}
     extra = [f"{f}({c}) AS {c}" for c, f in how.items() if c in moments.columns]
-    rest = [c for c in moments.columns if c != by]
+    values = ["n", "mean_x", "mean_y", "sxx", "syy", "sxy"]
     scopes = moments.selectExpr(
-        f"explode(array_compact(array({scope_name(by)}, '{POOLED}'))) AS {name}",
-        *rest,
-    )
-    over = f"OVER (PARTITION BY {name}, pair)"
-    centred = scopes.selectExpr(
-        "*",
-        f"try_divide(sum(n * mean_x) {over}, sum(n) {over}) AS centre_x",
-        f"try_divide(sum(n * mean_y) {over}, sum(n) {over}) AS centre_y",
-    )
-    aggs = [
-        "sum(n) AS n",
-        "first(centre_x) AS mean_x",
-        "first(centre_y) AS mean_y",
-        "sum(sxx + n * pow(mean_x - centre_x, 2)) AS sxx",
-        "sum(syy + n * pow(mean_y - centre_y, 2)) AS syy",
-        "sum(sxy + n * (mean_x - centre_x) * (mean_y - centre_y)) AS sxy",
-        *extra,
-    ]
-    return centred.groupBy(name, "pair").agg(*map(F.expr, aggs))
+        f"explode(array_compact(array({scope_name(by)}, '{POOLED}'))) AS {name}", f"pmod(xxhash64({quoted(by)}), {SLOTS}) AS slot",
+        *[c for c in moments.columns if c != by],
+    )
+    part = f"named_struct({', '.join(f'{v!r}, {v}' for v in values)})"
+    gathered = [F.expr(f"collect_list({part}) AS parts"), *map(F.expr, extra)]
+    kept = [c for c in how if c in moments.columns]
+    slots = scopes.groupBy(name, "slot", "pair").agg(*gathered).selectExpr(name, "pair", f"inline(array({_merged()}))", *kept)
+    whole = slots.groupBy(name, "pair").agg(*gathered).selectExpr(name, "pair", f"inline(array({_merged()}))", *kept)
+    return whole.selectExpr(name, "pair", "n", *[f"CASE WHEN n > 0 THEN {v} END AS {v}" for v in values[1:]], *kept)

@@ -13,7 +13,7 @@ from hearthstat.functions.expr import cut, first_match, quoted, ratio, recode
 from hearthstat.operators import layers, models, prep, summary, survey
 from hearthstat.operators.quantiles import describe_by
 from hearthstat.plans import analysis, variables as v
-from hearthstat.sources.house import COUNTRIES, house, replicate_names, replicate_weights, table
+from hearthstat.sources.house import COUNTRIES, REPLICATES, house, replicate_vectors, table
 from hearthstat.sources.stored import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,21 +115,27 @@ def weighted_distribution_missing_implicates(spark, sf_dir):
     return rounded(survey.share(mean, "weighted_count", ["sa0100"]), {"weighted": 6, "prop": 10})
 
 
-@register
-def replicate_variance_share(spark, sf_dir):
-    """Totals and shares per cell with their replicate-weight variances."""
-    names = replicate_names()
+def _replicated(spark, sf_dir, replicates):
     df = v.with_changes(house(spark, sf_dir, ["id", *CHANGE, "im0100", "hw0010"]))
-    # The replicate factors belong to the household: they are joined to its few sums, not to its records.
-    df = df.groupBy("id", "change_category", "sa0100", "im0100").agg(F.sum("hw0010").alias("hw0010"))
-    df = survey.attach_weights(df, replicate_weights(spark, sf_dir), ["id"], names, missing_keys=False)
-    df = df.selectExpr("change_category", "sa0100", "im0100", "hw0010", *[f"hw0010 * {n} / 2 AS {n}" for n in names])
-    design = survey.Design(weight="hw0010", implicate="im0100", replicates=tuple(names))
+    design = survey.Design(weight="hw0010", implicate="im0100", combined=False)
     levels = {"change_category": v.CHANGE_LEVELS, "sa0100": COUNTRIES}
-    out = survey.replicate_variance(df, levels, design, ["sa0100"])
+    vectors = replicate_vectors(spark, sf_dir, replicates)
+    out = survey.household_replicate_variance(df, vectors, ["id"], levels, design, ["sa0100"], missing_keys=False)
     return rounded(out, {"total": 6, "var_total": 4, "share": 10, "var_share": 12})
 
 
+@register
+def replicate_variance_share(spark, sf_dir):
+    """Totals and shares per cell with their replicate-weight variances."""
+    return _replicated(spark, sf_dir, REPLICATES)
+
+
+@register
+def replicate_variance_thousand(spark, sf_dir):
+    """The same with a thousand replicates."""
+    return _replicated(spark, sf_dir, 1000)
+
+
 PIPELINE_REPLICATES = 10
 
 
@@ -172,10 +178,12 @@ def survey_pipeline(spark, sf_dir):
     p, d, h, w = survey_tables(spark, sf_dir)
     households = analysis.household_table(p, d, h)
     weights = analysis.weight_table(w)
-    first, last = "WR0001", f"WR{PIPELINE_REPLICATES:04d}"
-    df, design = analysis.with_replicates(households, weights, ["SURVEY", "SA0010", "SA0100"], first, last)
+    names = prep.columns_between(weights, "WR0001", f"WR{PIPELINE_REPLICATES:04d}")
+    keys = ["SURVEY", "SA0010", "SA0100"]
+    design = survey.Design(weight="HW0010", implicate="IM0100")
     levels = {"change_category": v.CHANGE_LEVELS, "SA0100": COUNTRIES}
-    out = survey.replicate_variance(df, levels, design, ["SA0100"])
+    vectors = survey.replicate_vectors(weights, keys, names)
+    out = survey.household_replicate_variance(households, vectors, keys, levels, design, ["SA0100"])
     return rounded(out, {"total": 6, "var_total": 4, "share": 10, "var_share": 12})
 
 

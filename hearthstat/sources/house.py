@@ -110,13 +110,7 @@ def house(spark: SparkSession, sf_dir: str, cols: Sequence[str], countries: Sequ
     return rows.selectExpr(*[f"{COLUMNS[c]} AS {c}" for c in cols])
 
 
-def replicate_names() -> list[str]:
-    return [f"wr{r:04d}" for r in range(1, REPLICATES + 1)]
-
-
-def replicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weight table: one row per household with its replicate factors."""
-    factors = [
-        f"double(1 + (o_orderkey * {r} + o_custkey) % 3) AS {name}" for r, name in enumerate(replicate_names(), start=1)
-    ]
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", *factors)
+def replicate_vectors(spark: SparkSession, sf_dir: str, replicates: int = REPLICATES) -> DataFrame:
+    """The weight table: one row per household with its replicate factors as an array."""
+    factor = "double(1 + (o_orderkey * r + o_custkey) % 3) / 2"
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"transform(sequence(1, {replicates}), r -> {factor}) AS replicates")

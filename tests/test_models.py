@@ -93,6 +93,20 @@ def test_pooled_moments_equal_direct_ones(data):
         assert (r.sxx, r.syy, r.sxy) == (pytest.approx(c[0, 0]), pytest.approx(c[1, 1]), pytest.approx(c[0, 1]))
 
 
+def test_pooled_moments_of_very_many_groups(spark):
+    """No window over the pooled rows, and no loss from large means."""
+    df = spark.range(300_000).selectExpr("id % 100000 AS g", "1e9 + pmod(id * 7919, 1000) AS x", "double(id % 13) AS y")
+    m = with_pooled(pair_moments(df, "g", {"p": ("x", "y")}), "g")
+    assert "Window" not in m._jdf.queryExecution().executedPlan().toString()
+    row = m.where("scope = 'ALL'").first()
+    ids = np.arange(300_000)
+    x, y = 1e9 + ids * 7919 % 1000, ids % 13
+    assert row.n == 300_000 and row.mean_x == pytest.approx(x.mean(), rel=1e-15)
+    assert row.sxx == pytest.approx(((x - x.mean()) ** 2).sum(), rel=1e-9)
+    assert row.sxy == pytest.approx(((x - x.mean()) * (y - y.mean())).sum(), rel=1e-6, abs=1e-2)
+    assert m.where("scope <> 'ALL'").count() == 100_000
+
+
 def test_correlation_policies(spark):
     rows = [("AT", 1.0, 2.0, 5.0), ("AT", 2.0, 1.0, 5.0), ("AT", 3.0, 7.0, 5.0), ("AT", None, 4.0, 5.0), ("DE", 1.0, 1.0, 5.0), ("DE", 2.0, 5.0, 5.0)]
     df = spark.createDataFrame(rows, "g string, a double, b double, k double")

@@ -86,6 +86,54 @@ def test_replicate_variance_against_brute_force(spark):
         assert r.var_share == pytest.approx(sum((s - share[0]) ** 2 for s in share[1:]) / 6)
 
 
+@pytest.mark.parametrize("combined", [True, False])
+@pytest.mark.parametrize("replicates", [6, 1000])
+def test_household_replicates_against_brute_force(spark, combined, replicates):
+    rng = random.Random(6)
+    vectors = {h: [rng.choice([0.0, 0.5, 1.5, None]) for _ in range(replicates)] for h in [*range(12), None]}
+    data = [
+        (h, rng.choice([1, 2]), rng.choice(["lo", "hi", None, "other"]), rng.choice(["AT", "DE"]), rng.choice([0.0, rng.random()]))
+        for h in vectors for _ in range(6)
+    ]
+    data.append((3, None, "lo", "AT", 99.0))  # in no implicate
+    df = spark.createDataFrame(data, "id int, im int, cat string, c string, w double")
+    weights = spark.createDataFrame(list(vectors.items()), "id int, replicates array<double>").repartition(3)
+    design = survey.Design(weight="w", implicate="im", combined=combined)
+    out = survey.household_replicate_variance(df, weights, ["id"], LEVELS, design, ["c"]).collect()
+    data.pop()
+    assert {(r.cat, r.c) for r in out} == {(q[2], q[3]) for q in data if q[2] in ("lo", "hi")}
+
+    def total(r, keep):
+        return sum((q[4] if r == 0 else (vectors[q[0]][r - 1] or 0.0) * (1 if combined else q[4])) for q in data if keep(q)) / 2
+
+    for row in out:
+        totals = [total(k, lambda q: (q[2], q[3]) == (row.cat, row.c)) for k in range(replicates + 1)]
+        country = [total(k, lambda q: q[2] in ("lo", "hi") and q[3] == row.c) for k in range(replicates + 1)]
+        share = [t / c if c else None for t, c in zip(totals, country)]
+        assert row.total == pytest.approx(totals[0]) and row.share == pytest.approx(share[0])
+        assert row.var_total == pytest.approx(sum((t - totals[0]) ** 2 for t in totals[1:]) / replicates)
+        if None not in share:
+            assert row.var_share == pytest.approx(sum((s - share[0]) ** 2 for s in share[1:]) / replicates)
+
+
+def test_households_need_one_row_of_replicates(spark):
+    df = spark.createDataFrame([(1, 1, "lo", "AT", 1.0), (2, 1, "hi", "AT", 1.0)], "id int, im int, cat string, c string, w double")
+    one, two = ([(h, [1.0])] for h in (1, 2))
+    for weights, said in ((one, "without replicate weights"), (one + two + two, "several rows")):
+        table = spark.createDataFrame(weights, "id int, replicates array<double>")
+        with pytest.raises(PySparkException, match=said):
+            survey.household_replicate_variance(df, table, ["id"], LEVELS, DESIGN, ["c"]).collect()
+
+
+def test_a_household_is_joined_once(spark):
+    """Neither the replicates nor a household's implicates show in the plan: one exchange carries the arrays."""
+    df = spark.range(100).selectExpr("id % 20 AS id", "int(id % 5) AS im", "'lo' AS cat", "'AT' AS c", "1D AS w")
+    weights = spark.range(20).selectExpr("id", "transform(sequence(1, 500), x -> double(x)) AS replicates")
+    out = survey.household_replicate_variance(df, weights, ["id"], LEVELS, DESIGN, ["c"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 100_000 and plan.count("summary") <= 8
+
+
 def test_crosstab_shows_zero_and_missing_cells(spark):
     df = spark.createDataFrame([("AT", "lo"), ("AT", None), ("AT", None), ("DE", "odd")], "c string, cat string")
     out = summary.crosstab(df, {"c": ["AT", "DE"], "cat": ["lo", "hi"]})
