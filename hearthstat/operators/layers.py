@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,28 +39,17 @@ def box_stats(
     """
     by = list(by)
     source = _values(df, by, value, stored)
-    hinges = store(
-        describe_by(source, by, {"__x": [0.25, "median", 0.75]}, count="n", stored=True, **options).select(
-            *by,
-            "n",
-            F.col("p25___x").alias("lower_hinge"),
-            F.col("median___x").alias("middle"),
-            F.col("p75___x").alias("upper_hinge"),
-        )
-    )
-    reach = F.lit(float(coef)) * (F.col("upper_hinge") - F.col("lower_hinge"))
-    inside = F.col("__x").between(F.col("lower_hinge") - reach, F.col("upper_hinge") + reach)
-    ends = (
-        join_groups(source, hinges.select(*by, "lower_hinge", "upper_hinge"), by)
-        .groupBy(*by)
-        .agg(
-            F.min(F.when(inside, F.col("__x"))).alias("lower_whisker"),
-            F.max(F.when(inside, F.col("__x"))).alias("upper_whisker"),
-            F.sum(F.when(inside, 0).otherwise(1)).alias("n_outliers"),
-        )
-    )
-    return join_groups(ends, hinges, by).select(
-        *by, "n", "lower_whisker", "lower_hinge", "middle", "upper_hinge", "upper_whisker", "n_outliers"
+    stats = {"__x": [0.25, "median", 0.75]}
+    found = describe_by(source, by, stats, count="n", stored=True, fences={"__x": coef}, **options)
+    return found.select(
+        *by,
+        "n",
+        F.col("lower_whisker___x").alias("lower_whisker"),
+        F.col("p25___x").alias("lower_hinge"),
+        F.col("median___x").alias("middle"),
+        F.col("p75___x").alias("upper_hinge"),
+        F.col("upper_whisker___x").alias("upper_whisker"),
+        F.col("n_outliers___x").alias("n_outliers"),
     )
 
 
@@ -68,21 +59,59 @@ def bar_counts(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
 
 def bin2d(
     df: DataFrame, by: Sequence[str], x: str, y: str, width_x: float, width_y: float,
-    origin: tuple[float, float] = (0.0, 0.0), name: str = "n",
+    origin: tuple[float, float] = (0.0, 0.0), name: str = "n", most: int | None = None,
 ) -> DataFrame:
-    """Scatter of two columns as counts in rectangles; rows missing x or y are left out."""
+    """Scatter of two columns as counts in rectangles; rows missing x or y are left out.
+
+    With `most`, a group that has more rectangles gets that many at most: rectangles are merged, four by four, where there are
+    few rows, and `level` tells how often their sides were doubled.
+    """
     def bin_of(c: str, start: float, width: float) -> Column:
         return F.floor((finite(c) - F.lit(float(start))) / F.lit(float(width)))
 
     binned = df.select(
         *by, bin_of(x, origin[0], width_x).alias("bin_x"), bin_of(y, origin[1], width_y).alias("bin_y")
     ).where(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull())
-    return (
-        binned.groupBy(*by, "bin_x", "bin_y")
-        .agg(F.count(F.lit(1)).alias(name))
-        .withColumn("x", F.lit(float(origin[0])) + (F.col("bin_x") + 0.5) * F.lit(float(width_x)))
-        .withColumn("y", F.lit(float(origin[1])) + (F.col("bin_y") + 0.5) * F.lit(float(width_y)))
+    cells = binned.groupBy(*by, "bin_x", "bin_y").agg(F.count(F.lit(1)).alias(name))
+    if most is not None:
+        cells = _merged_cells(cells, list(by), name, most)
+    times = F.pow(F.lit(2.0), F.col("level")) if most is not None else F.lit(1.0)
+    return cells.withColumn("x", F.lit(float(origin[0])) + (F.col("bin_x") + 0.5) * F.lit(float(width_x)) * times).withColumn(
+        "y", F.lit(float(origin[1])) + (F.col("bin_y") + 0.5) * F.lit(float(width_y)) * times
+    )
+
+
+def _merged_cells(cells: DataFrame, by: list[str], name: str, most: int) -> DataFrame:
+    """At most so many cells per group: `level` tells how often a cell's sides were doubled.
+
+    A square of four cells is one cell of the next level. A cell is divided into its four only if it has more than a certain
+    part of the group's rows. At each level few cells have, so that their number is bounded whatever the spread; the
+    fine cells of dense places stay, and every row stays in a cell. A group of few cells is left as it is.
+    """
+    if most < 8:
+        raise ValueError("at least eight cells are needed")
+    fine = store(cells)
+    # Cells of both signs never meet, so that a group ends as up to four of them: all coordinates are 0 or -1.
+    reach = F.greatest(*[F.greatest(F.col(c), -F.col(c) - 1) for c in ("bin_x", "bin_y")])
+    sizes = fine.groupBy(*by).agg(F.count(F.lit(1)).alias("__cells"), F.sum(name).alias("__rows"), F.max(reach).alias("__reach"))
+    height = F.when(F.col("__cells") > most, F.char_length(F.bin("__reach"))).otherwise(0)
+    limit = F.when(F.col("__cells") > most, F.col("__rows") * 4.0 * (height + 1) / (most - 4)).otherwise(-1.0)
+    sizes = store(sizes.select(*by, height.alias("__height"), limit.alias("__limit")))
+    known = join_groups(fine, sizes, by) if by else fine.select("*", *[F.lit(value).alias(c) for c, value in sizes.first().asDict().items()])
+    levels = known.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__height"))))
+    shifted = [F.expr(f"shiftright({c}, level)").alias(c) for c in ("bin_x", "bin_y")]
+    counts = levels.select(*by, "level", *shifted, name, "__height", "__limit").groupBy(*by, "level", "bin_x", "bin_y")
+    counts = store(counts.agg(F.sum(name).alias(name), F.first("__height").alias("__height"), F.first("__limit").alias("__limit")))
+    divided = counts.where(F.col(name) > F.col("__limit")).select(
+        *[F.col(c).alias(f"__of_{i}") for i, c in enumerate(by)], (F.col("level") - 1).alias("__below"), F.col("bin_x").alias("__x"), F.col("bin_y").alias("__y")
     )
+    # A cell that is not divided itself, of one that is.
+    ends = counts.where((F.col(name) <= F.col("__limit")) | (F.col("level") == 0))
+    same = [ends[c].eqNullSafe(divided[f"__of_{i}"]) for i, c in enumerate(by)]
+    same += [F.col("level") == F.col("__below"), F.shiftright("bin_x", 1) == F.col("__x"), F.shiftright("bin_y", 1) == F.col("__y")]
+    top = ends.where(F.col("level") == F.col("__height"))
+    inner = ends.where(F.col("level") < F.col("__height")).join(divided, reduce(and_, same), "left_semi")
+    return top.union(inner).select(*by, "level", "bin_x", "bin_y", name)
 
 
 def kernel_density(

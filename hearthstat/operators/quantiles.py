@@ -61,6 +61,7 @@ def describe_by(
     weight: str | None = None,
     by_implicate: str | None = None,
     accuracy: int = ACCURACY,
+    fences: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Statistics of columns per group, one row per group, the group of a missing key included.
 
@@ -76,8 +77,15 @@ def describe_by(
 
     With `by_implicate`, statistics are taken in each implicate of that column and averaged over the implicates in which the
     group has them; sums and counts are averaged over all implicates. Rows without an implicate belong to none.
+
+    `fences` asks for `lower_whisker_col`, `upper_whisker_col` and `n_outliers_col` of columns whose quartiles are wanted: the
+    most extreme values within so many interquartile ranges of the quartiles, and the number of values beyond. The
+    ranges around the quartiles give one around each fence, whose values leave the same scan; only a range of rows that a
+    fence turns out to cut is read again. Not for weights or implicates.
     """
     options = {"finite_only": finite_only, "bracket_rows": bracket_rows, "slices": slices, "weight": weight, "accuracy": accuracy}
+    if fences and (weight or by_implicate or not all({0.25, 0.75} <= set(measures[c]) for c in fences)):
+        raise ValueError("fences need both quartiles, and neither weights nor implicates")
     if by_implicate:
         part = df.where(F.col(by_implicate).isNotNull())
         each = store(describe_by(part, [*by, by_implicate], measures, count, **options))
@@ -120,6 +128,7 @@ def describe_by(
     base = source.groupBy(*by).agg(*map(F.expr, aggs))
     names = [f"{name} AS {k}" for name, k in by.items()]
     order = [quoted(stat_name(s, c)) for c in cols for s in measures[c]]
+    order += [quoted(f"{name}_{c}") for c in fences or () for name in WHISKERS]
     order += [quoted(count)] if count else []
     if not ranked and not spread:
         return base.selectExpr(*names, *order)
@@ -132,12 +141,59 @@ def describe_by(
         for i, c in enumerate(cols):
             named |= {quoted(stat_name(s, c)): squares(s, i) for s in measures[c] if s in ("sd", "var")}
     if ranked:
-        positions = _order_statistics(source, base, list(by), probs, weight, finite_only, bracket_rows, slices, accuracy)
+        coefs = {cols.index(c): float(x) for c, x in (fences or {}).items()}
+        positions, cells = _order_statistics(source, base, list(by), probs, weight, finite_only, bracket_rows, slices, accuracy, coefs)
         both = both.join(positions.withColumnRenamed("__group", "__of"), F.col("__group") == F.col("__of"), "left")
         named |= {quoted(name): _interpolated(i, k, p, weight) for i in probs for k, p in enumerate(_distinct(probs[i])) for name, q in probs[i].items() if q == p}
+        if coefs:
+            quartiles = {i: [_interpolated(i, _distinct(probs[i]).index(p), p, None) for p in (0.25, 0.75)] for i in coefs}
+            hinges = [f"named_struct('col', {i}, 'low', {low}, 'high', {high}, 'reach', {coefs[i]!r}D * ({high} - {low}))" for i, (low, high) in quartiles.items()]
+            limits = both.selectExpr("__group", *by, f"inline(array({', '.join(hinges)}))")
+            limits = store(limits.selectExpr("__group", *by, "col", "low - reach AS least", "high + reach AS most"))
+            ends = _whiskers(source, cells, limits, list(by), len(cols), list(coefs))
+            both = both.join(ends, F.col("__group") == F.col("__ends"), "left")
+            named |= {quoted(f"{name}_{cols[i]}"): f"{name}_{i}" for i in coefs for name in WHISKERS}
     return both.selectExpr(*names, *[f"{named[c]} AS {c}" if c in named else c for c in order])
 
 
+WHISKERS = ("lower_whisker", "upper_whisker", "n_outliers")
+
+
+def _whiskers(source, cells, limits, by, m, used) -> DataFrame:
+    """Per group number the whiskers and outliers of each column, from the counted cells and the limits of each group."""
+    known = limits.selectExpr(f"__group * {m} + col AS of", "least", "most", "__group AS __ends", "col", *by)
+    placed = cells.join(known, F.col("bracket") == F.col("of"))
+    cut = "(lo < least AND hi >= least OR lo <= most AND hi > most)"
+    inside = "BETWEEN least AND most"
+    parts = placed.where(f"NOT {cut}").selectExpr(
+        "__ends", "col", f"CASE WHEN lo {inside} THEN lo END AS low", f"CASE WHEN hi {inside} THEN hi END AS high", f"CASE WHEN lo {inside} THEN 0 ELSE rows END AS out"
+    )
+    torn = placed.where(cut).select("__ends", "col", "least", "most", "lo", "hi", *by)
+    if not torn.isEmpty():
+        parts = parts.unionByName(_reread(source, torn, by, used))
+    at = [
+        expr
+        for i in used
+        for expr in (
+            f"min(CASE WHEN col = {i} THEN low END) AS lower_whisker_{i}", f"max(CASE WHEN col = {i} THEN high END) AS upper_whisker_{i}",
+            f"sum(CASE WHEN col = {i} THEN out END) AS n_outliers_{i}",
+        )
+    ]
+    return parts.groupBy("__ends").agg(*map(F.expr, at))
+
+
+def _reread(source, torn, by, used) -> DataFrame:
+    """The same parts from the rows of the ranges that a fence cuts."""
+    items = ", ".join(f"named_struct('c', {i}, 'x', __v{i})" for i in used)
+    values = source.selectExpr(*by, f"inline(array({items}))").where("x IS NOT NULL")
+    conds = [values[k].eqNullSafe(torn[k]) for k in by] + [values["c"] == torn["col"], values["x"].between(torn["lo"], torn["hi"])]
+    inside = "x BETWEEN least AND most"
+    return values.join(torn, reduce(and_, conds)).groupBy("__ends", "col").agg(
+        F.expr(f"min(CASE WHEN {inside} THEN x END) AS low"), F.expr(f"max(CASE WHEN {inside} THEN x END) AS high"),
+        F.expr(f"count(CASE WHEN NOT ({inside}) THEN 1 END) AS out"),
+    )
+
+
 def _moment(stat: str, i: int, weight: str | None) -> str:
     if weight and stat in ("mean", "sum"):
         total = f"sum(__w * __v{i})"
@@ -210,8 +266,8 @@ def _wanted(i: int, probs: Mapping[str, float], weight: str | None) -> str:
     return f"array({', '.join(out)})"
 
 
-def _order_statistics(source, base, by, probs, weight, finite_only, bracket_rows, slices, accuracy) -> DataFrame:
-    """Per group number, one map of the wanted values for each column with quantiles: `at_0`, `at_1`, ..."""
+def _order_statistics(source, base, by, probs, weight, finite_only, bracket_rows, slices, accuracy, coefs) -> tuple[DataFrame, DataFrame | None]:
+    """Per group number, one map of the wanted values for each column with quantiles: `at_0`, `at_1`, ...; and the counted cells."""
     used = [i for i in probs if probs[i]]
     real = ("lo", "hi") if finite_only else ("flo", "fhi")
     pieces = [
@@ -223,9 +279,11 @@ def _order_statistics(source, base, by, probs, weight, finite_only, bracket_rows
     items = ", ".join(f"named_struct('col', {i}, 'x', __v{i})" for i in used)
     values = source.selectExpr(*by, *(["__w"] if weight else []), f"inline(array({items}))").where("x IS NOT NULL")
 
-    brackets = whole
+    brackets, cells = whole, None
     if not weight:
-        brackets = store(_holding(_sketched(source, base, by, probs, real, bracket_rows, slices, accuracy), whole, by))
+        cells = _sketched(source, base, by, probs, real, bracket_rows, slices, accuracy, coefs)
+        cells = store(cells) if coefs else cells
+        brackets = store(_holding(cells, whole, by))
     done: list[DataFrame] = []
     while not (open_ := brackets.where("lo < hi")).isEmpty():
         done.append(brackets.where("lo = hi"))
@@ -235,7 +293,7 @@ def _order_statistics(source, base, by, probs, weight, finite_only, bracket_rows
         f"map_from_entries(collect_list(CASE WHEN col = {i} THEN named_struct('k', k, 'x', x) END)) AS at_{i}"
         for i in used
     ]
-    return found.groupBy("__group").agg(*map(F.expr, maps))
+    return found.groupBy("__group").agg(*map(F.expr, maps)), cells
 
 
 def _margins(accuracy: int) -> list[float]:
@@ -247,7 +305,7 @@ def _near(probs, accuracy: int) -> list[float]:
     return sorted({min(1.0, max(0.0, p + sign * m)) for p in probs for m in _margins(accuracy) for sign in (-1, 1)})
 
 
-def _sketched(source, base, by, probs, real, bracket_rows, slices, accuracy) -> DataFrame:
+def _sketched(source, base, by, probs, real, bracket_rows, slices, accuracy, coefs) -> DataFrame:
     """Counts of the first search: of rows between the ranges that the sketch names, and inside them of values (or slices)."""
     used = [i for i in probs if probs[i]]
     # A margin does for a group in which it is wider than the error of the sketch and two ranks more.
@@ -265,11 +323,19 @@ def _sketched(source, base, by, probs, real, bracket_rows, slices, accuracy) ->
     for i in used:
         ps = _distinct(probs[i])
         many = chosen(i, lambda m: f"n_{i} * {2 * m!r}D > {bracket_rows}", f"n_{i} > {bracket_rows}")
-        ranges += [f"{bound(i, p, sign)} AS {end}_{i}_{j}" for j, p in enumerate(ps) for sign, end in ((-1, "from"), (1, "to"))]
+        ends = [(bound(i, p, -1), bound(i, p, 1)) for p in ps]
+        if i in coefs:
+            # A fence is where it would be for some quartiles in their ranges, and not between the quartiles.
+            c, (a, b), (d, e) = f"{coefs[i]!r}D", ends[ps.index(0.25)], ends[ps.index(0.75)]
+            low = (f"{a} - {c} * ({e} - {a})", f"least({ends[0][1]}, {b}, {b} - {c} * ({d} - {b}))")
+            high = (f"greatest({ends[-1][0]}, {d}, {d} + {c} * ({d} - {b}))", f"{e} + {c} * ({e} - {a})")
+            ends = [low, *ends, high]
+        places = range(len(ends))
+        ranges += [f"{x} AS {end}_{i}_{j}" for j, pair in enumerate(ends) for x, end in zip(pair, ("from", "to"))]
         ranges += [f"{many} AS many_{i}", f"{real[0]}_{i} AS real_lo_{i}", f"{real[1]}_{i} AS real_hi_{i}"]
-        inside = " ".join(f"WHEN __v{i} <= to_{i}_{j} THEN CASE WHEN __v{i} >= from_{i}_{j} THEN {2 * j + 1} ELSE {2 * j} END" for j in range(len(ps)))
-        segments.append(f"CASE {inside} ELSE {2 * len(ps)} END AS seg_{i}")
-        ends = [" ".join(f"WHEN {2 * j + 1} THEN {f}({end}_{i}_{j}, real_{r}_{i})" for j in range(len(ps))) for f, end, r in (("greatest", "from", "lo"), ("least", "to", "hi"))]
+        inside = " ".join(f"WHEN __v{i} <= to_{i}_{j} THEN CASE WHEN __v{i} >= from_{i}_{j} THEN {2 * j + 1} ELSE {2 * j} END" for j in places)
+        segments.append(f"CASE {inside} ELSE {2 * len(places)} END AS seg_{i}")
+        ends = [" ".join(f"WHEN {2 * j + 1} THEN {f}({end}_{i}_{j}, real_{r}_{i})" for j in places) for f, end, r in (("greatest", "from", "lo"), ("least", "to", "hi"))]
         flo, fhi = (f"CASE WHEN many_{i} THEN CASE seg_{i} {e} END END" for e in ends)
         items.append(f"named_struct('col', {i}, 'x', __v{i}, 'seg', seg_{i}, 'flo', {flo}, 'fhi', {fhi})")
     groups = base.selectExpr(*by, *ranges)

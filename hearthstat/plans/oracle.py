@@ -669,3 +669,20 @@ ORACLE_SQL["bin2d_change_assets"] = f"""WITH {KNOWN}, b AS (SELECT sa0100, floor
     floor(netliquidassets / 500)::BIGINT AS bin_y FROM known)
   SELECT sa0100, bin_x, bin_y, count(*) AS n, {_r("(bin_x + 0.5::DOUBLE) * 5000", 4, "x")},
     {_r("(bin_y + 0.5::DOUBLE) * 500", 4, "y")} FROM b WHERE bin_x IS NOT NULL AND bin_y IS NOT NULL GROUP BY ALL"""
+
+# Rows of a country, levels of its rectangles, and the number above which a rectangle is divided.
+ORACLE_SQL["bin2d_bounded"] = f"""WITH {KNOWN}, fine AS (SELECT sa0100, floor(change_absolute / 500)::BIGINT AS bx,
+    floor(netliquidassets / 50)::BIGINT AS by_, count(*) AS n FROM known
+    WHERE change_absolute IS NOT NULL AND netliquidassets IS NOT NULL GROUP BY ALL),
+  g AS (SELECT sa0100, count(*) AS cells, sum(n) AS total,
+    floor(log2(greatest(1, max(greatest(bx, -bx - 1, by_, -by_ - 1)))))::INTEGER + 1 AS bits FROM fine GROUP BY sa0100),
+  h AS (SELECT sa0100, CASE WHEN cells > 400 THEN bits ELSE 0 END AS height,
+    CASE WHEN cells > 400 THEN total * 4.0::DOUBLE * (bits + 1) / 396 ELSE -1 END AS least FROM g),
+  e AS (SELECT f.*, least, height, unnest(range(0, height + 1)) AS level FROM fine f JOIN h USING (sa0100)),
+  c AS (SELECT sa0100, level, floor(bx / 2 ** level)::BIGINT AS bx, floor(by_ / 2 ** level)::BIGINT AS by_, sum(n) AS n,
+    any_value(least) AS least, any_value(height) AS height FROM e GROUP BY 1, 2, 3, 4),
+  o AS (SELECT c.* FROM c LEFT JOIN c p ON p.sa0100 = c.sa0100 AND p.level = c.level + 1 AND p.bx = floor(c.bx / 2.0::DOUBLE)
+      AND p.by_ = floor(c.by_ / 2.0::DOUBLE)
+    WHERE (c.n <= c.least OR c.level = 0) AND (c.level = c.height OR p.n > p.least))
+  SELECT sa0100, level::INTEGER AS level, bx AS bin_x, by_ AS bin_y, n::BIGINT AS n,
+    {_r("(bx + 0.5::DOUBLE) * 500 * 2 ** level", 4, "x")}, {_r("(by_ + 0.5::DOUBLE) * 50 * 2 ** level", 4, "y")} FROM o"""

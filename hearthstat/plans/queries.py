@@ -752,3 +752,10 @@ def kde_liquid_assets(spark, sf_dir):
 def bin2d_change_assets(spark, sf_dir):
     df = known_change(spark, sf_dir, ["netliquidassets"])
     return rounded(layers.bin2d(df, ["sa0100"], "change_absolute", "netliquidassets", 5000, 500), 4)
+
+
+@register
+def bin2d_bounded(spark, sf_dir):
+    """The same scatter of wealth in narrow rectangles, merged to at most 400 in each country."""
+    df = known_change(spark, sf_dir, ["netliquidassets"])
+    return rounded(layers.bin2d(df, ["sa0100"], "change_absolute", "netliquidassets", 500, 50, most=400), 4)
