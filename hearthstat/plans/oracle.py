@@ -152,9 +152,6 @@ ORACLE_SQL["replicate_variance_share"] = f"""WITH {CHANGES},
     {_r("any_value(f.share)", 10, "share")}, {_r("sum((s.share - f.share) ** 2) / 100", 12, "var_share")}
   FROM s JOIN f USING (change_category, sa0100) WHERE s.r > 0 GROUP BY change_category, sa0100"""
 
-ORACLE_SQL["replicate_variance_thousand"] = (
-    ORACLE_SQL["replicate_variance_share"].replace("range(0, 101)", "range(0, 1001)").replace("** 2) / 100", "** 2) / 1000")
-)
 _KEYED = """l_orderkey * 10 + l_linenumber AS id, l_orderkey AS hh, l_linenumber AS im,
       CASE l_orderkey % 3 WHEN 0 THEN 'AT' WHEN 1 THEN 'DE' ELSE 'FR' END AS "SA0100\""""
 ORACLE_SQL["survey_pipeline"] = f"""WITH d AS (SELECT {_KEYED}, l_quantity AS w FROM lineitem),

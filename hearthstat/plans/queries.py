@@ -115,27 +115,17 @@ def weighted_distribution_missing_implicates(spark, sf_dir):
     return rounded(survey.share(mean, "weighted_count", ["sa0100"]), {"weighted": 6, "prop": 10})
 
 
-def _replicated(spark, sf_dir, replicates):
+@register
+def replicate_variance_share(spark, sf_dir):
+    """Totals and shares per cell with their replicate-weight variances."""
     df = v.with_changes(house(spark, sf_dir, ["id", *CHANGE, "im0100", "hw0010"]))
     design = survey.Design(weight="hw0010", implicate="im0100", combined=False)
     levels = {"change_category": v.CHANGE_LEVELS, "sa0100": COUNTRIES}
-    vectors = replicate_vectors(spark, sf_dir, replicates)
+    vectors = replicate_vectors(spark, sf_dir, REPLICATES)
     out = survey.household_replicate_variance(df, vectors, ["id"], levels, design, ["sa0100"], missing_keys=False)
     return rounded(out, {"total": 6, "var_total": 4, "share": 10, "var_share": 12})
 
 
-@register
-def replicate_variance_share(spark, sf_dir):
-    """Totals and shares per cell with their replicate-weight variances."""
-    return _replicated(spark, sf_dir, REPLICATES)
-
-
-@register
-def replicate_variance_thousand(spark, sf_dir):
-    """The same with a thousand replicates."""
-    return _replicated(spark, sf_dir, 1000)
-
-
 PIPELINE_REPLICATES = 10
 
 
