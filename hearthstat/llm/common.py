@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import hearthstat
 from hearthstat.sources.stored import store
 
-__all__ = ["documents", "map_arrow", "ship", "store", "table", "unused", "whole_text"]
+__all__ = ["Recent", "documents", "map_arrow", "ship", "store", "table", "unused", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +53,33 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+class Recent:
+    """Values of words that were asked for lately, in two generations of at most so many bytes each.
+
+    Words longer than `longest` are not kept: text without blanks is one word per run, and seldom comes twice.
+    """
+
+    #: Bytes of an entry besides its word and value.
+    ENTRY = 200
+
+    def __init__(self, most_bytes: int = 64 << 20, longest: int = 64) -> None:
+        self.most_bytes, self.longest, self.held = most_bytes, longest, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def table(self, wanted: set[str], make: Callable[[list[str]], Iterable[bytes]]) -> Callable[[str], bytes]:
+        """A function that gives the value of each wanted word, valid until the next call; `make` gives those of new words."""
+        if self.held > self.most_bytes:
+            self.old, self.young, self.held = self.young, {}, 0
+        missing = wanted.difference(self.young)
+        kept = {w: self.old[w] for w in missing.intersection(self.old)}
+        new = list(missing.difference(kept))
+        made = dict(zip(new, make(new), strict=True))
+        passing = {w: made.pop(w) for w in new if len(w) > self.longest}
+        kept |= made
+        self.young |= kept
+        self.held += sum(self.ENTRY + 4 * len(w) + len(v) for w, v in kept.items())
+        young = self.young
+        return (lambda w: passing[w] if w in passing else young[w]) if passing else young.__getitem__

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthstat.llm.common import documents, map_arrow, store, whole_text
+from hearthstat.llm.common import Recent, documents, map_arrow, store, whole_text
 
 BLOCK = 128
 MAGIC = b"PFOR0001"
@@ -115,8 +115,6 @@ def decode_ids(segment: bytes, first_block: int = 0, last_block: int | None = No
 # or white space. No token crosses the ends of a piece, so that equal pieces have equal ids everywhere.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Pieces whose ids a Python worker remembers.
-REMEMBERED = 800_000
 
 
 @functools.cache
@@ -126,22 +124,33 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+    # Added tokens are found in a text before anything else; they split it.
+    added = {t.content: np.array([i], "<u4").tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+    split = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
+    return tokenizer, added, split, Recent()
+
+
+def _pieces(text: str, added: dict[str, bytes], split: re.Pattern | None) -> list[str]:
+    if not any(t in text for t in added):
+        return PIECES.findall(text)
+    return [p for part in split.split(text) for p in ([part] if part in added else PIECES.findall(part))]
 
 
 def tokenize(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian uint32 bytes; each distinct piece is encoded once."""
-    tokenizer, known = _tokenizer(path)
-    split = [PIECES.findall(text) for text in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list(set().union(*split).difference(known))
-    words = [p for p in new if not p.isspace()]
-    known.update(zip(words, _encode_words(tokenizer, words), strict=True))
-    spaces = [p for p in new if p.isspace()]
-    known.update(zip(spaces, _encode_each(tokenizer, spaces), strict=True))
-    return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+    tokenizer, added, split, recent = _tokenizer(path)
+    pieces = [_pieces(text, added, split) for text in texts]
+
+    def make(new: list[str]) -> list[bytes]:
+        made = {t: added[t] for t in new if t in added}
+        words = [p for p in new if not p.isspace() and p not in made]
+        made.update(zip(words, _encode_words(tokenizer, words), strict=True))
+        spaces = [p for p in new if p.isspace()]
+        made.update(zip(spaces, _encode_each(tokenizer, spaces), strict=True))
+        return [made[p] for p in new]
+
+    ids = recent.table(set().union(*pieces), make)
+    return [b"".join(map(ids, p)) for p in pieces]
 
 
 def _encode_each(tokenizer, pieces: list[str]) -> list[bytes]:

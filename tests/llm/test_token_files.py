@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from hearthstat.llm import token_files as tf
+from hearthstat.llm.common import Recent
 from tests.llm.conftest import TEXTS
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,7 +40,6 @@ def test_not_a_segment():
 
 def expected(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     at, out = 0, []
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -67,8 +67,35 @@ def test_empty(empty):
 
 
 def test_special_and_odd_pieces():
-    texts = ["<|endoftext|> x", "a  b\n\n c\t d e　f  \n don't \x1c x\x85y \r\n", "Ġ Ċ", "\n\n\n", ""]
+    texts = ["<|endoftext|> x", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n\n <|endoftext", "<|endoftext|>", "a  b\n\n c\t d e　f  \n don't \x1c x\x85y \r\n", "Ġ Ċ", "\n\n\n", ""]
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert tf.tokenize(texts, PATH) == want
+
+
+def test_texts_without_blanks_leave_a_small_cache():
+    """Every run is one word; none of them comes twice."""
+    recent = tf._tokenizer(PATH)[3]
+    for i in range(40):
+        texts = ["".join(chr(0x4E00 + (i * 7 + j * j + k) % 20_000) for j in range(4000)) for k in range(16)]
+        tf.tokenize(texts, PATH)
+    assert not any(len(w) > recent.longest for w in [*recent.young, *recent.old])
+
+
+def test_two_generations_of_words():
+    asked = []
+
+    def make(words):
+        asked.append(sorted(words))
+        return [w.encode() * 2 for w in words]
+
+    recent = Recent(most_bytes=1000)
+    for i in range(50):
+        wanted = {"kept", f"word{i}", f"long{i}" * 30}
+        ids = recent.table(wanted, make)
+        assert {w: ids(w) for w in wanted} == {w: w.encode() * 2 for w in wanted}
+        assert recent.held < 2000 and len(recent.young) + len(recent.old) < 20
+    # What is asked for again and again is made once; what is not kept is made each time.
+    assert sum("kept" in a for a in asked) == 1
+    recent.table({"long1" * 30}, make)
+    assert asked[-1] == ["long1" * 30]
