@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthstat.llm.common import documents, map_arrow
+from hearthstat.llm.common import Recent, documents, map_arrow
 
 SPACE = "▁"
 #: A word ends where a space follows; no piece goes on behind it.
@@ -32,8 +32,10 @@ WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NEVER = np.iinfo(np.int64).max
 #: Words with more symbols are relaxed one by one with a queue: the passes of a long word would be many.
 QUEUED = 64
-#: Words a Python worker remembers, and bytes of new words that are indexed at once.
-REMEMBERED, BLOCK = 300_000, 2 << 20
+#: Bytes of a piece that an edge's key has room for.
+LONGEST = 62
+#: Bytes of new words that are indexed at once.
+BLOCK = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,7 @@ class Vocabulary:
     rank: np.ndarray
     byte_ids: np.ndarray
     decoding: list[bytes]
-    known: dict[str, bytes]
+    recent: Recent
 
 
 @cache
@@ -61,6 +63,8 @@ def vocabulary(path: str) -> Vocabulary:
     normal = [(i, p) for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL]
     if any(p.type == kind.USER_DEFINED for p in proto.pieces) or any(SPACE in p.piece.lstrip(SPACE) for _, p in normal):
         raise ValueError("pieces that are user-defined or span words are not supported")
+    if any(len(p.piece.encode()) > LONGEST for _, p in normal):
+        raise ValueError(f"pieces of more than {LONGEST} bytes are not supported")
     scores = np.array([p.score for _, p in normal])
     byte_ids = np.full(256, -1, np.int64)
     decoding = []
@@ -76,7 +80,7 @@ def vocabulary(path: str) -> Vocabulary:
     if (byte_ids < 0).any():
         raise ValueError("models without byte fallback are not supported")
     rank = np.unique(-scores, return_inverse=True)[1]
-    return Vocabulary(np.array([i for i, _ in normal]), [p.piece.encode() for _, p in normal], rank, byte_ids, decoding, {})
+    return Vocabulary(np.array([i for i, _ in normal]), [p.piece.encode() for _, p in normal], rank, byte_ids, decoding, Recent())
 
 
 def _heads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -242,23 +246,21 @@ def encode_words(words: list[str], path: str) -> list[bytes]:
 
 def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of each text; of none for a missing or empty one."""
-    known = vocabulary(path).known
-    out = []
     split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for words in split for w in words}.difference(known))
-    at = 0
-    while at < len(new):
-        upto, held = at, 0
-        while upto < len(new) and held < BLOCK:
-            held += 4 * len(new[upto])
-            upto += 1
-        known.update(zip(new[at:upto], encode_words(new[at:upto], path), strict=True))
-        at = upto
-    for words in split:
-        out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4"))
-    return out
+
+    def make(new: list[str]) -> list[bytes]:
+        made, at = [], 0
+        while at < len(new):
+            upto, held = at, 0
+            while upto < len(new) and held < BLOCK:
+                held += 4 * len(new[upto])
+                upto += 1
+            made += encode_words(new[at:upto], path)
+            at = upto
+        return made
+
+    ids = vocabulary(path).recent.table({w for words in split for w in words}, make)
+    return [np.frombuffer(b"".join(map(ids, words)), "<i4") for words in split]
 
 
 def decode(ids: np.ndarray, path: str) -> str:
