@@ -39,17 +39,17 @@ TEXTS, ROWS = 256, 1 << 14
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(key, body) with compressed bodies: the texts are shuffled once, and that is most of what this operator moves."""
+    """(key, row, body) with compressed bodies: the texts are shuffled once, and that is most of what this operator moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS)
-                bodies = [None if b is None else compress(b) for b in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bodies, pa.binary())], names=["key", "body"])
+                bodies = [None if b is None else compress(b) for b in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(bodies, pa.binary())], names=["key", "row", "body"])
 
-    return map_arrow(docs, run, "key long, body binary")
+    return map_arrow(docs.select("key", "row", "body"), run, "key long, row long, body binary")
 
 
 def _unpacked(bodies: pa.Array) -> list[bytes | None]:
@@ -155,13 +155,13 @@ def _held(of: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 
 def _passages(docs: DataFrame, window: int, gram: int, texts: bool) -> DataFrame:
-    """Passages of rows (key, body, marked) with their content (h1, h2) and key.
+    """Passages of rows (key, row, body, marked) with their content (h1, h2) and key.
 
     With `texts` also route (the anchor) and text, and the single windows of hot anchors without text, routed by
-    content and of equal ones only that of the smallest key per task; else all with their first word.
+    content and of equal ones only that of the smallest key per task; else all with their row and first word.
     `marked` has the document's anchors that other documents share, with the lowest bit set if they are hot.
     """
-    more = [("route", pa.int64(), "long"), ("passage", pa.string(), "string")] if texts else [("offset", pa.int32(), "int")]
+    more = [("route", pa.int64(), "long"), ("passage", pa.string(), "string")] if texts else [("row", pa.int64(), "long"), ("offset", pa.int32(), "int")]
     names = ["h1", "h2", "key", *[name for name, _, _ in more]]
     types = [pa.int64()] * 3 + [t for _, t, _ in more]
 
@@ -177,9 +177,11 @@ def _passages(docs: DataFrame, window: int, gram: int, texts: bool) -> DataFrame
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS)
-                for key, body, marked in zip(part.column(0).to_pylist(), _unpacked(part.column(1)), part.column(2), strict=True):
+                for key, row, body, marked in zip(*(c.to_pylist() for c in part.columns[:2]), _unpacked(part.column(2)), part.column(3), strict=True):
                     words = split_words(body)
                     own = anchors(words, window, gram)
+                    if not len(own):  # the anchors are those of another text of the key
+                        continue
                     mark = np.sort(marked.values.to_numpy())
                     shared, hot = _held(own, mark & ~np.int64(1)), _held(own, mark[(mark & 1) == 1] & ~np.int64(1))
                     change = np.concatenate([[True], (own[1:] != own[:-1]) | hot[1:]])
@@ -193,7 +195,7 @@ def _passages(docs: DataFrame, window: int, gram: int, texts: bool) -> DataFrame
                         if texts and alone:
                             hot_windows[h1, h2] = min(key, hot_windows.get((h1, h2), key))
                             continue
-                        for c, v in zip(out, (h1, h2, key, *((int(own[a]), passage.decode()) if texts else (a,))), strict=True):
+                        for c, v in zip(out, (h1, h2, key, *((int(own[a]), passage.decode()) if texts else (row, a))), strict=True):
                             c.append(v)
                     if len(hot_windows) >= ROWS:
                         yield hot_rows()
@@ -205,7 +207,7 @@ def _passages(docs: DataFrame, window: int, gram: int, texts: bool) -> DataFrame
             yield hot_rows()
 
     schema = ", ".join(["h1 long, h2 long, key long", *[f"{name} {type_}" for name, _, type_ in more]])
-    return map_arrow(docs.select("key", "body", "marked"), run, schema)
+    return map_arrow(docs.select("key", "row", "body", "marked"), run, schema)
 
 
 def _matched(passages: DataFrame, window: int) -> DataFrame:
@@ -260,11 +262,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """Per row: key, n_words, removed (array of [first, last) word spans), kept (the other words, joined by one space).
 
     A missing text has no words; one with fewer than `window` words keeps all. Windows are judged on the input.
-    Rows with the same key are one document to each other: they remove nothing from each other. Rows with a
-    missing key are compared with nothing. Columns other than key and text are not read.
+    Rows with the same key are one document to each other: they remove nothing from each other, and each loses what
+    its own text shares with smaller keys. Rows with a missing key are compared with nothing. An empty table gives an
+    empty result. Texts may have any length; one text at a time is unpacked. Columns other than key and text are not read.
     """
     # The new names make all scans of the texts alike, so that they share one shuffle.
     read = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("body"))
+    # With the key, the row's text as a number tells rows apart; equal rows have equal results.
+    read = read.select("key", F.xxhash64("body").alias("row"), "body")
     named = read.where("key IS NOT NULL")
 
     def own_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +280,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 keys = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(keys)], names=["anchor", "key"])
 
-    pairs = map_arrow(named, own_anchors, "anchor long, key long")
+    pairs = map_arrow(named.select("key", "body"), own_anchors, "anchor long, key long")
     # A document has an anchor once; a repeated row at worst makes one more candidate.
     spread = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     mark = F.col("anchor").bitwiseOR(F.when(F.col("n") > hot, 1).otherwise(0).cast("long"))
@@ -288,9 +293,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     least = _matched(_passages(candidates, window, gram, texts=True), window)
     occurring = _passages(candidates, window, gram, texts=False)
     gone = F.expr("filter(transform(least, (x, i) -> CASE WHEN x < key THEN offset + i END), x -> x IS NOT NULL)")
-    hits = occurring.join(least, ["h1", "h2"]).select("key", gone.alias("gone")).where(F.size("gone") > 0)
-    hits = hits.groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("hits"))
-    copies = named.select("key", F.md5("body").alias("content")).join(first, "content").where("rep < key").select("key", F.lit(True).alias("copy"))
+    hits = occurring.join(least, ["h1", "h2"]).select("key", "row", gone.alias("gone")).where(F.size("gone") > 0)
+    hits = hits.groupBy("key", "row").agg(F.flatten(F.collect_list("gone")).alias("hits"))
+    copies = named.select("key", "row", F.md5("body").alias("content")).join(first, "content").where("rep < key")
+    copies = copies.select("key", "row", F.lit(True).alias("copy")).dropDuplicates(["key", "row"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +325,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     names, types = ["key", "n_words", "removed", "kept"], [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()]
     schema = "key long, n_words long, removed array<array<long>>, kept string"
-    whole = packed.join(hits, "key", "left").join(copies.dropDuplicates(["key"]), "key", "left")
+    # Joined by the key, so that the texts keep the shuffle they have; the few rows of a key are told apart beside it.
+    found, same = hits.toDF("hk", "hr", "hits"), copies.toDF("ck", "cr", "copy")
+    whole = packed.join(found, (packed["key"] == found["hk"]) & (packed["row"].bitwiseXOR(found["hr"]) == 0), "left")
+    whole = whole.join(same, (whole["key"] == same["ck"]) & (whole["row"].bitwiseXOR(same["cr"]) == 0), "left")
     none = F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("boolean").alias("copy")
     unnamed = _packed(read.where("key IS NULL")).select("key", "body", *none)
     return map_arrow(whole.select("key", "body", "hits", "copy").union(unnamed), cut, schema).withColumnRenamed("key", key)

@@ -39,6 +39,29 @@ def test_empty(empty):
     assert sub.remove_repeats(empty).collect() == []
 
 
+def several_texts():
+    """Rows of one id with different texts: A, its copies, one without and one with some words of A."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    c = " ".join([*(f"c{i}" for i in range(5)), *(f"a{i}" for i in range(5, 24)), *(f"c{i}" for i in range(24, 30))])
+    return a, b, c
+
+
+@pytest.mark.parametrize("hot", [0, 256])
+@pytest.mark.parametrize("which", ["b", "c", "all"])
+def test_one_id_with_several_texts(spark, hot, which):
+    a, b, c = several_texts()
+    more = {"b": [(5, b)], "c": [(5, c)], "all": [(5, b), (5, c), (5, a), (7, b), (7, c), (7, a), (3, b)]}[which]
+    rows = [(1, a), (5, a), *more]
+    assert got(sub.remove_repeats(table(spark, rows).repartition(4), hot=hot)) == expected(rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ids_that_come_several_times(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(25), " ".join(rng.choice("aab") for _ in range(rng.randrange(40)))) for _ in range(60)]
+    assert got(sub.remove_repeats(table(spark, rows), window=6, gram=3)) == expected(rows, 6)
+
+
 @pytest.mark.parametrize("seed", range(3))
 @pytest.mark.parametrize("hot", [1, 256])
 def test_few_different_words(spark, seed, hot):
