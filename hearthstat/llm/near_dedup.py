@@ -96,8 +96,9 @@ def most_flips(similarity: float) -> int:
 
 
 def _signatures(docs: DataFrame, key: str, text: str, k: int, full: bool) -> DataFrame:
-    """Per row: key and its set's size, fingerprint and bands; if `full`, instead its sketches and whole set."""
-    schema = "key long, n long, sketch array<long>, parity array<long>, shingles array<long>" if full else "key long, n long, hi long, lo long, bands array<long>"
+    """Per row: key and its set's size, fingerprint and bands; if `full`, its sketches and whole set instead of bands."""
+    more = "sketch array<long>, parity array<long>, shingles array<long>" if full else "bands array<long>"
+    schema = f"key long, n long, hi long, lo long, {more}"
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +109,15 @@ def _signatures(docs: DataFrame, key: str, text: str, k: int, full: bool) -> Dat
                 for t in part.column(1).to_pylist():
                     s = shingles(t, k)
                     sizes.append(len(s))
+                    hi, lo = int(_mix(s).sum().view(np.int64)), int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
                     if not len(s):
-                        rows.append(([], [], []) if full else (0, 0, []))
+                        rows.append((0, 0, [], [], []) if full else (0, 0, []))
                     elif full:
-                        rows.append((signature(s)[1], parity(s), s.view(np.int64)))
+                        rows.append((hi, lo, signature(s)[1], parity(s), s.view(np.int64)))
                     else:
-                        hi, lo = int(_mix(s).sum().view(np.int64)), int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
                         rows.append((hi, lo, signature(s)[0]))
                 columns = [pa.array(c, longs if isinstance(c[0], (list, np.ndarray)) else pa.int64()) for c in zip(*rows, strict=True)]
-                names = ["key", "n", "sketch", "parity", "shingles"] if full else ["key", "n", "hi", "lo", "bands"]
+                names = ["key", "n", "hi", "lo", *(["sketch", "parity", "shingles"] if full else ["bands"])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *columns], names=names)
 
     return map_arrow(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), run, schema)
@@ -186,8 +187,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     Two texts are linked if 100 * common shingles >= percent * all shingles. A missing, empty or blank
     text has no shingles and is linked with nothing. A row with a missing key takes no part: its component
-    is missing and it is kept. Rows with the same key count as linked. Columns other than key and text are not
-    read. An empty table gives an empty result.
+    is missing and it is kept. Rows with the same key count as linked, whatever their texts: their links are those of the
+    key. Columns other than key and text are not read. An empty table gives an empty result. Texts may have any
+    length; a set of shingles must fit into a task.
     """
     rows = store(_signatures(docs, key, text, k, full=False))
     valid = rows.where("n > 0 AND key IS NOT NULL")
@@ -197,7 +199,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members = store(reps.join(shared.select("bucket"), "bucket").distinct())
     involved = members.select("key").distinct()
     held = docs.join(involved, F.col(key).cast("long") == involved["key"], "left_semi")
-    sets = store(_signatures(held, key, text, k, full=True).dropDuplicates(["key"]))
+    # A key that comes with several texts has several sets: what one of them is linked with holds for the key.
+    sets = store(_signatures(held, key, text, k, full=True).dropDuplicates(["key", "hi", "lo", "n"]))
 
     comp = store(involved.withColumn("comp", F.col("key")))
     tested = None
@@ -222,9 +225,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         comp = components(comp, named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         tested = pairs if tested is None else tested.union(pairs)
 
-    # Rows with the same key are one node: a class or component that one of them is in holds for all.
-    of_row = valid.join(classes, ["hi", "lo", "n"]).join(comp.toDF("rep", "comp"), "rep", "left")
-    of_row = of_row.groupBy("key").agg(F.min(F.coalesce("comp", "rep")).alias("component_id"))
+    of_row = store(valid.join(classes, ["hi", "lo", "n"]).select("key", "rep"))
+    comp = classes.select("rep").distinct().join(comp.toDF("rep", "comp"), "rep", "left").select(F.col("rep").alias("key"), F.coalesce("comp", "rep").alias("comp"))
+    # Classes that share a key are linked by it.
+    several = of_row.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
+    several = store(several.join(of_row, "key").where("a < rep").select("a", F.col("rep").alias("b")).distinct())
+    if not several.isEmpty():
+        comp = store(comp)
+        named = several.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
+        comp = components(comp, named.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    of_row = of_row.join(comp.toDF("rep", "comp"), "rep").groupBy("key").agg(F.min("comp").alias("component_id"))
     result = rows.join(of_row, "key", "left")
     result = result.withColumn("component_id", F.coalesce("component_id", "key"))
     kept = F.col("key").eqNullSafe(F.col("component_id"))

@@ -43,6 +43,34 @@ def test_odd_rows(odd):
     assert got(nd.near_duplicates(odd, k=3, percent=85)) == expected(TEXTS, 3, 85)
 
 
+def linked_texts():
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(200)) for x in "abc")
+    return a, a + " more", b, b + " more", c, c + " more"
+
+
+@pytest.mark.parametrize("which", range(4))
+def test_one_id_with_several_texts(spark, which):
+    """An id with two texts has the links of both, and joins what is linked with either."""
+    a, a2, b, b2, c, c2 = linked_texts()
+    rows = [
+        [(5, a), (5, b), (7, a2), (8, b2)],
+        [(1, b), (2, a), (5, a), (5, b), (9, a2), (8, b2)],
+        [(5, a), (5, b), (5, c), (3, c), (4, b2), (6, c2), (7, a2), (7, a2)],
+        [(1, a), (9, a2), (9, b2), (4, b), (4, c2), (2, c)],
+    ][which]
+    keys = sorted({k for k, _ in rows})
+    sets = {k: [shingle_set(t, 3) for key, t in rows if key == k] for k in keys}
+    find = {k: k for k in keys}
+    for _ in keys:
+        for x in keys:
+            for y in keys:
+                if any(100 * len(s & t) >= 85 * len(s | t) for s in sets[x] for t in sets[y]):
+                    find[x] = find[y] = min(find[x], find[y])
+    result = {r.doc_id: r.component_id for r in nd.near_duplicates(table(spark, rows).repartition(4), k=3, percent=85).collect()}
+    assert result == find
+
+
 def test_rows_that_stay(odd):
     kept = nd.drop_near_duplicates(odd, k=3, percent=85)
     assert kept.columns == odd.columns
