@@ -73,13 +73,16 @@ class Recent:
         """A function that gives the value of each wanted word, valid until the next call; `make` gives those of new words."""
         if self.held > self.most_bytes:
             self.old, self.young, self.held = self.young, {}, 0
-        missing = wanted.difference(self.young)
-        kept = {w: self.old[w] for w in missing.intersection(self.old)}
-        new = list(missing.difference(kept))
+        new, back = [], {}
+        for w in wanted.difference(self.young):
+            if w in self.old:
+                back[w] = self.old[w]
+            else:
+                new.append(w)
         made = dict(zip(new, make(new), strict=True))
-        passing = {w: made.pop(w) for w in new if len(w) > self.longest}
-        kept |= made
-        self.young |= kept
-        self.held += sum(self.ENTRY + 4 * len(w) + len(v) for w, v in kept.items())
+        passing = {w: made.pop(w) for w in new if len(w) > self.longest} if max(map(len, new), default=0) > self.longest else {}
         young = self.young
+        for part in (back, made):
+            young.update(part)
+            self.held += self.ENTRY * len(part) + 4 * sum(map(len, part)) + sum(map(len, part.values()))
         return (lambda w: passing[w] if w in passing else young[w]) if passing else young.__getitem__
