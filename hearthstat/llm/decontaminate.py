@@ -1,20 +1,20 @@
 """Benchmark decontamination by a prefix-filtered set join, with DataFrame functions only.
 
 Every benchmark item is cut into windows of `window` consecutive words (an item of fewer words is one
-window). A window occurs in a document only if all its word shingles do, so by the prefix filter one
-shingle is enough to look for: the first when its shingles are ordered by rarity over the whole
-corpus. Documents emit the shingle at each word position; the few that equal a prefix shingle pass the
-positional bound (the window must begin and end inside the document) and are confirmed word by word.
-
-The prefix side is broadcast in blocks of at most `block_bytes`; a larger benchmark takes more passes
-over the documents. The word list of a document never leaves its task: shingles are looked up and
-windows are confirmed in the same stage, and only confirmed positions are shuffled.
+window), and every window into word shingles. One scan of the documents keeps the positions whose shingle some
+window has. A window occurs in a document only if all its shingles do, so by the prefix filter one is enough to
+look for: the first when its shingles are ordered by rarity over the whole corpus. Positions of prefix shingles
+pass the positional bound (the window must begin and end inside the document), and a candidate is confirmed if each
+shingle of the window, compared as text, stands at its place.
+
+The texts are split into words once, for shingles of all sizes; everything after that works on the stored positions.
+The benchmark's shingles are broadcast up to `block_bytes`; beyond, documents and shingles meet by a shuffle. The
+ids of a window's items stay in a table of their own and are listed once per distinct set of windows.
 """
 
 from __future__ import annotations
 
 import string
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +23,16 @@ from hearthstat.llm.common import documents, store, table, unused, whole_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
-#: Memory that a window takes as a broadcast row, besides its text.
-ROW_BYTES = 400
+#: Memory that a shingle takes as a broadcast row, besides its text.
+ROW_BYTES = 100
+#: A document's own row, which no shingle has, is dealt by one of so many tokens.
+SPREAD = 1024
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    # Letters A-Z alone: a text of one-byte characters has no other capitals.
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def words(text: str) -> Column:
@@ -36,64 +40,89 @@ def words(text: str) -> Column:
 
 
 def item_windows(items: DataFrame, window: int, key: str, text: str) -> DataFrame:
-    """One row per distinct window: its words, their number, and the ids of its items as strings."""
+    """One row per window and item that has it: the window's words, their number and digest, and the item's id as a string."""
     w, n = F.col("w"), F.size("w")
     starts = F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).when(n > 0, F.array(F.lit(1)))
     cut = items.select(F.col(key).cast("string").alias("item"), words(text).alias("w")).select(
         "item", "w", F.explode(starts).alias("at")
     )
-    cut = cut.select("item", F.slice("w", F.col("at"), F.lit(window)).alias("window"))
-    return cut.groupBy("window").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("window"))
+    cut = cut.select("item", F.slice("w", F.col("at"), F.lit(window)).alias("window")).distinct()
+    # Words hold no blank, so that equal digests mean equal words.
+    return cut.select("*", F.size("window").alias("len"), F.md5(F.concat_ws(" ", "window")).alias("id"))
 
 
-def _shingle(w: str, at: Column, size: int) -> Column:
+def _token(w: str, at: Column, size: int) -> Column:
+    """Hash of a shingle; words that are missing do not change it."""
     return F.xxhash64(*[F.get(w, at + i) for i in range(size)])
 
 
-def _positions(docs: DataFrame, size: int) -> DataFrame:
-    """Every word position of every document at which a shingle of `size` words begins."""
-    last = F.size("w") - size
-    return docs.select("*", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos")).withColumn(
-        "token", F.when(F.col("pos").isNotNull(), _shingle("w", F.col("pos"), size))
+def _shingles(windows: DataFrame) -> DataFrame:
+    """Every shingle of every distinct window: id, len, size, offset, shingle, token."""
+    size = F.least(F.col("len"), F.lit(SHINGLE))
+    at = F.sequence(F.lit(0), F.col("len") - size)
+    parts = F.transform(at, lambda i: F.slice("window", i + 1, size))
+    cut = windows.select("id", "window", "len").distinct().select("id", "len", size.alias("size"), F.posexplode(parts).alias("offset", "part"))
+    return cut.select(
+        "id", "len", "size", "offset", F.concat_ws(" ", "part").alias("shingle"), _token("part", F.lit(0), SHINGLE).alias("token")
     )
 
 
-def _found(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    """Confirmed occurrences of the windows of one block, which share their shingle size."""
-    at = F.sequence(F.lit(0), F.col("len") - size)
-    shingles = windows.select("*", F.posexplode(F.transform(at, lambda i: _shingle("window", i, size))).alias("offset", "token"))
-    vocabulary = shingles.select("token").distinct()
-    rarity = _positions(docs, size).join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = shingles.join(store(rarity), "token", "left").select("*", F.struct("n", "token", "offset").alias("order"))
+def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """One row per document (pos -1, no shingle) and one per word position and shingle size: doc, hash, n, pos, shingle, token."""
+    kinds, at, n = max(1, len(sizes)), F.col("at"), F.col("n")
+    each = docs.select("*", F.size("w").alias("n")).select("*", F.explode(F.sequence(F.lit(-1), n * len(sizes) - 1)).alias("at"))
+    each = each.withColumn("pos", at if kinds == 1 else F.floor(at / kinds).cast("int"))
+    pos = F.col("pos")
+    token, shingle = F.when(at < 0, F.pmod("hash", F.lit(SPREAD))), F.when(at < 0, "")
+    for i, size in enumerate(sizes):
+        here = (at % kinds == i) & (pos + size <= n)
+        token = token.when(here, _token("w", pos, size))
+        shingle = shingle.when(here, F.concat_ws(" ", *[F.get("w", pos + j) for j in range(size)]))
+    return each.select("doc", "hash", "n", "pos", shingle.alias("shingle"), token.alias("token"))
+
+
+def _hits(read: DataFrame, shingles: DataFrame, block_bytes: int) -> DataFrame:
+    """Stored positions whose shingle some window has, and a row with pos -1 for every document row."""
+    spark = read.sparkSession
+    spread = spark.range(SPREAD).select(F.col("id").alias("token"), F.lit("").alias("known"))
+    known = store(shingles.select("token", F.col("shingle").alias("known")).distinct().union(spread))
+    held = known.agg(F.sum(F.octet_length("known") + ROW_BYTES)).first()[0]
+    sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())
+    known = F.broadcast(known) if held <= block_bytes else known.hint("merge")
+    met = _positions(read, sizes).join(known, "token").where(F.col("shingle") == F.col("known"))
+    return store(met.select("doc", "hash", "n", "pos", "shingle"))
+
+
+def _occurrences(hits: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Confirmed window occurrences: doc, hash, start, len, id; each once, however often the document row is repeated."""
+    at = hits.where("pos >= 0")
+    rarity = at.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = shingles.join(rarity, "shingle", "left")
     # A window with a shingle that no document has occurs nowhere.
-    prefix = (
-        ranked.groupBy("window", "items", "len")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("rarest"))
-        .where("rarest.n > 0")
-        .select("window", "items", "len", "rarest.token", "rarest.offset")
-    )
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("rarest")
+    prefix = ranked.groupBy("id", "len").agg(rarest).where("rarest.n > 0").select("id", "len", "rarest.shingle", "rarest.offset")
     start = F.col("pos") - F.col("offset")
-    hits = _positions(docs, size).join(F.broadcast(store(prefix)), "token")
-    return hits.where(
-        (start >= 0) & (start + F.col("len") <= F.size("w")) & (F.slice("w", start + 1, F.col("len")) == F.col("window"))
-    ).select("doc", "hash", start.alias("start"), "len", "items")
+    candidates = at.join(store(prefix), "shingle").where((start >= 0) & (start + F.col("len") <= F.col("n")))
+    candidates = candidates.select("doc", "hash", start.alias("start"), "len", "id").distinct()
+    places = F.col("start") + F.col("offset")
+    wanted = candidates.join(shingles.select("id", "size", "offset", "shingle"), "id").select(
+        F.col("doc").alias("d"), F.col("hash").alias("h"), "start", "len", "id", "size", "offset", places.alias("p"), F.col("shingle").alias("s")
+    )
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")) & (F.col("pos") == F.col("p"))
+    met = at.join(store(wanted), same & (F.col("shingle") == F.col("s")))
+    whole = met.groupBy("doc", "hash", "start", "len", "id", "size").agg(F.count_distinct("offset").alias("met"))
+    return whole.where(F.col("met") == F.col("len") - F.col("size") + 1).select("doc", "hash", "start", "len", "id")
 
 
-def _occurrences(
+def _search(
     docs: DataFrame, items: DataFrame, window: int, key: str, text: str, item_key: str, item_text: str, block_bytes: int
-) -> DataFrame | None:
-    """Confirmed window occurrences (doc, hash, start, len, items); None if no item has words."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The hits, the confirmed occurrences, and the windows with their items."""
     windows = store(item_windows(items, window, item_key, item_text))
+    shingles = store(_shingles(windows))
     read = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), words(text).alias("w"))
-    size = F.least(F.col("len"), F.lit(SHINGLE))
-    row_bytes = F.octet_length(F.concat_ws(" ", "window", "items")) + ROW_BYTES
-    found = []
-    for s in windows.groupBy(size.alias("size")).agg(F.sum(row_bytes).alias("bytes")).collect():
-        blocks = -(-s.bytes // block_bytes)
-        for b in range(blocks):
-            mine = (size == s.size) & (F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-            found.append(_found(read, windows.where(mine), s.size))
-    return reduce(DataFrame.union, found) if found else None
+    hits = _hits(read, shingles, block_bytes)
+    return hits, _occurrences(hits, shingles), windows
 
 
 def contaminated_words(
@@ -108,26 +137,28 @@ def contaminated_words(
 ) -> DataFrame:
     """Per document row: key, n_words, hit (word positions inside benchmark windows), item_ids (sorted strings).
 
-    A missing or empty text has no words and no hits. An item without an id marks words but is not listed;
-    repeated items count once; an item without words has no window. Rows with the same key but
-    different texts are different documents; repeated rows each get their result. An empty
-    benchmark marks nothing. Other columns are not read, so their names cannot clash.
+    A missing or empty text has no words and no hits; a very long one is cut into words whole, in its task. An item
+    without an id marks words but is not listed; repeated items count once; an item without words has no window.
+    Rows with the same key but different texts are different documents; repeated rows each get their result. An
+    empty benchmark marks nothing, an empty table gives an empty result. Other columns are not read, so their names
+    cannot clash.
     """
-    found = _occurrences(docs, items, window, key, text, item_key, item_text, block_bytes)
-    base = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), F.size(words(text)).cast("long").alias("n_words"))
-    if found is None:
-        none = F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("item_ids")
-        return base.select(F.col("doc").alias(key), "n_words", *none)
+    hits, found, windows = _search(docs, items, window, key, text, item_key, item_text, block_bytes)
     per_doc = found.groupBy(F.col("doc").alias("d"), F.col("hash").alias("h")).agg(
-        F.collect_set(F.struct("start", "len")).alias("at"), F.flatten(F.collect_set("items")).alias("items")
+        F.collect_set(F.struct("start", "len")).alias("at"), F.array_sort(F.collect_set("id")).alias("ids")
     )
+    per_doc = store(per_doc)
+    # Documents with the same windows have the same items.
+    sets = per_doc.select("ids").distinct().select("ids", F.explode("ids").alias("id"))
+    listed = sets.join(windows.select("id", "item"), "id").groupBy(F.col("ids").alias("set"))
+    listed = listed.agg(F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.flatten(F.transform("at", lambda a: F.sequence(a["start"], a["start"] + a["len"] - 1)))
-    joined = base.join(per_doc, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
-    return joined.select(
+    joined = hits.where("pos = -1").join(per_doc, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
+    return joined.join(listed, F.col("ids") == F.col("set"), "left").select(
         F.col("doc").alias(key),
-        "n_words",
+        F.col("n").cast("long").alias("n_words"),
         F.coalesce(F.array_sort(F.array_distinct(covered)), F.array().cast("array<int>")).alias("hit"),
-        F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("item_ids"),
     )
 
 
@@ -142,11 +173,9 @@ def drop_contaminated(
     block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """The rows, with all their columns, that have no word inside a benchmark window."""
-    found = _occurrences(docs, items, window, key, text, item_key, item_text, block_bytes)
-    if found is None:
-        return docs
+    _, found, _ = _search(docs, items, window, key, text, item_key, item_text, block_bytes)
     d, h = unused(docs, "doc"), unused(docs, "hash")
-    hit = found.select(F.col("doc").alias(d), F.col("hash").alias(h)).distinct()
+    hit = store(found.select(F.col("doc").alias(d), F.col("hash").alias(h)).distinct())
     return docs.join(hit, docs[key].eqNullSafe(hit[d]) & (F.xxhash64(docs[text]) == hit[h]), "left_anti")
 
 

@@ -61,6 +61,35 @@ def test_rows_that_stay(odd, items):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_one_window_of_all_items(spark):
+    """A prompt line that every item begins with, and texts that have parts of windows only."""
+    prompt = "Read the passage below and answer the question that follows"
+    items = [(i, f"{prompt} now number{i} is here") for i in range(300)]
+    rows = [
+        (1, f"so {prompt} again"),
+        (1, f"another text of the same id, {prompt}"),
+        (2, f"so {prompt} again"),
+        (3, prompt.rsplit(" ", 1)[0]),
+        (4, f"{prompt} now number7 is here {prompt}"),
+        (5, "passage below and answer the question that follows now number7 is"),
+        (6, "follows now number8 is here"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (0, 32 << 20):
+        got = dc.contaminated_words(docs, benchmark, block_bytes=block_bytes).collect()
+        assert sorted(map(tuple, got), key=repr) == expected(rows, items)
+
+
+def test_repeated_words(spark):
+    """Windows that overlap themselves, and shingles that a window has several times."""
+    rows = [(1, "a " * 25), (2, "a " * 9), (3, "a b " * 6 + "a a b a b"), (4, "b a " * 5), (5, "x " + "a " * 10)]
+    items = [(1, "a " * 10), (2, "a b " * 5), (3, "b a"), (4, "x")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = dc.contaminated_words(docs, benchmark).collect()
+    assert sorted(map(tuple, got), key=repr) == expected(rows, items)
+
+
 def test_empty(odd, empty, items):
     assert dc.contaminated_words(empty, items).collect() == []
     none = dc.contaminated_words(odd, items.limit(0)).collect()
