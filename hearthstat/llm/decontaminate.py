@@ -151,10 +151,11 @@ def contaminated_words(
     # Documents with the same windows have the same items.
     sets = per_doc.select("ids").distinct().select("ids", F.explode("ids").alias("id"))
     listed = sets.join(windows.select("id", "item"), "id").groupBy(F.col("ids").alias("set"))
-    listed = listed.agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = store(listed.agg(F.array_sort(F.collect_set("item")).alias("items")))
+    per_doc = per_doc.join(listed, F.col("ids") == F.col("set"), "left")
     covered = F.flatten(F.transform("at", lambda a: F.sequence(a["start"], a["start"] + a["len"] - 1)))
     joined = hits.where("pos = -1").join(per_doc, F.col("doc").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
-    return joined.join(listed, F.col("ids") == F.col("set"), "left").select(
+    return joined.select(
         F.col("doc").alias(key),
         F.col("n").cast("long").alias("n_words"),
         F.coalesce(F.array_sort(F.array_distinct(covered)), F.array().cast("array<int>")).alias("hit"),
