@@ -5,7 +5,8 @@ range over all rows) and is cut at the byte-weighted quantile that gives both si
 leaves: the median where the leaf counts are equal. The quantile is found by radix search: the key
 `value * 2^20 + tie` is summed into 4,096 slices per node, the slice that holds the target is sliced
 again, and so on until slices have width one. Rows of equal value are told apart by `tie`, a hash of
-the row, so that one hot value, however many rows it has, is cut like any other range. The driver sees
+the row and of its number among rows alike, so that one hot value or one row repeated, however many rows it has, is
+cut like any other range. The driver sees
 only slice sums (nodes x 4,096 at most) and cuts; rows are never moved until their slots are numbered.
 """
 
@@ -23,6 +24,8 @@ SLICES = 4096
 CODES = 1 << 16
 #: Rows of a shard are numbered in so many independent parts.
 PARTS = 1024
+#: Rows alike in all columns are numbered in so large blocks, each in one task.
+COPIES = 4096
 
 
 @dataclass
@@ -111,6 +114,19 @@ def grow(points: DataFrame, dims: list[str], leaves: int) -> Node:
     return root
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with `copy`, their number among rows alike in all columns, from 0.
+
+    Rows alike are counted and made again from their count, so that many of them never meet in one task.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    last = F.call_function("div", F.col("n") - 1, F.lit(COPIES))
+    blocks = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")).repartition("key", "text_crc32", "block")
+    first = F.col("block") * COPIES
+    copies = F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)
+    return blocks.select(*rows.columns, F.explode(copies).alias("copy"))
+
+
 def kd_shards(
     docs: DataFrame,
     n_shards: int | None = None,
@@ -123,8 +139,8 @@ def kd_shards(
 
     A row's size is its text's UTF-8 bytes plus 8; a missing text has none, so such a row has size 8 and
     crc32 0. Without `n_shards` the leaves are as many as bring them to `target_bytes`. The dimensions are the
-    size and the categories that the table has (a missing category is one more value). Rows alike in
-    all columns go to the same shard; fewer rows than shards leave shards empty; an empty table gives an
+    size and the categories that the table has (a missing category is one more value). Rows alike in all
+    columns are dealt like different ones. Of a very long text only size and crc are kept. Fewer rows than shards leave shards empty; an empty table gives an
     empty result. Other columns are not read. Slots number the rows of a shard without gaps from 0.
     """
     dims = ["size", *[f"dim_{c}" for c in categories if c in docs.columns]]
@@ -134,17 +150,17 @@ def kd_shards(
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         *[_code(c).alias(f"dim_{c}") for c in categories if c in docs.columns],
-    ).withColumn("tie", F.pmod(F.xxhash64("key", "text_crc32"), F.lit(TIES)))
-    points = store(points)
+    )
+    points = store(_numbered(points).withColumn("tie", F.pmod(F.xxhash64("key", "text_crc32", "copy"), F.lit(TIES))))
     if n_shards is None:
         total = points.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, -(-total // target_bytes))
     placed = points.withColumn("shard", _place(grow(points, dims, n_shards)).cast("int"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("text_crc32", "key"), F.lit(PARTS)).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("copy", "text_crc32", "key"), F.lit(PARTS)).cast("int"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
     starts = counts.select("shard", "part", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "text_crc32", "size"))
+    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "text_crc32", "size", "copy"))
     numbered = placed.withColumn("own", own).join(starts, ["shard", "part"])
     return numbered.select(
         F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("before") + F.col("own") - 1).cast("long").alias("slot")

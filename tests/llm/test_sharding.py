@@ -39,6 +39,18 @@ def test_near_equal_whatever_the_hot_value(spark):
     assert len(rows) == 5 and all(abs(r.bytes - total / 5) <= 0.01 * total for r in rows)
 
 
+def test_a_row_that_is_repeated(spark):
+    """A third of the rows, more than a block of copies, are the same row: its copies are dealt like other rows."""
+    texts = [(7, "same " * 9)] * 6000 + [(i, "t" * (i % 80)) for i in range(100, 12_100)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    rows = sharding.kd_shards(docs, n_shards=24).collect()
+    check(rows, texts, 24)
+    total = sum(r.size for r in rows)
+    assert all(abs(sum(r.size for r in rows if r.shard == s) - total / 24) <= 3 * 88 for s in range(24))
+    again = sharding.kd_shards(docs.repartition(3), n_shards=24).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
 @pytest.mark.parametrize("n_shards", [1, 3, 24])
 def test_odd_rows(odd, n_shards):
     check(sharding.kd_shards(odd, n_shards=n_shards).collect(), TEXTS, n_shards)
