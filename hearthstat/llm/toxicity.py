@@ -8,8 +8,7 @@ seen is judged alike by both models. With A symbols a model has A^4 entries what
 and that of the broadcast log ratios, is fixed, and all training texts are counted.
 
 A text is scored by its log ratio (toxic over ordinary) in three length-normalised forms: the mean over its
-symbols, the mean over the symbols of its most toxic words, and that of its most toxic word. A logistic
-function of these is the score. It is fitted on texts that their own model has not seen: the training rows
+symbols, and the means over its words of what their ratio has above a level and above a higher one. All are means, so that a text joined from many alike is scored like one of them. A logistic function of these is the score. It is fitted on texts that their own model has not seen: the training rows
 are split in two, and each half is scored by the other half's model.
 """
 
@@ -34,8 +33,8 @@ DISCOUNT = 0.75
 #: count for all labelled rows of their label, so that the share of toxic rows is that of the labels whatever the table's size.
 FIT_ROWS = 10_000
 FEATURES = 3
-#: Words that count as the most toxic ones of a text.
-TOP = 3
+#: Log ratio of a word above which it tells of toxic texts, and above which it does so strongly.
+CLEAR, STRONG = 3, 6
 SYMBOLS = 1 << 20
 
 
@@ -91,9 +90,10 @@ def _interpolated(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def features(s: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """The length-normalised log ratios of a text: mean, of the most toxic words, of the most toxic word.
+    """The length-normalised log ratios of a text: mean per symbol, mean excess per word over either level.
 
-    A word's ratio is taken over its symbols and the end behind it. A text without words has 0 everywhere.
+    A word's ratio is taken over its symbols and the end behind it. The last two are on a logarithmic scale, in
+    hundredths. A text without words has 0 everywhere.
     """
     ends = np.flatnonzero(s[1:] == 0)
     if not len(ends) or len(s) < 3:
@@ -101,8 +101,8 @@ def features(s: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     each = ratios[sequences(s)].astype(np.float64)
     starts = np.concatenate([[0], ends[:-1] + 1])
     words = np.add.reduceat(each, starts)
-    top = np.sort(words)[::-1][:TOP]
-    return np.array([each.mean() * 100, top.mean(), top[0]])
+    excess = [np.log1p(100 * np.maximum(words - level, 0).mean()) for level in (CLEAR, STRONG)]
+    return np.array([each.mean() * 100, *excess])
 
 
 def _split() -> Column:
@@ -217,7 +217,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     Trains on the labelled rows whose crc32 of the key, as text, modulo 3 is not 1; the others are held out. A
     missing or empty text is scored like one without words. Rows without a label or with a missing key are
     not trained on. Repeated labels of a key count once (the larger label). Without training rows of both labels
-    all scores are 0.5. Other columns are not read.
+    all scores are 0.5. A very long text is scored whole, by the same means as a short one; an empty table gives an
+    empty result. Other columns are not read.
     """
     scored, name = _with_score(docs.select(key, text), labels, key, text, label)
     held_out = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
