@@ -1,15 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Texts are read as symbols: letters in lower case, one symbol for whatever is not a letter (runs of it count
-once), and a fixed number of symbols for letters outside a-z. Toxic and ordinary training texts each give counts of
-four-symbol sequences. A class's model is interpolated Kneser-Ney of order four whose lower orders are shared:
-they come from the continuation counts of both classes together, so that an expression that one class has hardly
-seen is judged alike by both models. With A symbols a model has A^4 entries whatever the corpus: its size,
-and that of the broadcast log ratios, is fixed, and all training texts are counted.
-
-A text is scored by its log ratio (toxic over ordinary) in three length-normalised forms: the mean over its
-symbols, and the means over its words of what their ratio has above a level and above a higher one. All are means, so that a text joined from many alike is scored like one of them. A logistic function of these is the score. It is fitted on texts that their own model has not seen: the training rows
-are split in two, and each half is scored by the other half's model.
+Words are runs of letters, in lower case; whatever is no letter, in ASCII, parts them. Spark counts the words of the toxic and the
+ordinary training texts into a stored table that grows with the corpus. A class's model gives a word its discounted share of the class's
+words (a single occurrence is discounted whole), and the mass that the discounts free goes to the word's spelling: an interpolated
+Kneser-Ney model of order four over the word's symbols (one for the end, a fixed number for letters outside a-z), counted from the
+same table. The lower orders of both classes' spellings are shared: they come from the continuation counts of both together, so that a rare
+expression is judged alike by both models.
+
+The table of words is joined to the texts' words by Spark, which broadcasts it while it is small and shuffles beyond. Words that it does
+not hold, or whose log ratio (toxic over ordinary) the spelling gives to within PRUNE, have that of their spelling, from
+log ratios for all four-symbol sequences: 40^4, a fixed number, broadcast.
+
+A text is scored by three length-normalised forms of its words' log ratios: their mean, and the means of what they have above a
+level and above a higher one. All are means over its words, so that a text joined from many alike is scored like one of them. A logistic
+function of these is the score. It is fitted on texts that their own model has not seen: the training rows are split in two, and each half
+is scored by the other half's model.
 """
 
 from __future__ import annotations
@@ -21,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from hearthstat.llm.common import documents, map_arrow, table, unused
+from hearthstat.llm.common import documents, map_arrow, store, table, unused, whole_text
 
 #: Symbols: 0 is no letter, 1-26 are a-z, the others are shared by all other letters.
 ALPHABET = 40
@@ -35,7 +39,15 @@ FIT_ROWS = 10_000
 FEATURES = 3
 #: Log ratio of a word above which it tells of toxic texts, and above which it does so strongly.
 CLEAR, STRONG = 3, 6
-SYMBOLS = 1 << 20
+#: The most that one word's log ratio counts, in either direction.
+LIMIT = 10
+#: A word whose log ratio differs by less than this from that of its spelling is scored by its spelling.
+PRUNE = 0.5
+#: What parts words; all other code points are letters. In `symbols` these are symbol 0.
+NO_LETTERS = r"[\x00-\x60\x7B-\x7F]+"
+#: Models: 0 of all training rows, 1 and 2 for the rows of the first and the second half, each from the other half's rows.
+MODELS = 3
+SUMS = ("total", "clear", "strong", "words")
 
 
 @cache
@@ -57,17 +69,15 @@ def symbols(text: str | None) -> np.ndarray:
 
 
 def sequences(s: np.ndarray) -> np.ndarray:
-    """The number of the four-symbol sequence that ends at each symbol but the first; what precedes the text is 0."""
-    padded = np.concatenate([np.zeros(ORDER - 2, np.int64), s])
-    n = len(s) - 1
-    out = np.zeros(n, np.int64)
-    for j in range(ORDER):
-        out = out * ALPHABET + padded[j : j + n]
-    return out
+    """The number of the four-symbol sequence that ends at each symbol but the first; what precedes a word is 0."""
+    last = s[:-1]
+    second = np.concatenate([s[:1] * 0, s[:-2]]) * (last != 0)
+    third = np.concatenate([s[:2] * 0, s[:-3]])[: len(last)] * (second != 0)
+    return ((third * ALPHABET + second) * ALPHABET + last) * ALPHABET + s[1:]
 
 
-def log_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Log ratio of the two models for every sequence, from its counts in either class."""
+def log_shares(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """Log probabilities of every sequence's last symbol, in the toxic and the ordinary spelling, from its counts in either class."""
     shape = (ALPHABET,) * ORDER
     counts = [c.reshape(shape).astype(np.float64) for c in (toxic, ordinary)]
     # Continuation counts of both classes together: in how many contexts a shorter sequence occurs.
@@ -78,7 +88,7 @@ def log_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     shared = np.full(ALPHABET, 1 / ALPHABET)
     for c in reversed(shorter):
         shared = _interpolated(c.astype(np.float64), shared)
-    return (np.log(_interpolated(counts[0], shared)) - np.log(_interpolated(counts[1], shared))).astype(np.float32).ravel()
+    return np.stack([np.log(_interpolated(c, shared)).ravel() for c in counts])
 
 
 def _interpolated(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -89,47 +99,65 @@ def _interpolated(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total > 0, mixed, lower)
 
 
-def features(s: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """The length-normalised log ratios of a text: mean per symbol, mean excess per word over either level.
-
-    A word's ratio is taken over its symbols and the end behind it. The last two are on a logarithmic scale, in
-    hundredths. A text without words has 0 everywhere.
-    """
+def by_word(s: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Sums of the values of the sequences of each word, its end included."""
     ends = np.flatnonzero(s[1:] == 0)
     if not len(ends) or len(s) < 3:
-        return np.zeros(FEATURES)
-    each = ratios[sequences(s)].astype(np.float64)
+        return [np.zeros(0) for _ in values]
     starts = np.concatenate([[0], ends[:-1] + 1])
-    words = np.add.reduceat(each, starts)
-    excess = [np.log1p(100 * np.maximum(words - level, 0).mean()) for level in (CLEAR, STRONG)]
-    return np.array([each.mean() * 100, *excess])
+    found = sequences(s)
+    return [np.add.reduceat(v[found].astype(np.float64), starts) for v in values]
+
+
+def levels(ratios: np.ndarray) -> np.ndarray:
+    """A word's log ratio, and what it has above either level; one of more than LIMIT counts as that."""
+    ratios = np.clip(ratios, -LIMIT, LIMIT)
+    return np.stack([ratios, np.maximum(ratios - CLEAR, 0), np.maximum(ratios - STRONG, 0)], axis=-1)
 
 
 def _split() -> Column:
     return F.crc32(F.col("key").cast("string").cast("binary")) % 3
 
 
-def count_sequences(train: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Counts by (label, half), from rows (half, label, text)."""
+def _words(text: str = "text") -> Column:
+    return F.explode(F.split(F.lower(text), NO_LETTERS)).alias("word")
+
+
+def count_words(train: DataFrame) -> DataFrame:
+    """Rows (half, label, text) as a stored table of their words' counts: word, and n_<label>_<half>."""
+    each = train.select("half", "label", _words()).where("word <> ''")
+    sums = [F.count(F.when((F.col("label") == y) & (F.col("half") == h), 1)).alias(f"n_{y}_{h}") for y in (0, 1) for h in (0, 1)]
+    return store(each.groupBy("word").agg(*sums))
+
+
+def _counts(batch: pa.RecordBatch) -> dict[tuple[int, int], np.ndarray]:
+    return {(y, h): batch.column(1 + 2 * y + h).to_numpy() for y in (0, 1) for h in (0, 1)}
+
+
+def _of_model(counts: dict[tuple[int, int], np.ndarray], y: int, model: int) -> np.ndarray:
+    return counts[y, 2 - model] if model else counts[y, 0] + counts[y, 1]
+
+
+def count_sequences(words: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Counts of the symbol sequences by (label, half), from counted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int], np.ndarray] = {}
+        sums = np.zeros((4, ALPHABET**ORDER), np.int64)
         for batch in batches:
-            half, label, text = (batch.column(i) for i in range(3))
-            for h, y, t in zip(half.to_pylist(), label.to_pylist(), text, strict=True):
-                own = counts.setdefault((y, h), np.zeros(ALPHABET**ORDER, np.int64))
-                seq = sequences(symbols(t.as_py()))
-                for at in range(0, len(seq), SYMBOLS):
-                    some, times = np.unique(seq[at : at + SYMBOLS], return_counts=True)
-                    own[some] += times
-        for (y, h), c in counts.items():
-            some = np.flatnonzero(c)
-            for at in range(0, len(some), 1 << 16):
-                part = some[at : at + (1 << 16)]
-                kind = np.full(len(part), 2 * y + h, np.int64) * ALPHABET**ORDER
-                yield pa.RecordBatch.from_arrays([pa.array(kind + part), pa.array(c[part])], names=["sequence", "n"])
-
-    sums = map_arrow(train, run, "sequence long, n long").groupBy("sequence").agg(F.sum("n").alias("n"))
+            times = _counts(batch)
+            found = [sequences(symbols(w.as_py())) for w in batch.column(0)]
+            if not found:
+                continue
+            every, lengths = np.concatenate(found), [len(f) for f in found]
+            for (y, h), n in times.items():
+                np.add.at(sums[2 * y + h], every, np.repeat(n, lengths))
+        flat = sums.ravel()
+        some = np.flatnonzero(flat)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(flat[part])], names=["sequence", "n"])
+
+    sums = map_arrow(words, run, "sequence long, n long").groupBy("sequence").agg(F.sum("n").alias("n"))
     # A sum for every sequence, label and half at most: 4 x ALPHABET^ORDER rows whatever the corpus.
     got = sums.toArrow()
     flat = np.zeros((4, ALPHABET**ORDER), np.int64)
@@ -137,21 +165,85 @@ def count_sequences(train: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return {(y, h): flat[2 * y + h] for y in (0, 1) for h in (0, 1)}
 
 
-def _scored(docs: DataFrame, text: str, models, model: str | None = None) -> DataFrame:
-    """The rows with their features; `models` is a broadcast dict, of which a row's column `model` names the one to use."""
-    name = unused(docs, "features")
-    at, which = docs.columns.index(text), docs.columns.index(model) if model else -1
+def _discounted(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 1, n - DISCOUNT, 0)
+
+
+def _sizes(words: DataFrame) -> list[list[tuple[int, float]]]:
+    """Number of words, and the part of it that is discounted, of either label in each model."""
+    n = {
+        (y, m): F.col(f"n_{y}_{2 - m}") if m else F.col(f"n_{y}_0") + F.col(f"n_{y}_1") for y in (0, 1) for m in range(MODELS)
+    }
+    sums = [f for c in n.values() for f in (F.sum(c), F.count(F.when(c == 1, 1)), F.count(F.when(c > 1, 1)))]
+    row = words.agg(*[F.coalesce(f, F.lit(0)) for f in sums]).first()
+    pairs = {k: (row[3 * i], row[3 * i + 1] + DISCOUNT * row[3 * i + 2]) for i, k in enumerate(n)}
+    return [[pairs[y, m] for y in (0, 1)] for m in range(MODELS)]
+
+
+def _freed(total: int, discounted: float) -> float:
+    """Log of the mass that a class's discounted words leave to spelling."""
+    return float(np.log(discounted / total)) if total else 0.0
+
+
+def word_table(words: DataFrame, shares, sizes: list[list[tuple[int, float]]]) -> DataFrame:
+    """Per model and word that it scores by its counts: what the word's levels differ by from those of its spelling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = shares.value
+        for batch in batches:
+            times, text = _counts(batch), batch.column(0)
+            spelt = [symbols(w.as_py()) for w in text]
+            for m in range(MODELS):
+                logs = []
+                each = np.array([by_word(s, both[m][0], both[m][1]) for s in spelt]).reshape(len(spelt), 2)
+                for y, column in ((1, 0), (0, 1)):
+                    own = _discounted(_of_model(times, y, m)) / max(sizes[m][y][0], 1)
+                    plain = _freed(*sizes[m][y]) + each[:, column]
+                    with np.errstate(divide="ignore"):
+                        logs.append((np.logaddexp(np.log(own), plain), plain))
+                known, plain = logs[0][0] - logs[1][0], logs[0][1] - logs[1][1]
+                some = np.flatnonzero(np.abs(known - plain) >= PRUNE)
+                differ = levels(known[some]) - levels(plain[some])
+                columns = [pa.array(differ[:, i]) for i in range(FEATURES)]
+                kind = pa.array(np.full(len(some), m, np.int32))
+                yield pa.RecordBatch.from_arrays([text.take(pa.array(some)), kind, *columns], names=["word", "model", *SUMS[:FEATURES]])
+
+    return store(map_arrow(words, run, "word string, model int, total double, clear double, strong double"))
+
+
+def _spelt(docs: DataFrame, ratios, by: list[str]) -> DataFrame:
+    """Per row the sums of its words' levels by spelling, and their number; `by` is kept. Columns: text, model, then `by`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = models.value
         for batch in batches:
-            chosen = batch.column(which).to_pylist() if which >= 0 else [0] * len(batch)
-            rows = [features(symbols(t.as_py()), ratios[w]) for w, t in zip(chosen, batch.column(at), strict=True)]
-            found = pa.array([list(r) for r in rows], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+            rows = np.zeros((len(batch), len(SUMS)))
+            for i, (t, m) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
+                each, offset = ratios.value[m]
+                (found,) = by_word(symbols(t.as_py()), each)
+                rows[i] = [*levels(found + offset).sum(axis=0), len(found)]
+            kept = [batch.column(i) for i in range(2, 2 + len(by))]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, i]) for i in range(len(SUMS)))], names=[*by, *SUMS])
 
-    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
-    return map_arrow(docs, run, schema)
+    out = docs.select(*by).limit(0).schema
+    for name in SUMS:
+        out = out.add(name, "double")
+    return map_arrow(docs.select("text", "model", *by), run, out)
+
+
+def _features(docs: DataFrame, ratios, known: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (text, model, `by`) as one row per value of `by`, which is to tell texts apart: features, and the number of rows.
+
+    Sums over equal texts are as many times those of one, so their means are the same.
+    """
+    table_part = (
+        docs.select("model", *by, _words()).join(known, ["word", "model"]).groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS[:FEATURES]])
+    )
+    spelling = _spelt(docs, ratios, by).withColumn("n_rows", F.lit(1))
+    both = spelling.unionByName(table_part.withColumn("words", F.lit(0.0)).withColumn("n_rows", F.lit(0)))
+    sums = both.groupBy(*by).agg(*[F.sum(c).alias(c) for c in (*SUMS, "n_rows")])
+    mean = {c: F.when(F.col("words") > 0, F.col(c) / F.col("words")).otherwise(0.0) for c in SUMS[:FEATURES]}
+    excess = [F.log1p(100 * F.greatest(mean[c], F.lit(0.0))) for c in SUMS[1:FEATURES]]
+    return sums.select(*by, F.array(mean["total"], *excess).alias("features"), "n_rows")
 
 
 def fit_logistic(
@@ -176,39 +268,51 @@ def fit_logistic(
     return scale, w
 
 
-def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str):
-    """The broadcast log ratios of the whole model, the features' scale and weights; None without rows of both labels."""
-    spark = docs.sparkSession
-    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("label"))
-    train = read.where(_split() != 1).join(known.hint("shuffle_hash"), F.col("key") == F.col("k"))
+def _names(text: str | Column = "text") -> list[Column]:
+    """96 bits of a text's hashes, by which rows meet their score."""
+    return [F.xxhash64(text).alias("h1"), F.hash(text).alias("h2")]
+
+
+def _trained(read: DataFrame, labels: DataFrame, key: str, label: str):
+    """The broadcast ratios of spellings, the stored table of words, the features' scale and weights; None without rows of both labels."""
+    spark = read.sparkSession
+    found = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k"))
+    known = store(found.agg(F.max(label).cast("int").alias("label")))
     half = (_split() / 2).cast("int").alias("half")
-    counts = count_sequences(train.select(half, "label", "text"))
-    both = [counts[y, 0] + counts[y, 1] for y in (0, 1)]
-    if not (both[0].any() and both[1].any()):
+    train = read.where(_split() != 1).join(known, F.col("key") == F.col("k"))
+    words = count_words(train.select(half, "label", "text"))
+    sizes = _sizes(words)
+    if not (sizes[0][0][0] and sizes[0][1][0]):
         return None
-    halves = {h: log_ratios(counts[1, 1 - h], counts[0, 1 - h]) for h in (0, 1)}
+    counts = count_sequences(words)
+    shares = [log_shares(_of_model(counts, 1, m), _of_model(counts, 0, m)) for m in range(MODELS)]
+    offsets = [_freed(*sizes[m][1]) - _freed(*sizes[m][0]) for m in range(MODELS)]
+    ratios = spark.sparkContext.broadcast([((a - b).astype(np.float32), o) for (a, b), o in zip(shares, offsets, strict=True)])
+    scored = word_table(words, spark.sparkContext.broadcast(shares), sizes)
     # At most 2 x FIT_ROWS keys and labels: small enough to broadcast whatever the corpus.
-    fit = read.join(F.broadcast(_fit_sample(known)), F.col("key") == F.col("k")).select(half, "label", "text")
+    fit = read.join(F.broadcast(_fit_sample(known)), F.col("key") == F.col("k"))
+    fit = fit.select("text", (half + 1).alias("model"), "label", *_names())
     keys = known.withColumn("key", F.col("k")).where(_split() != 1).groupBy("label").count().collect()
     times = {r["label"]: max(r["count"] / FIT_ROWS, 1.0) for r in keys}
-    seen = _scored(fit, "text", spark.sparkContext.broadcast(halves), "half").drop("text").toPandas()
+    seen = _features(fit, ratios, scored, ["h1", "h2", "label", "model"]).orderBy("h1", "h2", "label", "model").toPandas()
     x = np.array(seen["features"].tolist()).reshape(-1, FEATURES)
-    scale, w = fit_logistic(x, seen["label"].to_numpy(float), seen["label"].map(times).to_numpy(float))
-    return spark.sparkContext.broadcast({0: log_ratios(both[1], both[0])}), scale, w
+    weight = (seen["label"].map(times) * seen["n_rows"]).to_numpy(float)
+    scale, w = fit_logistic(x, seen["label"].to_numpy(float), weight)
+    return ratios, scored, scale, w
 
 
-def _with_score(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, str]:
-    name = unused(docs, "score")
-    trained = _trained(docs, labels, key, text, label)
+def _scores(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame | None:
+    """Scores by the hashes of texts: h1, h2, score."""
+    read = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
+    trained = _trained(read, labels, key, label)
     if trained is None:
-        return docs.withColumn(name, F.lit(0.5)), name
-    whole, scale, w = trained
-    found = unused(docs, "features")
+        return None
+    ratios, known, scale, w = trained
     z = F.lit(float(w[-1]))
     for i in range(FEATURES):
-        z = z + F.get(found, F.lit(i)) * float(w[i] / scale[i])
-    return _scored(docs, text, whole).withColumn(name, 1 / (1 + F.exp(-z))).drop(found), name
+        z = z + F.get("features", F.lit(i)) * float(w[i] / scale[i])
+    every = read.select("text", F.lit(0).alias("model"), *_names())
+    return store(_features(every, ratios, known.where("model = 0"), ["h1", "h2"]).select("h1", "h2", (1 / (1 + F.exp(-z))).alias("score")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -220,17 +324,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     all scores are 0.5. A very long text is scored whole, by the same means as a short one; an empty table gives an
     empty result. Other columns are not read.
     """
-    scored, name = _with_score(docs.select(key, text), labels, key, text, label)
+    scores = _scores(docs, labels, key, text, label)
     held_out = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return scored.select(key, held_out.alias("held_out"), F.col(name).alias("score"))
+    rows = docs.select(key, held_out.alias("held_out"), *_names(whole_text(text)))
+    if scores is None:
+        return rows.select(key, "held_out", F.lit(0.5).alias("score"))
+    return rows.join(scores, ["h1", "h2"]).select(key, "held_out", "score")
 
 
 def drop_toxic(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> DataFrame:
     """The rows, with all their columns, whose score is below the threshold."""
-    scored, name = _with_score(docs, labels, key, text, label)
-    return scored.where(F.col(name) < threshold).drop(name)
+    scores = _scores(docs, labels, key, text, label)
+    if scores is None:
+        return docs if threshold > 0.5 else docs.limit(0)
+    first, second = unused(docs, "h1"), unused(docs, "h2")
+    toxic = store(scores.where(F.col("score") >= threshold).select(F.col("h1").alias(first), F.col("h2").alias(second)))
+    h1, h2 = _names(whole_text(text))
+    return docs.withColumns({first: h1, second: h2}).join(toxic, [first, second], "left_anti").select(*docs.columns)
 
 
 def _fit_sample(known: DataFrame) -> DataFrame:

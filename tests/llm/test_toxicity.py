@@ -1,4 +1,7 @@
+import math
 import zlib
+from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -19,20 +22,103 @@ def test_models_are_distributions():
     counts = counts.reshape((tox.ALPHABET,) * tox.ORDER).astype(float)
     lower = np.full(tox.ALPHABET, 1 / tox.ALPHABET)
     assert tox._interpolated(counts, lower).sum(axis=-1) == pytest.approx(1)
-    ratios = tox.log_ratios(counts.ravel(), counts.ravel())
-    assert np.abs(ratios).max() == 0
-
-
-def test_features_are_means_over_words():
-    ratios = np.random.default_rng(1).normal(scale=9, size=tox.ALPHABET**tox.ORDER).astype(np.float32)
-    s = tox.symbols("some words here")
-    padded = [0, 0, *s.tolist()]
-    each = [ratios[((padded[i] * 40 + padded[i + 1]) * 40 + padded[i + 2]) * 40 + padded[i + 3]] for i in range(len(s) - 1)]
-    words = [sum(each[:5]), sum(each[5:11]), sum(each[11:])]
-    excess = [np.log(1 + 100 * sum(max(w - level, 0) for w in words) / 3) for level in (3, 6)]
-    assert excess[1] > 0 and min(words) < 3
-    assert tox.features(s, ratios) == pytest.approx([100 * np.mean(each), *excess], rel=1e-5)
-    assert tox.features(tox.symbols("  "), ratios).tolist() == [0, 0, 0]
+    toxic, ordinary = tox.log_shares(counts.ravel(), counts.ravel())
+    assert np.abs(toxic - ordinary).max() == 0
+    assert np.exp(toxic).reshape(-1, tox.ALPHABET).sum(axis=1) == pytest.approx(1)
+
+
+def test_a_word_is_spelt_alike_everywhere():
+    values = np.random.default_rng(1).normal(size=tox.ALPHABET**tox.ORDER)
+    (every,) = tox.by_word(tox.symbols("some words, here"), values)
+    for word, got in zip(["some", "words", "here"], every, strict=True):
+        at = [0, 0, 0, *(ord(c) - 96 for c in word), 0]
+        by_hand = sum(values[((at[i - 3] * 40 + at[i - 2]) * 40 + at[i - 1]) * 40 + at[i]] for i in range(3, len(at)))
+        assert got == pytest.approx(by_hand)
+    assert len(tox.by_word(tox.symbols(" 1 "), values)[0]) == 0
+
+
+def brute_force(texts, labels):
+    """Features of every text by the model of all training rows, from dicts and loops alone."""
+    training = [(t, labels[i]) for i, t in texts if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    words = {y: Counter(w for t, label in training if label == y for w in t.split()) for y in (0, 1)}
+
+    def grams(w):
+        s = "___" + w + "_"
+        return [s[i - 3 : i + 1] for i in range(3, len(s))]
+
+    seen = {y: Counter() for y in (0, 1)}
+    for y, counted in words.items():
+        for w, n in counted.items():
+            for g in grams(w):
+                seen[y][g] += n
+    kinds = set(seen[0]) | set(seen[1])
+    shorter = [Counter(g[1:] for g in kinds)]
+    for _ in range(2):
+        shorter.append(Counter(g[1:] for g in shorter[-1]))
+
+    def mixed(counts, g, lower):
+        same = [n for k, n in counts.items() if k[:-1] == g[:-1]]
+        if not same:
+            return lower
+        return max(counts.get(g, 0) - 0.75, 0) / sum(same) + 0.75 * len(same) / sum(same) * lower
+
+    @cache
+    def symbol(y, g):
+        p = 1 / 40
+        for counts, k in zip(reversed(shorter), (g[3:], g[2:], g[1:]), strict=True):
+            p = mixed(counts, k, p)
+        return mixed(seen[y], g, p)
+
+    @cache
+    def ratio(w):
+        p = {}
+        for y in (0, 1):
+            total, spelt = sum(words[y].values()), math.prod(symbol(y, g) for g in grams(w))
+            freed = sum(1 if n == 1 else 0.75 for n in words[y].values())
+            p[y] = (words[y][w] - 0.75 if words[y][w] > 1 else 0) / total + freed / total * spelt
+        return min(max(math.log(p[1] / p[0]), -10), 10)
+
+    found = []
+    for _, t in texts:
+        each = [ratio(w) for w in t.split()]
+        parts = [sum(max(r - level, 0) for r in each) / len(each) for level in (tox.CLEAR, tox.STRONG)]
+        found.append([sum(each) / len(each), *(math.log(1 + 100 * p) for p in parts)])
+    return np.array(found)
+
+
+def test_features_against_brute_force(spark, monkeypatch):
+    """Scores are a logistic function of the brute force's features: their logits are a linear function of them, without a rest."""
+    monkeypatch.setattr(tox, "PRUNE", 0.0)
+    rng = np.random.default_rng(8)
+    bag = ["".join(rng.choice(list("abcde"), rng.integers(1, 5))) for _ in range(150)]
+    texts = [(i, " ".join(rng.choice(bag[: 150 if i % 3 else 60], 12))) for i in range(120)]
+    labels = {i: int(i % 3 == 0) for i, _ in texts}
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    score = np.array([r.score for r in tox.score_toxicity(table(spark, texts), known).orderBy("doc_id").collect()])
+    x = np.column_stack([brute_force(texts, labels), np.ones(len(texts))])
+    logit = np.log(score / (1 - score))
+    weights, *_ = np.linalg.lstsq(x, logit, rcond=None)
+    assert np.abs(x @ weights - logit).max() < 1e-4 and np.std(logit) > 0.3
+
+
+def test_words_of_other_scripts_tell_classes_apart(spark):
+    """The words differ in letters that share a symbol, so spelling alone cannot tell them."""
+    bad, good = "\u0430\u0431\u0432\u0430", "\u043d\u043e\u043f\u043d"
+    assert tox.symbols(bad).tolist() == tox.symbols(good).tolist()
+    rng = np.random.default_rng(4)
+    bag = ["".join(rng.choice(list("\u0433\u0434\u0435\u0436\u0437"), 4)) for _ in range(200)]
+    texts = [(i, " ".join([*rng.choice(bag, 15), bad if i % 4 == 0 else good])) for i in range(600)]
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    got = [r for r in tox.score_toxicity(table(spark, texts), known).collect() if r.held_out]
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in got]) >= 0.95
+
+
+def test_the_model_grows_with_the_corpus(spark):
+    def kinds(n):
+        rows = [(0, i % 2, f"same word{''.join(chr(97 + int(c)) for c in str(i))}") for i in range(n)]
+        return tox.count_words(spark.createDataFrame(rows, "half int, label int, text string")).count()
+
+    assert kinds(50) == 51 and kinds(500) == 501
 
 
 def corpus(spark):
