@@ -8,8 +8,8 @@ same table. The lower orders of both classes' spellings are shared: they come fr
 expression is judged alike by both models.
 
 The table of words is joined to the texts' words by Spark, which broadcasts it while it is small and shuffles beyond. Words that it does
-not hold, or whose log ratio (toxic over ordinary) the spelling gives to within PRUNE, have that of their spelling, from
-log ratios for all four-symbol sequences: 40^4, a fixed number, broadcast.
+not hold, or whose log ratio (toxic over ordinary) the spelling gives to within PRUNE, have that of their spelling, from the
+counts of four-symbol sequences, which are broadcast: at most 40^4, a fixed number.
 
 A text is scored by three length-normalised forms of its words' log ratios: their mean, and the means of what they have above a
 level and above a higher one. All are means over its words, so that a text joined from many alike is scored like one of them. A logistic
@@ -19,6 +19,7 @@ is scored by the other half's model.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -169,6 +170,28 @@ def _discounted(n: np.ndarray) -> np.ndarray:
     return np.where(n > 1, n - DISCOUNT, 0)
 
 
+#: The spellings that a worker process has built last, by the name of their counts.
+_built: dict[str, list[np.ndarray]] = {}
+
+
+def told(counts: dict[tuple[int, int], np.ndarray]) -> tuple[str, np.ndarray, np.ndarray]:
+    """What is broadcast: the sequences that occur and their four counts, under a name of their own. At most ALPHABET^ORDER sequences."""
+    every = np.stack([counts[y, h] for y in (0, 1) for h in (0, 1)])
+    some = np.flatnonzero(every.any(axis=0))
+    return uuid.uuid4().hex, some.astype(np.int32), every[:, some]
+
+
+def spellings(name: str, some: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+    """The log shares of every model, built once per process."""
+    if name not in _built:
+        _built.clear()
+        every = np.zeros((4, ALPHABET**ORDER), np.int64)
+        every[:, some] = times
+        counts = {(y, h): every[2 * y + h] for y in (0, 1) for h in (0, 1)}
+        _built[name] = [log_shares(_of_model(counts, 1, m), _of_model(counts, 0, m)).astype(np.float32) for m in range(MODELS)]
+    return _built[name]
+
+
 def _sizes(words: DataFrame) -> list[list[tuple[int, float]]]:
     """Number of words, and the part of it that is discounted, of either label in each model."""
     n = {
@@ -185,11 +208,11 @@ def _freed(total: int, discounted: float) -> float:
     return float(np.log(discounted / total)) if total else 0.0
 
 
-def word_table(words: DataFrame, shares, sizes: list[list[tuple[int, float]]]) -> DataFrame:
+def word_table(words: DataFrame, sequences_told, sizes: list[list[tuple[int, float]]]) -> DataFrame:
     """Per model and word that it scores by its counts: what the word's levels differ by from those of its spelling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = shares.value
+        both = spellings(*sequences_told.value)
         for batch in batches:
             times, text = _counts(batch), batch.column(0)
             spelt = [symbols(w.as_py()) for w in text]
@@ -211,16 +234,16 @@ def word_table(words: DataFrame, shares, sizes: list[list[tuple[int, float]]]) -
     return store(map_arrow(words, run, "word string, model int, total double, clear double, strong double"))
 
 
-def _spelt(docs: DataFrame, ratios, by: list[str]) -> DataFrame:
+def _spelt(docs: DataFrame, sequences_told, offsets: list[float], by: list[str]) -> DataFrame:
     """Per row the sums of its words' levels by spelling, and their number; `by` is kept. Columns: text, model, then `by`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = [toxic - ordinary for toxic, ordinary in spellings(*sequences_told.value)]
         for batch in batches:
             rows = np.zeros((len(batch), len(SUMS)))
             for i, (t, m) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
-                each, offset = ratios.value[m]
-                (found,) = by_word(symbols(t.as_py()), each)
-                rows[i] = [*levels(found + offset).sum(axis=0), len(found)]
+                (found,) = by_word(symbols(t.as_py()), ratios[m])
+                rows[i] = [*levels(found + offsets[m]).sum(axis=0), len(found)]
             kept = [batch.column(i) for i in range(2, 2 + len(by))]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, i]) for i in range(len(SUMS)))], names=[*by, *SUMS])
 
@@ -230,7 +253,7 @@ def _spelt(docs: DataFrame, ratios, by: list[str]) -> DataFrame:
     return map_arrow(docs.select("text", "model", *by), run, out)
 
 
-def _features(docs: DataFrame, ratios, known: DataFrame, by: list[str]) -> DataFrame:
+def _features(docs: DataFrame, sequences_told, offsets: list[float], known: DataFrame, by: list[str]) -> DataFrame:
     """Rows (text, model, `by`) as one row per value of `by`, which is to tell texts apart: features, and the number of rows.
 
     Sums over equal texts are as many times those of one, so their means are the same.
@@ -238,7 +261,7 @@ def _features(docs: DataFrame, ratios, known: DataFrame, by: list[str]) -> DataF
     table_part = (
         docs.select("model", *by, _words()).join(known, ["word", "model"]).groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS[:FEATURES]])
     )
-    spelling = _spelt(docs, ratios, by).withColumn("n_rows", F.lit(1))
+    spelling = _spelt(docs, sequences_told, offsets, by).withColumn("n_rows", F.lit(1))
     both = spelling.unionByName(table_part.withColumn("words", F.lit(0.0)).withColumn("n_rows", F.lit(0)))
     sums = both.groupBy(*by).agg(*[F.sum(c).alias(c) for c in (*SUMS, "n_rows")])
     mean = {c: F.when(F.col("words") > 0, F.col(c) / F.col("words")).otherwise(0.0) for c in SUMS[:FEATURES]}
@@ -274,7 +297,7 @@ def _names(text: str | Column = "text") -> list[Column]:
 
 
 def _trained(read: DataFrame, labels: DataFrame, key: str, label: str):
-    """The broadcast ratios of spellings, the stored table of words, the features' scale and weights; None without rows of both labels."""
+    """The broadcast counts of spellings, offsets, the stored table of words, scale and weights; None without rows of both labels."""
     spark = read.sparkSession
     found = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k"))
     known = store(found.agg(F.max(label).cast("int").alias("label")))
@@ -284,21 +307,19 @@ def _trained(read: DataFrame, labels: DataFrame, key: str, label: str):
     sizes = _sizes(words)
     if not (sizes[0][0][0] and sizes[0][1][0]):
         return None
-    counts = count_sequences(words)
-    shares = [log_shares(_of_model(counts, 1, m), _of_model(counts, 0, m)) for m in range(MODELS)]
+    spelt = spark.sparkContext.broadcast(told(count_sequences(words)))
     offsets = [_freed(*sizes[m][1]) - _freed(*sizes[m][0]) for m in range(MODELS)]
-    ratios = spark.sparkContext.broadcast([((a - b).astype(np.float32), o) for (a, b), o in zip(shares, offsets, strict=True)])
-    scored = word_table(words, spark.sparkContext.broadcast(shares), sizes)
+    scored = word_table(words, spelt, sizes)
     # At most 2 x FIT_ROWS keys and labels: small enough to broadcast whatever the corpus.
     fit = read.join(F.broadcast(_fit_sample(known)), F.col("key") == F.col("k"))
     fit = fit.select("text", (half + 1).alias("model"), "label", *_names())
     keys = known.withColumn("key", F.col("k")).where(_split() != 1).groupBy("label").count().collect()
     times = {r["label"]: max(r["count"] / FIT_ROWS, 1.0) for r in keys}
-    seen = _features(fit, ratios, scored, ["h1", "h2", "label", "model"]).orderBy("h1", "h2", "label", "model").toPandas()
+    seen = _features(fit, spelt, offsets, scored, ["h1", "h2", "label", "model"]).orderBy("h1", "h2", "label", "model").toPandas()
     x = np.array(seen["features"].tolist()).reshape(-1, FEATURES)
     weight = (seen["label"].map(times) * seen["n_rows"]).to_numpy(float)
     scale, w = fit_logistic(x, seen["label"].to_numpy(float), weight)
-    return ratios, scored, scale, w
+    return spelt, offsets, scored, scale, w
 
 
 def _scores(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame | None:
@@ -307,12 +328,13 @@ def _scores(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     trained = _trained(read, labels, key, label)
     if trained is None:
         return None
-    ratios, known, scale, w = trained
+    spelt, offsets, known, scale, w = trained
     z = F.lit(float(w[-1]))
     for i in range(FEATURES):
         z = z + F.get("features", F.lit(i)) * float(w[i] / scale[i])
     every = read.select("text", F.lit(0).alias("model"), *_names())
-    return store(_features(every, ratios, known.where("model = 0"), ["h1", "h2"]).select("h1", "h2", (1 / (1 + F.exp(-z))).alias("score")))
+    found = _features(every, spelt, offsets, known.where("model = 0"), ["h1", "h2"])
+    return store(found.select("h1", "h2", (1 / (1 + F.exp(-z))).alias("score")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
