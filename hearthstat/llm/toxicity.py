@@ -7,9 +7,9 @@ Kneser-Ney model of order four over the word's symbols (one for the end, a fixed
 same table. The lower orders of both classes' spellings are shared: they come from the continuation counts of both together, so that a rare
 expression is judged alike by both models.
 
-The table of words is joined to the texts' words by Spark, which broadcasts it while it is small and shuffles beyond. Words that it does
-not hold, or whose log ratio (toxic over ordinary) the spelling gives to within PRUNE, have that of their spelling, from the
-counts of four-symbol sequences, which are broadcast: at most 40^4, a fixed number.
+Of the counted words, those whose counts make them tell of toxic texts, or clear them of what their spelling tells, are joined to the texts'
+words by Spark, which broadcasts them while they are few and shuffles beyond. All others have the log ratio (toxic over ordinary) of
+their spelling, from the counts of four-symbol sequences, which are broadcast: at most 40^4, a fixed number.
 
 A text is scored by three length-normalised forms of its words' log ratios: their mean, and the means of what they have above a
 level and above a higher one. All are means over its words, so that a text joined from many alike is scored like one of them. A logistic
@@ -42,8 +42,8 @@ FEATURES = 3
 CLEAR, STRONG = 3, 6
 #: The most that one word's log ratio counts, in either direction.
 LIMIT = 10
-#: A word whose log ratio differs by less than this from that of its spelling is scored by its spelling.
-PRUNE = 0.5
+#: A word whose counts change what its log ratio has above CLEAR by less than this is scored by its spelling.
+PRUNE = 0.05
 #: What parts words; all other code points are letters. In `symbols` these are symbol 0.
 NO_LETTERS = r"[\x00-\x60\x7B-\x7F]+"
 #: Models: 0 of all training rows, 1 and 2 for the rows of the first and the second half, each from the other half's rows.
@@ -146,10 +146,9 @@ def count_sequences(words: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         sums = np.zeros((4, ALPHABET**ORDER), np.int64)
         for batch in batches:
             times = _counts(batch)
-            found = [sequences(symbols(w.as_py())) for w in batch.column(0)]
-            if not found:
-                continue
-            every, lengths = np.concatenate(found), [len(f) for f in found]
+            spelt = symbols(" ".join(batch.column(0).to_pylist()))
+            every, ends = sequences(spelt), np.flatnonzero(spelt[1:] == 0)
+            lengths = np.diff(ends, prepend=-1)[: len(batch)]
             for (y, h), n in times.items():
                 np.add.at(sums[2 * y + h], every, np.repeat(n, lengths))
         flat = sums.ravel()
@@ -215,19 +214,19 @@ def word_table(words: DataFrame, sequences_told, sizes: list[list[tuple[int, flo
         both = spellings(*sequences_told.value)
         for batch in batches:
             times, text = _counts(batch), batch.column(0)
-            spelt = [symbols(w.as_py()) for w in text]
+            spelt = symbols(" ".join(text.to_pylist()))
             for m in range(MODELS):
                 logs = []
-                each = np.array([by_word(s, both[m][0], both[m][1]) for s in spelt]).reshape(len(spelt), 2)
+                each = by_word(spelt, *both[m])
                 for y, column in ((1, 0), (0, 1)):
                     own = _discounted(_of_model(times, y, m)) / max(sizes[m][y][0], 1)
-                    plain = _freed(*sizes[m][y]) + each[:, column]
+                    plain = _freed(*sizes[m][y]) + each[column]
                     with np.errstate(divide="ignore"):
                         logs.append((np.logaddexp(np.log(own), plain), plain))
                 known, plain = logs[0][0] - logs[1][0], logs[0][1] - logs[1][1]
-                some = np.flatnonzero(np.abs(known - plain) >= PRUNE)
-                differ = levels(known[some]) - levels(plain[some])
-                columns = [pa.array(differ[:, i]) for i in range(FEATURES)]
+                differ = levels(known) - levels(plain)
+                some = np.flatnonzero(np.abs(differ[:, 1]) >= PRUNE)
+                columns = [pa.array(differ[some, i]) for i in range(FEATURES)]
                 kind = pa.array(np.full(len(some), m, np.int32))
                 yield pa.RecordBatch.from_arrays([text.take(pa.array(some)), kind, *columns], names=["word", "model", *SUMS[:FEATURES]])
 
