@@ -8,7 +8,7 @@ same table. The lower orders of both classes' spellings are shared: they come fr
 expression is judged alike by both models.
 
 Of the counted words, those whose counts make them tell of toxic texts, or clear them of what their spelling tells, are joined to the texts'
-words by Spark, which broadcasts them while they are few and shuffles beyond. All others have the log ratio (toxic over ordinary) of
+words by Spark, broadcast while they have a checked size (BROADCAST_BYTES) and shuffled beyond. All others have the log ratio (toxic over ordinary) of
 their spelling, from the counts of four-symbol sequences, which are broadcast: at most 40^4, a fixed number.
 
 A text is scored by three length-normalised forms of its words' log ratios: their mean, and the means of what they have above a
@@ -44,6 +44,10 @@ CLEAR, STRONG = 3, 6
 LIMIT = 10
 #: A word whose counts change what its log ratio has above CLEAR by less than this is scored by its spelling.
 PRUNE = 0.05
+#: Words that are joined to the texts' words are broadcast up to this many bytes; beyond it, both are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of such a word as a broadcast row, besides the word.
+ROW_BYTES = 100
 #: What parts words; all other code points are letters. In `symbols` these are symbol 0.
 NO_LETTERS = r"[\x00-\x60\x7B-\x7F]+"
 #: Models: 0 of all training rows, 1 and 2 for the rows of the first and the second half, each from the other half's rows.
@@ -252,13 +256,19 @@ def _spelt(docs: DataFrame, sequences_told, offsets: list[float], by: list[str])
     return map_arrow(docs.select("text", "model", *by), run, out)
 
 
+def _bounded(known: DataFrame) -> DataFrame:
+    """The stored words, to be broadcast if they are few."""
+    held = known.agg(F.sum(F.octet_length("word") + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(known) if held <= BROADCAST_BYTES else known
+
+
 def _features(docs: DataFrame, sequences_told, offsets: list[float], known: DataFrame, by: list[str]) -> DataFrame:
     """Rows (text, model, `by`) as one row per value of `by`, which is to tell texts apart: features, and the number of rows.
 
     Sums over equal texts are as many times those of one, so their means are the same.
     """
     table_part = (
-        docs.select("model", *by, _words()).join(known, ["word", "model"]).groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS[:FEATURES]])
+        docs.select("model", *by, _words()).join(_bounded(known), ["word", "model"]).groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS[:FEATURES]])
     )
     spelling = _spelt(docs, sequences_told, offsets, by).withColumn("n_rows", F.lit(1))
     both = spelling.unionByName(table_part.withColumn("words", F.lit(0.0)).withColumn("n_rows", F.lit(0)))

@@ -185,6 +185,15 @@ def test_a_capped_sample_is_fitted_like_all_rows():
     assert w[-1] == pytest.approx(v[-1], abs=0.3) and w[:-1] / b == pytest.approx(v[:-1] / a, rel=0.2)
 
 
+def test_scores_do_not_depend_on_the_join(spark, monkeypatch):
+    texts, labels = corpus(spark)
+    found = []
+    for most in (32 << 20, 0):
+        monkeypatch.setattr(tox, "BROADCAST_BYTES", most)
+        found.append([r.score for r in tox.score_toxicity(table(spark, texts), labels).orderBy("doc_id").collect()])
+    assert found[0] == pytest.approx(found[1], abs=1e-9)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     texts, labels = corpus(spark)
     flipped = labels.selectExpr(
