@@ -8,8 +8,8 @@ same table. The lower orders of both classes' spellings are shared: they come fr
 expression is judged alike by both models.
 
 Of the counted words, those whose counts make them tell of toxic texts, or clear them of what their spelling tells, are joined to the texts'
-words by Spark, broadcast while they have a checked size (BROADCAST_BYTES) and shuffled beyond. All others have the log ratio (toxic over ordinary) of
-their spelling, from the counts of four-symbol sequences, which are broadcast: at most 40^4, a fixed number.
+words by Spark, broadcast while they have a checked size (BROADCAST_BYTES) and shuffled beyond. All others have the log ratio
+(toxic over ordinary) of their spelling, from the counts of four-symbol sequences, which are broadcast: at most 40^4, a fixed number.
 
 A text is scored by three length-normalised forms of its words' log ratios: their mean, and the means of what they have above a
 level and above a higher one. All are means over its words, so that a text joined from many alike is scored like one of them. A logistic
@@ -267,9 +267,8 @@ def _features(docs: DataFrame, sequences_told, offsets: list[float], known: Data
 
     Sums over equal texts are as many times those of one, so their means are the same.
     """
-    table_part = (
-        docs.select("model", *by, _words()).join(_bounded(known), ["word", "model"]).groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS[:FEATURES]])
-    )
+    hits = docs.select("model", *by, _words()).join(_bounded(known), ["word", "model"])
+    table_part = hits.groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS[:FEATURES]])
     spelling = _spelt(docs, sequences_told, offsets, by).withColumn("n_rows", F.lit(1))
     both = spelling.unionByName(table_part.withColumn("words", F.lit(0.0)).withColumn("n_rows", F.lit(0)))
     sums = both.groupBy(*by).agg(*[F.sum(c).alias(c) for c in (*SUMS, "n_rows")])
@@ -311,7 +310,8 @@ def _trained(read: DataFrame, labels: DataFrame, key: str, label: str):
     found = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k"))
     known = store(found.agg(F.max(label).cast("int").alias("label")))
     half = (_split() / 2).cast("int").alias("half")
-    train = read.where(_split() != 1).join(known, F.col("key") == F.col("k"))
+    # Labels grow with the texts: both are shuffled at any size, and sorted, as sorted rows can spill.
+    train = read.where(_split() != 1).join(known.hint("merge"), F.col("key") == F.col("k"))
     words = count_words(train.select(half, "label", "text"))
     sizes = _sizes(words)
     if not (sizes[0][0][0] and sizes[0][1][0]):
