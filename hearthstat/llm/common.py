@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import hearthstat
 from hearthstat.sources.stored import store
 
-__all__ = ["Recent", "documents", "map_arrow", "ship", "store", "table", "unused", "whole_text"]
+__all__ = ["Recent", "documents", "forgotten_by_others", "map_arrow", "ship", "store", "table", "unused", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +53,53 @@ def ship(spark: SparkSession) -> None:
         context._hearthstat_shipped = True
 
 
+#: How a worker process drops what it remembers between tasks, by the module that remembers it.
+_forget: dict[str, list[Callable[[], None]]] = {}
+#: The module whose work this process did last.
+_worked: list[str] = []
+
+
+def forgotten_by_others(module: str, forget: Callable[[], None]) -> None:
+    """Lets a worker that goes on to another module's work call `forget` first: processes outlive the stages that fill them."""
+    _forget.setdefault(module, []).append(forget)
+
+
+def _begin(module: str) -> None:
+    if _worked != [module]:
+        for other in _forget.keys() - {module}:
+            for forget in _forget[other]:
+                forget()
+        _worked[:] = [module]
+        _give_back()
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that gives freed memory back to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """The same work on a task's batches, begun without what other modules remember; freed memory is given back in the end."""
+    module = run.__module__
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(module)
+        yield from run(batches)
+        _give_back()
+
+    return task
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 class Recent:

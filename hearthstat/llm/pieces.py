@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthstat.llm.common import Recent, documents, map_arrow
+from hearthstat.llm.common import Recent, documents, forgotten_by_others, map_arrow
 
 SPACE = "▁"
 #: A word ends where a space follows; no piece goes on behind it.
@@ -101,6 +101,10 @@ def _searched(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, high, np.array([len(p) for p in v.pieces])
 
 
+for _kept in (vocabulary, _searched):
+    forgotten_by_others(__name__, _kept.cache_clear)
+
+
 def edges(data: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences of all pieces: sorted keys start * 64 + length, and the piece number of each."""
     v, text = vocabulary(path), np.frombuffer(data, np.uint8)

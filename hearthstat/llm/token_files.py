@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthstat.llm.common import Recent, documents, map_arrow, store, whole_text
+from hearthstat.llm.common import Recent, documents, forgotten_by_others, map_arrow, store, whole_text
 
 BLOCK = 128
 MAGIC = b"PFOR0001"
@@ -130,6 +130,9 @@ def _tokenizer(path: str):
     return tokenizer, added, split, Recent()
 
 
+forgotten_by_others(__name__, _tokenizer.cache_clear)
+
+
 def _pieces(text: str, added: dict[str, bytes], split: re.Pattern | None) -> list[str]:
     if not any(t in text for t in added):
         return PIECES.findall(text)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthstat.llm.common import documents, map_arrow, store, table, unused, whole_text
+from hearthstat.llm.common import documents, forgotten_by_others, map_arrow, store, table, unused, whole_text
 
 #: Symbols: 0 is no letter, 1-26 are a-z, the others are shared by all other letters.
 ALPHABET = 40
@@ -175,6 +175,7 @@ def _discounted(n: np.ndarray) -> np.ndarray:
 
 #: The spellings that a worker process has built last, by the name of their counts.
 _built: dict[str, list[np.ndarray]] = {}
+forgotten_by_others(__name__, _built.clear)
 
 
 def told(counts: dict[tuple[int, int], np.ndarray]) -> tuple[str, np.ndarray, np.ndarray]:
